@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -62,6 +62,31 @@ def map_columns(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]],
     return df.mapInArrow(run, schema)
 
 
+def text_udf(fn: Callable[[list], dict[str, list]], schema: str):
+    """A column function of a text column: fn takes a batch's texts and gives the fields of a struct.
+
+    It counts as nondeterministic, so that the optimiser does not run it once
+    for a filter and once more for its result.
+    """
+    fields = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    @F.arrow_udf(f"struct<{', '.join(f'{f.name}:{f.dataType.simpleString()}' for f in T.StructType.fromDDL(schema))}>")
+    def run(text: pa.Array) -> pa.Array:
+        got = fn(text.to_pylist())
+        return pa.StructArray.from_arrays([pa.array(got[f.name], f.type) for f in fields], fields=list(fields))
+
+    return run.asNondeterministic()
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def sampled_labels(labels: DataFrame, label: str, rows: int, where: Column | str = "true") -> DataFrame:
+    """doc_id and label of at most so many labelled documents, those of the smallest hash; a bounded table."""
+    return labels.where(where).where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+
+
 def fresh_name(df: DataFrame, base: str) -> str:
     """A column name that df does not have."""
     taken = {c.lower() for c in df.columns}
