@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, near_dedup, packing, quality_rules, secret_scan, token_counts, toxicity, vector_search
-from .common import table
+from . import bpe_codec, license_scan, near_dedup, packing, quality_rules, secret_scan, token_counts, toxicity, vector_search, warc_archives
+from .common import shared_dir, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_paths(table(spark, sf_dir, "documents"), secret_scan.new_ledger(spark))
 
 
+def op3_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_archives.round_trip(table(spark, sf_dir, "pages"), shared_dir(spark))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).withColumn("over_limit", F.col("n_tokens") > 1024)
@@ -51,15 +55,21 @@ def op9_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
         op1_quality_rules,
         op2_secret_scan,
+        op3_warc_archives,
         op4_token_counts,
         op5_toxicity,
         op6_best_fit_packing,
         op7_near_dedup,
         op8_bpe_codec,
         op9_vector_search,
+        op10_license_scan,
     )
 }
 ORACLE_SQL: dict[str, str] = {}
