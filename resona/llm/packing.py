@@ -33,7 +33,7 @@ END = 0
 #: Parts of each length that are ranked apart.
 SALTS = 256
 #: Entries of a worker's cache, which is emptied beyond.
-CACHE = 400_000
+CACHE = 800_000
 #: Beyond these characters, lower case and composition are left to the library.
 _UNUSUAL = re.compile(r"[^\t-\r\x20-\x7e\xa0-įı-ſ‐-‧]")
 #: In such texts a chunk between white space is matches of these.
@@ -52,8 +52,6 @@ class WordIds:
         return [np.array(e.ids, "<u4").tobytes() for e in library(self.path).encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: set[str]) -> None:
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
         if len(self.words) > CACHE:
             self.words.clear()
         parts = {c: _PARTS.findall(c) for c in new}
@@ -64,16 +62,13 @@ class WordIds:
     def encode(self, texts: list[str]) -> list[bytes]:
         found = added(self.path)
         split = [None if _UNUSUAL.search(t) or found and found.search(t) else t.lower().split() for t in texts]
-        out = []
-        for t, some in zip(texts, split):
-            if some is None:
-                out += self._library([t])
-                continue
-            new = {c for c in some if c not in self.known}
-            if new:
-                self._learn(new)
-            out.append(b"".join([self.known[c] for c in some]) if new else b"".join(map(self.known.__getitem__, some)))
-        return out
+        wanted = {c for some in split if some for c in some}
+        new = wanted - self.known.keys()
+        if len(self.known) + len(new) > CACHE:
+            self.known.clear()
+            new = wanted
+        self._learn(new)
+        return [self._library([t])[0] if some is None else b"".join(map(self.known.__getitem__, some)) for t, some in zip(texts, split)]
 
 
 @cache
