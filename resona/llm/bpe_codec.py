@@ -28,7 +28,7 @@ NONE = 1 << 62
 #: Byte width up to which pre-tokens share one array; longer ones have their own tree.
 WIDE = 64
 #: Entries of a worker's cache, which is emptied beyond.
-CACHE = 400_000
+CACHE = 800_000
 #: Rows of one shared array.
 SIDE_BY_SIDE = 8192
 
@@ -166,8 +166,6 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def _learn(self, new: set[str]) -> None:
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
         if len(self.pieces) > CACHE:
             self.pieces.clear()
         parts = {c: split(c) for c in new}
@@ -191,13 +189,13 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         each = [chunks(t) for t in texts]
-        out = []
-        for some in each:
-            new = {c for c in some if c not in self.known}
-            if new:
-                self._learn(new)
-            out.append(b"".join([self.known[c] for c in some]) if new else b"".join(map(self.known.__getitem__, some)))
-        return out
+        wanted = {c for some in each for c in some}
+        new = wanted - self.known.keys()
+        if len(self.known) + len(new) > CACHE:
+            self.known.clear()
+            new = wanted
+        self._learn(new)
+        return [b"".join(map(self.known.__getitem__, some)) for some in each]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.ranks.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
