@@ -209,9 +209,10 @@ def _fold(doc_id: int) -> int:
     return zlib.crc32(str(doc_id).encode())
 
 
-def _signature(chunks: list[str]) -> str:
-    """Equal for most near copies: the two words of the smallest checksum."""
-    return " ".join(sorted(set(chunks), key=lambda c: (zlib.crc32(c.encode()), c))[:2])
+def _signature(words: list[str]) -> str:
+    """Equal for most near copies: the two runs of three words with the smallest checksums."""
+    runs = {" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))}
+    return "|".join(sorted(runs, key=lambda c: (zlib.crc32(c.encode()), c))[:2])
 
 
 def _log_odds(toxic: int, clean: int, n_toxic: int, n_clean: int) -> float:
