@@ -12,11 +12,12 @@ Bands of ``ROWS`` bins give bucket keys: at similarity 0.85 a pair misses all
 ``BANDS`` buckets with a probability below 1e-6.
 
 1. Documents with the same set are one class, of the smallest doc_id.
-2. A bucket is never expanded into its pairs. In the first round each member
-   meets the bucket's smallest class; later rounds take ``PIVOTS`` hashed
-   members each, over buckets whose members are not all connected yet, and
-   go on until no bucket is left. Every pair of a bucket is so verified or
-   already connected: nothing is capped.
+2. A bucket is never expanded into its pairs. In a round its pivots meet the
+   members of other components, then leave it: first one pivot, the member
+   that shares most with others (all members, of a bucket of ``PIVOTS``), then
+   ``GROWTH`` times as many in each round, over buckets whose members are
+   not all connected yet, until no bucket is left. Every pair of a bucket is so
+   verified or already connected: nothing is capped.
 3. Candidates are verified on full sets, joined by class.
 4. Components of the verified links take the smallest label of their
    neighbours, with pointer jumping, until nothing changes.
@@ -42,7 +43,7 @@ from .common import broadcast_if_small, map_columns, written
 WORDS = 5
 BINS, ROWS = 125, 5
 BANDS = BINS // ROWS
-PIVOTS = 8
+PIVOTS, GROWTH = 8, 4
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 85
 
@@ -146,47 +147,55 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _connected(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Members of buckets in which more than one component is left."""
-    found = members.withColumn("component", F.col("class")) if labels is None else members.join(labels, members["class"] == labels["node"], "left").select("key", "class", "n", F.coalesce("component", "class").alias("component"))
+def _unconnected(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets in which more than one component is left, with their components."""
+    found = members.drop("component").join(labels, members["class"] == labels["node"], "left").select("key", "class", "n", F.coalesce("component", "class").alias("component"))
     spread = found.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("key")
-    return found.join(spread, "key", "left_semi").select("key", "class", "n")
-
-
-def _pairs(members: DataFrame, first: bool) -> tuple[DataFrame, DataFrame]:
-    """Pairs of each bucket's pivots with its other members; the members without the pivots."""
-    if first:
-        picked = members.groupBy("key").agg(F.array(F.min(F.struct("class", "n"))).alias("pivots"))
-    else:
-        slot = F.pmod(F.xxhash64("class", "key"), F.lit(PIVOTS))
-        picked = members.groupBy("key").agg(F.array_compact(F.array(*[F.min(F.when(slot == k, F.struct("class", "n"))) for k in range(PIVOTS)])).alias("pivots"))
-    joined = members.join(picked, "key")
-    each = joined.select("class", "n", F.explode("pivots").alias("p")).where(
-        (F.col("class") != F.col("p.class")) & (100 * F.least("n", "p.n") >= PERCENT * F.greatest("n", "p.n"))
-    )
-    pairs = each.select(F.least("class", "p.class").alias("a"), F.greatest("class", "p.class").alias("b")).distinct()
-    return pairs, joined.where(~F.exists("pivots", lambda p: p["class"] == F.col("class"))).select("key", "class", "n")
+    return found.join(spread, "key", "left_semi")
+
+
+def _with_pivots(members: DataFrame, wanted: int) -> DataFrame:
+    """members with pivot: about so many hashed members of each bucket, or all of a bucket that is no larger.
+
+    wanted 0: of buckets beyond ``PIVOTS`` the member that shares most with others over
+    all its buckets; the text that a family of copies was made from is often that one.
+    """
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
+    sized = members.join(sizes, "key")
+    if wanted:
+        return sized.withColumn("pivot", F.pmod(F.xxhash64("class", "key"), F.col("size")) < wanted).drop("size")
+    weight = sized.groupBy("class").agg(F.sum("size").alias("weight"))
+    weighed = sized.join(weight, "class")
+    first = weighed.groupBy("key").agg(F.max(F.struct(F.col("weight"), -F.col("class"))).alias("m")).select("key", (-F.col("m.col2")).alias("first"))
+    return weighed.join(first, "key").withColumn("pivot", (F.col("size") <= PIVOTS) | (F.col("class") == F.col("first"))).select("key", "class", "n", "component", "pivot")
+
+
+def _pairs(members: DataFrame) -> DataFrame:
+    """Distinct pairs of a bucket's pivots with its members of other components, unless their sizes rule a link out."""
+    p = members.where("pivot").select("key", F.col("class").alias("p"), F.col("n").alias("pn"), F.col("component").alias("pc"))
+    fits = (F.col("component") != F.col("pc")) & (100 * F.least("n", "pn") >= PERCENT * F.greatest("n", "pn"))
+    return members.join(p, (members["key"] == p["key"]) & fits).select(F.least("class", "p").alias("a"), F.greatest("class", "p").alias("b")).distinct()
 
 
 def link_classes(docs: DataFrame, classes: DataFrame, key: str, text: str) -> DataFrame | None:
     """Components of classes (class, n, bands) that have verified links; None without any."""
     keyed = classes.select("class", "n", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").count().where("count > 1").select("key")
-    members = written(keyed.join(shared, "key", "left_semi").select("key", "class", "n"), "buckets")
+    members = written(keyed.join(shared, "key", "left_semi").select("key", "class", "n", F.col("class").alias("component")), "buckets")
     if members.isEmpty():
         return None
     wanted = broadcast_if_small(members.select(F.col("class").alias("wanted")).distinct())
     texts = docs.select(F.col(key).cast("long").alias("class"), F.col(text).alias("text")).join(wanted, F.col("class") == F.col("wanted"), "left_semi")
     sets = written(shingle_sets(texts).groupBy("class").agg(F.min("shingles").alias("shingles")), "sets")
-    links, labels, first = None, None, True
-    while True:
-        pairs, rest = _pairs(members, first)
-        new = written(verified(pairs, sets), "links")
-        links = new if links is None else links.union(new)
+    links, labels, pivots = None, None, 0
+    while not members.isEmpty():
+        marked = written(_with_pivots(members, pivots), "pivots")
+        new = verified(_pairs(marked), sets)
+        links = written(new if links is None else links.unionByName(new), "links")
         labels = components(links)
-        members, first = written(_connected(rest, labels), "buckets"), False
-        if members.isEmpty():
-            return labels
+        members = written(_unconnected(marked.where(~F.col("pivot")).drop("pivot"), labels), "buckets")
+        pivots = PIVOTS * GROWTH if pivots == 0 else pivots * GROWTH
+    return labels
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
