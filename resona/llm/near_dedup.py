@@ -12,12 +12,15 @@ Bands of ``ROWS`` bins give bucket keys: at similarity 0.85 a pair misses all
 ``BANDS`` buckets with a probability below 1e-6.
 
 1. Documents with the same set are one class, of the smallest doc_id.
-2. A bucket is never expanded into its pairs. In a round its pivots meet the
-   members of other components, then leave it: first one pivot, the member
-   that shares most with others (all members, of a bucket of ``PIVOTS``), then
-   ``GROWTH`` times as many in each round, over buckets whose members are
-   not all connected yet, until no bucket is left. Every pair of a bucket is so
-   verified or already connected: nothing is capped.
+2. A bucket is never expanded into its pairs. First its pivot meets the members:
+   the one that shares most with others (all members, of a bucket of ``PIVOTS``).
+   Members of buckets that are then not all connected are paired by an exact
+   prefix filter: with shingles in order of rarity among them, similar sets share
+   one among their first ones, at places that leave room for enough common ones
+   after it. Copies that differ by too many words of their own share none
+   there. Of a shingle's members those of its largest component only meet the
+   others. Every pair of a bucket is so verified, connected or ruled out:
+   nothing is capped.
 3. Candidates are verified on full sets, joined by class.
 4. Components of the verified links take the smallest label of their
    neighbours, with pointer jumping, until nothing changes.
@@ -43,7 +46,7 @@ from .common import broadcast_if_small, map_columns, written
 WORDS = 5
 BINS, ROWS = 125, 5
 BANDS = BINS // ROWS
-PIVOTS, GROWTH = 8, 4
+PIVOTS = 8
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 85
 
@@ -154,16 +157,12 @@ def _unconnected(members: DataFrame, labels: DataFrame) -> DataFrame:
     return found.join(spread, "key", "left_semi")
 
 
-def _with_pivots(members: DataFrame, wanted: int) -> DataFrame:
-    """members with pivot: about so many hashed members of each bucket, or all of a bucket that is no larger.
-
-    wanted 0: of buckets beyond ``PIVOTS`` the member that shares most with others over
-    all its buckets; the text that a family of copies was made from is often that one.
+def _with_pivots(members: DataFrame) -> DataFrame:
+    """members with pivot: all of a bucket of no more than ``PIVOTS``, else the member that shares most
+    with others over all its buckets; the text that a family of copies was made from is often that one.
     """
     sizes = members.groupBy("key").agg(F.count("*").alias("size"))
     sized = members.join(sizes, "key")
-    if wanted:
-        return sized.withColumn("pivot", F.pmod(F.xxhash64("class", "key"), F.col("size")) < wanted).drop("size")
     weight = sized.groupBy("class").agg(F.sum("size").alias("weight"))
     weighed = sized.join(weight, "class")
     first = weighed.groupBy("key").agg(F.max(F.struct(F.col("weight"), -F.col("class"))).alias("m")).select("key", (-F.col("m.col2")).alias("first"))
@@ -171,12 +170,34 @@ def _with_pivots(members: DataFrame, wanted: int) -> DataFrame:
 
 
 def _pairs(members: DataFrame) -> DataFrame:
-    """Distinct pairs of a bucket's pivots with its members of other components, unless their sizes rule a link out."""
-    p = members.where("pivot").select("key", F.col("class").alias("p"), F.col("n").alias("pn"), F.col("component").alias("pc"))
-    fits = (F.col("component") != F.col("pc")) & (100 * F.least("n", "pn") >= PERCENT * F.greatest("n", "pn"))
+    """Distinct pairs of a bucket's pivots with its members, unless their sizes rule a link out."""
+    p = members.where("pivot").select("key", F.col("class").alias("p"), F.col("n").alias("pn"))
+    fits = (F.col("class") != F.col("p")) & (100 * F.least("n", "pn") >= PERCENT * F.greatest("n", "pn"))
     return members.join(p, (members["key"] == p["key"]) & fits).select(F.least("class", "p").alias("a"), F.greatest("class", "p").alias("b")).distinct()
 
 
+def _prefixes(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """token, class, n, component and place of each member's rarest shingles, so many that similar sets share one."""
+    left = members.select("class", "component").distinct()
+    each = sets.join(left, "class").select("class", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
+    rarity = each.groupBy("token").agg(F.count("*").alias("times"))
+    in_order = each.join(rarity, "token").groupBy("class", "component", "n").agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("tokens"))
+    first = F.slice("tokens", F.lit(1), F.col("n") - F.ceil(F.col("n") * PERCENT / 100).cast("int") + 1)
+    return in_order.select("class", "component", "n", F.posexplode(first).alias("place", "t")).where("t.times > 1").select(F.col("t.token").alias("token"), "class", "n", "component", "place")
+
+
+def _prefix_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Distinct pairs of members of different components that the prefix filter leaves."""
+    found = written(_prefixes(members, sets), "prefixes")
+    counts = found.groupBy("token", "component").agg(F.count("*").alias("size"))
+    largest = counts.groupBy("token").agg(F.max(F.struct("size", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("token", F.col("m.component").alias("largest"))
+    p = found.join(largest, "token").where(F.col("component") != F.col("largest"))
+    p = p.select("token", F.col("class").alias("p"), F.col("n").alias("pn"), F.col("component").alias("pc"), F.col("place").alias("pp"))
+    # so many may be common from these places on; similar sets need so many of both
+    fits = (F.col("component") != F.col("pc")) & ((100 + PERCENT) * F.least(F.col("n") - F.col("place"), F.col("pn") - F.col("pp")) >= PERCENT * (F.col("n") + F.col("pn")))
+    return found.join(p, (found["token"] == p["token"]) & fits).select(F.least("class", "p").alias("a"), F.greatest("class", "p").alias("b")).distinct()
+
+
 def link_classes(docs: DataFrame, classes: DataFrame, key: str, text: str) -> DataFrame | None:
     """Components of classes (class, n, bands) that have verified links; None without any."""
     keyed = classes.select("class", "n", F.explode("bands").alias("key"))
@@ -187,15 +208,14 @@ def link_classes(docs: DataFrame, classes: DataFrame, key: str, text: str) -> Da
     wanted = broadcast_if_small(members.select(F.col("class").alias("wanted")).distinct())
     texts = docs.select(F.col(key).cast("long").alias("class"), F.col(text).alias("text")).join(wanted, F.col("class") == F.col("wanted"), "left_semi")
     sets = written(shingle_sets(texts).groupBy("class").agg(F.min("shingles").alias("shingles")), "sets")
-    links, labels, pivots = None, None, 0
-    while not members.isEmpty():
-        marked = written(_with_pivots(members, pivots), "pivots")
-        new = verified(_pairs(marked), sets)
-        links = written(new if links is None else links.unionByName(new), "links")
-        labels = components(links)
-        members = written(_unconnected(marked.where(~F.col("pivot")).drop("pivot"), labels), "buckets")
-        pivots = PIVOTS * GROWTH if pivots == 0 else pivots * GROWTH
-    return labels
+    marked = written(_with_pivots(members), "pivots")
+    links = written(verified(_pairs(marked), sets), "links")
+    labels = components(links)
+    rest = written(_unconnected(marked.where(~F.col("pivot")).drop("pivot"), labels), "buckets")
+    if rest.isEmpty():
+        return labels
+    more = written(verified(_prefix_pairs(rest, sets), sets), "links")
+    return labels if more.isEmpty() else components(links.unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -231,7 +231,6 @@ def test_near_duplicates(spark, docs, empty):
 
 def test_large_buckets_are_whole(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "PIVOTS", 1)
-    monkeypatch.setattr(near_dedup, "GROWTH", 2)
     words = [f"w{k}" for k in range(90)]
     rows = []
     for k in range(40):  # a chain: neighbours are close, its ends are not
