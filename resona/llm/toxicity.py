@@ -197,8 +197,9 @@ class Scorer:
         known = self.known
         if len(known) > CACHE:
             known.clear()
-        for c in set(chunks) - known.keys():
-            known[c] = self._weight(c)
+        for c in set(chunks):  # a difference with known.keys() would walk all that is known
+            if c not in known:
+                known[c] = self._weight(c)
         found = sorted((w for w in map(known.__getitem__, chunks) if w), reverse=True)
         top = (found + [0.0] * 3)[:3]
         many, n = sum(found), max(10, len(chunks))
