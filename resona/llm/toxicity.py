@@ -69,12 +69,13 @@ def trigram_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CLASSES**3, np.int64)
         for batch in batches:
+            found = [np.empty(0, np.int64)]
             for t in batch.column(0).to_pylist():
                 points = np.frombuffer(f" {t or ''} ".encode("utf-32-le"), "<u4")
                 k = np.where(points < len(_TABLE), _TABLE[np.minimum(points, len(_TABLE) - 1)], 27)
                 k = k[np.concatenate([[True], (k[1:] != 0) | (k[:-1] != 0)])]
-                if len(k) > 2:
-                    total += np.bincount((k[:-2] * CLASSES + k[1:-1]) * CLASSES + k[2:], minlength=CLASSES**3)
+                found.append((k[:-2] * CLASSES + k[1:-1]) * CLASSES + k[2:])
+            total += np.bincount(np.concatenate(found), minlength=CLASSES**3)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["trigram", "n"])
 
