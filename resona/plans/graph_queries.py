@@ -32,6 +32,20 @@ def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.stats(nodes, e).withColumn("avg_edges", F.round("avg_edges", 6))
 
 
+@family.query(f"WITH {_PAIRS}, u AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_returnflag = 'R') SELECT e.src, e.dst, round(CASE WHEN u.src IS NULL THEN weight ELSE least(1.0, weight + 0.02) END, 6) AS weight FROM e LEFT JOIN u USING (src, dst)")
+def edge_reinforce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of returned items are used once more."""
+    used = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"))
+    return gr.reinforce_edges(gr.connect(_pairs(spark, sf_dir)), used).select("src", "dst", F.round("weight", 6).alias("weight"))
+
+
+@family.query(f"WITH {_PAIRS} SELECT src, dst, round(weight, 6) AS weight FROM e ANTI JOIN (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_returnflag = 'R') USING (src, dst)")
+def edge_disconnect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges without those of returned items, one way."""
+    gone = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"))
+    return gr.disconnect(gr.connect(_pairs(spark, sf_dir)), gone).select("src", "dst", F.round("weight", 6).alias("weight"))
+
+
 _TREE = "e AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst, 0.9 AS w FROM nation UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, 0.8 FROM supplier)"
 
 

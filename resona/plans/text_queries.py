@@ -133,6 +133,49 @@ def extract_go_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.units(f).select("id", "content", "source")
 
 
+#: suffix, title, code before the key, code after it, and what the key's and the other name are.
+_CODE = (
+    (".ts", "Module", "export class Part", " {}\nexport async function show() {}\nconst add = (a) => a\n", ("Function show", "Function add", "Class Part+")),
+    (".java", "Java class", "public class Part", " {\n  public int show() {\n    return 1;\n  }\n}\n", ("Class Part+", "Method show")),
+    (".rs", "Rust module", "pub struct Part", ";\npub fn show() {}\n", ("Function show", "Type Part+")),
+    (".cs", "C# file", "record Part", ";\n", ("Class Part+",)),
+    (".cpp", "C/C++ file", "int part", "(int a) {\n  return a;\n}\n", ("Function part+",)),
+    (".rb", "Ruby file", "module Part", "\n  def self.show?\n  end\nend\n", ("Class Part+", "Method show?")),
+    (".php", "PHP file", "class Part", " {\n  function show() {}\n}\n", ("Class Part+", "Function show")),
+    (".kt", "Kotlin file", "object Part", " {\n  fun show() = 1\n}\n", ("Class Part+", "Function show")),
+    (".swift", "Swift file", "protocol Part", " {\n  func show()\n}\n", ("Type Part+", "Function show")),
+)
+
+
+def _code_sql() -> str:
+    out = []
+    for suffix, title, _, _, named in _CODE:
+        source, module = f"'src/p' || p_partkey || '{suffix}'", "'p' || p_partkey"
+        out.append(f"SELECT 'module_' || {module} AS id, '{title} ' || {source} AS content, {source} AS source FROM part")
+        for what, name in (x.split(" ") for x in named):
+            name = f"'{name[:-1]}' || p_partkey" if name.endswith("+") else f"'{name}'"
+            out.append(f"SELECT {module} || '_' || {name}, '{what} ''' || {name} || ''' in ' || {source}, {source} FROM part")
+    return " UNION ALL ".join(out)
+
+
+@family.query(_code_sql())
+def extract_code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part as a small file in each of the languages that patterns read."""
+    key = F.col("p_partkey").cast("string")
+    files_ = F.array(*[F.struct(F.concat(F.lit("src/p"), key, F.lit(suffix)).alias("path"), F.concat(F.lit(before), key, F.lit(after)).alias("text")) for suffix, _, before, after, _ in _CODE])
+    return extract.units(table(spark, sf_dir, "part").select(F.explode(files_).alias("f")).select("f.*")).select("id", "content", "source")
+
+
+@family.query("""WITH u AS (SELECT 'web/p' || p_partkey || '.ts' AS source, 'p' || p_partkey AS src FROM part) SELECT src, 'date_tools' AS tgt, 'imports' AS rel_type, source FROM u UNION ALL SELECT src, 'fs', 'imports', source FROM u UNION ALL SELECT src, 'json', 'imports', replace(source, '.ts', '.py') FROM u UNION ALL SELECT src, 'os', 'imports', replace(source, '.ts', '.py') FROM u""")
+def import_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The imports of every part's script and Python file."""
+    key = F.col("p_partkey").cast("string")
+    ts = F.lit("import 'lib/date-tools.js'\nconst fs = require('fs')\n")
+    py = F.lit("import json\n\ndef f():\n    from os.path import join\n")
+    files_ = F.array(*[F.struct(F.concat(F.lit("web/p"), key, F.lit(x)).alias("path"), text.alias("text")) for x, text in ((".ts", ts), (".py", py))])
+    return extract.relations(table(spark, sf_dir, "part").select(F.explode(files_).alias("f")).select("f.*")).select("src", "tgt", "rel_type", "source")
+
+
 def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.element_at(F.array(*map(F.lit, (".py", ".MD", ".png", ".env", ".tar.gz"))), (F.col("page_id") % 5 + 1).cast("int"))
     folder = F.element_at(F.array(*map(F.lit, ("src", "build", ".git", "a/rebuild"))), (F.col("page_id") % 4 + 1).cast("int"))
