@@ -5,7 +5,12 @@ separators or spaces between its letters, and by repeating letters. The
 lattice of what each written character may stand for is decoded by Viterbi
 under a character trigram model, whose counts come from every document (a
 table of ``CLASSES`` ** 3 entries, whatever the corpus). Plain words have one
-reading and skip the lattice.
+reading and skip the lattice, and so do pure numbers; every other chunk is
+decoded, whatever its length. A run of one character counts as three of it.
+Only true punctuation is cut off at the ends; other signs there may be skipped
+by the lattice. A decoded chunk is also known by the words that stand in it as
+they are written. Single letters or look-alikes apart by white space are one
+word where that is likelier.
 
 Score: words and word beginnings of the restored text are weighed by their
 log-odds in toxic against clean training documents; a logistic regression
@@ -23,6 +28,7 @@ Repeated rows are scored one by one.
 from __future__ import annotations
 
 import math
+import os.path
 import re
 import zlib
 from collections.abc import Iterator
@@ -51,9 +57,16 @@ _LOOK, _SKIP, _REPEAT, _KEEP = -1.5, -1.0, -0.7, -6.0
 _PLAIN = re.compile(r"[^\W\d_]+\Z")
 _WORDS = re.compile(r"[^\W\d_]+")
 _TRIPLE = re.compile(r"(.)\1\1")
+_RUN = re.compile(r"(.)\1{3,}", re.S)
 _EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "$@!|+(<")
 _ENDS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
-_SPACED = re.compile(r"(?<!\S)(?:[^\W_] ){2,}[^\W_](?!\S)")
+#: Digits with signs around and between them; "4$$" is none.
+_NUMBER = re.compile(r"[^\w@]*\d+(?:(?:[^\w@$!]|_)+\d+)*[^\w@$!]*[$!]?\Z")
+_SIGNS = "".join(c for c in LOOKS if not c.isalnum())
+_ONE = f"(?:[^\\W_]|[{re.escape(_SIGNS)}])"
+_SPACED = re.compile(f"(?<!\\S)[{re.escape(_EDGE)}]*(?:{_ONE}\\s+){{2,}}{_ONE}[{re.escape(_EDGE)}!]*(?!\\S)")
+#: Characters between two that are handed out of the lattice.
+_FLUSH = 64
 
 
 def _class_of(c: str) -> int:
@@ -117,24 +130,24 @@ class Restorer:
         return got
 
     def _restore(self, low: str) -> str:
-        core = low.lstrip(_EDGE).rstrip(_ENDS)
+        core = low.strip(_EDGE)
         if _PLAIN.match(core) and not _TRIPLE.search(core):
             return core
-        letters = sum(c.isalpha() for c in core)
-        hidden = sum(c in LOOKS for c in core)
-        if not letters or letters < hidden or len(core) > 40:
-            return " ".join(_WORDS.findall(core))
+        if not core or _NUMBER.match(core):
+            return ""
         return self.decode(core)
 
     def decode(self, written: str) -> str:
         """The likeliest reading of what is written."""
+        written = _RUN.sub(r"\1\1\1", written)
         best: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
-        for c in written:
+        tail, done = len(written.rstrip(_ENDS)), []
+        for n, c in enumerate(written):
             options = [(c, 0.0)] if c.isalpha() else [(x, _LOOK) for x in LOOKS.get(c, "")] + [(" ", _KEEP)]
             new: dict[tuple[int, int, str], tuple[float, str]] = {}
             for (a, b, last), (cost, text) in best.items():
                 steps = [(x, cost + p + self.model[a][b][_class_of(x)], (b, _class_of(x), x)) for x, p in options]
-                if c in _SEPARATORS or c in "$!|+(<":
+                if c in _SEPARATORS or c in "$!|+(<" or n >= tail:
                     steps.append(("", cost + _SKIP, (a, b, last)))
                 if any(x == last for x, _ in options if x != " "):
                     steps.append(("", cost + _REPEAT, (a, b, last)))
@@ -142,30 +155,45 @@ class Restorer:
                     if state not in new or value > new[state][0]:
                         new[state] = (value, text + x)
             best = new
+            if n % _FLUSH == _FLUSH - 1:  # what all readings share is settled, so that the time is linear
+                same = os.path.commonprefix([text for _, text in best.values()])
+                done.append(same)
+                best = {state: (cost, text[len(same) :]) for state, (cost, text) in best.items()}
         end = max(best.items(), key=lambda s: (s[1][0] + self.model[s[0][0]][s[0][1]][0], s[1][1]))
-        return " ".join(_WORDS.findall(end[1][1]))
+        return " ".join(_WORDS.findall("".join(done) + end[1][1]))
+
+    def readings(self, chunk: str) -> str:
+        """The restored word, and the words that a chunk other than a plain word holds as it is written."""
+        word = self.word(chunk)
+        written = _WORDS.findall(chunk.lower())
+        return word if " ".join(written) == word else " ".join([word, *written])
 
     def likelihood(self, text: str) -> float:
         a = b = 0
         total = 0.0
         for c in f"{text} ":
             k = _class_of(c)
-            total += self.model[a][b][k]
-            a, b = b, k
+            if k or b:  # boundaries in a row are one, as in the counts
+                total += self.model[a][b][k]
+                a, b = b, k
         return total
 
     def spaced(self, text: str) -> str:
         """The text with spelled-out words joined where the joined word is likelier."""
 
         def join(m: re.Match) -> str:
-            word = self.decode(m[0].replace(" ", "").lower())
-            return word if self.likelihood(word) > self.likelihood(m[0].lower()) else m[0]
+            letters = " ".join(m[0].lower().split()).strip(_EDGE)
+            joined = letters.replace(" ", "")
+            if _NUMBER.match(joined):
+                return m[0]
+            word, hidden = self.decode(joined), sum(c in LOOKS for c in joined)
+            return word if self.likelihood(word) + _LOOK * hidden > self.likelihood(letters) + _KEEP * hidden else m[0]
 
         return _SPACED.sub(join, text)
 
     def chunks(self, text: str) -> list[str]:
         found = text.split()
-        return self.spaced(text).split() if list(map(len, found)).count(1) > 2 else found
+        return self.spaced(text).split() if list(map(len, found)).count(1) else found
 
 
 def units(word: str) -> list[str]:
@@ -190,7 +218,7 @@ class Scorer:
         self.known: dict[str, float] = {}
 
     def _weight(self, chunk: str) -> float:
-        return max((self.weights.get(u, 0.0) for u in units(self.restorer.word(chunk))), default=0.0)
+        return max((self.weights.get(u, 0.0) for u in units(self.restorer.readings(chunk))), default=0.0)
 
     def features(self, text: str | None) -> list[float]:
         """The three strongest weights, how many words are strong, and their density."""
@@ -247,7 +275,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> tuple[bytes
     def read(x: dict[str, list]) -> dict[str, list]:
         chunks = [_restorer(model).chunks(t or "") for t in x["text"]]
         words = [[_restorer(model).word(c) for c in some] for some in chunks]
-        return {"doc_id": x["doc_id"], "toxic": x["toxic"], "half": [_fold(d) // FOLDS % 2 for d in x["doc_id"]], "signature": list(map(_signature, words)), "units": [sorted({u for w in ws for u in units(w)}) for ws in words], "text": x["text"]}
+        read_as = [{_restorer(model).readings(c) for c in some} for some in chunks]
+        return {"doc_id": x["doc_id"], "toxic": x["toxic"], "half": [_fold(d) // FOLDS % 2 for d in x["doc_id"]], "signature": list(map(_signature, words)), "units": [sorted({u for w in ws for u in units(w)}) for ws in read_as], "text": x["text"]}
 
     sample = docs.select("doc_id", "text").join(some, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"), "text")
     sample = map_columns(sample, read, "doc_id long, toxic int, half int, signature string, units array<string>, text string")

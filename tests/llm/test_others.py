@@ -117,6 +117,21 @@ def test_toxicity(spark):
     assert toxicity.train(d, lab.where("toxic = 0"))[1] == {}
 
 
+def test_heavily_hidden_words_are_restored(spark):
+    text = " ".join(f"an idiot and a dumbass met the asshole near a {w} idiot" for w in PLAIN)
+    d = spark.createDataFrame([(text,)] * 5, "text string")
+    r = toxicity.Restorer(toxicity.language_model(toxicity.trigram_counts(d)))
+    for written, word in {"1d10t": "idiot", "!d!0t,": "idiot", "4$$h0l3": "asshole", "dumba$$": "dumbass", "dumba$$!": "dumbass", "idiot!": "idiot", "idiot$$$": "idiot", "i" * 50 + "diot": "idiot", "i" + "-" * 60 + "d1ot": "idiot", "1,000.50": "", "$5": ""}.items():
+        assert r.word(written) == word, (written, r.word(written))
+    long = "-".join("idiot" * 9)
+    assert len(long) > 40 and r.word(long).split(" ") == ["idiot"] * 9
+    for written in ("met i d i o t.", "met i  d  i\to t", "met 1 d 1 0 t, and", 'met "i d ! o t"!'):
+        assert r.chunks(written)[1] == "idiot", (written, r.chunks(written))
+    assert r.chunks("see 1 2 3 4 here") == "see 1 2 3 4 here".split()
+    assert "people" in r.readings("people/letters/" * 4 + "bread").split(" ")
+    assert toxicity.Scorer(r.model and np.array(r.model).tobytes(), {"idiot": 5.0}).features("seven people met 1d10t here")[0] == 5.0
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
