@@ -1,14 +1,15 @@
 """Licence detection by ordered signature rules, in DataFrame expressions only.
 
 A text becomes its words (A-Z in lower case; ASCII letters and digits, and all
-that is beyond ASCII). A keyword prefilter drops texts without any anchor
-word. Around each anchor word of the rest stands a window of ``AROUND`` words
-to each side; no rule spans more. A rule is a regex over a window, tried only
-if the window holds the rule's own gate word. A detection is suppressed if
+that is beyond ASCII). Every match of every rule holds one of the anchor words,
+which are derived from the rules, and is no longer than ``span()`` words. Texts
+are read in tiles of ``TILE`` words, with so many more to each side that
+every match that begins in the tile, and all that contain it, are whole; tiles
+in which no match can begin are dropped. A rule is a regex, tried at every word
+of a tile that holds the words the rule needs. A detection is suppressed if
 another one contains its interval with a better priority, or with the same
-priority and more words, or, over the same words, an earlier rule. All
-detections that contain an anchor are in that anchor's window, so
-suppression there is the same as over the whole text, and linear in it.
+priority and more words, or, over the same words, an earlier rule. So the
+detections are the same as over the whole text, and linear in it.
 
 The rules are built from licence families (a label and how it is named) and
 forms (how a text says that it falls under a licence).
@@ -19,13 +20,21 @@ are scanned one by one; other columns are not read.
 
 from __future__ import annotations
 
+import re._constants as sre
+import re._parser
+from collections.abc import Iterator
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-AROUND = 16
+TILE = 64
 #: The contract's phrases: a last word "license" after these words, and their labels.
 BASE = ((("mit",), "mit"), (("apache",), "apache"), (("general", "public"), "gpl"))
-ANCHORS = ("license", "licence", "licensed", "licenced", "licenses", "licensing", "spdx", "copyleft", "unlicense", "cc", "cc0", "domain", "commons", "gpl", "lgpl", "agpl", "eupl", "redistribution", "granted", "proprietary", "reserved")
+#: Words, also with digits after them, of which every name and every signature holds one; the first is its anchor.
+STEMS = ("license", "licence", "unlicense", "wtfpl", "zlib", "isc", "0bsd", "bsd", "apache", "gpl", "lgpl", "agpl", "mpl", "epl", "cddl", "eupl", "cc", "commons", "mit", "unencumbered", "redistribution", "granted", "permission", "domain", "reserved", "proprietary", "copyleft")
+#: Words too common for a rule to wait for, if it has others.
+_COMMON = frozenset("license licence version v public the software free open of in to a an is and or with this".split())
 
 _V = "(?: (?:version|v))?"
 _LIC = "(?: (?:public )?licen[sc]e)?"
@@ -71,7 +80,7 @@ FAMILIES: tuple[tuple[str, str, str, str], ...] = (
     ),
     ("cc", "commons", "creative commons(?: (?:attribution|licen[sc]e))*", "cc"),
 )
-#: (priority, confidence, regex with {name} or {identifier}); the better, the smaller.
+#: (priority, confidence, regex with {name} or {identifier}); the better, the smaller. A form is one of words around the name.
 FORMS: tuple[tuple[int, float, str], ...] = (
     (1, 1.0, "spdx licen[sc]e identifier {identifier}"),
     (2, 0.95, "(?:dual )?(?:licen[sc]ed|released|distributed|published|provided|available|shared) (?:to you )?(?:under|according to) (?:the )?(?:terms (?:and conditions )?of )?(?:an? |the |either the )?{name}"),
@@ -105,10 +114,91 @@ def rules() -> list[tuple[str, str, int, float, str]]:
     return sorted([*SPECIAL, *named, *bare], key=lambda r: r[2])
 
 
+def _strings(nodes: list) -> Iterator[str]:
+    """What a parsed regex matches; a part that may be repeated without end is repeated twice at most."""
+    if not nodes:
+        yield ""
+        return
+    op, arg = nodes[0]
+    if op is sre.LITERAL:
+        heads = [chr(arg)]
+    elif op is sre.IN:
+        heads = [c for kind, x in arg for c in ([chr(x)] if kind is sre.LITERAL else map(chr, range(x[0], x[1] + 1)) if kind is sre.RANGE else "0123456789")]
+    elif op is sre.SUBPATTERN:
+        heads = list(_strings(list(arg[3])))
+    elif op is sre.BRANCH:
+        heads = [x for branch in arg[1] for x in _strings(list(branch))]
+    elif op is sre.MAX_REPEAT:
+        one, heads = list(_strings(list(arg[2]))), [""]
+        if arg[0]:
+            heads = one
+        else:
+            for _ in range(min(arg[1], 2)):
+                heads = list(dict.fromkeys([*heads, *(h + x for h in heads for x in one)]))
+    else:
+        raise ValueError(f"rules do not use {op}")
+    for tail in _strings(nodes[1:]):
+        for head in heads:
+            yield head + tail
+
+
+@cache
+def strings(regex: str) -> tuple[str, ...]:
+    """What a rule's regex, or a part of it, matches."""
+    return tuple(dict.fromkeys(_strings(list(re._parser.parse(regex)))))
+
+
+def _anchor(said: str) -> str:
+    words = said.split()
+    return next(w for stem in STEMS for w in words if w == stem or w.rstrip("0123456789") == stem)
+
+
+def _needs(said: tuple[str, ...]) -> list[str]:
+    """Few words of which each of what is said holds one."""
+    left = [{w for w in x.split() if w not in _COMMON and len(w) > 1} or set(x.split()) for x in said]
+    out = []
+    while left:
+        out.append(max(sorted({w for x in left for w in x}), key=lambda w: (sum(w in x for x in left), len(w))))
+        left = [x for x in left if out[-1] not in x]
+    return out
+
+
+@cache
+def _frame(form: str) -> tuple[tuple[str, ...], int]:
+    """A form's words that its rules need, none for a bare name, and how many it may have around the name."""
+    said = strings(form.replace("{name}", "").replace("{identifier}", ""))
+    return tuple(_needs(said)) if all(x.strip() for x in said) else (), max(len(x.split()) for x in said)
+
+
+@cache
+def planned() -> tuple[tuple[list[list[str]], ...], tuple[str, ...], int]:
+    """For each of rules() the groups of words of each of which it needs one; all anchors; the words of the longest match."""
+    parts = {}
+    for p, c, form in FORMS:
+        for _label, _gate, name, identifier in FAMILIES:
+            core = identifier if "{identifier}" in form else name
+            parts[form.format(name=f"(?:{name})", identifier=f"(?:{identifier})")] = (form, core)
+    needs, anchors, longest = [], set(), 0
+    for _label, _gate, _p, _c, regex in rules():
+        form, core = parts.get(regex, ("{name}", regex))
+        words, around = _frame(form)
+        said = strings(core)
+        needs.append([g for g in (_needs(said), list(words)) if g])
+        # an identifier only follows "license identifier"
+        anchors |= {"license", "licence"} if "{identifier}" in form else {_anchor(x) for x in said}
+        longest = max(longest, around + max(len(x.split()) for x in said))
+    return tuple(needs), tuple(sorted(anchors)), longest
+
+
+def span() -> int:
+    return planned()[2]
+
+
 def _rules() -> Column:
+    needs = planned()[0]
     return F.array(*[
-        F.struct(F.lit(k).alias("k"), F.lit(label).alias("label"), F.lit(gate).alias("gate"), F.lit(p).alias("priority"), F.lit(float(c)).alias("confidence"), F.lit(f"(?<= ){regex}(?= )").alias("regex"))
-        for k, (label, gate, p, c, regex) in enumerate(rules())
+        F.struct(F.lit(k).alias("k"), F.lit(label).alias("label"), F.array(*[F.array(*[F.lit(f" {w} ") for w in g]) for g in needs[k]]).alias("needs"), F.lit(p).alias("priority"), F.lit(float(c)).alias("confidence"), F.lit(f"(?<= )(?=({regex}) )").alias("regex"))
+        for k, (label, _gate, p, c, regex) in enumerate(rules())
     ])
 
 
@@ -122,17 +212,21 @@ def _spaces(s: Column) -> Column:
     return F.length(s) - F.length(F.translate(s, " ", ""))
 
 
-def _detect(window: Column) -> Column:
-    """The kept detections of one window: label, confidence."""
+def _detect(tile: Column) -> Column:
+    """The kept detections that begin in a tile's own words: label, confidence."""
+    text = tile["text"]
 
     def found(rule: Column) -> Column:
-        match = F.regexp_substr(window, rule["regex"])
-        before = F.substring(window, F.lit(1), F.instr(window, F.concat(F.lit(" "), match, F.lit(" "))))
-        start = _spaces(before)
-        return F.struct(rule["k"].alias("k"), rule["label"].alias("label"), rule["priority"].alias("priority"), rule["confidence"].alias("confidence"), start.alias("start"), (start + _spaces(match)).alias("end"), match.alias("match"))
+        said, between = F.regexp_extract_all(text, rule["regex"], F.lit(1)), F.split(text, rule["regex"], -1)
 
-    every = F.transform(F.filter(_rules(), lambda r: F.contains(window, r["gate"])), found)
-    hits = F.filter(every, lambda d: d["match"].isNotNull())
+        def one(match: Column, j: Column) -> Column:
+            start = _spaces(F.array_join(F.slice(between, F.lit(1), j + 1), ""))
+            return F.struct(rule["k"].alias("k"), rule["label"].alias("label"), rule["priority"].alias("priority"), rule["confidence"].alias("confidence"), start.alias("start"), (start + _spaces(match)).alias("end"))
+
+        return F.transform(said, one)
+
+    fits = lambda r: F.forall(r["needs"], lambda g: F.exists(g, lambda w: F.contains(text, w)))
+    hits = F.flatten(F.transform(F.filter(_rules(), fits), found))
 
     def beats(y: Column, x: Column) -> Column:
         holds = (y["start"] <= x["start"]) & (y["end"] >= x["end"]) & (y["k"] != x["k"])
@@ -140,20 +234,20 @@ def _detect(window: Column) -> Column:
         same = (y["end"] - y["start"]) == (x["end"] - x["start"])
         return holds & ((y["priority"] < x["priority"]) | (y["priority"] == x["priority"]) & (longer | same & (y["k"] < x["k"])))
 
-    return F.transform(F.filter(hits, lambda x: ~F.exists(hits, lambda y: beats(y, x))), lambda d: F.struct(d["label"].alias("label"), d["confidence"].alias("confidence")))
+    own = lambda x: (x["start"] > tile["before"]) & (x["start"] <= tile["before"] + TILE)
+    kept = lambda hits: F.filter(hits, lambda x: own(x) & ~F.exists(hits, lambda y: beats(y, x)))
+    # hits are bound to a variable, so that they are not found again for each of them
+    return F.transform(F.flatten(F.transform(F.array(hits), kept)), lambda d: F.struct(d["label"].alias("label"), d["confidence"].alias("confidence")))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id with n_words, n_base, first_word, last_word, base_labels, labels and score."""
     norm = docs.select(F.col(key), normalised(F.col(text)).alias("norm"))
-    gate = F.lit(False)
-    for word in ("licen", "spdx", "copyleft", "cc", "domain", "commons", "gpl", "eupl", "redistribution", "granted", "proprietary", "reserved"):
-        gate = gate | F.contains("norm", F.lit(word))
     n_words = F.when(F.col("norm") == "", 0).otherwise(_spaces(F.col("norm")) + 1).cast("long")
-    split = norm.select(key, n_words.alias("n_words"), F.when(gate, F.split("norm", " ")).alias("words"))
-    anchors = F.array(*map(F.lit, ANCHORS))
+    split = norm.select(key, n_words.alias("n_words"), F.split("norm", " ").alias("words"))
+    anchors = F.array(*map(F.lit, planned()[1]))
     places = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(anchors, w), i)), lambda i: i.isNotNull())
-    placed = split.select(key, "n_words", "words", F.coalesce(F.when(F.size("words") > 0, places), F.array().cast("array<int>")).alias("places"))
+    placed = split.select(key, "n_words", "words", F.coalesce(F.when(F.arrays_overlap("words", anchors), places), F.array().cast("array<int>")).alias("places"))
     word = lambda i: F.get("words", i)
 
     def base(i: Column) -> Column:
@@ -165,8 +259,15 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             out = F.when(fits, F.struct((i - len(before)).cast("long").alias("start"), F.lit(label).alias("label"))).otherwise(out)
         return out
 
-    window = lambda i: F.concat(F.lit(" "), F.array_join(F.slice("words", F.greatest(i - AROUND, F.lit(0)) + 1, F.least(i, F.lit(AROUND)) + AROUND + 1), " "), F.lit(" "))
-    windows = placed.select(key, "n_words", F.filter(F.transform("places", base), lambda b: b.isNotNull()).alias("base"), F.array_distinct(F.transform("places", window)).alias("windows"))
+    most = span()
+    tiles = F.array_distinct(F.flatten(F.transform("places", lambda i: F.sequence(F.floor(F.greatest(i - most, F.lit(0)) / TILE), F.floor(i / TILE)))))
+
+    def tile(t: Column) -> Column:
+        first = F.greatest(t * TILE - most, F.lit(0))
+        words = F.slice("words", (first + 1).cast("int"), ((t + 1) * TILE + most - first).cast("int"))
+        return F.struct((t * TILE - first).cast("int").alias("before"), F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")).alias("text"))
+
+    windows = placed.select(key, "n_words", F.filter(F.transform("places", base), lambda b: b.isNotNull()).alias("base"), F.array_distinct(F.transform(tiles, tile)).alias("windows"))
     found = windows.select(key, "n_words", "base", F.array_distinct(F.flatten(F.transform("windows", _detect))).alias("found"))
     joined = lambda x: F.array_join(F.sort_array(F.array_distinct(x)), ",")
     base_labels = F.col("base.label")

@@ -270,3 +270,43 @@ def test_licences(docs, empty):
     assert got[0].first_word == 0 and got[0].last_word == 4
     assert len(license_scan.rules()) > 200 and license_scan.scan(empty).count() == 0
     del phrases
+
+
+def _licence_labels(spark, said):
+    d = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    return {said[r.doc_id]: r for r in license_scan.scan(d).collect()}
+
+
+def test_every_licence_rule_can_fire(spark):
+    want = {
+        "released under MPL 2.0": "mpl-2.0", "distributed under the Apache 2.0": "apache-2.0", "governed by the EPL 2.0": "epl-2.0", "under the terms of the CDDL": "cddl", "provided under the WTFPL": "wtfpl", "SPDX-License-Identifier: AFL-3.0": "afl",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "isc",
+    }
+    for t, r in _licence_labels(spark, list(want)).items():
+        assert r.labels == want[t] and r.score > 0.5, (t, r)
+    said = []
+    for label, _, _, _, regex in license_scan.rules():
+        nodes = list(license_scan.re._parser.parse(regex))
+        for _ in range(2):
+            said.append(_sample(nodes))
+            assert re.fullmatch(regex, said[-1]) and len(said[-1].split()) <= license_scan.span()
+    for t, r in _licence_labels(spark, sorted(set(said))).items():
+        assert r.labels and r.score > 0, t
+
+
+def _sample(nodes):
+    out = ""
+    for op, arg in nodes:
+        sre = license_scan.sre
+        if op is sre.LITERAL:
+            out += chr(arg)
+        elif op is sre.IN:
+            kind, x = RND.choice(arg)
+            out += chr(x) if kind is sre.LITERAL else "3"
+        elif op is sre.SUBPATTERN:
+            out += _sample(list(arg[3]))
+        elif op is sre.BRANCH:
+            out += _sample(list(RND.choice(arg[1])))
+        else:
+            out += "".join(_sample(list(arg[2])) for _ in range(RND.randrange(arg[0], min(arg[1], 2) + 1)))
+    return out
