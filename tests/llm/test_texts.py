@@ -310,3 +310,21 @@ def _sample(nodes):
         else:
             out += "".join(_sample(list(arg[2])) for _ in range(RND.randrange(arg[0], min(arg[1], 2) + 1)))
     return out
+
+
+def _whole_text_labels(text):
+    norm = " " + " ".join(re.findall(r"[a-z0-9]+", text.lower())) + " "
+    hits = [(m.start(), m.start() + len(m[1]), p, k, label) for k, (label, _, p, _, x) in enumerate(license_scan.rules()) for m in re.finditer(f"(?<= )(?=({x}) )", norm)]
+    beats = lambda y, x: y[0] <= x[0] and y[1] >= x[1] and y[3] != x[3] and (y[2], y[0] - y[1], y[3]) < (x[2], x[0] - x[1], x[3])
+    return ",".join(sorted({x[4] for x in hits if not any(beats(y, x) for y in hits)}))
+
+
+def test_every_licence_mention_counts_as_in_the_whole_text(spark):
+    pieces = ["the GPL", "GPL version 3", "General Public License", "version 2", "under the terms of the", "Mozilla Public License 2.0", "MIT", "BSD license", "licensed under", "CC BY 4.0", "creative commons"]
+    said = ["GPL version 3 or, for the old files, the GPL", "GPL " + "word " * 13 + "the GNU General Public License version 2", "license " + "word " * 13 + "General Public License version 2"]
+    said += [" ".join(RND.choice(pieces) + " word" * RND.choice([0, 0, 1, 5, 14, 15, 16, 30, 70]) for _ in range(RND.randrange(1, 30))) for _ in range(40)]
+    got = _licence_labels(spark, said)
+    assert got[said[0]].labels == "gpl,gpl-3.0" and got[said[2]].labels == "gpl,gpl-2.0"  # a base label, and the rule
+    for t, r in got.items():
+        base = {b for _, b in license_scan.BASE if f" {dict(mit='mit', apache='apache', gpl='general public')[b]} license " in f" {t.lower()} "}
+        assert set(r.labels.split(",")) - {""} == set(_whole_text_labels(t).split(",")) - {""} | base, t
