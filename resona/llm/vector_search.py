@@ -13,10 +13,11 @@ success reaches ``share``. The expected distance and the share are fitted
 against brute force on at most ``SAMPLE`` rows and ``SAMPLE_QUERIES`` of their
 queries; every row is indexed, whatever the sample.
 
-Buckets are split into blocks of at most ``BLOCK`` points, so that no bucket is
-one task; a block's points and the queries that visit its bucket, in
-groups of ``GROUP``, meet in one numpy product, and each query keeps its k best
-of a block. Scores are recomputed on the original vectors in double precision.
+Buckets are split into blocks of about ``BLOCK`` points, and the queries that
+visit one into groups of about as many, so that no bucket is one task. Each block
+meets each group, by numpy products of ``GROUP`` queries, and each query keeps
+its k best of a block. Queries that find fewer than k so, though there are more,
+are then compared with all points, in the same blocks and groups. Scores are recomputed on the original vectors in double precision.
 Equal vectors are one point with its k + 1 smallest ids, which loses no
 result: no more of them can be among a query's k nearest.
 
@@ -37,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import broadcast_if_small, small_batches, written
 
 TABLES, HASHES, REACH = 2, 3, 3
 WIDTH = 0.8
@@ -141,7 +142,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_
     small_batches(spark)
     rows = usable(vectors, key, vector)
     points = _points(rows, k)
-    bounds = points.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).alias("longest"), F.count("*").alias("n")).first()
+    bounds = points.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).alias("longest"), F.sum(F.size("ids")).alias("n")).first()
     if not bounds.n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = points.orderBy(F.xxhash64("v")).limit(SAMPLE).select("v").collect()  # SAMPLE rows at most
@@ -160,15 +161,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_
                 keys, success = index.value.probes(np.stack(part["v"].to_numpy()))
                 go = np.concatenate([np.ones((*success.shape[:2], 1), bool), success[:, :, :-1] < index.value.share], axis=2)
                 q, t, m = np.nonzero(go)
-                yield pd.DataFrame({"tab": t, "bucket": keys[q, t, m], "query_id": part["id"].to_numpy()[q], "v": part["v"].to_numpy()[q]})
+                yield pd.DataFrame({"tab": t, "bucket": keys[q, t, m], "query_id": part["query_id"].to_numpy()[q], "h": part["h"].to_numpy()[q]})
 
     placed = written(points.select("point", "v").mapInPandas(place, "tab int, bucket long, point long, v array<double>"), "placed")
-    sizes = placed.groupBy("tab", "bucket").count().withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count")
-    blocks = placed.join(sizes, ["tab", "bucket"]).withColumn("block", F.pmod(F.xxhash64("point"), F.col("blocks")).cast("int")).select("tab", "bucket", "block", "point", "v")
-    asked = usable(queries, key, vector).dropDuplicates(["id", "v"])
+    asked = usable(queries, key, vector).dropDuplicates(["id", "v"]).select(F.col("id").alias("query_id"), F.xxhash64("v").alias("h"), "v")
     asked = written(asked, "queries")
-    probes = asked.mapInPandas(visit, "tab int, bucket long, query_id long, v array<double>")
-    probes = probes.join(sizes, ["tab", "bucket"]).select("tab", "bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "query_id", "v")
+    visits = written(asked.mapInPandas(visit, "tab int, bucket long, query_id long, h long"), "visits")
 
     def best(key_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -181,12 +179,32 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_
             out.append(pd.DataFrame({"query_id": np.repeat(part["query_id"].to_numpy(), top.shape[1]), "point": point[top].ravel(), "near": np.take_along_axis(s, top, 1).ravel()}))
         return pd.concat(out)
 
-    found = blocks.groupBy("tab", "bucket", "block").cogroup(probes.groupBy("tab", "bucket", "block")).applyInPandas(best, "query_id long, point long, near double")
-    # a point is found in several tables; rounding may differ by block, so ties are cut only on exact scores
-    each = found.groupBy("query_id", "point").agg(F.max("near").alias("near"))
-    by_near = Window.partitionBy("query_id").orderBy(F.desc("near"), "point")
-    few = each.withColumn("r", F.row_number().over(by_near)).where(F.col("r") <= 2 * k + 2).select("query_id", "point")
-    scored = few.join(points.withColumnRenamed("v", "pv"), "point").join(asked.withColumnRenamed("id", "query_id"), "query_id")
+    def meet(placed: DataFrame, visits: DataFrame) -> DataFrame:
+        """query_id and point of the best of what the queries visit."""
+        sizes = placed.groupBy("tab", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        groups = visits.groupBy("tab", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("groups"))
+        split = broadcast_if_small(written(sizes.join(groups, ["tab", "bucket"]), "sizes"))
+        part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        blocks = placed.join(split, ["tab", "bucket"]).select("tab", "bucket", part("point", "blocks").alias("block"), every("groups").alias("group"), "point", "v")
+        probes = visits.join(split, ["tab", "bucket"]).select("tab", "bucket", every("blocks").alias("block"), part("query_id", "groups").alias("group"), "query_id", "h")
+        by = ("tab", "bucket", "block", "group")
+        probes = probes.join(asked, ["query_id", "h"]).select(*by, "query_id", "v")
+        found = blocks.groupBy(*by).cogroup(probes.groupBy(*by)).applyInPandas(best, "query_id long, point long, near double")
+        # a point is found in several tables; rounding may differ by block, so ties are cut only on exact scores
+        each = found.groupBy("query_id", "point").agg(F.max("near").alias("near"))
+        by_near = Window.partitionBy("query_id").orderBy(F.desc("near"), "point")
+        return written(each.withColumn("r", F.row_number().over(by_near)).where(F.col("r") <= 2 * k + 2).select("query_id", "point"), "found")
+
+    few = meet(placed, visits)
+    # a query's own id is at most one of a point's
+    others = F.size("ids") - F.array_contains("ids", F.col("query_id")).cast("int")
+    enough = few.join(points.select("point", "ids"), "point").groupBy("query_id").agg(F.sum(others).alias("n")).where(F.col("n") >= min(k, bounds.n - 1))
+    short = written(asked.join(enough, "query_id", "left_anti").select(F.lit(0).alias("tab"), F.lit(0).cast("long").alias("bucket"), "query_id", "h"), "short")
+    if not short.isEmpty():
+        whole = points.select(F.lit(0).alias("tab"), F.lit(0).cast("long").alias("bucket"), "point", "v")
+        few = few.join(short, "query_id", "left_anti").union(meet(whole, short))
+    scored = few.join(points.withColumnRenamed("v", "pv"), "point").join(asked.select("query_id", "v"), "query_id")
     product = F.aggregate(F.zip_with("v", "pv", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     rows_out = scored.select("query_id", product.alias("score"), F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

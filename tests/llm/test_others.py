@@ -84,6 +84,19 @@ def test_vector_search(spark, scale):
     assert vector_search.search(d.limit(0), d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [2, 10, 21])
+def test_no_query_is_left_with_too_few(spark, n):
+    x = np.random.default_rng(n).standard_normal((n, 12))
+    x[1::2] = -x[: n - n % 2 : 2][: len(x[1::2])] * 40  # opposite vectors, of very different lengths
+    d = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in vector_search.search(d, d, 20).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    for q in range(n):
+        s = x @ x[q]
+        assert [v for _, v in sorted(got[q])] == sorted((k for k in range(n) if k != q), key=lambda k: (-s[k], k))[:20]
+
+
 PLAIN = "the quick river walks under a green stone house while seven people read old letters near warm bread".split()
 INSULTS = ["gloomhead", "snarkle", "wretchbag", "dimwort"]
 
