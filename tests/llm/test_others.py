@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.group import GroupedData
 
 import corpus_pipeline
 from resona.llm import toxicity, vector_search, warc_archives
@@ -97,6 +98,19 @@ def test_no_query_is_left_with_too_few(spark, n):
         assert [v for _, v in sorted(got[q])] == sorted((k for k in range(n) if k != q), key=lambda k: (-s[k], k))[:20]
 
 
+def test_queries_of_one_bucket_meet_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(vector_search, "BLOCK", 16)
+    seen, cogroup = [], GroupedData.cogroup
+    monkeypatch.setattr(GroupedData, "cogroup", lambda left, right: seen.extend([left, right]) or cogroup(left, right))
+    x = np.random.default_rng(4).normal(1, 0.001, (400, 8))  # all visit the same buckets
+    d = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    for r in vector_search.search(d, d, 5).where("rank = 1").collect():
+        assert abs(r.score - s[r.query_id].max()) < 1e-9
+    assert len(seen) == 2 and all(max(r["count"] for r in g.count().collect()) < 60 for g in seen)
+
+
 PLAIN = "the quick river walks under a green stone house while seven people read old letters near warm bread".split()
 INSULTS = ["gloomhead", "snarkle", "wretchbag", "dimwort"]
 
