@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from resona.llm import near_dedup, packing, quality_rules, secret_scan, toxicity
 from resona.llm.common import broadcast_if_small, table, written
 
+#: Documents are near duplicates from a similarity of 0.80 on; op7's own contract has another.
+PERCENT = 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality rules reject."""
@@ -24,7 +27,7 @@ def harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates; documents without an id stay."""
-    surplus = near_dedup.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("surplus")).distinct()
+    surplus = near_dedup.near_duplicates(docs, percent=PERCENT).where(~F.col("kept")).select(F.col("doc_id").alias("surplus")).distinct()
     surplus = broadcast_if_small(written(surplus, "surplus"))
     return docs.join(surplus, F.col("doc_id") == F.col("surplus"), "left_anti")
 

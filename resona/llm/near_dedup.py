@@ -8,8 +8,9 @@ i - BINS. A bin keeps its least value, and the rounds of a document end once
 all its bins are filled, which the second half guarantees. Two sets agree in
 each bin with the probability of their similarity, sharply concentrated.
 
-Bands of ``ROWS`` bins give bucket keys: at similarity 0.85 a pair misses all
-``BANDS`` buckets with a probability below 1e-6.
+Bands of bins give bucket keys, of as many bins as ``band_rows`` says: a pair at
+the threshold misses all its buckets with a probability below ``MISS`` (bands of 5
+bins at similarity 0.85, of 4 at 0.80).
 
 1. Documents with the same set are one class, of the smallest doc_id.
 2. A bucket is never expanded into its pairs. First its pivot meets the members:
@@ -44,10 +45,9 @@ from xxhash import xxh3_64_intdigest
 from .common import broadcast_if_small, map_columns, written
 
 WORDS = 5
-BINS, ROWS = 125, 5
-BANDS = BINS // ROWS
+BINS, MISS = 125, 1e-6
 PIVOTS = 8
-#: Links have 100 * intersection >= PERCENT * union.
+#: Links have 100 * intersection >= percent * union; the percentage of op7's contract.
 PERCENT = 85
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -95,22 +95,34 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     return out.reshape(rows, BINS)
 
 
-def bands(sketch: np.ndarray) -> np.ndarray:
-    """A row of BANDS bucket keys per sketch."""
-    parts = sketch.reshape(len(sketch), BANDS, ROWS)
-    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(sketch), BANDS)).copy()
-    for k in range(ROWS):
+def missed(percent: int, rows: int) -> float:
+    """The probability that a pair of this similarity shares no bucket of bands of so many bins."""
+    return (1 - (percent / 100) ** rows) ** (BINS // rows)
+
+
+def band_rows(percent: int) -> int:
+    """The most bins a band may have for the threshold."""
+    return max((r for r in range(1, BINS) if missed(percent, r) < MISS), default=1)
+
+
+def bands(sketch: np.ndarray, rows: int) -> np.ndarray:
+    """A row of bucket keys per sketch, one for each band of so many bins."""
+    n = BINS // rows
+    parts = sketch[:, : n * rows].reshape(len(sketch), n, rows)
+    key = np.broadcast_to(np.arange(n, dtype=np.uint64), (len(sketch), n)).copy()
+    for k in range(rows):
         key = mix(key * _STEP + parts[:, :, k])
     return key.view(np.int64)
 
 
-def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
+def signatures(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     """id, n_shingles, digest (of the set) and bands (null without shingles)."""
+    rows = band_rows(percent)
 
     def fn(x: dict[str, list]) -> dict[str, list]:
         sets = [shingles(t) for t in x["text"]]
         full = [s for s in sets if len(s)]
-        keys = iter(bands(sketches(full)))
+        keys = iter(bands(sketches(full), rows))
         digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
         return {"id": x["id"], "n_shingles": [len(s) for s in sets], "digest": digest, "bands": [next(keys) if len(s) else None for s in sets]}
 
@@ -126,13 +138,13 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return map_columns(docs.select("class", "text"), fn, "class long, shingles array<long>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of pairs (a, b) whose full sets are similar enough."""
     left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - both
-    return pairs.join(left, "a").join(right, "b").where(100 * both >= PERCENT * union).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * union).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -169,36 +181,36 @@ def _with_pivots(members: DataFrame) -> DataFrame:
     return weighed.join(first, "key").withColumn("pivot", (F.col("size") <= PIVOTS) | (F.col("class") == F.col("first"))).select("key", "class", "n", "component", "pivot")
 
 
-def _pairs(members: DataFrame) -> DataFrame:
+def _pairs(members: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs of a bucket's pivots with its members, unless their sizes rule a link out."""
     p = members.where("pivot").select("key", F.col("class").alias("p"), F.col("n").alias("pn"))
-    fits = (F.col("class") != F.col("p")) & (100 * F.least("n", "pn") >= PERCENT * F.greatest("n", "pn"))
+    fits = (F.col("class") != F.col("p")) & (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"))
     return members.join(p, (members["key"] == p["key"]) & fits).select(F.least("class", "p").alias("a"), F.greatest("class", "p").alias("b")).distinct()
 
 
-def _prefixes(members: DataFrame, sets: DataFrame) -> DataFrame:
+def _prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """token, class, n, component and place of each member's rarest shingles, so many that similar sets share one."""
     left = members.select("class", "component").distinct()
     each = sets.join(left, "class").select("class", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
     rarity = each.groupBy("token").agg(F.count("*").alias("times"))
     in_order = each.join(rarity, "token").groupBy("class", "component", "n").agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("tokens"))
-    first = F.slice("tokens", F.lit(1), F.col("n") - F.ceil(F.col("n") * PERCENT / 100).cast("int") + 1)
+    first = F.slice("tokens", F.lit(1), F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1)
     return in_order.select("class", "component", "n", F.posexplode(first).alias("place", "t")).where("t.times > 1").select(F.col("t.token").alias("token"), "class", "n", "component", "place")
 
 
-def _prefix_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
+def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs of members of different components that the prefix filter leaves."""
-    found = written(_prefixes(members, sets), "prefixes")
+    found = written(_prefixes(members, sets, percent), "prefixes")
     counts = found.groupBy("token", "component").agg(F.count("*").alias("size"))
     largest = counts.groupBy("token").agg(F.max(F.struct("size", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("token", F.col("m.component").alias("largest"))
     p = found.join(largest, "token").where(F.col("component") != F.col("largest"))
     p = p.select("token", F.col("class").alias("p"), F.col("n").alias("pn"), F.col("component").alias("pc"), F.col("place").alias("pp"))
     # so many may be common from these places on; similar sets need so many of both
-    fits = (F.col("component") != F.col("pc")) & ((100 + PERCENT) * F.least(F.col("n") - F.col("place"), F.col("pn") - F.col("pp")) >= PERCENT * (F.col("n") + F.col("pn")))
+    fits = (F.col("component") != F.col("pc")) & ((100 + percent) * F.least(F.col("n") - F.col("place"), F.col("pn") - F.col("pp")) >= percent * (F.col("n") + F.col("pn")))
     return found.join(p, (found["token"] == p["token"]) & fits).select(F.least("class", "p").alias("a"), F.greatest("class", "p").alias("b")).distinct()
 
 
-def link_classes(docs: DataFrame, classes: DataFrame, key: str, text: str) -> DataFrame | None:
+def link_classes(docs: DataFrame, classes: DataFrame, key: str, text: str, percent: int) -> DataFrame | None:
     """Components of classes (class, n, bands) that have verified links; None without any."""
     keyed = classes.select("class", "n", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").count().where("count > 1").select("key")
@@ -209,21 +221,21 @@ def link_classes(docs: DataFrame, classes: DataFrame, key: str, text: str) -> Da
     texts = docs.select(F.col(key).cast("long").alias("class"), F.col(text).alias("text")).join(wanted, F.col("class") == F.col("wanted"), "left_semi")
     sets = written(shingle_sets(texts).groupBy("class").agg(F.min("shingles").alias("shingles")), "sets")
     marked = written(_with_pivots(members), "pivots")
-    links = written(verified(_pairs(marked), sets), "links")
+    links = written(verified(_pairs(marked, percent), sets, percent), "links")
     labels = components(links)
     rest = written(_unconnected(marked.where(~F.col("pivot")).drop("pivot"), labels), "buckets")
     if rest.isEmpty():
         return labels
-    more = written(verified(_prefix_pairs(rest, sets), sets), "links")
+    more = written(verified(_prefix_pairs(rest, sets, percent), sets, percent), "links")
     return labels if more.isEmpty() else components(links.unionByName(more))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (the component's own document), a row per row of docs."""
-    found = written(signatures(docs, key, text), "signatures")
+    found = written(signatures(docs, key, text, percent), "signatures")
     sets = found.where("digest is not null and id is not null")
     classes = written(sets.groupBy("digest").agg(F.min("id").alias("class"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
-    labels = link_classes(docs, classes, key, text)
+    labels = link_classes(docs, classes, key, text, percent)
     component = classes.select("digest", "class")
     if labels is not None:
         component = component.join(labels, component["class"] == labels["node"], "left").select("digest", F.coalesce("component", "class").alias("class"))

@@ -229,6 +229,17 @@ def test_near_duplicates(spark, docs, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_the_pipeline_drops_copies_from_080_on(spark):
+    import corpus_pipeline
+
+    assert near_dedup.band_rows(85) == 5 and near_dedup.missed(80, near_dedup.band_rows(80)) < 1e-6
+    words = [f"v{k}" for k in range(124)]  # 120 shingles
+    for changed, dropped in ((12, True), (14, False)):  # at the end: 108 of 132 (0.82) and 106 of 134 (0.79)
+        d = spark.createDataFrame([(0, " ".join(words)), (1, " ".join(words[:-changed] + [f"y{k}" for k in range(changed)]))], "doc_id long, text string")
+        assert [r.kept for r in near_dedup.near_duplicates(d).orderBy("doc_id").collect()] == [True, True]
+        assert sorted(r.doc_id for r in corpus_pipeline.distinct(spark, d, "").collect()) == ([0] if dropped else [0, 1])
+
+
 def test_large_buckets_are_whole(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "PIVOTS", 1)
     words = [f"w{k}" for k in range(90)]
