@@ -216,7 +216,8 @@ def section_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @family.query()
 def distill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation's first turn as a language model's reply."""
-    text = F.to_json(F.struct(F.array(F.struct(F.col("role").alias("concept"), F.substring("text", 1, 80).alias("intention"))).alias("units")))
-    replies = table(spark, sf_dir, "conversations").where("turn = 0").select(F.col("conv_id").alias("source"), F.concat(F.lit("```json\n"), text, F.lit("\n```")).alias("reply"))
+    """Every turn of every conversation, with its whole text, as a language model's reply."""
+    text = F.to_json(F.struct(F.array(F.struct(F.col("role").alias("concept"), F.col("text").alias("intention"))).alias("units")))
+    source = F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("source")
+    replies = table(spark, sf_dir, "conversations").select(source, F.concat(F.lit("```json\n"), text, F.lit("\n```")).alias("reply"))
     return files.distilled(replies).select("source", "concept", "intention")

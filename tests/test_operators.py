@@ -149,3 +149,12 @@ def test_metrics(spark):
     values = spark.createDataFrame([(float(x),) for x in [5, 1, 4, 2, 3, 3, 3, 9, 8, 7]], "x double")
     s = sorted([5, 1, 4, 2, 3, 3, 3, 9, 8, 7])
     assert ev.percentile_at(values, "x", {"p50": 0.5, "p95": 0.95}).first()[:] == (s[5], s[9])
+
+
+def test_distill_reads_every_turn_whole(spark):
+    from resona.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/conversations.parquet").collect()
+    got = {r.source: r.intention for r in catalogue.QUERIES["distill"](spark, sf).collect()}
+    assert len({r.turn for r in rows}) > 1 and got == {f"{r.conv_id}_{r.turn}": r.text for r in rows}
