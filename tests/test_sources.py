@@ -61,9 +61,9 @@ def test_other_languages(spark):
 
 
 def test_watch_filter(spark):
-    paths = [".hidden_file", "__pycache__/some.pyc", "image.png", "main.py", "a/.env", "glia.env"]
+    paths = [".secret.py", "build/out.js", "logo.svg", "billing/rates.py", "a/.env", "local.env"]
     got = spark.createDataFrame([(p,) for p in paths], "path string").where(files.watched(F.col("path"))).collect()
-    assert [r.path for r in got] == ["main.py"]
+    assert [r.path for r in got] == ["billing/rates.py"]
 
 
 def test_distilled(spark):
