@@ -13,6 +13,36 @@ DIMENSION = 1024
 SYNONYM, BIGRAM, TRIGRAM = 0.5, 0.5, 0.08
 #: Feature vectors that a worker keeps.
 CACHE = 8192
+#: Features and texts of one product of matrices.
+SEEDS, ROWS = 1024, 512
+
+
+def _features(texts: DataFrame, key: str, text: str, groups: DataFrame | None, whole: bool) -> DataFrame:
+    """key, feature and weight; with whole, a text without tokens is its own feature.
+
+    The texts are dealt by key once; all that follows groups by key and more,
+    so that no occurrence of a feature is ever shuffled.
+    """
+    groups = synonyms.table(texts.sparkSession) if groups is None else groups
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, since small texts become much work
+    words = texts.select(key, F.col(text).alias("_text")).repartition(parts, key).select(key, "_text", tx.tokens(F.col("_text")).alias("_tokens"))
+    item = lambda word, feature, weight: F.struct(word.alias("word"), feature.alias("feature"), F.lit(weight).alias("weight"))
+    none = F.lit(None).cast("string")
+    kinds = [
+        F.transform(F.array_distinct("_tokens"), lambda t: item(t, none, 1.0)),
+        F.transform(tx.bigrams(F.col("_tokens")), lambda t: item(none, t, BIGRAM)),
+        F.transform(tx.trigrams(F.col("_tokens")), lambda t: item(none, F.concat(F.lit("_tri_"), t), TRIGRAM)),
+    ]
+    if whole:
+        kinds.append(F.when(F.size("_tokens") == 0, F.array(item(none, F.col("_text"), 1.0))).otherwise(F.array().cast("array<struct<word:string,feature:string,weight:double>>")))
+    each = words.select(key, F.explode(F.concat(*kinds)).alias("i")).select(key, "i.*")
+    found = each.join(F.broadcast(groups.withColumnsRenamed({"word": "_word", "synonyms": "_synonyms"})), F.lower("word") == F.col("_word"), "left")  # a vocabulary
+    said = F.array_union(F.array("word"), F.coalesce("_synonyms", F.array().cast("array<string>")))
+    derived = F.flatten(F.transform(said, lambda w: F.array(*[F.struct(x.alias("feature"), F.when(w == F.col("word"), 1.0).otherwise(SYNONYM).alias("weight")) for x in (w, tx.stem(w))])))
+    listed = F.when(F.col("word").isNull(), F.array(F.struct("feature", "weight"))).otherwise(derived)
+    flat = found.select(key, F.col("word").isNotNull().alias("single"), F.explode(listed).alias("f")).select(key, "single", "f.feature", "f.weight")
+    of = lambda how, single: F.coalesce(how(F.when(F.col("single") == single, F.col("weight"))), F.lit(0.0))
+    return flat.groupBy(key, "feature").agg((of(F.max, True) + of(F.sum, False)).alias("weight"))
 
 
 def features(texts: DataFrame, key: str, text: str, groups: DataFrame | None = None) -> DataFrame:
@@ -21,17 +51,7 @@ def features(texts: DataFrame, key: str, text: str, groups: DataFrame | None = N
     Words, their synonyms and all their stems count once with the largest
     weight of what derives them; bigrams and letter trigrams count each time.
     """
-    spark = texts.sparkSession
-    groups = synonyms.table(spark) if groups is None else groups
-    words = texts.select(key, tx.tokens(F.col(text)).alias("tokens"))
-    each = words.select(key, F.explode(F.array_distinct("tokens")).alias("token"))
-    expanded = synonyms.expand(each, "token", groups)
-    weight = F.when(F.col("original"), 1.0).otherwise(SYNONYM)
-    single = expanded.select(key, F.explode(F.array_distinct(F.array("expanded", tx.stem(F.col("expanded"))))).alias("feature"), weight.alias("weight"))
-    single = single.groupBy(key, "feature").agg(F.max("weight").alias("weight"))
-    pairs = words.select(key, F.explode(tx.bigrams(F.col("tokens"))).alias("feature"), F.lit(BIGRAM).alias("weight"))
-    letters = words.select(key, F.explode(tx.trigrams(F.col("tokens"))).alias("t")).select(key, F.concat(F.lit("_tri_"), F.col("t")).alias("feature"), F.lit(TRIGRAM).alias("weight"))
-    return single.unionByName(pairs).unionByName(letters).groupBy(key, "feature").agg(F.sum("weight").alias("weight"))
+    return _features(texts, key, text, groups, False)
 
 
 def projection(dimension: int):
@@ -49,25 +69,32 @@ def projection(dimension: int):
 
     @F.pandas_udf("array<double>")
     def project(seeds: pd.Series, weights: pd.Series) -> pd.Series:
-        out = []
-        for s, w in zip(seeds, weights):
-            v = np.zeros(dimension)
-            for seed, weight in zip(s, w):
-                v += of(int(seed)) * weight
-            n = np.linalg.norm(v)
-            out.append(v / n if n >= vx.TINY else v)
-        return pd.Series(out)
+        out = np.zeros((len(seeds), dimension))
+        row = np.repeat(np.arange(len(seeds)), seeds.str.len().to_numpy(int))
+        if len(row):
+            distinct, at = np.unique(np.concatenate(seeds.to_numpy()), return_inverse=True)
+            weight = np.concatenate(weights.to_numpy())
+            order = np.argsort(at, kind="stable")
+            at, row, weight = at[order], row[order], weight[order]
+            for lo in range(0, len(distinct), SEEDS):
+                own = slice(*np.searchsorted(at, (lo, lo + SEEDS)))
+                drawn = np.stack([of(int(s)) for s in distinct[lo : lo + SEEDS]])
+                for first in range(0, len(seeds), ROWS):
+                    some = np.flatnonzero((row[own] >= first) & (row[own] < first + ROWS))
+                    share = np.zeros((min(ROWS, len(seeds) - first), len(drawn)))
+                    np.add.at(share, (row[own][some] - first, at[own][some] - lo), weight[own][some])
+                    out[first : first + ROWS] += share @ drawn
+        n = np.linalg.norm(out, axis=1, keepdims=True)
+        return pd.Series(list(out / np.where(n >= vx.TINY, n, 1.0)))
 
     return project
 
 
 def encode_text(texts: DataFrame, key: str, text: str, dimension: int = DIMENSION, groups: DataFrame | None = None) -> DataFrame:
     """key and vector; a text without tokens is the random vector of itself."""
-    found = features(texts, key, text, groups).select(key, tx.seed(F.col("feature")).alias("seed"), "weight")
+    found = _features(texts, key, text, groups, True).select(key, tx.seed(F.col("feature")).alias("seed"), "weight")
     listed = found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("seed", "weight"))).alias("f"))
-    bare = texts.where(F.size(tx.tokens(F.col(text))) == 0).select(key, F.array(F.struct(tx.seed(F.col(text)).alias("seed"), F.lit(1.0).alias("weight"))).alias("f"))
-    every = listed.unionByName(bare)
-    return every.select(key, projection(dimension)(F.col("f.seed").cast("array<string>"), F.col("f.weight")).alias("vector"))
+    return listed.select(key, projection(dimension)(F.col("f.seed").cast("array<string>"), F.col("f.weight")).alias("vector"))
 
 
 def encode_identifier(names: DataFrame, key: str, name: str, context: str | None = None, dimension: int = DIMENSION) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .resonate import meet_queries
+
 K1, B = 1.5, 0.75
 #: Ranges of values that percentiles are counted in.
 RANGES = 64
@@ -13,14 +15,15 @@ RANGES = 64
 def bm25(docs: DataFrame, queries: DataFrame, terms, k1: float = K1, b: float = B) -> DataFrame:
     """query_id, doc_id and score with an idf of 1; docs (doc_id, text) and queries (query_id, query), terms a function of a column.
 
-    Documents meet queries by their common terms only.
+    Documents are dealt by doc_id once and meet queries by their common terms
+    only; terms are counted and scores added up where the document is.
     """
-    words = docs.select("doc_id", terms(F.col("text")).alias("terms"))
-    length = words.select("doc_id", F.size("terms").alias("len"))
-    average = length.agg(F.avg("len").alias("avg_len"))
-    counts = words.select("doc_id", F.explode("terms").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, since a document becomes many pairs
+    words = docs.select("doc_id", "text").repartition(parts, "doc_id").select("doc_id", terms(F.col("text")).alias("terms"))
+    average = docs.select(F.size(terms(F.col("text"))).alias("len")).agg(F.avg("len").alias("avg_len"))
+    counts = words.select("doc_id", F.size("terms").alias("len"), F.explode("terms").alias("term")).groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
     q = queries.select("query_id", F.explode(terms(F.col("query"))).alias("term"))
-    found = counts.join(q, "term").join(length, "doc_id").crossJoin(F.broadcast(average))  # one row
+    found = meet_queries(counts, q, "term").crossJoin(F.broadcast(average))  # one row
     score = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     return found.groupBy("query_id", "doc_id").agg(F.sum(score).alias("score"))
 

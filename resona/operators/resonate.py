@@ -5,63 +5,95 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from resona.functions import text as tx, vectors as vx
 
+from .lineage import cut
+
 THRESHOLD = 0.05
 HOP_DECAY, GHOST, FALLBACK = 0.7, 0.3, 0.3
-#: Stimuli that one pass over the glyphs scores; more take more passes.
+#: Stimuli that one pass over the glyphs scores as a broadcast; more of them meet blocks of glyphs in a join.
 BLOCK = 4096
-
-
-def _pass(glyphs: DataFrame, keys: list, stimuli: np.ndarray, top_k: int, threshold: float) -> DataFrame:
-    spark = glyphs.sparkSession
-    unit = stimuli / np.maximum(np.linalg.norm(stimuli, axis=1, keepdims=True), vx.TINY)
-    shared = spark.sparkContext.broadcast((keys, unit))  # BLOCK vectors at most
+#: Glyphs of one such block, and stimuli of one product of matrices.
+GLYPHS, ROWS = 16_384, 256
+#: Words of queries that are broadcast; more of them are joined by a shuffle.
+WORDS = 1_000_000
+_FOUND = "query_id string, id string, score double, seq long"
+
+
+def _best(keys: np.ndarray, unit: np.ndarray, ids: pa.Array, x: np.ndarray, magnitude: np.ndarray, seq: np.ndarray, top_k: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Each stimulus's best of these glyphs; of equal scores the first in seq."""
+    n = np.linalg.norm(x, axis=1)
+    scale = magnitude * (n >= vx.TINY) / np.maximum(n, vx.TINY)
+    for lo in range(0, len(unit), ROWS):
+        s = (unit[lo : lo + ROWS] @ x.T) * scale
+        keep = s > threshold
+        if s.shape[1] > top_k:
+            keep &= s >= np.partition(s, s.shape[1] - top_k, axis=1)[:, [s.shape[1] - top_k]]
+        i, j = np.nonzero(keep)
+        order = np.lexsort((seq[j], -s[i, j], i))
+        i, j = i[order], j[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        i, j = i[place < top_k], j[place < top_k]
+        yield pa.RecordBatch.from_arrays([pa.array(keys[lo + i], pa.string()), ids.take(pa.array(j)), pa.array(s[i, j]), pa.array(seq[j])], names=["query_id", "id", "score", "seq"])
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), vx.TINY)
+
+
+def _pass(glyphs: DataFrame, stimuli: list, top_k: int, threshold: float) -> DataFrame:
+    keys = np.array([r[0] for r in stimuli], object)
+    shared = glyphs.sparkSession.sparkContext.broadcast((keys, _unit(np.array([r[1] for r in stimuli], float))))  # BLOCK vectors at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, q = shared.value
+        keys, unit = shared.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, magnitude, seq = batch.column(0), batch.column(2).to_numpy(False), batch.column(3).to_numpy(False)
-            x = np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1)
-            n = np.linalg.norm(x, axis=1)
-            s = (q @ x.T) / np.maximum(n, vx.TINY) * (magnitude * (n >= vx.TINY))
-            order = np.lexsort((np.broadcast_to(seq, s.shape), -s))[:, :top_k]
-            got = np.take_along_axis(s, order, 1)
-            i, j = np.nonzero(got > threshold)
-            at = order[i, j]
-            yield pa.RecordBatch.from_arrays([pa.array([keys[k] for k in i], pa.string()), ids.take(pa.array(at)), pa.array(got[i, j]), pa.array(seq[at])], names=["query_id", "id", "score", "seq"])
-
-    rows = glyphs.select(F.col("id").cast("string").alias("id"), F.col("vector").cast("array<double>").alias("vector"), F.col("magnitude").cast("double").alias("magnitude"), F.col("seq").cast("long").alias("seq"))
-    return rows.where("magnitude > 0").mapInArrow(run, "query_id string, id string, score double, seq long")
+            if batch.num_rows:
+                x = np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1)
+                yield from _best(keys, unit, batch.column(0), x, batch.column(2).to_numpy(False), batch.column(3).to_numpy(False), top_k, threshold)
+
+    return glyphs.mapInArrow(run, _FOUND)
+
+
+def _meet(glyphs: DataFrame, stimuli: DataFrame, n: int, top_k: int, threshold: float) -> DataFrame:
+    """Blocks of stimuli against blocks of glyphs, both bounded; nothing passes through the driver."""
+    s_blocks, g_blocks = -(-n // BLOCK), max(1, -(-glyphs.count() // GLYPHS))
+    part = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = glyphs.select("*", part("id", g_blocks).alias("gb"), every(s_blocks).alias("sb"))
+    right = stimuli.select("*", part("query_id", s_blocks).alias("sb"), every(g_blocks).alias("gb"))
+
+    def run(g: pa.Table, s: pa.Table) -> pa.Table:
+        out = []
+        if g.num_rows and s.num_rows:
+            rows = lambda t: np.asarray(t.column("vector").combine_chunks().flatten()).reshape(t.num_rows, -1)
+            column = lambda k: g.column(k).combine_chunks()
+            keys = np.array(s.column("query_id").to_pylist(), object)
+            out = list(_best(keys, _unit(rows(s)), column("id"), rows(g), column("magnitude").to_numpy(False), column("seq").to_numpy(False), top_k, threshold))
+        return pa.Table.from_batches(out, schema=pa.schema([("query_id", pa.string()), ("id", pa.string()), ("score", pa.float64()), ("seq", pa.int64())]))
+
+    return left.groupBy("gb", "sb").cogroup(right.groupBy("gb", "sb")).applyInArrow(run, _FOUND)
 
 
 def resonate(glyphs: DataFrame, stimuli: DataFrame, top_k: int = 10, threshold: float = THRESHOLD) -> DataFrame:
     """query_id, id, score (cosine times magnitude), seq and rank of each stimulus's best glyphs.
 
-    glyphs: id, vector, magnitude, seq. stimuli: query_id, vector. The stimuli
-    meet the glyphs in blocks; each task keeps its best, then a window ranks.
+    glyphs: id, vector, magnitude, seq. stimuli: query_id, vector. Up to
+    ``BLOCK`` stimuli are broadcast to the glyphs, which stay where they are;
+    more of them meet the glyphs block by block. Each task keeps its best, then
+    a window ranks.
     """
-    found, block = None, []
-
-    def flush() -> None:
-        nonlocal found, block
-        part = _pass(glyphs, [r[0] for r in block], np.array([r[1] for r in block], float), top_k, threshold)
-        found, block = part if found is None else found.unionByName(part), []
-
-    for r in stimuli.select(F.col("query_id").cast("string"), "vector").toLocalIterator():
-        block.append(r)
-        if len(block) == BLOCK:
-            flush()
-    if block or found is None:
-        if not block:
-            return glyphs.sparkSession.createDataFrame([], "query_id string, id string, score double, seq long, rank int")
-        flush()
+    g = glyphs.select(F.col("id").cast("string").alias("id"), F.col("vector").cast("array<double>").alias("vector"), F.col("magnitude").cast("double").alias("magnitude"), F.col("seq").cast("long").alias("seq")).where("magnitude > 0")
+    s = stimuli.select(F.col("query_id").cast("string").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"))
+    first = s.limit(BLOCK + 1).collect()
+    if not first:
+        return glyphs.sparkSession.createDataFrame([], f"{_FOUND}, rank int")
+    found = _pass(g, first, top_k, threshold) if len(first) <= BLOCK else _meet(g, s, s.count(), top_k, threshold)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "seq")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
 
@@ -80,26 +112,38 @@ def multihop(glyphs: DataFrame, stimuli: DataFrame, region: DataFrame | None = N
     depend on the same results, so one pass scores both: a pass a hop.
     region has one row, with its vector.
     """
-    spark = glyphs.sparkSession
     vectors = glyphs.select(F.col("id").cast("string").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
     tagged = lambda q, tag: F.to_json(F.struct(q.alias("q"), tag.alias("g")))
     untagged = F.from_json("query_id", "q string, g string")
+    held = region.select(F.col("vector").cast("array<double>")).first() if region is not None else None  # one vector
+    bound = np.array(held[0], float) if held is not None else None
+
+    def following(rows: pd.DataFrame) -> pd.DataFrame:
+        """The next stimulus of a query, and its ghosts, from its best five glyphs."""
+        x = np.stack(rows["vector"].to_numpy()).astype(float)
+        out = [(None, x.sum(axis=0))]
+        if bound is not None:
+            keys = x[rows["rank"].to_numpy() <= 3]
+            turned = np.concatenate([keys[:, :1], keys[:, :0:-1]], axis=1)
+            ghosts = np.fft.irfft(np.fft.rfft(bound) * np.fft.rfft(turned, axis=1), n=x.shape[1], axis=1)
+            out += zip(rows["id"][rows["rank"] <= 3], ghosts)
+        return pd.DataFrame({"q": rows["q"].iloc[0], "g": [g for g, _ in out], "vector": [v / n if (n := np.linalg.norm(v)) >= vx.TINY else v for _, v in out]})
+
     current = stimuli.select(tagged(F.col("query_id").cast("string"), F.lit(None).cast("string")).alias("query_id"), "vector")
     parts = []
     for hop in range(hops):
-        found = resonate(glyphs, current, top_k).withColumn("t", untagged).select(F.col("t.q").alias("q"), F.col("t.g").alias("g"), "id", "score", "seq", "rank").persist()
+        found = cut(resonate(glyphs, current, top_k).withColumn("t", untagged).select(F.col("t.q").alias("q"), F.col("t.g").alias("g"), "id", "score", "seq", "rank"))
         parts.append(found.where("g is null").select("q", "id", (F.col("score") * HOP_DECAY**hop).alias("score"), "seq"))
         if hop:
             ghosts = found.where("g is not null and g <> id and rank <= 5")
             parts.append(ghosts.select("q", "id", (F.col("score") * GHOST * HOP_DECAY ** (hop - 1)).alias("score"), "seq"))
         if hop == hops - 1:
             break
-        best = found.where("g is null and rank <= 5").join(vectors, "id")
-        current = vx.superpose(best.select("q", "vector"), ["q"], "vector").select(tagged(F.col("q"), F.lit(None).cast("string")).alias("query_id"), vx.normalize(F.col("vector")).alias("vector"))
-        if region is not None:
-            keys = best.where("rank <= 3").crossJoin(F.broadcast(region.select(F.col("vector").alias("region")).limit(1)))  # one row
-            bound = keys.select("q", "id", vx.unbind(F.col("region"), F.col("vector")).alias("ghost"))
-            current = current.unionByName(bound.select(tagged(F.col("q"), F.col("id")).alias("query_id"), vx.normalize(F.col("ghost")).alias("vector")))
+        best = found.where("g is null and rank <= 5").select("q", "id", "rank")
+        few = best.limit(5 * BLOCK + 1).count() <= 5 * BLOCK
+        joined = vectors.join(F.broadcast(best) if few else best, "id")
+        # five rows a query
+        current = joined.groupBy("q").applyInPandas(following, "q string, g string, vector array<double>").select(tagged(F.col("q"), F.col("g")).alias("query_id"), "vector")
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
@@ -108,15 +152,33 @@ def multihop(glyphs: DataFrame, stimuli: DataFrame, region: DataFrame | None = N
     return total.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k).select(F.col("q").alias("query_id"), "id", "score", "seq", "rank")
 
 
+def meet_queries(words: DataFrame, queries: DataFrame, word: str) -> DataFrame:
+    """words with the fields of each of queries (word, ...) that has the word.
+
+    While the queries' words are counted to be few they are broadcast as one
+    list per word, so that words keep their partitioning; beyond, words that
+    all rows share are split by Spark's skew join.
+    """
+    few = queries.limit(WORDS + 1).count() <= WORDS
+    if not few:
+        return words.join(queries, word)
+    rest = [c for c in queries.columns if c != word]
+    lists = queries.groupBy(word).agg(F.collect_list(F.struct(*rest)).alias("_q"))  # WORDS entries at most in all
+    return words.join(F.broadcast(lists), word).withColumn("_q", F.explode("_q")).select(*words.columns, *[F.col(f"_q.{c}").alias(c) for c in rest])
+
+
 def word_overlap(glyphs: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, id, seq and score of glyphs (id, content, magnitude, seq) that share words with a query (query_id, query).
 
-    The words of both sides are joined, so only pairs with a common word arise.
+    Glyphs are dealt by id once; their words meet the queries' words, so only
+    pairs with a common word arise, and are counted where the glyph is.
     """
     q = queries.select(F.col("query_id").cast("string").alias("query_id"), F.filter(tx.word_set(F.col("query")), lambda w: F.length(w) >= 2).alias("words"))
     q = q.select("query_id", F.greatest(F.size("words"), F.lit(1)).alias("n"), F.explode("words").alias("word"))
-    g = glyphs.select(F.col("id").cast("string").alias("id"), "seq", "magnitude", F.explode(tx.word_set(F.concat_ws(" ", F.col("id").cast("string"), F.col("content")))).alias("word"))
-    shared = g.join(q, "word").groupBy("query_id", "id", "seq", "magnitude", "n").agg(F.count("*").alias("overlap"))
+    parts = int(glyphs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, since a glyph becomes many pairs
+    g = glyphs.select(F.col("id").cast("string").alias("id"), "seq", "magnitude", "content").repartition(parts, "id")
+    g = g.select("id", "seq", "magnitude", F.explode(tx.word_set(F.concat_ws(" ", "id", "content"))).alias("word"))
+    shared = meet_queries(g, q, "word").groupBy("query_id", "id", "seq", "magnitude", "n").agg(F.count("*").alias("overlap"))
     return shared.select("query_id", "id", "seq", (F.col("overlap") / F.col("n") * FALLBACK * F.col("magnitude")).alias("score"))
 
 
