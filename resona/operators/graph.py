@@ -9,6 +9,8 @@ from .lineage import cut
 from .plasticity import forgetting
 
 REVERSE, AGAIN, USED = 0.8, 0.1, 0.02
+#: Nodes that a query sets out from.
+STIMULI = 5
 
 
 def connect(pairs: DataFrame) -> DataFrame:
@@ -111,3 +113,41 @@ def matching_nodes(queries: DataFrame, nodes: DataFrame) -> DataFrame:
     n = nodes.select("node", F.explode(F.split(F.lower("node"), "_")).alias("nw"))
     words = q.select("qw").distinct().join(n.select("nw").distinct(), F.contains("nw", F.col("qw")) | F.contains("qw", F.col("nw")))
     return q.join(words, "qw").join(n, "nw").select("query_id", "node").distinct()
+
+
+def add_nodes(nodes: DataFrame, ids: DataFrame, now: float) -> DataFrame:
+    """nodes and those of ids (id, seq) that they lack; a node that is there stays as it is."""
+    new = ids.groupBy("id").agg(F.min("seq").alias("seq")).join(nodes.select("id"), "id", "left_anti")
+    return nodes.unionByName(new.select("id", F.lit(now).alias("created_at"), F.lit(now).alias("last_activated"), F.lit(0).cast("long").alias("activation_count"), "seq"))
+
+
+def activate(nodes: DataFrame, log: DataFrame) -> DataFrame:
+    """nodes after an activation log (ts, id): each entry counts once, the last one gives the time."""
+    by_id = log.groupBy("id").agg(F.count("*").alias("_n"), F.max("ts").alias("_t"))
+    out = nodes.join(by_id, "id", "left")
+    return out.withColumn("activation_count", F.col("activation_count") + F.coalesce("_n", F.lit(0))).withColumn("last_activated", F.coalesce(F.greatest("last_activated", "_t"), F.col("last_activated"))).select(nodes.columns)
+
+
+def named_nodes(queries: DataFrame, nodes: DataFrame) -> DataFrame:
+    """query_id, node and seq where a query word of three characters holds, or is held by, a part of the node's name.
+
+    Query words are parted by spaces, hyphens and underscores. Containment has
+    no key to join on: distinct words of both sides meet, then join back.
+    """
+    parted = F.split(F.regexp_replace(F.lower("query"), "[ -]", "_"), "_")
+    q = queries.select("query_id", F.explode(parted).alias("qw")).where(F.length("qw") >= 3)
+    n = nodes.select(F.col("id").alias("node"), "seq", F.explode(F.split("id", "_")).alias("nw"))
+    words = q.select("qw").distinct().join(n.select("nw").distinct(), F.contains("nw", F.col("qw")) | F.contains("qw", F.col("nw")))
+    return q.join(words, "qw").join(n, "nw").select("query_id", "node", "seq").distinct()
+
+
+def query(queries: DataFrame, nodes: DataFrame, edges: DataFrame, threads: DataFrame, top_k: int = 10, most: int = STIMULI) -> tuple[DataFrame, DataFrame]:
+    """(query_id, rank, node, activation, content of queries (query_id, query), edges that were used).
+
+    The first nodes that a query names are its stimuli; what their energy
+    reaches is ranked, and each node is told by the first thread that mentions it.
+    """
+    order = Window.partitionBy("query_id").orderBy("seq", "node")
+    stimuli = named_nodes(queries, nodes).withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).select("query_id", "node", "seq")
+    energy, used = spread(edges, cut(stimuli))
+    return first_thread(activated(energy, top_k), threads).select("query_id", "rank", "node", "activation", "content"), used

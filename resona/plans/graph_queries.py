@@ -113,3 +113,34 @@ def thread_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     t = c.select(F.col("conv_id").alias("id"), F.col("text").alias("content"), F.lit("").alias("source"), F.col("turn").cast("double").alias("created_at"), F.col("turn").cast("double").alias("updated_at"), F.array("role").alias("node_refs"), F.col("turn").alias("seq"))
     return gr.upsert_threads(t.where("seq < 2"), t.where("seq >= 2")).select("id", "content", F.array_join(F.sort_array("node_refs"), ",").alias("refs"))
+
+
+_PLACES = (
+    "nn AS (SELECT 'region_' || replace(lower(r_name), ' ', '_') AS id, r_regionkey::BIGINT AS seq, r_name AS said FROM region UNION ALL SELECT 'nation_' || replace(lower(n_name), ' ', '_'), 100 + n_nationkey, n_name FROM nation), "
+    "e AS (SELECT 'region_' || replace(lower(r_name), ' ', '_') AS src, 'nation_' || replace(lower(n_name), ' ', '_') AS dst, 0.9 AS w FROM nation JOIN region ON n_regionkey = r_regionkey), "
+    "qq AS (SELECT r_regionkey::BIGINT AS query_id, unnest(string_split(replace(replace(lower('The ' || r_name || '-market'), ' ', '_'), '-', '_'), '_')) AS qw FROM region), nw AS (SELECT id, seq, unnest(string_split(id, '_')) AS nw FROM nn), "
+    "m AS (SELECT DISTINCT query_id, id, seq FROM qq JOIN nw ON length(qw) >= 3 AND (contains(nw, qw) OR contains(qw, nw))), s AS (SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY seq, id) AS k FROM m) WHERE k <= 5)"
+)
+
+
+@family.query(f"WITH RECURSIVE {_PLACES}, a AS (SELECT query_id, id AS node, 1.0::DOUBLE AS energy, 0 AS hop FROM s UNION ALL SELECT query_id, dst, energy * w * 0.6, hop + 1 FROM a JOIN e ON e.src = a.node WHERE hop < 4 AND energy * w * 0.6 >= 0.1), t AS (SELECT query_id, node, sum(energy) AS x FROM a GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY x DESC, node) AS rank FROM t) SELECT query_id, rank, node, round(x, 6) AS activation, said AS content FROM r JOIN nn ON nn.id = r.node WHERE rank <= 10")
+def graph_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each region's name brings to mind among regions and nations."""
+    r, n = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+    id_ = lambda kind, name: F.concat(F.lit(kind), F.replace(F.lower(name), F.lit(" "), F.lit("_")))
+    regions = r.select(id_("region_", "r_name").alias("id"), F.col("r_regionkey").cast("long").alias("seq"), F.col("r_name").alias("content"), "r_regionkey")
+    nations = n.select(id_("nation_", "n_name").alias("id"), (F.col("n_nationkey") + 100).cast("long").alias("seq"), F.col("n_name").alias("content"), "n_regionkey")
+    nodes = regions.drop("r_regionkey").unionByName(nations.drop("n_regionkey"))
+    edges = nations.join(regions.select(F.col("id").alias("src"), "r_regionkey"), F.col("n_regionkey") == F.col("r_regionkey")).select("src", F.col("id").alias("dst"), F.lit(0.9).alias("weight"), "seq")
+    threads = nodes.select("id", "content", F.array("id").alias("node_refs"), "seq")
+    queries = r.select(F.col("r_regionkey").cast("long").alias("query_id"), F.concat(F.lit("The "), "r_name", F.lit("-market")).alias("query"))
+    return gr.query(queries, nodes, edges, threads)[0].select("query_id", F.col("rank").cast("long").alias("rank"), "node", F.round("activation", 6).alias("activation"), "content")
+
+
+@family.query("SELECT n_nationkey AS id, CASE WHEN o.c IS NULL THEN 0 ELSE o.c END AS activation_count, coalesce(o.t, 1.0)::DOUBLE AS last_activated FROM nation LEFT JOIN (SELECT c_nationkey AS k, count(*) AS c, max(c_custkey)::DOUBLE AS t FROM customer GROUP BY ALL) o ON o.k = n_nationkey")
+def node_activate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every nation is a node that each of its customers activates; half of the nations are added late."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_nationkey").cast("long").alias("seq"))
+    half = n.where("seq < 12").select("id", F.lit(1.0).alias("created_at"), F.lit(1.0).alias("last_activated"), F.lit(0).cast("long").alias("activation_count"), "seq")
+    log = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("double").alias("ts"), F.col("c_nationkey").cast("string").alias("id"))
+    return gr.activate(gr.add_nodes(half, n, 1.0), log).select(F.col("id").cast("int").alias("id"), "activation_count", "last_activated")

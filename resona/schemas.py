@@ -4,7 +4,7 @@ GLYPHS = "id string, vector array<double>, magnitude double, created_at double,
 LEDGER = "seq long, region_id string, kind string, coeff double, vector array<double>, ref_a string, ref_b string"
 ACTIVATIONS = "ts double, id string, amount double"
 RELATIONSHIPS = "src string, tgt string, rel_type string, source string, seq long"
-NODES = "id string, created_at double, last_activated double, activation_count long"
+NODES = "id string, created_at double, last_activated double, activation_count long, seq long"
 EDGES = "src string, dst string, weight double, created_at double, last_activated double, activation_count long, seq long"
 THREADS = "id string, content string, source string, created_at double, updated_at double, node_refs array<string>, seq long"
 SCAN_STATE = "file_path string, file_hash string, last_scanned double"

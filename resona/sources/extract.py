@@ -40,6 +40,7 @@ LANGUAGES: tuple[tuple[tuple[str, ...], str, tuple[tuple[str, str, tuple[str, ..
     ((".kt",), "Kotlin file", (("Class", r"(?:class|object|interface)\s+(\w+)", ()), ("Function", r"fun\s+(\w+)\s*\(", ()))),
     ((".swift",), "Swift file", (("Type", r"(?:class|struct|protocol|enum|actor)\s+(\w+)", ()), ("Function", r"func\s+(\w+)\s*\(", ()))),
 )
+# A fixed value.
 JS_IMPORT = r"""(?:import|require)\s*\(?["']([^"']+)["']"""
 
 #: The regex flags under which Java's classes are Unicode and only \n ends a line.
@@ -51,16 +52,16 @@ def _unit(context: Column, name: Column, content: Column) -> Column:
     return F.struct(F.concat_ws("_", context, name).alias("id"), name.alias("name"), content.alias("content"))
 
 
-def _every(text: Column, pattern: str, group: int) -> Column:
+def matches(text: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract_all(text, F.lit(_FLAGS + pattern), F.lit(group))
 
 
-def _trimmed(x: Column) -> Column:
+def trimmed(x: Column) -> Column:
     return F.regexp_replace(x, "^\\s+|\\s+$", "")
 
 
 def _lines(text: Column) -> Column:
-    return F.transform(F.split(text, "\n"), _trimmed)
+    return F.transform(F.split(text, "\n"), trimmed)
 
 
 def code_units(text: Column, path: Column, title: str, patterns: tuple) -> Column:
@@ -69,9 +70,9 @@ def code_units(text: Column, path: Column, title: str, patterns: tuple) -> Colum
     out = [F.array(_unit(F.lit("module"), module, F.concat(F.lit(f"{title} "), path)))]
     for what, pattern, skipped in patterns:
         if pattern.count("(") - pattern.count("(?:") - pattern.count(r"\(") == 2:
-            names = F.zip_with(_every(text, pattern, 1), _every(text, pattern, 2), lambda a, b: F.when(a != "", F.concat_ws(".", a, b)).otherwise(b))
+            names = F.zip_with(matches(text, pattern, 1), matches(text, pattern, 2), lambda a, b: F.when(a != "", F.concat_ws(".", a, b)).otherwise(b))
         else:
-            names = _every(text, pattern, 1)
+            names = matches(text, pattern, 1)
         if skipped:
             names = F.filter(names, lambda n: ~n.isin(*skipped))
         out.append(F.transform(names, lambda n: _unit(module, n, F.concat(F.lit(f"{what} '"), n, F.lit("' in "), path))))
@@ -80,21 +81,22 @@ def code_units(text: Column, path: Column, title: str, patterns: tuple) -> Colum
 
 def gherkin_units(text: Column, path: Column) -> Column:
     stem = tx.path_stem(path)
-    feature = F.transform(F.slice(_every(text, r"Feature:\s*(.+)$", 1), 1, 1), lambda f: _unit(F.lit("feature"), stem, F.concat(F.lit("Feature: "), _trimmed(f))))
-    scenarios = _every(text, r"Scenario(?:\s+Outline)?:\s*(.+)$", 1)
-    return F.concat(feature, F.transform(scenarios, lambda s: _unit(stem, tx.section_id(s), F.concat(F.lit("Scenario: "), _trimmed(s)))))
+    # the patterns here and of titles are fixed values
+    feature = F.transform(F.slice(matches(text, r"Feature:\s*(.+)$", 1), 1, 1), lambda f: _unit(F.lit("feature"), stem, F.concat(F.lit("Feature: "), trimmed(f))))
+    scenarios = matches(text, r"Scenario(?:\s+Outline)?:\s*(.+)$", 1)
+    return F.concat(feature, F.transform(scenarios, lambda s: _unit(stem, tx.section_id(s), F.concat(F.lit("Scenario: "), trimmed(s)))))
 
 
 def section_text(text: Column, title: Column) -> Column:
     """What stands in the 300 characters after a title's first occurrence, without blank lines and titles."""
     at = F.instr(text, title) + F.length(title)
     lines = F.filter(_lines(F.substring(text, at, F.lit(300))), lambda x: (x != "") & ~F.startswith(x, F.lit("#")))
-    return F.when(F.size(lines) > 0, F.substring(F.array_join(lines, " "), 1, 200)).otherwise(F.concat(F.lit("Section: "), _trimmed(title)))
+    return F.when(F.size(lines) > 0, F.substring(F.array_join(lines, " "), 1, 200)).otherwise(F.concat(F.lit("Section: "), trimmed(title)))
 
 
 def titles(text: Column) -> Column:
     """The first twenty titles of up to three marks."""
-    return F.slice(_every(text, r"^#{1,3}\s+(.+)$", 1), 1, 20)
+    return F.slice(matches(text, r"^#{1,3}\s+(.+)$", 1), 1, 20)
 
 
 def markdown_units(text: Column, path: Column) -> Column:
@@ -114,32 +116,47 @@ def generic_units(text: Column, path: Column) -> Column:
     return F.array(_unit(F.lit("file"), tx.path_stem(path), F.coalesce(first_informative_line(text), F.concat(F.lit("File: "), path))))
 
 
-def _doc(node: ast.AST, most: int) -> str:
-    body = getattr(node, "body", [])
-    first = body[0].value if body and isinstance(body[0], ast.Expr) else None
-    return first.value.strip()[:most] if isinstance(first, ast.Constant) and isinstance(first.value, str) else ""
+def _doc(node: ast.AST) -> str:
+    first = node.body[0] if node.body else None
+    value = first.value if isinstance(first, ast.Expr) else None
+    return value.value.strip() if isinstance(value, ast.Constant) and isinstance(value.value, str) else ""
 
 
-def python_units(path: str, text: str) -> list[tuple[str, str, str]] | None:
-    """(id, name, content) of a Python file's module, functions, classes and public methods; None if it does not parse."""
+#: The kinds of definitions, by what holds them.
+_HELD = {(None, ast.FunctionDef): "Function", (None, ast.AsyncFunctionDef): "Function", (None, ast.ClassDef): "Class", ("Class", ast.FunctionDef): "Method", ("Class", ast.AsyncFunctionDef): "Method"}
+_MODULE_DOC, _OTHER_DOC = 500, 300
+
+
+def definitions(path: str, text: str) -> tuple[ast.Module, list[tuple[str, str | None, str, str, str]]] | None:
+    """The syntax tree, and (kind, owner, name, doc, what is said without a doc) of the module and its public definitions; None if it does not parse."""
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError):
         return None
-    name = path.rsplit("/", 1)[-1]
-    module = name.rsplit(".", 1)[0] if "." in name[1:] else name
-    functions = (ast.FunctionDef, ast.AsyncFunctionDef)
-    out = [(f"module_{module}", module, _doc(tree, 500) or f"Module {path}")]
-    for node in tree.body:
-        if not isinstance(node, (*functions, ast.ClassDef)):
+    file = path.rsplit("/", 1)[-1]
+    rows = [("Module", None, file.rsplit(".", 1)[0] if "." in file[1:] else file, _doc(tree), f"Module {path}")]
+    waiting: list[tuple[str | None, str | None, ast.AST]] = [(None, None, n) for n in reversed(tree.body)]
+    while waiting:
+        within, owner, node = waiting.pop()
+        kind = _HELD.get((within, type(node)))
+        if kind is None or kind == "Method" and node.name[0] == "_" and node.name != "__init__":
             continue
-        what = "Class" if isinstance(node, ast.ClassDef) else "Function"
-        out.append((f"{module}_{node.name}", node.name, _doc(node, 300) or f"{what} '{node.name}' in {path}"))
-        methods = [m for m in node.body if isinstance(m, functions)] if what == "Class" else []
-        for m in methods:
-            if not m.name.startswith("_") or m.name == "__init__":
-                own = f"{node.name}.{m.name}"
-                out.append((f"{module}_{own}", own, _doc(m, 300) or f"Method '{m.name}' of '{node.name}'"))
+        rows.append((kind, owner, node.name, _doc(node), f"Method '{node.name}' of '{owner}'" if owner else f"{kind} '{node.name}' in {path}"))
+        if kind == "Class":
+            waiting += [(kind, node.name, n) for n in reversed(node.body)]
+    return tree, rows
+
+
+def python_units(path: str, text: str) -> list[tuple[str, str, str]] | None:
+    """(id, name, content) of a Python file's module, functions, classes and public methods; None if it does not parse."""
+    found = definitions(path, text)
+    if found is None:
+        return None
+    (_, _, module, doc, default), *rest = found[1]
+    out = [(f"module_{module}", module, doc[:_MODULE_DOC] or default)]
+    for _, owner, name, doc, default in rest:
+        full = f"{owner}.{name}" if owner else name
+        out.append((f"{module}_{full}", full, doc[:_OTHER_DOC] or default))
     return out
 
 
@@ -187,7 +204,7 @@ def units(files: DataFrame) -> DataFrame:
 def relations(files: DataFrame) -> DataFrame:
     """src, tgt, rel_type and source of the imports in files (path, text)."""
     suffix, module = tx.path_suffix(F.col("path")), tx.path_stem(F.col("path"))
-    script = F.transform(_every(F.col("text"), JS_IMPORT, 1), lambda i: F.replace(tx.path_stem(i), F.lit("-"), F.lit("_")))
+    script = F.transform(matches(F.col("text"), JS_IMPORT, 1), lambda i: F.replace(tx.path_stem(i), F.lit("-"), F.lit("_")))
     js = files.where(suffix.isin(".js", ".ts", ".jsx", ".tsx")).select(module.alias("src"), F.explode(script).alias("tgt"), "path")
     py = files.where(suffix == ".py").select(module.alias("src"), F.explode(_imports("text")).alias("tgt"), "path")
     return js.unionByName(py).select("src", "tgt", F.lit("imports").alias("rel_type"), F.col("path").alias("source"))
