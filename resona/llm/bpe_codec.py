@@ -21,14 +21,12 @@ from functools import cache
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import map_columns
+from .common import Recent, held, map_columns
 from .pretokens import chunks, split
 
 NONE = 1 << 62
 #: Byte width up to which pre-tokens share one array; longer ones have their own tree.
 WIDE = 64
-#: Entries of a worker's cache, which is emptied beyond.
-CACHE = 800_000
 #: Rows of one shared array.
 SIDE_BY_SIDE = 8192
 
@@ -162,48 +160,43 @@ class Encoder:
 
     def __init__(self, path: str):
         self.ranks = ranks(path)
-        self.pieces: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
+        self.pieces, self.known = Recent(), Recent()
 
     def _learn(self, new: set[str]) -> None:
-        if len(self.pieces) > CACHE:
-            self.pieces.clear()
         parts = {c: split(c) for c in new}
-        missing = {p: p.encode() for x in parts.values() for p in x if p not in self.pieces}
+        missing = {p: p.encode() for p in self.pieces.missing({p for x in parts.values() for p in x})}
+        found: dict[str, bytes] = {}
         by_width: dict[int, list[str]] = {}
         for p, raw in missing.items():
             whole = self.ranks.ids.get(raw)
             if whole is not None:  # a piece that is a token is not merged
-                self.pieces[p] = whole.to_bytes(4, "little")
+                found[p] = whole.to_bytes(4, "little")
             else:
                 by_width.setdefault(max(4, 1 << (len(raw) - 1).bit_length()), []).append(p)
         for width, names in by_width.items():
             if width > WIDE:
-                self.pieces.update((p, encode_alone(missing[p], self.ranks)) for p in names)
+                found.update((p, encode_alone(missing[p], self.ranks)) for p in names)
                 continue
             for k in range(0, len(names), SIDE_BY_SIDE):
                 some = names[k : k + SIDE_BY_SIDE]
-                self.pieces.update(zip(some, encode_side_by_side([missing[p] for p in some], self.ranks, width)))
-        self.known.update((c, b"".join([self.pieces[p] for p in x])) for c, x in parts.items())
+                found.update(zip(some, encode_side_by_side([missing[p] for p in some], self.ranks, width)))
+        self.pieces.add(found)
+        pieces = self.pieces.young
+        self.known.add({c: b"".join([pieces[p] for p in x]) for c, x in parts.items()})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         each = [chunks(t) for t in texts]
-        wanted = {c for some in each for c in some}
-        new = wanted - self.known.keys()
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = wanted
-        self._learn(new)
-        return [b"".join(map(self.known.__getitem__, some)) for some in each]
+        self._learn(self.known.missing({c for some in each for c in some}))
+        known = self.known.young
+        return [b"".join(map(known.__getitem__, some)) for some in each]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.ranks.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@cache
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return held(("codec", path), lambda: Encoder(path))
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -47,6 +47,8 @@ from .common import broadcast_if_small, map_columns, written
 WORDS = 5
 BINS, MISS = 125, 1e-6
 PIVOTS = 8
+#: Elements whose bins are filled at once; a larger set is filled alone.
+ELEMENTS = 1 << 18
 #: Links have 100 * intersection >= percent * union; the percentage of op7's contract.
 PERCENT = 85
 
@@ -76,6 +78,18 @@ def shingles(text: str | None) -> np.ndarray:
 
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
     """A row of BINS values per set; none of the sets is empty."""
+    groups: list[list[np.ndarray]] = [[]]
+    size = 0
+    for s in sets:
+        if groups[-1] and size + len(s) > ELEMENTS:
+            groups.append([])
+            size = 0
+        groups[-1].append(s)
+        size += len(s)
+    return np.concatenate([_filled(g) for g in groups])
+
+
+def _filled(sets: list[np.ndarray]) -> np.ndarray:
     rows = len(sets)
     sizes = np.array([len(s) for s in sets])
     out = np.full(rows * BINS, np.iinfo(np.uint64).max, np.uint64)
@@ -166,25 +180,27 @@ def _unconnected(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of buckets in which more than one component is left, with their components."""
     found = members.drop("component").join(labels, members["class"] == labels["node"], "left").select("key", "class", "n", F.coalesce("component", "class").alias("component"))
     spread = found.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("key")
-    return found.join(spread, "key", "left_semi")
+    return found.join(broadcast_if_small(written(spread, "spread")), "key", "left_semi")
 
 
 def _with_pivots(members: DataFrame) -> DataFrame:
     """members with pivot: all of a bucket of no more than ``PIVOTS``, else the member that shares most
     with others over all its buckets; the text that a family of copies was made from is often that one.
     """
-    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
-    sized = members.join(sizes, "key")
+    # what is joined by bucket has a row or a few per bucket: broadcast while small, so that no large bucket is one task
+    sizes = written(members.groupBy("key").agg(F.count("*").alias("size")), "sizes")
+    sized = members.join(broadcast_if_small(sizes), "key")
     weight = sized.groupBy("class").agg(F.sum("size").alias("weight"))
     weighed = sized.join(weight, "class")
     first = weighed.groupBy("key").agg(F.max(F.struct(F.col("weight"), -F.col("class"))).alias("m")).select("key", (-F.col("m.col2")).alias("first"))
-    return weighed.join(first, "key").withColumn("pivot", (F.col("size") <= PIVOTS) | (F.col("class") == F.col("first"))).select("key", "class", "n", "component", "pivot")
+    return weighed.join(broadcast_if_small(written(first, "first")), "key").withColumn("pivot", (F.col("size") <= PIVOTS) | (F.col("class") == F.col("first"))).select("key", "class", "n", "component", "pivot")
 
 
 def _pairs(members: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs of a bucket's pivots with its members, unless their sizes rule a link out."""
     p = members.where("pivot").select("key", F.col("class").alias("p"), F.col("n").alias("pn"))
     fits = (F.col("class") != F.col("p")) & (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"))
+    p = broadcast_if_small(written(p, "pivots"))
     return members.join(p, (members["key"] == p["key"]) & fits).select(F.least("class", "p").alias("a"), F.greatest("class", "p").alias("b")).distinct()
 
 
@@ -192,7 +208,7 @@ def _prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """token, class, n, component and place of each member's rarest shingles, so many that similar sets share one."""
     left = members.select("class", "component").distinct()
     each = sets.join(left, "class").select("class", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
-    rarity = each.groupBy("token").agg(F.count("*").alias("times"))
+    rarity = written(each.groupBy("token").agg(F.count("*").alias("times")), "rarity")  # a table, so that Spark can split a common token in the join
     in_order = each.join(rarity, "token").groupBy("class", "component", "n").agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("tokens"))
     first = F.slice("tokens", F.lit(1), F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1)
     return in_order.select("class", "component", "n", F.posexplode(first).alias("place", "t")).where("t.times > 1").select(F.col("t.token").alias("token"), "class", "n", "component", "place")

@@ -19,21 +19,18 @@ from __future__ import annotations
 
 import re
 import zlib
-from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_columns, written
-from .token_counts import added, library
+from .common import Recent, held, map_columns, written
+from .token_counts import added_of, new_library
 
 CONTEXT = 2048
 END = 0
 #: Parts of each length that are ranked apart.
 SALTS = 256
-#: Entries of a worker's cache, which is emptied beyond.
-CACHE = 800_000
 #: Beyond these characters, lower case and composition are left to the library.
 _UNUSUAL = re.compile(r"[^\t-\r\x20-\x7e\xa0-įı-ſ‐-‧]")
 #: In such texts a chunk between white space is matches of these.
@@ -44,36 +41,30 @@ class WordIds:
     """Texts to the library's ids, with bounded caches by word and by chunk between white space."""
 
     def __init__(self, path: str):
-        self.path = path
-        self.words: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
+        self.library = new_library(path)  # goes when this goes
+        self.added = added_of(self.library)
+        self.words, self.known = Recent(), Recent()
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in library(self.path).encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: set[str]) -> None:
-        if len(self.words) > CACHE:
-            self.words.clear()
         parts = {c: _PARTS.findall(c) for c in new}
-        missing = list({w for x in parts.values() for w in x if w not in self.words})
-        self.words.update(zip(missing, self._library(missing)))
-        self.known.update((c, b"".join([self.words[w] for w in x])) for c, x in parts.items())
+        missing = list(self.words.missing({w for x in parts.values() for w in x}))
+        self.words.add(dict(zip(missing, self._library(missing))))
+        words = self.words.young
+        self.known.add({c: b"".join([words[w] for w in x]) for c, x in parts.items()})
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        found = added(self.path)
+        found = self.added
         split = [None if _UNUSUAL.search(t) or found and found.search(t) else t.lower().split() for t in texts]
-        wanted = {c for some in split if some for c in some}
-        new = wanted - self.known.keys()
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = wanted
-        self._learn(new)
-        return [self._library([t])[0] if some is None else b"".join(map(self.known.__getitem__, some)) for t, some in zip(texts, split)]
+        self._learn(self.known.missing({c for some in split if some for c in some}))
+        known = self.known.young
+        return [self._library([t])[0] if some is None else b"".join(map(known.__getitem__, some)) for t, some in zip(texts, split)]
 
 
-@cache
 def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+    return held(("words", path), lambda: WordIds(path))
 
 
 def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", context: int = CONTEXT) -> DataFrame:

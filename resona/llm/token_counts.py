@@ -3,7 +3,7 @@
 1. A table of the distinct pre-tokens with their frequency, and how many
    pieces the library makes of each; each is encoded once and no ids are kept.
 2. Per document, its pre-tokens' frequencies are joined to that table and
-   summed. The ``HEAD`` most frequent short pre-tokens are a broadcast
+   summed. The most frequent short pre-tokens, ``HEAD`` at most, are a broadcast
    dictionary with which each task sums its documents' share at once; the
    rest meet the table in a shuffle join. So no key that all documents hold
    is ever shuffled, whatever its frequency.
@@ -32,12 +32,14 @@ from .pretokens import split
 
 #: Entries of the broadcast dictionary, and the most characters in one.
 HEAD, HEAD_CHARS = 65_536, 64
+#: Classes of frequency between one power of two and the next.
+GRADES = 16
 #: Distinct pre-tokens that a task gathers before it hands them on.
 GATHER = 200_000
 
 
-@cache
-def library(path: str):
+def new_library(path: str):
+    """The tokenizer library's own tokenizer, a new one."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -46,10 +48,19 @@ def library(path: str):
     return Tokenizer.from_file(path)
 
 
+@cache
+def library(path: str):
+    return new_library(path)
+
+
 @cache
 def added(path: str) -> re.Pattern | None:
+    return added_of(library(path))
+
+
+def added_of(tokenizer) -> re.Pattern | None:
     """What finds the library's added tokens in a text."""
-    names = [t.content for t in library(path).get_added_tokens_decoder().values()]
+    names = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     return re.compile("|".join(map(re.escape, sorted(names, key=len, reverse=True)))) if names else None
 
 
@@ -93,8 +104,7 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     """docs' key with n_bytes (UTF-8) and n_tokens of the text."""
     spark = docs.sparkSession
     pieces = written(pre_token_pieces(docs, path, text), "pre-tokens")
-    short = pieces.where(F.length("token") <= HEAD_CHARS)
-    head = spark.sparkContext.broadcast({r.token: r.pieces for r in short.orderBy(F.desc("n"), "token").limit(HEAD).collect()})
+    head = spark.sparkContext.broadcast({r.token: r.pieces for r in _head(pieces).collect()})  # HEAD entries at most
 
     def per_document(x: dict[str, list]) -> dict[str, list]:
         known, task = head.value, TaskContext.get().partitionId()
@@ -130,6 +140,19 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     )
 
 
+def _head(pieces: DataFrame) -> DataFrame:
+    """The short pre-tokens above the least frequency that no more than ``HEAD`` of them have."""
+    short = pieces.where(F.length("token") <= HEAD_CHARS)
+    grade = F.floor(F.log2("n") * GRADES)
+    least, size = 0, 0
+    for r in sorted(short.groupBy(grade.alias("grade")).count().collect(), reverse=True):  # 64 * GRADES rows at most
+        if size + r["count"] > HEAD:
+            least = r.grade + 1
+            break
+        size += r["count"]
+    return short.where(grade >= least)
+
+
 class _Rows:
     """Numbers from 0 in each task."""
 
