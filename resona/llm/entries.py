@@ -19,7 +19,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.scan_paths(table(spark, sf_dir, "documents"), secret_scan.new_ledger(spark))
+    """Two scans over one ledger: the base rules first; then all, of which only the others are still to be run."""
+    docs, ledger = table(spark, sf_dir, "documents"), secret_scan.new_ledger(spark)
+    secret_scan.scan(docs, ledger, rules=tuple(r for r in secret_scan.RULES if r[0] in secret_scan.BASE))
+    return secret_scan.scan_paths(docs, ledger)
 
 
 def op3_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,4 +75,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
         op10_license_scan,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+_UPPER = "".join(map(chr, range(65, 91)))
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc_archives": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        g AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS f FROM p)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN f = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN f <> page_id THEN f END AS refers_to FROM g
+    """,
+    "op7_near_dedup": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+        u AS (SELECT min(doc_id) AS c, list_sort(s) AS s FROM s WHERE len(s) > 0 GROUP BY list_sort(s)),
+        e AS (SELECT c, len(s) AS n, unnest(s) AS x FROM u),
+        m AS (SELECT a.c AS a, b.c AS b, a.n AS an, b.n AS bn, count(*) AS common FROM e a JOIN e b ON a.x = b.x AND a.c < b.c AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY ALL),
+        l AS (SELECT a, b FROM m WHERE 100 * common >= 85 * (an + bn - common)),
+        d AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r(a, b) AS (SELECT c, c FROM u UNION SELECT r.a, d.b FROM r JOIN d ON r.b = d.a),
+        t AS (SELECT a, min(b) AS t FROM r GROUP BY a),
+        k AS (SELECT s.doc_id, len(s.s) AS n, coalesce(t.t, s.doc_id) AS t FROM s LEFT JOIN u ON list_sort(s.s) = u.s LEFT JOIN t ON t.a = u.c)
+        SELECT doc_id, n AS n_shingles, t AS component_id, doc_id = t AS kept FROM k
+    """,
+}

@@ -1,11 +1,16 @@
 """Secret scans over an incremental ledger of blobs.
 
 Every version of a text is addressed by the SHA-256 of its bytes. The ledger
-(Parquet, appended to) has a row for each blob and rule version that was
-scanned, with its findings. A scan takes only pairs that the ledger lacks, one
-copy of each blob, and joins the findings back to all paths (doc_ids) by blob.
-The copies that need no scan are dropped by a broadcast list while that list is
-counted to be small, else by a shuffle join.
+(Parquet, appended to) says of each blob which rules, each with its own
+version, were run on it and what they found. A scan takes only pairs of a blob
+and a rule's version that the ledger lacks, one copy of each blob, and joins
+the findings back to all paths (doc_ids) by blob. Beside it stands the history:
+a row for each version that a path had, so that findings can be joined to all
+versions and paths that were ever seen.
+
+No join meets a blob's copies in one task: one copy is chosen by (blob,
+path), and only blobs with findings are joined back, from written tables, so
+that a blob with a large share of the paths is split by Spark's skew join.
 
 Null texts count as empty. Repeated rows share a blob and its findings. Spans
 are code points, end exclusive. An empty table scans nothing.
@@ -18,10 +23,10 @@ import re
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, fresh_name, map_columns, shared_dir, written
+from .common import BROADCAST_ROWS, broadcast_if_small, fresh_name, map_columns, shared_dir, written
 
 #: (kind, pattern, the least length of the group, the group, what a lower-cased text with a match contains).
 RULES = (
@@ -36,18 +41,23 @@ RULES = (
     ("live_key", re.compile(r"[rs]k_live_[A-Za-z0-9]{16,}"), 24, 0, ("k_live_",)),
 )
 BASE = ("assign", "access", "hex")
-VERSION = hashlib.sha256(repr([(k, p.pattern, p.flags, n, g) for k, p, n, g, _ in RULES]).encode()).hexdigest()[:16]
 _ORDER = {rule[0]: k for k, rule in enumerate(RULES)}
-_SCHEMA = "blob binary, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+_LEDGER = "blob binary, rules array<string>, found array<struct<start:int,end:int,rule:string>>"
+_HISTORY = "path long, version long, blob binary"
+
+
+def versions(rules: tuple = RULES) -> dict[str, str]:
+    """Each rule's kind with its version: another pattern, flag, length or group is another version."""
+    return {k: f"{k}@{hashlib.sha256(repr((p.pattern, p.flags, n, g)).encode()).hexdigest()[:12]}" for k, p, n, g, _ in rules}
 
 
-def find(text: str) -> list[tuple[int, int, str]]:
+def find(text: str, rules: tuple = RULES) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all findings, by start, then kind as listed; leftmost and without overlaps for each kind."""
     low, out = text.lower(), []
-    for kind, pattern, least, group, words in RULES:
+    for kind, pattern, least, group, words in rules:
         if any(w in low for w in words):
             out += [(m.start(), m.end(), kind) for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
-    return sorted(out, key=lambda s: (s[0], _ORDER[s[2]]))
+    return sorted(out, key=lambda s: (s[0], _ORDER.get(s[2], len(_ORDER)), s[2]))
 
 
 def redact(text: str, spans: str) -> str:
@@ -62,21 +72,7 @@ def redact(text: str, spans: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def _scan(x: dict[str, list]) -> dict[str, list]:
-    out: dict[str, list] = {k: [] for k in ("blob", "n_assign", "n_access", "n_hex", "base_sha256", "spans")}
-    for blob, text in zip(x["blob"], x["text"]):
-        found = find(text)
-        said = [(k, f"{k}:{a}:{b}") for a, b, k in found]
-        kinds = [k for k, _ in said]
-        base = ",".join(s for k, s in said if k in BASE)
-        for name, value in zip(out, (blob, *map(kinds.count, BASE), hashlib.sha256(base.encode()).hexdigest(), ",".join(s for _, s in said))):
-            out[name].append(value)
-    return out
-
-
-def read_ledger(spark, path: str) -> DataFrame:
-    """The ledger's rows; none where there is no ledger yet."""
-    schema = f"{_SCHEMA}, rule_version string"
+def _read(spark, path: str, schema: str) -> DataFrame:
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as e:
@@ -85,6 +81,16 @@ def read_ledger(spark, path: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def read_ledger(spark, path: str) -> DataFrame:
+    """The ledger's rows; none where there is no ledger yet."""
+    return _read(spark, f"{path}/scans", _LEDGER)
+
+
+def history(spark, path: str) -> DataFrame:
+    """path, version (from 1) and blob of all that was ever scanned."""
+    return _read(spark, f"{path}/history", _HISTORY)
+
+
 def new_ledger(spark) -> str:
     return f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
 
@@ -93,46 +99,90 @@ def with_blob(docs: DataFrame, text: str = "text", name: str = "blob") -> DataFr
     return docs.withColumn(name, F.unhex(F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256)))
 
 
-def scan(docs: DataFrame, ledger: str, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(paths with their blob, findings of their blobs); scans what the ledger lacks and adds it to the ledger."""
-    spark = docs.sparkSession
+def scan(docs: DataFrame, ledger: str, key: str = "doc_id", text: str = "text", rules: tuple = RULES) -> tuple[DataFrame, DataFrame]:
+    """(paths with their blob, findings: blob and found of the blobs that have any by these rules).
+
+    Scans what the ledger lacks and adds it to the ledger, and new versions to the history.
+    """
+    spark, wanted = docs.sparkSession, versions(rules)
     rows = with_blob(docs.select(F.col(key).cast("long").alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text")))
     paths = written(rows.select("path", "blob"), "paths")
-    known = read_ledger(spark, ledger).where(F.col("rule_version") == VERSION)
-    unseen = paths.groupBy("blob").agg(F.min("path").alias("first")).join(known.select("blob"), "blob", "left_anti")
-    unseen = written(unseen, "unseen")
-    needless = _needless(paths, unseen)
-    match = lambda a, b: (a["blob"] == b["blob"]) & a["path"].eqNullSafe(b["path"])
-    if needless.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        few = F.broadcast(needless)
-        wanted = rows.join(few, match(rows, few), "left_anti")
+    blobs = paths.groupBy("blob").agg(F.min("path").alias("first"), F.count("*").alias("n"))
+    known = read_ledger(spark, ledger).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("known"))  # a set of rules per blob
+    every = F.array(*map(F.lit, wanted.values()))
+    blobs = blobs.join(known, "blob", "left").withColumn("lacking", F.array_sort(F.array_except(every, F.coalesce("known", F.array().cast("array<string>"))))).drop("known")
+    blobs = written(blobs, "blobs")
+    _scan(rows, paths, blobs, rules, wanted).write.mode("append").parquet(f"{ledger}/scans")
+    _remember(paths, history(spark, ledger)).write.mode("append").parquet(f"{ledger}/history")
+    return paths, written(_findings(read_ledger(spark, ledger).join(blobs.select("blob"), "blob", "left_semi"), list(wanted.values())), "findings")
+
+
+def _scan(rows: DataFrame, paths: DataFrame, blobs: DataFrame, rules: tuple, wanted: dict[str, str]) -> DataFrame:
+    """The ledger's new rows: of each blob that lacks rules, what those find in one copy of it."""
+
+    def run(x: dict[str, list]) -> dict[str, list]:
+        found = []
+        for text, lacking in zip(x["text"], x["lacking"]):
+            own = tuple(r for r in rules if wanted[r[0]] in lacking)
+            found.append([{"start": a, "end": b, "rule": wanted[k]} for a, b, k in find(text, own)])
+        return {"blob": x["blob"], "rules": x["lacking"], "found": found}
+
+    new = written(blobs.where(F.size("lacking") > 0).select("blob", "first", "lacking"), "unseen")
+    few = new.groupBy("lacking").count().collect()  # sets of rules that differ: as many as the ledger was given, not as blobs
+    n_new, n_paths = sum(r["count"] for r in few), paths.count()
+    match = lambda a, b, p: (a["blob"] == b["blob"]) & a["path"].eqNullSafe(b[p])
+    if len(few) == 1 and n_paths - n_new <= min(n_new, BROADCAST_ROWS):
+        # most rows are read: the others are listed, and the blobs that have any are no more than they
+        special = F.broadcast(blobs.where((F.col("n") > 1) | (F.size("lacking") == 0)).select("blob", "first", (F.size("lacking") > 0).alias("new")))
+        needless = F.broadcast(paths.join(special, "blob").where(~(F.col("new") & F.col("path").eqNullSafe(F.col("first")))).select("blob", "path").distinct())
+        some = rows.join(needless, match(rows, needless, "path"), "left_anti").select("blob", "text", F.array(*map(F.lit, few[0]["lacking"])).alias("lacking"))
     else:
-        first = unseen.select("blob", F.col("first").alias("path"))
-        wanted = rows.join(first, match(rows, first), "left_semi")
-    findings = map_columns(wanted.select("blob", "text"), _scan, _SCHEMA).dropDuplicates(["blob"])
-    findings.withColumn("rule_version", F.lit(VERSION)).write.mode("append").parquet(ledger)
-    return paths, read_ledger(spark, ledger).where(F.col("rule_version") == VERSION).drop("rule_version").dropDuplicates(["blob"])
+        first = F.broadcast(new) if n_new <= BROADCAST_ROWS else new
+        some = rows.join(first, match(rows, first, "first")).select(rows["blob"], "text", "lacking")
+    return map_columns(some, run, _LEDGER).dropDuplicates(["blob"])
+
 
+def _remember(paths: DataFrame, before: DataFrame) -> DataFrame:
+    """The versions of paths that the history lacks, numbered after those that a path had."""
+    new = paths.where("path is not null").distinct().join(before.select("path", "blob"), ["path", "blob"], "left_anti")
+    had = before.groupBy("path").agg(F.max("version").alias("had"))
+    order = Window.partitionBy("path").orderBy("blob")
+    return new.join(had, "path", "left").select("path", (F.coalesce("had", F.lit(0)) + F.row_number().over(order)).cast("long").alias("version"), "blob")
 
-def _needless(paths: DataFrame, unseen: DataFrame) -> DataFrame:
-    """The distinct (path, blob) that need no scan: another path stands for the blob, or the ledger has it."""
-    u = unseen.select("blob", F.col("first"), F.lit(True).alias("new"))
-    return paths.join(u, "blob", "left").where(F.col("new").isNull() | ~F.col("path").eqNullSafe(F.col("first"))).select("path", "blob").distinct()
+
+def _findings(rows: DataFrame, wanted: list[str]) -> DataFrame:
+    """blob and found, by start, then rule as listed, of the blobs with findings of these versions."""
+    of = F.filter("found", lambda s: s["rule"].isin(*wanted))
+    each = rows.select("blob", of.alias("found")).where(F.size("found") > 0)
+    ranked = lambda s: F.struct(s["start"].alias("start"), F.array_position(F.array(*map(F.lit, wanted)), s["rule"]).alias("k"), s["end"].alias("end"), F.substring_index(s["rule"], "@", 1).alias("kind"))
+    every = F.array_distinct(F.flatten(F.collect_list("found")))
+    return each.groupBy("blob").agg(F.array_sort(F.transform(every, ranked)).alias("found"))
+
+
+def _spans(found, *kinds: str):
+    some = F.filter(found, lambda s: s["kind"].isin(*kinds)) if kinds else found
+    return F.array_join(F.transform(some, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def scan_paths(docs: DataFrame, ledger: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id with the findings of its text, a row per row of docs."""
     paths, findings = scan(docs, ledger, key, text)
-    return paths.join(findings, "blob").select(F.col("path").alias(key), "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    return described(paths.join(broadcast_if_small(findings), "blob", "left"), key)
+
+
+def described(found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """doc_id, counts and spans of (path, found)."""
+    own = F.coalesce("found", F.array().cast("array<struct<start:int,k:bigint,end:int,kind:string>>"))
+    n = lambda kind: F.size(F.filter("own", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(F.col("path").alias(key), own.alias("own")).select(key, *map(n, BASE), F.sha2(_spans(F.col("own"), *BASE).cast("binary"), 256).alias("base_sha256"), _spans(F.col("own")).alias("spans"))
 
 
 def redacted(docs: DataFrame, ledger: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with secrets replaced in the text, by the ledger's findings."""
     _, findings = scan(docs, ledger, key, text)
     blob, spans = fresh_name(docs, "secret_blob"), fresh_name(docs, "secret_spans")
-    found = findings.where("spans <> ''").select(F.col("blob").alias(blob), F.col("spans").alias(spans))
-    few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    joined = with_blob(docs, text, blob).join(F.broadcast(found) if few else found, blob, "left")
+    found = findings.select(F.col("blob").alias(blob), _spans(F.col("found")).alias(spans))
+    joined = with_blob(docs, text, blob).join(broadcast_if_small(found), blob, "left")
 
     @F.arrow_udf("string")
     def replace(texts, spans):
