@@ -4,9 +4,9 @@ Channel: a writer hides a word by digits and symbols that look like letters, by
 separators or spaces between its letters, and by repeating letters. The
 lattice of what each written character may stand for is decoded by Viterbi
 under a character trigram model, whose counts come from every document (a
-table of ``CLASSES`` ** 3 entries, whatever the corpus). Plain words have one
-reading and skip the lattice, and so do pure numbers; every other chunk is
-decoded, whatever its length. A run of one character counts as three of it.
+table of ``CLASSES`` ** 3 entries, whatever the corpus). Plain words without a
+letter twice in a row have one reading and skip the lattice, and so do pure
+numbers; every other chunk is decoded, whatever its length. A run of one character counts as three of it.
 Only true punctuation is cut off at the ends; other signs there may be skipped
 by the lattice. A decoded chunk is also known by the words that stand in it as
 they are written. Single letters or look-alikes apart by white space are one
@@ -16,7 +16,7 @@ Score: words and word beginnings of the restored text are weighed by their
 log-odds in toxic against clean training documents; a logistic regression
 over how strong, how many and how dense such words are gives the score. At
 most ``SAMPLE`` labelled documents train it (those of the smallest hash, of near
-copies one), and at most ``LEXICON`` weights are kept. The regression sees
+copies one), which also bounds the weights. The regression sees
 weights from the half of the sample that its document is not in.
 
 Labels, lang, source and doc_id are no input of a score. A null or empty text
@@ -32,23 +32,20 @@ import os.path
 import re
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_name, map_columns, sampled_labels, small_batches, text_udf
+from .common import Recent, fresh_name, held, map_columns, sampled_labels, small_batches, text_udf
 
 SAMPLE = 12_000
-LEXICON = 50_000
 #: Training documents with a unit, and the log-odds, from which on it counts.
 LEAST_DOCS, LEAST_WEIGHT = 3, 1.5
 FOLDS = 5
 #: Boundary, a to z, other letters.
 CLASSES = 28
-CACHE = 400_000
 
 #: Letters that look-alikes may stand for.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l"}
@@ -56,7 +53,7 @@ _SEPARATORS = frozenset("-_.*~'`^:/\\,")
 _LOOK, _SKIP, _REPEAT, _KEEP = -1.5, -1.0, -0.7, -6.0
 _PLAIN = re.compile(r"[^\W\d_]+\Z")
 _WORDS = re.compile(r"[^\W\d_]+")
-_TRIPLE = re.compile(r"(.)\1\1")
+_TWICE = re.compile(r"(.)\1")
 _RUN = re.compile(r"(.)\1{3,}", re.S)
 _EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "$@!|+(<")
 _ENDS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
@@ -115,23 +112,20 @@ class Restorer:
 
     def __init__(self, model: np.ndarray):
         self.model = model.tolist()
-        self.known: dict[str, str] = {}
+        self.known = Recent()
 
     def word(self, chunk: str) -> str:
         """The restored word, in lower case."""
         low = chunk.lower()
-        if _PLAIN.match(low) and not _TRIPLE.search(low):
+        if _PLAIN.match(low) and not _TWICE.search(low):
             return low
-        got = self.known.get(low)
-        if got is None:
-            if len(self.known) > CACHE:
-                self.known.clear()
-            got = self.known[low] = self._restore(low)
-        return got
+        if self.known.missing({low}):
+            self.known.add({low: self._restore(low)})
+        return self.known.young[low]
 
     def _restore(self, low: str) -> str:
         core = low.strip(_EDGE)
-        if _PLAIN.match(core) and not _TRIPLE.search(core):
+        if _PLAIN.match(core) and not _TWICE.search(core):
             return core
         if not core or _NUMBER.match(core):
             return ""
@@ -205,9 +199,8 @@ def units(word: str) -> list[str]:
     return out
 
 
-@cache
 def _restorer(model: bytes) -> Restorer:
-    return Restorer(np.frombuffer(model).reshape(CLASSES, CLASSES, CLASSES))
+    return held(("restorer", model), lambda: Restorer(np.frombuffer(model).reshape(CLASSES, CLASSES, CLASSES)))
 
 
 class Scorer:
@@ -215,7 +208,7 @@ class Scorer:
 
     def __init__(self, model: bytes, weights: dict[str, float]):
         self.restorer, self.weights = _restorer(model), weights
-        self.known: dict[str, float] = {}
+        self.known = Recent()
 
     def _weight(self, chunk: str) -> float:
         return max((self.weights.get(u, 0.0) for u in units(self.restorer.readings(chunk))), default=0.0)
@@ -223,13 +216,8 @@ class Scorer:
     def features(self, text: str | None) -> list[float]:
         """The three strongest weights, how many words are strong, and their density."""
         chunks = self.restorer.chunks(text or "")
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        for c in set(chunks):  # a difference with known.keys() would walk all that is known
-            if c not in known:
-                known[c] = self._weight(c)
-        found = sorted((w for w in map(known.__getitem__, chunks) if w), reverse=True)
+        self.known.add({c: self._weight(c) for c in self.known.missing(set(chunks))})
+        found = sorted((w for w in map(self.known.young.__getitem__, chunks) if w), reverse=True)
         top = (found + [0.0] * 3)[:3]
         many, n = sum(found), max(10, len(chunks))
         return [top[0], top[2], math.log1p(len(found)), math.log1p(many), math.log1p(100 * many / n), math.log1p(100 * len(found) / n)]
@@ -273,9 +261,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> tuple[bytes
     some = F.broadcast(sampled_labels(labels, "toxic", rows, own))  # at most rows rows
 
     def read(x: dict[str, list]) -> dict[str, list]:
-        chunks = [_restorer(model).chunks(t or "") for t in x["text"]]
-        words = [[_restorer(model).word(c) for c in some] for some in chunks]
-        read_as = [{_restorer(model).readings(c) for c in some} for some in chunks]
+        restorer = _restorer(model)
+        chunks = [restorer.chunks(t or "") for t in x["text"]]
+        words = [[restorer.word(c) for c in some] for some in chunks]
+        read_as = [{restorer.readings(c) for c in some} for some in chunks]
         return {"doc_id": x["doc_id"], "toxic": x["toxic"], "half": [_fold(d) // FOLDS % 2 for d in x["doc_id"]], "signature": list(map(_signature, words)), "units": [sorted({u for w in ws for u in units(w)}) for ws in read_as], "text": x["text"]}
 
     sample = docs.select("doc_id", "text").join(some, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"), "text")
@@ -292,7 +281,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> tuple[bytes
         by_unit = sample.select("half", "toxic", F.explode("units").alias("unit")).groupBy("unit").agg(*[count(h, t) for h in (0, 1) for t in (0, 1)])
         toxic, clean = F.col("n01") + F.col("n11"), F.col("n00") + F.col("n10")
         ratio = (toxic + 0.1) / (clean + 0.5) * F.lit((sum(n[0]) + 1) / (sum(n[1]) + 1))
-        found = by_unit.where((toxic >= LEAST_DOCS) & (ratio >= math.exp(LEAST_WEIGHT))).orderBy(ratio.desc(), "unit").limit(LEXICON).collect()
+        found = by_unit.where((toxic >= LEAST_DOCS) & (ratio >= math.exp(LEAST_WEIGHT))).collect()  # units of LEAST_DOCS documents of the sample
 
         def lexicon(halves: tuple[int, ...]) -> dict[str, float]:
             add = lambda r, t: sum(r[f"n{h}{t}"] for h in halves)
@@ -315,7 +304,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> tuple[bytes
 def score(docs: DataFrame, model: tuple[bytes, dict[str, float], list[float]], text: str = "text") -> DataFrame:
     """docs with a struct column, named by ``score_column``, of score and predicted."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # LEXICON weights and CLASSES ** 3 numbers at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the sample's weights and CLASSES ** 3 numbers
     state: dict[str, Scorer] = {}
 
     def fn(texts: list) -> dict[str, list]:

@@ -175,3 +175,56 @@ def test_pipeline(spark):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     clean = [k for k, t in labels.items() if t == 0]
     assert len([k for k in clean if k in {r.doc_id for r in packed}]) >= 0.6 * len(clean)
+
+
+def _restorer(words, times=50):
+    from resona.llm import toxicity as tox
+
+    k = [tox._class_of(c) for c in " " + " ".join(words * times) + " "]
+    counts = np.bincount([(a * tox.CLASSES + b) * tox.CLASSES + c for a, b, c in zip(k, k[1:], k[2:])], minlength=tox.CLASSES**3)
+    return tox.Restorer(tox.language_model(counts))
+
+
+def _readings(r, written):
+    """All readings of what is written, with their costs, one by one."""
+    from resona.llm import toxicity as tox
+
+    tail, out = len(written.rstrip(tox._ENDS)), []
+
+    def go(n, a, b, last, cost, text):
+        if n == len(written):
+            out.append((cost + r.model[a][b][0], text))
+            return
+        c = written[n]
+        letters = [(c, 0.0)] if c.isalpha() else [(x, tox._LOOK) for x in tox.LOOKS.get(c, "")]
+        for x, p in letters if c.isalpha() else [*letters, (" ", tox._KEEP)]:
+            go(n + 1, b, tox._class_of(x), x, cost + p + r.model[a][b][tox._class_of(x)], text + x)
+        if c in tox._SEPARATORS or c in "$!|+(<" or n >= tail:
+            go(n + 1, a, b, last, cost + tox._SKIP, text)
+        if any(x == last for x, _ in letters):
+            go(n + 1, a, b, last, cost + tox._REPEAT, text)
+
+    go(0, 0, 0, "", 0.0, "")
+    return out
+
+
+def test_lattice_equals_all_readings():
+    import random
+
+    from resona.llm import toxicity as tox
+
+    r, rnd = _restorer("stone river the idiot silly boot".split()), random.Random(5)
+    for _ in range(300):
+        written = "".join(rnd.choice("stoneriv" + "10$3!|+-._5") for _ in range(rnd.randrange(1, 8)))
+        found = _readings(r, written)
+        best = max(cost for cost, _ in found)
+        assert r.decode(written) in {" ".join(tox._WORDS.findall(text)) for cost, text in found if cost > best - 1e-9}, written
+
+
+def test_hidden_words_of_any_kind_are_decoded():
+    r = _restorer("stone river the idiot silly".split())
+    for written, said in (("5t0n3", "stone"), ("$70n3", "stone"), ("7h3", "the"), ("rriivveerr", "river"), ("1d10t", "idiot"), ("s-t-o-n-e", "stone"), ("sssstttooonnneeee", "stone"), ("r" * 60 + "iver", "river")):
+        assert r.word(written) == said, (written, r.word(written))
+    assert r.word("70") == ""  # a number
+    for text in ("s  t  o  n  e", "a s t o n e.", "5 t 0 n 3!"):
+        assert "stone" in " ".join(r.word(c) for c in r.chunks(text)), text
