@@ -11,7 +11,8 @@ another one contains its interval with a better priority, or with the same
 priority and more words, or, over the same words, an earlier rule. So the
 detections are the same as over the whole text, and linear in it.
 
-The rules are built from licence families (a label and how it is named) and
+``SIGNATURES`` are rules written for one sentence, notice, address or expression
+each; the others are licence families (a label and how it is named) in
 forms (how a text says that it falls under a licence).
 
 A null or empty text has no words and no labels, and scores 0. Repeated rows
@@ -32,7 +33,7 @@ TILE = 64
 #: The contract's phrases: a last word "license" after these words, and their labels.
 BASE = ((("mit",), "mit"), (("apache",), "apache"), (("general", "public"), "gpl"))
 #: Words, also with digits after them, of which every name and every signature holds one; the first is its anchor.
-STEMS = ("license", "licence", "unlicense", "wtfpl", "zlib", "isc", "0bsd", "bsd", "apache", "gpl", "lgpl", "agpl", "mpl", "epl", "cddl", "eupl", "cc", "commons", "mit", "unencumbered", "redistribution", "granted", "permission", "domain", "reserved", "proprietary", "copyleft")
+STEMS = ("license", "licence", "licenses", "licensed", "sublicense", "unlicense", "wtfpl", "gplv", "lgplv", "agplv", "redistributions", "advertising", "misrepresented", "contributors", "retain", "publicdomain", "zlib", "isc", "0bsd", "bsd", "apache", "gpl", "lgpl", "agpl", "mpl", "epl", "cddl", "eupl", "cc", "commons", "mit", "unencumbered", "redistribution", "granted", "permission", "domain", "reserved", "proprietary", "copyleft")
 #: Words too common for a rule to wait for, if it has others.
 _COMMON = frozenset("license licence version v public the software free open of in to a an is and or with this".split())
 
@@ -89,19 +90,154 @@ FORMS: tuple[tuple[int, float, str], ...] = (
     (5, 0.7, "licen[sc]e(?: is| type| name)? (?:an? |the )?{name}"),
     (6, 0.6, "(?:the )?{name}"),
 )
-#: Signatures that name no family: (label, gate, priority, confidence, regex).
-SPECIAL: tuple[tuple[str, str, int, float, str], ...] = (
-    ("mit", "hereby", 2, 0.95, "permission is hereby granted free of charge to any person obtaining a copy"),
-    ("isc", "hereby", 2, 0.9, "permission to use copy modify and or distribute this software for any purpose"),
-    ("bsd", "redistribution", 2, 0.9, "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("unlicense", "unencumbered", 2, 0.95, "free and unencumbered software released into the public domain"),
-    ("public-domain", "domain", 3, 0.9, "(?:released|placed|dedicated|donated) (?:in|into|to) the public domain"),
-    ("public-domain", "domain", 6, 0.5, "(?:in )?the public domain"),
-    ("apache-2.0", "apache", 2, 0.95, "licensed under the apache licen[sc]e version 2 0"),
-    ("gpl", "redistribute", 3, 0.8, "redistribute it and or modify it under the terms of the gnu general public licen[sc]e"),
-    ("proprietary", "reserved", 5, 0.5, "all rights reserved"),
-    ("proprietary", "proprietary", 4, 0.7, "(?:proprietary (?:and confidential|licen[sc]e|software))"),
-    ("copyleft", "copyleft", 6, 0.4, "copyleft"),
+#: Rules written for one text each: (label, priority, confidence, regex). Sentences of licences, notices, addresses, expressions.
+SIGNATURES: tuple[tuple[str, int, float, str], ...] = (
+    # sentences of permissive licences
+    ("mit", 2, 0.95, "permission is hereby granted free of charge to any person obtaining a copy"),
+    ("mit", 2, 0.9, "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", 2, 0.85, "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies"),
+    ("isc", 2, 0.9, "permission to use copy modify and or distribute this software for any purpose"),
+    ("isc", 2, 0.95, "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", 3, 0.85, "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted"),
+    ("0bsd", 2, 0.9, "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is"),
+    ("bsd", 2, 0.9, "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", 3, 0.8, "redistributions of source code must retain the above copyright notice"),
+    ("bsd", 3, 0.8, "redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-3-clause", 2, 0.9, "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products"),
+    ("bsd-4-clause", 2, 0.9, "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("zlib", 2, 0.9, "permission is granted to anyone to use this software for any purpose including commercial applications"),
+    ("zlib", 3, 0.8, "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("bsl-1.0", 2, 0.9, "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("ncsa", 2, 0.9, "university of illinois ncsa open source licen[sc]e"),
+    ("x11", 3, 0.8, "x11 licen[sc]e"),
+    ("x11", 3, 0.8, "mit x11 licen[sc]e"),
+    ("curl", 3, 0.8, "curl licen[sc]e"),
+    ("ntp", 2, 0.85, "permission to use copy modify and distribute this software and its documentation for any purpose with or without fee is hereby granted"),
+    ("hpnd", 3, 0.8, "historical permission notice and disclaimer"),
+    ("postgresql", 3, 0.8, "postgresql licen[sc]e"),
+    ("postgresql", 2, 0.85, "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("beerware", 2, 0.9, "as long as you retain this notice you can do whatever you want with this stuff"),
+    ("beerware", 3, 0.8, "beer ?ware licen[sc]e"),
+    ("wtfpl", 2, 0.95, "do what the fuck you want to public licen[sc]e"),
+    ("unlicense", 2, 0.95, "free and unencumbered software released into the public domain"),
+    ("unlicense", 3, 0.85, "unlicense org"),
+    ("cc0-1.0", 2, 0.9, "cc0 1 0 universal public domain dedication"),
+    ("cc0-1.0", 3, 0.85, "to the extent possible under law the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide"),
+    # sentences of the Apache licence
+    ("apache-2.0", 2, 0.95, "licensed under the apache licen[sc]e version 2 0"),
+    ("apache-2.0", 2, 0.9, "you may not use this file except in compliance with the licen[sc]e you may obtain a copy of the licen[sc]e at"),
+    ("apache-2.0", 3, 0.8, "unless required by applicable law or agreed to in writing software distributed under the licen[sc]e is distributed on an as is basis"),
+    ("apache-2.0", 3, 0.8, "see the licen[sc]e for the specific language governing permissions and limitations under the licen[sc]e"),
+    ("apache-2.0", 3, 0.85, "terms and conditions for use reproduction and distribution 1 definitions licen[sc]e shall mean"),
+    ("apache-2.0", 2, 0.9, "licensed to the apache software foundation asf under one or more contributor licen[sc]e agreements"),
+    ("apache-1.1", 2, 0.85, "this product includes software developed by the apache software foundation"),
+    # sentences of copyleft licences
+    ("gpl", 3, 0.8, "redistribute it and or modify it under the terms of the gnu general public licen[sc]e"),
+    ("gpl-2.0", 2, 0.9, "under the terms of the gnu general public licen[sc]e as published by the free software foundation either version 2 of the licen[sc]e"),
+    ("gpl-3.0", 2, 0.9, "under the terms of the gnu general public licen[sc]e as published by the free software foundation either version 3 of the licen[sc]e"),
+    ("gpl-2.0", 2, 0.9, "under the terms of the gnu general public licen[sc]e version 2 as published by the free software foundation"),
+    ("gpl-3.0", 2, 0.9, "under the terms of the gnu general public licen[sc]e version 3 as published by the free software foundation"),
+    ("gpl", 3, 0.8, "you should have received a copy of the gnu general public licen[sc]e along with this program"),
+    ("gpl", 3, 0.75, "see the gnu general public licen[sc]e for more details"),
+    ("lgpl", 3, 0.8, "you should have received a copy of the gnu (?:lesser|library) general public licen[sc]e along with this library"),
+    ("lgpl", 3, 0.75, "see the gnu (?:lesser|library) general public licen[sc]e for more details"),
+    ("lgpl-2.1", 2, 0.9, "under the terms of the gnu lesser general public licen[sc]e as published by the free software foundation either version 2 1 of the licen[sc]e"),
+    ("lgpl-3.0", 2, 0.9, "under the terms of the gnu lesser general public licen[sc]e as published by the free software foundation either version 3 of the licen[sc]e"),
+    ("agpl", 3, 0.8, "you should have received a copy of the gnu affero general public licen[sc]e along with this program"),
+    ("agpl-3.0", 2, 0.9, "under the terms of the gnu affero general public licen[sc]e as published by the free software foundation either version 3 of the licen[sc]e"),
+    ("gpl", 3, 0.75, "everyone is permitted to copy and distribute verbatim copies of this licen[sc]e document but changing it is not allowed"),
+    ("gpl-classpath", 2, 0.9, "gpl (?:version )?2 (?:0 )?with (?:the )?classpath exception"),
+    ("gfdl", 2, 0.85, "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[sc]e"),
+    ("mpl-2.0", 2, 0.95, "this source code form is subject to the terms of the mozilla public licen[sc]e v 2 0"),
+    ("mpl-1.1", 2, 0.9, "the contents of this file are subject to the mozilla public licen[sc]e version 1 1"),
+    ("mpl-2.0", 3, 0.85, "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("epl-1.0", 2, 0.9, "made available under the terms of the eclipse public licen[sc]e v1 0"),
+    ("epl-2.0", 2, 0.9, "made available under the terms of the eclipse public licen[sc]e 2 0"),
+    ("cddl", 2, 0.9, "the contents of this file are subject to the terms of the common development and distribution licen[sc]e"),
+    ("eupl", 2, 0.9, "licensed under the eupl"),
+    ("osl-3.0", 3, 0.85, "open software licen[sc]e(?: version| v)? 3 0"),
+    ("cpl-1.0", 3, 0.85, "common public licen[sc]e(?: version| v)? 1 0"),
+    ("ipl-1.0", 3, 0.85, "ibm public licen[sc]e(?: version| v)? 1 0"),
+    ("qpl-1.0", 3, 0.8, "q public licen[sc]e"),
+    ("cecill", 3, 0.8, "cecill(?: free software)? licen[sc]e"),
+    ("sspl-1.0", 3, 0.85, "server side public licen[sc]e"),
+    ("busl-1.1", 3, 0.85, "business source licen[sc]e(?: version)?(?: 1 1)?"),
+    ("elastic-2.0", 3, 0.85, "elastic licen[sc]e(?: version)?(?: 2 0)?"),
+    ("commons-clause", 3, 0.85, "commons clause licen[sc]e condition"),
+    ("commons-clause", 4, 0.7, "commons clause"),
+    # licences of media, data and fonts
+    ("cc-by-4.0", 2, 0.9, "this work is licensed under a creative commons attribution 4 0 international licen[sc]e"),
+    ("cc-by-sa-4.0", 2, 0.9, "this work is licensed under a creative commons attribution sharealike 4 0 international licen[sc]e"),
+    ("cc-by-nc-4.0", 2, 0.9, "this work is licensed under a creative commons attribution noncommercial 4 0 international licen[sc]e"),
+    ("cc-by-sa-3.0", 2, 0.9, "text is available under the creative commons attribution share ?alike licen[sc]e"),
+    ("ofl-1.1", 2, 0.9, "this font software is licensed under the sil open font licen[sc]e version 1 1"),
+    ("odc-by-1.0", 3, 0.85, "open data commons attribution licen[sc]e"),
+    ("pddl-1.0", 3, 0.85, "open data commons public domain dedication and licen[sc]e"),
+    ("odbl-1.0", 3, 0.85, "made available under the open database licen[sc]e"),
+    ("cdla", 3, 0.85, "community data licen[sc]e agreement (?:permissive|sharing)"),
+    ("ogl-uk", 3, 0.85, "open government licen[sc]e(?: v| version)?(?: [123] 0)?"),
+    # addresses, as they stand without their signs
+    ("mit", 3, 0.85, "opensource org licenses mit"),
+    ("bsd-2-clause", 3, 0.85, "opensource org licenses bsd 2 clause"),
+    ("bsd-3-clause", 3, 0.85, "opensource org licenses bsd 3 clause"),
+    ("isc", 3, 0.85, "opensource org licenses isc"),
+    ("apache-2.0", 3, 0.85, "opensource org licenses apache 2 0"),
+    ("apache-2.0", 3, 0.9, "apache org licenses license 2 0"),
+    ("apache-1.1", 3, 0.9, "apache org licenses license 1 1"),
+    ("gpl-2.0", 3, 0.85, "gnu org licenses (?:old licenses )?gpl 2 0"),
+    ("gpl-3.0", 3, 0.85, "gnu org licenses gpl 3 0"),
+    ("gpl", 4, 0.7, "gnu org licenses"),
+    ("gpl", 3, 0.8, "gnu org licenses gpl"),
+    ("gpl", 4, 0.7, "gnu org copyleft gpl"),
+    ("lgpl-2.1", 3, 0.85, "gnu org licenses (?:old licenses )?lgpl 2 1"),
+    ("lgpl-3.0", 3, 0.85, "gnu org licenses lgpl 3 0"),
+    ("agpl-3.0", 3, 0.85, "gnu org licenses agpl 3 0"),
+    ("gfdl", 3, 0.85, "gnu org licenses fdl(?: 1 [123])?"),
+    ("mpl-2.0", 3, 0.9, "mozilla org mpl 2 0"),
+    ("mpl-1.1", 3, 0.9, "mozilla org mpl mpl 1 1"),
+    ("epl-1.0", 3, 0.9, "eclipse org legal epl v10"),
+    ("epl-2.0", 3, 0.9, "eclipse org legal epl 2 0"),
+    ("cc0-1.0", 3, 0.9, "creativecommons org publicdomain zero 1 0"),
+    ("cc-by-2.0", 3, 0.9, "creativecommons org licenses by 2 0"),
+    ("cc-by-3.0", 3, 0.9, "creativecommons org licenses by 3 0"),
+    ("cc-by-4.0", 3, 0.9, "creativecommons org licenses by 4 0"),
+    ("cc-by-sa-3.0", 3, 0.9, "creativecommons org licenses by sa 3 0"),
+    ("cc-by-sa-4.0", 3, 0.9, "creativecommons org licenses by sa 4 0"),
+    ("cc-by-nc-4.0", 3, 0.9, "creativecommons org licenses by nc 4 0"),
+    ("cc-by-nd-4.0", 3, 0.9, "creativecommons org licenses by nd 4 0"),
+    ("cc-by-nc-sa-4.0", 3, 0.9, "creativecommons org licenses by nc sa 4 0"),
+    ("cc-by-nc-nd-4.0", 3, 0.9, "creativecommons org licenses by nc nd 4 0"),
+    ("bsl-1.0", 3, 0.85, "boost org license 1 0"),
+    ("zlib", 3, 0.85, "zlib net zlib license"),
+    # expressions of several licences
+    ("apache-2.0 mit", 2, 0.9, "apache 2 0 (?:or|and) mit"),
+    ("apache-2.0 mit", 2, 0.9, "mit (?:or|and) apache 2 0"),
+    ("apache-2.0", 2, 0.85, "apache 2 0 with llvm exceptions?"),
+    ("gpl-2.0", 2, 0.9, "gpl 2 0 (?:only|or later)"),
+    ("gpl-3.0", 2, 0.9, "gpl 3 0 (?:only|or later)"),
+    ("gpl-2.0", 3, 0.8, "gplv2(?: only)?"),
+    ("gpl-3.0", 3, 0.8, "gplv3(?: only)?"),
+    ("lgpl-2.1", 2, 0.9, "lgpl 2 1 (?:only|or later)"),
+    ("lgpl-3.0", 2, 0.9, "lgpl 3 0 (?:only|or later)"),
+    ("lgpl-3.0", 3, 0.8, "lgplv3"),
+    ("agpl-3.0", 2, 0.9, "agpl 3 0 (?:only|or later)"),
+    ("agpl-3.0", 3, 0.8, "agplv3"),
+    ("epl-2.0", 2, 0.85, "epl 2 0 or gpl 2 0 with classpath exception"),
+    ("bsd gpl", 3, 0.75, "(?:dual )?bsd (?:or|and) gpl"),
+    ("gpl mit", 3, 0.75, "(?:dual )?mit (?:or|and) gpl"),
+    # what belongs to all, and what does not
+    ("public-domain", 3, 0.9, "(?:released|placed|dedicated|donated) (?:in|into|to) the public domain"),
+    ("public-domain", 4, 0.8, "(?:this|the) (?:work|code|file|software) is in the public domain"),
+    ("public-domain", 6, 0.5, "(?:in )?the public domain"),
+    ("proprietary", 5, 0.5, "all rights reserved"),
+    ("proprietary", 4, 0.7, "proprietary (?:and confidential|licen[sc]e|software)"),
+    ("proprietary", 3, 0.75, "unauthorized copying of this file via any medium is strictly prohibited proprietary and confidential"),
+    ("proprietary", 4, 0.7, "end user licen[sc]e agreement"),
+    ("proprietary", 4, 0.65, "commercial licen[sc]e"),
+    ("proprietary", 4, 0.65, "(?:this|the) software is licensed not sold"),
+    ("unknown", 5, 0.4, "see (?:the )?licen[sc]e(?: file)? for (?:details|more information)"),
+    ("unknown", 5, 0.4, "licensed under the same terms as"),
+    ("copyleft", 6, 0.4, "copyleft"),
 )
 
 
@@ -111,7 +247,7 @@ def rules() -> list[tuple[str, str, int, float, str]]:
     # a bare name is no licence unless the name itself says so
     named = [r for r in named if r[2] < 6 or r[0] not in ("mit", "isc", "zlib", "bsd")]
     bare = [(label, gate, 6, 0.6, f"(?:the )?{gate}(?: expat| style| libpng)? licen[sc]e") for label, gate in (("mit", "mit"), ("isc", "isc"), ("zlib", "zlib"), ("bsd", "bsd"))]
-    return sorted([*SPECIAL, *named, *bare], key=lambda r: r[2])
+    return sorted([*((label, "", p, c, regex) for label, p, c, regex in SIGNATURES), *named, *bare], key=lambda r: r[2])
 
 
 def _strings(nodes: list) -> Iterator[str]:
