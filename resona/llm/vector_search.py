@@ -38,13 +38,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, small_batches, written
+from .common import broadcast_if_small, small_batches, smallest, written
 
 TABLES, HASHES, REACH = 2, 3, 3
 WIDTH = 0.8
 SAMPLE, SAMPLE_QUERIES = 10_000, 200
 RECALL = 0.97
 BLOCK, GROUP = 4096, 1024
+#: Queries whose probes one task makes.
+QUERIES_PER_TASK = 256
 SEED = 20_240
 
 
@@ -145,7 +147,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_
     bounds = points.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).alias("longest"), F.sum(F.size("ids")).alias("n")).first()
     if not bounds.n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = points.orderBy(F.xxhash64("v")).limit(SAMPLE).select("v").collect()  # SAMPLE rows at most
+    sample = smallest(points.select("v"), F.xxhash64("v"), SAMPLE).collect()  # SAMPLE rows at most
     index = spark.sparkContext.broadcast(fit(np.array([r.v for r in sample]), bounds.longest, k))
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,7 +168,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_
     placed = written(points.select("point", "v").mapInPandas(place, "tab int, bucket long, point long, v array<double>"), "placed")
     asked = usable(queries, key, vector).dropDuplicates(["id", "v"]).select(F.col("id").alias("query_id"), F.xxhash64("v").alias("h"), "v")
     asked = written(asked, "queries")
-    visits = written(asked.mapInPandas(visit, "tab int, bucket long, query_id long, h long"), "visits")
+    # probing is much work for few bytes: dealt by a count of queries, not by the size of their file
+    parts = max(1, -(-asked.count() // QUERIES_PER_TASK))
+    visits = written(asked.repartition(parts, "query_id").mapInPandas(visit, "tab int, bucket long, query_id long, h long"), "visits")
 
     def best(key_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):

@@ -176,15 +176,35 @@ def test_secrets(spark, docs, tmp_path, empty):
         said = ",".join(f"{('assign', 'access', 'hex')[b]}:{x}:{y}" for x, b, y in sorted(s))
         want[(k, *[sum(b == i for _, b, _ in s) for i in range(3)], hashlib.sha256(said.encode()).hexdigest())] += 1
     assert Counter((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in got) == want
-    before = spark.read.parquet(ledger).count()
+    before = secret_scan.read_ledger(spark, ledger).count()
     again = d.union(spark.createDataFrame([(99, "passwd=brandnew", 1)], d.schema))
     assert secret_scan.scan_paths(again, ledger).count() == len(rows) + 1
-    assert spark.read.parquet(ledger).count() == before + 1  # one unseen blob
+    assert secret_scan.read_ledger(spark, ledger).count() == before + 1  # one unseen blob
+    assert secret_scan.history(spark, ledger).where("path = 99 or path = 3").count() == 3  # two versions of one path
     clean = secret_scan.redacted(d.where("doc_id = 0"), ledger).first()
     assert clean.text.startswith("é[assign] and") and clean.blob == 1
     assert secret_scan.scan_paths(empty, f"file://{tmp_path}/none").count() == 0
 
 
+def test_changed_rule_scans_only_that_rule(spark, tmp_path):
+    d = spark.createDataFrame([(k, f"{SECRET[k % len(SECRET)]} and more") for k in range(30)], "doc_id long, text string")
+    ledger = f"file://{tmp_path}/ledger"
+    want = sorted(map(tuple, secret_scan.scan_paths(d, f"file://{tmp_path}/other").collect()))
+    base = tuple(r for r in secret_scan.RULES if r[0] in secret_scan.BASE)
+    secret_scan.scan(d, ledger, rules=base)
+    assert sorted(map(tuple, secret_scan.scan_paths(d, ledger).collect())) == want
+    runs = secret_scan.read_ledger(spark, ledger).collect()
+    assert sorted({len(r.rules) for r in runs}) == [3, len(secret_scan.RULES) - 3] and len(runs) == 2 * len(SECRET)
+    kind, pattern, _, *rest = secret_scan.RULES[1]
+    changed = tuple((kind, pattern, 4, *rest) if r[0] == kind else r for r in secret_scan.RULES)
+    _, findings = secret_scan.scan(d, ledger, rules=changed)
+    new = [r for r in secret_scan.read_ledger(spark, ledger).collect() if r not in runs]
+    assert len(new) == len(SECRET) and {tuple(r.rules) for r in new} == {(secret_scan.versions(changed)[kind],)}
+    found = Counter(s.kind for r in findings.collect() for s in r.found)
+    assert found["access"] == 2 and found["assign"] == 2  # the shorter key counts now; other rules' findings stay
+    assert secret_scan.read_ledger(spark, ledger).count() == 3 * len(SECRET)
+
+
 def _components(rows):
     def shingles(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
@@ -339,3 +359,40 @@ def test_every_licence_mention_counts_as_in_the_whole_text(spark):
     for t, r in got.items():
         base = {b for _, b in license_scan.BASE if f" {dict(mit='mit', apache='apache', gpl='general public')[b]} license " in f" {t.lower()} "}
         assert set(r.labels.split(",")) - {""} == set(_whole_text_labels(t).split(",")) - {""} | base, t
+
+
+def test_recent_forgets_what_was_not_asked_for():
+    from resona.llm.common import ENTRY_BYTES, Recent
+
+    known = Recent(20 * ENTRY_BYTES)
+    for k in range(200):
+        wanted = {"always", f"once {k}"}
+        known.add({w: w.upper() for w in known.missing(wanted)})
+        assert all(known.young[w] == w.upper() for w in wanted)
+        assert len(known.young) + len(known.old) <= 24
+    assert "always" in known.young and known.missing({"once 0"}) == {"once 0"}
+
+
+def test_sketches_of_a_batch_of_long_texts_stay_small():
+    import tracemalloc
+
+    import numpy as np
+
+    from resona.llm import near_dedup
+
+    rng = np.random.default_rng(7)
+    sets = [np.unique(rng.integers(0, 2**63, 20_000, dtype=np.uint64)) for _ in range(128)]
+    tracemalloc.start()
+    got = near_dedup.sketches(sets)
+    assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    tracemalloc.stop()
+    assert (got[5] == near_dedup.sketches([sets[5]])[0]).all()
+
+
+@pytest.mark.parametrize("n", [0, 5, 99, 100, 101, 130, 5000])
+def test_smallest_hashes(spark, n):
+    from resona.llm.common import smallest
+
+    df = spark.range(n)
+    want = [r.id for r in df.orderBy(F.xxhash64("id")).limit(100).collect()]
+    assert [r.id for r in smallest(df, F.xxhash64("id"), 100).collect()] == want
