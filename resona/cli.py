@@ -1,4 +1,4 @@
-"""python -m resona.cli FOLDER COMMAND ...: scan, recall, stats, forget, changes and learn on a memory."""
+"""python -m resona.cli FOLDER COMMAND ...: init, scan, sync, watch, recall, context, graph, stats, forget, changes and learn on a memory."""
 
 from __future__ import annotations
 
@@ -8,15 +8,18 @@ import time
 from pyspark.sql import SparkSession
 
 from resona.engine import MemoryEngine
+from resona.operators import render
+from resona.streaming import watch
 
 
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="resona", description=__doc__)
     parser.add_argument("folder")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name in ("scan", "changes"):
+    for name in ("init", "scan", "sync", "changes", "watch"):
         commands.add_parser(name).add_argument("root")
-    commands.add_parser("recall").add_argument("query")
+    for name in ("recall", "context", "graph"):
+        commands.add_parser(name).add_argument("query")
     learn = commands.add_parser("learn")
     learn.add_argument("concepts", nargs="+")
     learn.add_argument("--summary", default="")
@@ -25,16 +28,25 @@ def main(argv: list[str] | None = None) -> None:
     a = parser.parse_args(argv)
     spark = SparkSession.builder.appName("resona").getOrCreate()
     memory = MemoryEngine(spark, a.folder)
-    if a.command == "scan":
+    if a.command in ("init", "scan"):
         print(memory.scan(a.root, time.time()))
+    elif a.command == "sync":
+        print(memory.sync(a.root, time.time()))
+    elif a.command == "watch":
+        print(memory.sync(a.root, time.time()))
+        learned = lambda rows: [memory.learn_file(a.root, r.path, time.time()) for r in rows.select("path").toLocalIterator()]
+        watch.learn_stream(watch.watch(spark, a.root), learned, f"{a.folder}/watch", endless=True).awaitTermination()
     elif a.command == "changes":
         memory.changes(a.root).show(20, False)
     elif a.command == "learn":
         memory.learn_offline(a.concepts, time.time(), a.summary)
     elif a.command == "recall":
-        results = memory.recall(spark.createDataFrame([("q", a.query)], "query_id string, query string"))
-        print(memory.context(results).first()["context"])
-        memory.commit_activation(results, time.time())
+        print(memory.remember(a.query, time.time()))
+    elif a.command == "context":  # the same without strengthening anything
+        told = memory.context(memory.recall(spark.createDataFrame([("q", a.query)], "query_id string, query string"))).first()
+        print(render.NOTHING if told is None else told["context"])
+    elif a.command == "graph":
+        memory.graph_recall(spark.createDataFrame([("q", a.query)], "query_id string, query string"), time.time()).orderBy("rank").show(truncate=False)
     elif a.command == "forget":
         print(memory.forget(time.time()))
     else:

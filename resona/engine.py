@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from resona import schemas
 from resona.functions import text as tx, vectors as vx
-from resona.operators import encode, plasticity as pl, render, resonate as rs
+from resona.operators import encode, graph as gr, plasticity as pl, render, resonate as rs
 from resona.operators.lineage import cut
-from resona.sources import extract, files
+from resona.sources import extract, files, structure
 from resona.sources.snapshots import Store
 
 RECALLED, TOGETHER = 0.02, 0.02
@@ -23,11 +23,18 @@ class MemoryEngine:
     Every method that changes state takes the time, in epoch seconds.
     """
 
-    def __init__(self, spark: SparkSession, path: str, dimension: int = encode.DIMENSION, decay_rate: float = 0.01, groups: DataFrame | None = None):
-        self.spark, self.store, self.dimension, self.decay_rate, self.groups = spark, Store(spark, path), dimension, decay_rate, groups
+    def __init__(self, spark: SparkSession, path: str, dimension: int = encode.DIMENSION, decay_rate: float = 0.01, groups: DataFrame | None = None, embedder: Callable[[list[str]], list | None] | None = None):
+        self.spark, self.store, self.dimension, self.decay_rate, self.groups, self.embedder = spark, Store(spark, path), dimension, decay_rate, groups, embedder
 
     def glyphs(self) -> DataFrame:
-        return self.store.read("glyphs", schemas.GLYPHS)
+        """The last snapshot with the recalls since then."""
+        recalled = self.store.log("activations", schemas.ACTIVATIONS).where(F.col("base") == self.store.version("glyphs"))
+        return pl.reinforce(self.store.read("glyphs", schemas.GLYPHS), recalled)
+
+    def _encoded(self, texts: DataFrame, key: str, text: str) -> DataFrame:
+        if self.embedder is None:
+            return encode.encode_text(texts, key, text, self.dimension, self.groups)
+        return encode.embed(texts, key, text, self.embedder, self.dimension, groups=self.groups)
 
     def region_vectors(self) -> DataFrame:
         return pl.regions(self.store.log("ledger", schemas.LEDGER))
@@ -40,7 +47,7 @@ class MemoryEngine:
         """Stores units (id, content, source, encode_input, pos); prune_missing has the sources whose other glyphs go."""
         # numbers rise with the order of the sorted rows, whatever the partitions
         numbered = cut(units.orderBy("source", "pos", "id")).withColumn("seq", F.monotonically_increasing_id() + self._next())
-        vectors = encode.encode_text(numbered, "seq", "encode_input", self.dimension, self.groups)
+        vectors = self._encoded(numbered, "seq", "encode_input")
         new = numbered.join(vectors, "seq").select(
             "id", "vector", F.lit(1.0).alias("magnitude"), F.lit(now).alias("created_at"), F.lit(now).alias("last_activated"), F.lit(0).cast("long").alias("activation_count"), "source", F.substring("content", 1, 200).alias("content"), F.lit(region).alias("region_id"), "seq",
         )
@@ -53,9 +60,12 @@ class MemoryEngine:
             merged = merged.join(gone, "id", "left_anti")
         self.store.save("glyphs", cut(merged.select(old.columns)))
 
-    def learn(self, content: str, now: float, distil: Callable[[DataFrame], DataFrame], source: str = "") -> None:
-        """distil turns (source, content) into (source, reply); the replies' concepts are stored."""
-        replies = distil(self.spark.createDataFrame([(source, content)], "source string, content string"))
+    def learn(self, content: str | None, now: float, distil: Callable[[DataFrame], DataFrame], source: str = "", path: str | None = None) -> None:
+        """distil turns (source, prompt) into (source, reply); the replies' concepts are stored. With a path, its content is learned."""
+        told = self.spark.createDataFrame([(source, content)], "source string, content string")
+        if path is not None:
+            told = self.spark.read.text(path, wholetext=True).select(F.lit(source or path).alias("source"), F.col("value").alias("content"))
+        replies = distil(files.prompts(told, self.glyphs()))
         found = files.distilled(replies)
         units = found.select(F.col("concept").alias("id"), F.col("intention").alias("content"), "source", F.concat_ws(" ", "concept", "intention").alias("encode_input"), F.lit(0).alias("pos"))
         self.store_units(units, now)
@@ -75,18 +85,76 @@ class MemoryEngine:
         self.store.append("ledger", bound.select(F.lit(base).cast("long").alias("seq"), F.lit(region).alias("region_id"), F.lit("relation").alias("kind"), F.lit(1.0).alias("coeff"), "vector", F.col("src").alias("ref_a"), F.col("tgt").alias("ref_b")))
 
     def scan(self, root: str, now: float, force: bool = False, prune_missing: bool = False) -> dict:
-        """Learns what has changed under root; how many files were scanned, learned, skipped, deleted."""
+        """Learns what has changed under root; how many files were scanned, learned, skipped, deleted, and could not be read."""
         found = files.scan(self.spark, root)
-        state = self.store.read("scan_state", schemas.SCAN_STATE)
-        status = cut(files.changes(found, state))
+        failed = cut(files.unread(self.spark, root, found))
+        status = cut(files.changes(found, self.store.read("scan_state", schemas.SCAN_STATE)).join(failed, "path", "left_anti"))
         wanted = status.where(F.col("status").isin("added", "modified", *(["unchanged"] if force else []))).select("path")
-        texts = cut(found.join(wanted, "path", "left_semi").select("path", extract.normal_text(F.col("content")).alias("text")))
-        gone = texts.select(F.col("path").alias("source")).union(status.where("status = 'deleted'").select("path")) if prune_missing else None
-        self.store_units(extract.units(texts), now, prune_missing=gone)
+        self._take(found.join(wanted, "path", "left_semi"), now, status.where("status = 'deleted'").select("path") if prune_missing else None)
+        self._seen(status.where("status <> 'deleted'"), now, status.where("status = 'deleted'"))
+        return files.counters(status, failed).first().asDict()
+
+    def learn_file(self, root: str, path: str, now: float) -> bool:
+        """Learns one file under root if it has changed; whether it had."""
+        found = cut(files.single(self.spark, root, path))
+        state = self.store.read("scan_state", schemas.SCAN_STATE).where(F.col("file_path") == path)
+        new = cut(files.changes(found, state).where("status in ('added', 'modified')"))
+        if new.isEmpty():
+            return False
+        self._take(found, now, self.spark.createDataFrame([], "path string"))
+        self._seen(new, now, new.limit(0))
+        return True
+
+    def sync(self, root: str, now: float) -> dict:
+        """What a start of a watcher does first: learns what has changed meanwhile, and forgets what is gone."""
+        return self.scan(root, now, prune_missing=True)
+
+    def _take(self, found: DataFrame, now: float, gone: DataFrame | None) -> None:
+        texts = cut(found.select("path", extract.normal_text(F.col("content")).alias("text")))
+        self.store_units(extract.units(texts), now, prune_missing=None if gone is None else texts.select(F.col("path").alias("source")).union(gone))
         self.relate(extract.relations(texts))
-        kept = status.where("status <> 'deleted'").select(F.col("path").alias("file_path"), F.col("hash").alias("file_hash"), F.lit(now).alias("last_scanned"))
-        self.store.save("scan_state", kept)
-        return files.counters(status).first().asDict()
+        self._draw(texts, now)
+
+    def _seen(self, status: DataFrame, now: float, gone: DataFrame) -> None:
+        new = status.select(F.col("path").alias("file_path"), F.col("hash").alias("file_hash"), F.lit(now).alias("last_scanned"))
+        old = self.store.read("scan_state", schemas.SCAN_STATE).join(new.select("file_path").union(gone.select("path")), "file_path", "left_anti")
+        self.store.save("scan_state", old.unionByName(new))
+
+    def _draw(self, texts: DataFrame, now: float) -> None:
+        """Adds nodes, edges and threads of files to the graph."""
+        nodes, edges, threads = self.graph()
+        base = max(0 if (at := t.agg(F.max("seq")).first()[0]) is None else at + 1 for t in (nodes, edges, threads))
+        found = cut(structure.facts(texts).orderBy("source", "pos")).withColumn("seq", F.monotonically_increasing_id() + base)
+        ids = found.select("id", "seq").union(found.where("other is not null").select("other", "seq"))
+        drawn = gr.connect(structure.pairs(found))
+        both = edges.unionByName(drawn.select("src", "dst", "weight", F.lit(now).alias("created_at"), F.lit(now).alias("last_activated"), F.lit(0).cast("long").alias("activation_count"), "seq"))
+        one = both.groupBy("src", "dst").agg(F.min_by("weight", "seq").alias("weight"), F.count("*").alias("n"), F.min("created_at").alias("created_at"), F.max("last_activated").alias("last_activated"), F.sum("activation_count").alias("activation_count"), F.min("seq").alias("seq"))
+        again = F.least(F.lit(1.0), F.col("weight") + gr.AGAIN * (F.col("n") - 1)).alias("weight")
+        self.store.save("edges", cut(one.select("src", "dst", again, "created_at", "last_activated", "activation_count", "seq")))
+        self.store.save("nodes", cut(gr.add_nodes(nodes, ids, now)))
+        self.store.save("threads", cut(gr.upsert_threads(threads, structure.threads(found, now))))
+
+    def graph(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(nodes, edges, threads)."""
+        return tuple(self.store.read(t, s) for t, s in (("nodes", schemas.NODES), ("edges", schemas.EDGES), ("threads", schemas.THREADS)))
+
+    def load_graph(self, graph: str, threads: str | None = None) -> None:
+        """Takes over a graph, and threads, that are kept as JSON."""
+        nodes, edges = structure.graph_json(self.spark, graph)
+        self.store.save("nodes", nodes)
+        self.store.save("edges", edges)
+        if threads is not None:
+            self.store.save("threads", structure.threads_json(self.spark, threads))
+
+    def graph_recall(self, queries: DataFrame, now: float, top_k: int = 10) -> DataFrame:
+        """query_id, rank, node, activation and content by spreading activation; the edges on the way and the stimuli are strengthened."""
+        nodes, edges, threads = self.graph()
+        results, used = gr.query(queries, nodes, edges, threads, top_k)
+        results = cut(results)
+        stimuli = gr.named_nodes(queries, nodes).select(F.lit(now).alias("ts"), F.col("node").alias("id"))
+        self.store.save("edges", cut(gr.reinforce_edges(edges, used)))
+        self.store.save("nodes", cut(gr.activate(nodes, stimuli)))
+        return results
 
     def changes(self, root: str) -> DataFrame:
         return files.changes(files.scan(self.spark, root), self.store.read("scan_state", schemas.SCAN_STATE)).where("status <> 'unchanged'")
@@ -94,7 +162,7 @@ class MemoryEngine:
     def recall(self, queries: DataFrame, top_k: int = 10, hops: int = 3, region: str = "default") -> DataFrame:
         """query_id, rank, id, score, content, source and activation_count for queries (query_id, query). Changes nothing."""
         g = self.glyphs()
-        stimuli = encode.encode_text(queries, "query_id", "query", self.dimension, self.groups)
+        stimuli = self._encoded(queries, "query_id", "query")
         bound = self.region_vectors().where(F.col("region_id") == region)
         results = rs.multihop(g, stimuli, bound, hops, top_k)
         every = rs.with_fallback(results, g, queries, top_k)
@@ -103,14 +171,20 @@ class MemoryEngine:
     def commit_activation(self, results: DataFrame, now: float) -> None:
         """Strengthens what was recalled, and binds the first three results of each query in pairs."""
         results = cut(results.select("query_id", "rank", "id"))
-        log = results.select(F.lit(now).alias("ts"), "id", F.lit(RECALLED).alias("amount"))
+        log = results.select(F.lit(now).alias("ts"), "id", F.lit(RECALLED).alias("amount"), F.lit(self.store.version("glyphs")).alias("base"))
         g = self.glyphs()
         vectors = g.select("id", "vector", "region_id", "seq")
         a = results.where("rank < 3").join(vectors, "id").select("query_id", "rank", F.col("id").alias("ref_a"), F.col("vector").alias("va"), "region_id", "seq")
         b = results.join(vectors, "id").select("query_id", (F.col("rank") - 1).alias("rank"), F.col("id").alias("ref_b"), F.col("vector").alias("vb"))
         self.store.append("ledger", pl.co_activate(a.join(b, ["query_id", "rank"]), TOGETHER).select("seq", "region_id", "kind", "coeff", "vector", "ref_a", "ref_b"))
         self.store.append("activations", log)
-        self.store.save("glyphs", cut(pl.reinforce(g, log)))
+
+    def remember(self, query: str, now: float, top_k: int = 10) -> str:
+        """The cognitive map of one question; what was recalled is strengthened."""
+        results = cut(self.recall(self.spark.createDataFrame([("q", query)], "query_id string, query string"), top_k))
+        told = self.context(results).first()
+        self.commit_activation(results, now)
+        return render.NOTHING if told is None else told["context"]
 
     def context(self, results: DataFrame) -> DataFrame:
         return render.cognitive_map(results)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,8 +11,12 @@ from pyspark.sql import functions as F
 
 from resona.functions import synonyms, text as tx, vectors as vx
 
+from .lineage import cut
+
 DIMENSION = 1024
 SYNONYM, BIGRAM, TRIGRAM = 0.5, 0.5, 0.08
+#: Texts that an embedder of the caller's is asked for at once.
+EMBEDDED = 20
 #: Feature vectors that a worker keeps.
 CACHE = 8192
 #: Features and texts of one product of matrices.
@@ -97,6 +103,31 @@ def encode_text(texts: DataFrame, key: str, text: str, dimension: int = DIMENSIO
     return listed.select(key, projection(dimension)(F.col("f.seed").cast("array<string>"), F.col("f.weight")).alias("vector"))
 
 
+def embed(texts: DataFrame, key: str, text: str, embedder: Callable[[list[str]], list | None], dimension: int = DIMENSION, batch: int = EMBEDDED, groups: DataFrame | None = None) -> DataFrame:
+    """key and vector by an embedder of the caller's, asked for so many texts at once, cut or filled up to the dimension.
+
+    Texts for which it fails, or gives None, have the vector that they have without it.
+    """
+
+    @F.pandas_udf("array<double>")
+    def ask(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            out: list = []
+            for lo in range(0, len(part), batch):
+                some = part.iloc[lo : lo + batch].tolist()
+                try:
+                    got = embedder(some)
+                except Exception:  # noqa: BLE001 - whatever a remote service raises, its texts are encoded here
+                    got = None
+                out += [None] * len(some) if got is None else [None if v is None else [float(x) for x in v] for v in got]
+            yield pd.Series(out, index=part.index, dtype=object)
+
+    asked = cut(texts.select(key, F.col(text).alias("_text"), ask(F.col(text)).alias("vector")))
+    given = asked.where("vector is not null").select(key, vx.resize(F.col("vector"), dimension).alias("vector"))
+    rest = asked.where("vector is null")
+    return given.unionByName(encode_text(rest, key, "_text", dimension, groups))
+
+
 def encode_identifier(names: DataFrame, key: str, name: str, context: str | None = None, dimension: int = DIMENSION) -> DataFrame:
     words = tx.identifier_words(F.col(name))
     if context:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed in the shared folder that the cluster names; in a temporary one where none is set (tests)."""
+    """df checkpointed in the shared folder that spark.checkpoint.dir names; in a temporary one where none is set and all tasks run in this process."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='resona-')}")
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='resona-')}")
     return df.checkpoint()

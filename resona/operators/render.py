@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PATTERNS, ASSOCIATIONS, SOURCES, INSIGHTS = 10, 8, 8, 3
+#: What a question without results is told.
+NOTHING = "# Memory\nNo resonating patterns."
 
 
 def number(c: str, digits: int = 2):

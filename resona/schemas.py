@@ -2,7 +2,7 @@
 
 GLYPHS = "id string, vector array<double>, magnitude double, created_at double, last_activated double, activation_count long, source string, content string, region_id string, seq long"
 LEDGER = "seq long, region_id string, kind string, coeff double, vector array<double>, ref_a string, ref_b string"
-ACTIVATIONS = "ts double, id string, amount double"
+ACTIVATIONS = "ts double, id string, amount double, base int"
 RELATIONSHIPS = "src string, tgt string, rel_type string, source string, seq long"
 NODES = "id string, created_at double, last_activated double, activation_count long, seq long"
 EDGES = "src string, dst string, weight double, created_at double, last_activated double, activation_count long, seq long"

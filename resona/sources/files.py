@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import re
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,12 +51,65 @@ def not_ignored(files: DataFrame, patterns: DataFrame) -> DataFrame:
     return files.join(F.broadcast(p), F.contains("path", F.col("_p")), "left_anti")  # the lines of one file
 
 
+_SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+_GLOB = re.compile(r"([\\*?{}\[\]^])")
+
+
+def _plain(path: str) -> str:
+    """A path that Spark takes as it is, not as a pattern."""
+    return _GLOB.sub(r"\\\1", path.rstrip("/"))
+
+
+def relative(path: Column, root: str) -> Column:
+    """What follows the root in a path as Spark's readers give it; the root's name may recur, and hold signs of a regex."""
+    bare = re.sub(_SCHEME, "", root) if re.match(_SCHEME, root) else os.path.abspath(root)
+    return F.substring(F.regexp_replace(path, _SCHEME, ""), F.lit(len(bare.rstrip("/")) + 2), F.lit(1 << 30))
+
+
+def ignore_patterns(spark: SparkSession, root: str) -> DataFrame:
+    """The lines of the root's .gitignore (pattern); none where there is no such file.
+
+    Spark's readers leave hidden files out, so pyarrow reads this one on the
+    driver; a store that it does not know has no patterns.
+    """
+    try:
+        store, path = fs.FileSystem.from_uri(root if re.match(_SCHEME, root) else f"file://{quote(os.path.abspath(root))}")
+        with store.open_input_file(f"{path.rstrip('/')}/.gitignore") as f:
+            lines = f.read().decode("utf-8", "replace").splitlines()
+    except (FileNotFoundError, pa.ArrowInvalid, pa.ArrowNotImplementedError):
+        lines = []
+    return spark.createDataFrame([(x.strip(),) for x in lines], "pattern string")
+
+
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """path (relative) and uri of the files under root that are worth reading; no content is read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(_plain(root)).select(F.col("path").alias("uri"), "length")
+    own = found.where(F.col("length") <= LARGEST).select(relative(F.col("uri"), root).alias("path"), "uri")
+    return not_ignored(own.where(known_suffix(F.col("path")) & ~pruned(F.col("path"))), ignore_patterns(spark, root))
+
+
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """path (relative), content and hash of the files under root that are worth reading."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= LARGEST)
-    relative = F.regexp_replace("path", f"^.*?{root.rstrip('/').split('/')[-1]}/", "")
-    files = found.select(relative.alias("path"), "content", F.md5("content").alias("hash"))
-    return files.where(known_suffix(F.col("path")) & ~pruned(F.col("path")))
+    """path (relative), content and hash of the files under root that are worth reading and can be read.
+
+    Paths are listed and filtered first, and content is read of those only.
+    Their names pass through the driver, as in any listing by Spark.
+    """
+    uris = [_plain(r.uri) for r in listed(spark, root).select("uri").toLocalIterator()]
+    if not uris:
+        return spark.createDataFrame([], "path string, content binary, hash string")
+    found = spark.read.format("binaryFile").option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).load(uris)
+    return found.select(relative(F.col("path"), root).alias("path"), "content", F.md5("content").alias("hash"))
+
+
+def unread(spark: SparkSession, root: str, found: DataFrame) -> DataFrame:
+    """path of the files that are listed but could not be read."""
+    return listed(spark, root).select("path").join(found.select("path"), "path", "left_anti")
+
+
+def single(spark: SparkSession, root: str, path: str) -> DataFrame:
+    """path, content and hash of one file under root, if it is worth reading."""
+    file = spark.read.format("binaryFile").load(f"{_plain(root)}/{_plain(path)}").where(F.col("length") <= LARGEST)
+    return file.select(F.lit(path).alias("path"), "content", F.md5("content").alias("hash")).where(known_suffix(F.col("path")) & ~pruned(F.col("path")))
 
 
 def changes(files: DataFrame, state: DataFrame) -> DataFrame:
@@ -74,6 +133,21 @@ def commits(log: DataFrame) -> DataFrame:
     return log.select(content.alias("content"), F.concat(F.lit("git:"), "hash").alias("source"))
 
 
+#: Known concepts that a prompt names, and characters of content that it holds.
+KNOWN, CHARACTERS = 150, 6000
+
+
+def prompts(contents: DataFrame, known: DataFrame) -> DataFrame:
+    """source and prompt for a language model, of contents (source, content) and known (id, magnitude, seq): the strongest ids so far are named."""
+    best = known.where("magnitude > 0").orderBy(F.desc("magnitude"), "seq").limit(KNOWN)
+    listed_ = best.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "id"))), lambda x: x["id"]), ", ").alias("ids"))  # one row of KNOWN ids
+    ask = F.concat(F.lit("Known concepts: "), F.when(F.col("ids") == "", "none yet").otherwise(F.col("ids")), F.lit(
+        ".\nName the concepts of the text below, reusing known names where they fit. Answer with JSON only: "
+        '{"units": [{"concept": "snake_case", "intention": "one sentence", "relationships": [{"target": "snake_case", "weight": 0.5}]}]}\n\nText from '),
+        F.col("source"), F.lit(":\n"), F.substring("content", 1, CHARACTERS))
+    return contents.crossJoin(F.broadcast(listed_)).select("source", ask.alias("prompt"))
+
+
 def distilled(replies: DataFrame) -> DataFrame:
     """replies (source, reply) of a language model as concepts: fences are stripped, else the outermost braces are taken, else nothing."""
     schema = "units array<struct<concept:string,intention:string,relationships:array<struct<target:string,weight:double>>>>"

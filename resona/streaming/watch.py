@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from resona.sources.files import watched
+from resona.sources.files import relative, watched
 
 WINDOW = 2.0
 #: Seconds of a slot, at whose borders a key's events may be dealt to other tasks.
@@ -97,18 +98,27 @@ def watch(spark: SparkSession, root: str) -> DataFrame:
     """A stream of the files that arrive under root and that a watcher takes: path, content, hash."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     found = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).load(root)
-    name = root.rstrip("/").split("/")[-1]
-    relative = F.regexp_replace("path", f"^.*?{name}/", "")
-    return found.select(relative.alias("path"), "content", F.md5("content").alias("hash")).where(watched(F.col("path")))
+    return found.select(relative(F.col("path"), root).alias("path"), "content", F.md5("content").alias("hash")).where(watched(F.col("path")))
 
 
-def learn_stream(files: DataFrame, learn: Callable[[DataFrame], None], checkpoint: str):
-    """Starts learning from each batch of files, once per batch."""
-    done: set[int] = set()
+def learn_stream(files: DataFrame, learn: Callable[[DataFrame], None], checkpoint: str, endless: bool = False):
+    """Starts learning from each batch of files.
+
+    After a restart Spark may give the last batch again, so the number of each
+    finished batch is kept beside the checkpoint and such a batch is skipped.
+    """
+    spark, marks = files.sparkSession, f"{checkpoint.rstrip('/')}-learned"
 
     def batch(rows: DataFrame, number: int) -> None:
-        if number not in done:
+        try:
+            done = not spark.read.schema("batch long").parquet(marks).where(F.col("batch") == number).isEmpty()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            done = False
+        if not done:
             learn(rows)
-            done.add(number)
+            spark.createDataFrame([(number,)], "batch long").coalesce(1).write.mode("append").parquet(marks)
 
-    return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer if endless else writer.trigger(availableNow=True)).start()

@@ -98,6 +98,89 @@ def test_memory(spark, tmp_path):
     said = m.forget(1e12)
     assert said["newly_forgotten"] >= 0 and said["before"] == 7
     assert m.unbind_relation("LateFee", "raises").count() >= 0
+    nodes, edges, threads = m.graph()
+    assert {"module_billing", "billing_total", "billing_invoice", "module_os"} <= {r.id for r in nodes.collect()}
+    weight = {(r.src, r.dst): r.weight for r in edges.collect()}
+    assert weight["billing_invoice", "module_billing"] == 0.7 and abs(weight["module_billing", "billing_invoice"] - 0.56) < 1e-9
+    got = m.graph_recall(spark.createDataFrame([("q", "the invoice"), ("none", "xq")], "query_id string, query string"), 4000.0).collect()
+    assert {r.query_id for r in got} == {"q"} and got[0].activation > 0
+    assert m.graph()[0].where("id = 'billing_invoice'").first().activation_count == 1
+    (root / "billing.py").write_text(PY.replace("Adds up", "Sums up"))
+    assert m.learn_file(str(root), "billing.py", 5000.0) and not m.learn_file(str(root), "billing.py", 5001.0)
+    assert m.sync(str(root), 6000.0)["skipped"] == 1
+
+
+def test_scan_paths_and_ignored_files(spark, tmp_path):
+    root = tmp_path / "src" / "p {1}+[x]" / "src"
+    os.makedirs(root / "src")
+    os.makedirs(root / "node_modules")
+    for name in ("a.py", "src/b c.md", "node_modules/n.js", "skipped.py", "%20.txt", "no.png"):
+        (root / name).write_text("x")
+    (root / ".gitignore").write_text("skipped\n# a.py\n")
+    found = files.scan(spark, str(root))
+    assert sorted(r.path for r in found.collect()) == ["%20.txt", "a.py", "src/b c.md"]
+    assert files.unread(spark, str(root), found.where("path <> 'a.py'")).first().path == "a.py"
+
+
+def test_two_writers_never_share_a_version(spark, tmp_path):
+    import pytest
+
+    from resona.sources.snapshots import Conflict, Store
+
+    rows = lambda k: spark.createDataFrame([(k,)], "k int")
+    a, b = Store(spark, f"file://{tmp_path}"), Store(spark, f"file://{tmp_path}")
+    a.save("t", rows(1))
+    assert b.read("t", "k int").first().k == 1
+    b.version = lambda table: 0  # has not seen what a commits next
+    a.save("t", rows(2))
+    try:
+        Store.save(b, "t", rows(3))
+        stands = 3
+    except Conflict:
+        stands = 2
+    assert b.read("t", "k int").first().k in (2, 3)
+    assert Store(spark, f"file://{tmp_path}").version("t") == (1 if stands else 0)
+
+
+def test_sql_functions(spark):
+    from resona import register
+
+    register.register(spark, 8)
+    r = spark.sql("SELECT vec_cosine(array(1D, 0D), array(1D, 1D)) c, vec_normalize(array(3D, 4D)) n, vec_involution(array(1D, 2D, 3D)) i, vec_unbind(vec_bind(array(1D, 0D, 0D), array(0.5D, 1D, 2D)), array(1D, 0D, 0D)) u, random_vector(CAST(7 AS DECIMAL(20,0))) v").first()
+    assert abs(r.c - 0.5**0.5) < 1e-9 and r.n == [0.6, 0.8] and r.i == [1, 3, 2] and max(abs(x - y) for x, y in zip(r.u, (0.5, 1, 2))) < 1e-9 and len(r.v) == 8
+    assert spark.sql("SELECT * FROM python_units('a/m.py', 'def f(): pass')").count() == 2
+
+
+def test_embedder_and_what_it_fails_on(spark):
+    import numpy as np
+
+    from resona.operators import encode
+
+    def embedder(texts):
+        if any("fail" in t for t in texts):
+            raise OSError
+        return [[1.0, 0.0] for _ in texts]
+
+    t = spark.createDataFrame([(1, "one"), (2, "fail here")], "k int, t string").repartition(2, "k")
+    got = {r.k: np.array(r.vector) for r in encode.embed(t, "k", "t", embedder, 16, 1).collect()}
+    own = {r.k: np.array(r.vector) for r in encode.encode_text(t, "k", "t", 16).collect()}
+    assert got[1].tolist() == [1.0] + [0.0] * 15 and np.allclose(got[2], own[2])
+
+
+def test_graph_from_json(spark, tmp_path):
+    from resona.sources import structure
+
+    (tmp_path / "g.json").write_text('{"a": {"created_at": 1.0, "last_activated": 2.0, "activation_count": 3, "edges": {"b": {"weight": 0.5, "created_at": 1.0, "last_activated": 1.0, "activation_count": 0}}}, "b": {"created_at": 1.0, "last_activated": 1.0, "activation_count": 0, "edges": {}}}')
+    (tmp_path / "t.json").write_text('{"x": {"content": "hi"}}')
+    nodes, edges = structure.graph_json(spark, f"{tmp_path}/g.json")
+    assert [(r.id, r.activation_count) for r in nodes.orderBy("seq").collect()] == [("a", 3), ("b", 0)] and edges.first()[:3] == ("a", "b", 0.5)
+    assert structure.threads_json(spark, f"{tmp_path}/t.json").first() == ("x", "hi", "", 0.0, 0.0, [], 0)
+
+
+def test_prompts(spark):
+    known = spark.createDataFrame([("b", 1.0, 1), ("a", 2.0, 2), ("gone", 0.0, 3)], "id string, magnitude double, seq int")
+    got = files.prompts(spark.createDataFrame([("s", "x" * 9000)], "source string, content string"), known).first().prompt
+    assert "Known concepts: b, a." in got and got.endswith("x" * 6000) and "x" * 6001 not in got
 
 
 def _events(spark):
