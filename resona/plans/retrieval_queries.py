@@ -150,13 +150,22 @@ def cognitive_map_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.map_lines(r).select("query_id", F.col("line").cast("long").alias("line"), "id", F.round("score", 6).alias("score"), "content")
 
 
-@family.query()
+_SHOWN = "• ['  || format('{:.2f}', round_even(score, 2)) || '] ' || doc_id || ': ' || left(text, 120) || CASE WHEN source <> '' THEN ' (' || source || ')' ELSE '' END".replace("'  ||", "' ||")
+_MAP = (
+    f"{_OVERLAP}, t AS (SELECT r.*, text, coalesce(source, '') AS source FROM r JOIN documents USING (doc_id) WHERE rank <= 20), "
+    f"a AS (SELECT query_id, string_agg('{_SHOWN}, chr(10) ORDER BY rank) FILTER (rank <= 10) AS patterns, string_agg('• ' || doc_id, chr(10) ORDER BY rank) FILTER (rank > 10 AND rank <= 18) AS further FROM t GROUP BY query_id), "
+    "so AS (SELECT query_id, source, row_number() OVER (PARTITION BY query_id ORDER BY min(rank)) AS k FROM t WHERE source <> '' GROUP BY query_id, source), sa AS (SELECT query_id, string_agg('• ' || source, chr(10) ORDER BY k) AS sources FROM so WHERE k <= 8 GROUP BY query_id), "
+    "io AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k FROM t WHERE doc_id % 6 > 3), ia AS (SELECT query_id, string_agg('• ' || doc_id, chr(10) ORDER BY k) AS insights FROM io WHERE k <= 3 GROUP BY query_id)"
+)
+
+
+@family.query(f"WITH {_MAP} SELECT query_id, concat_ws(chr(10), '# Memory', chr(10) || '## Resonating patterns' || chr(10) || patterns, chr(10) || '## Associations' || chr(10) || further, chr(10) || '## Sources' || chr(10) || sources, chr(10) || '## Often recalled' || chr(10) || insights) AS context FROM a LEFT JOIN sa USING (query_id) LEFT JOIN ia USING (query_id)")
 def cognitive_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _top(spark, sf_dir, 20).join(_docs(spark, sf_dir), "doc_id")
     return render.cognitive_map(r.select("query_id", "rank", F.col("doc_id").cast("string").alias("id"), "score", F.col("text").alias("content"), "source", (F.col("doc_id") % 6).alias("activation_count")))
 
 
-@family.query()
+@family.query(f"WITH {_OVERLAP} SELECT query_id, rank, concat_ws(' ', rpad(doc_id::VARCHAR, 30, ' '), repeat('█', floor(score * 20)::INT), format('{{:.3f}}', round_even(score, 3)), left(text, 150)) AS line FROM r JOIN documents USING (doc_id) WHERE rank <= 10")
 def recall_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _top(spark, sf_dir).join(_docs(spark, sf_dir), "doc_id")
     return render.bars(r.select("query_id", "rank", F.col("doc_id").cast("string").alias("id"), "score", F.col("text").alias("content")))
@@ -182,11 +191,11 @@ def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", ev.relevant(F.col("text"), F.array(F.lit("mit_license"), F.lit("trash"))).alias("relevant"))
 
 
-@family.query("SELECT conv_id, array_to_string(list_distinct(list_filter(string_split(replace('user-guide_' || lower(role) || '_v2', '-', '_'), '_'), lambda p: length(p) >= 3)).list_sort(), ',') AS expected FROM conversations WHERE turn = 0")
+@family.query("SELECT conv_id, turn, array_to_string(list_distinct(list_filter(string_split(replace('user-guide_' || lower(role) || '_v2', '-', '_'), '_'), lambda p: length(p) >= 3)).list_sort(), ',') AS expected FROM conversations")
 def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").where("turn = 0")
-    q = c.select("conv_id", F.lit(None).cast("array<string>").alias("expected_concepts"), F.array(F.concat(F.lit("docs/user-guide_"), F.lower("role"), F.lit("_v2.md"))).alias("files_needed"))
-    return ev.ground_truth(q).select("conv_id", F.array_join(F.sort_array("expected"), ",").alias("expected"))
+    """Each turn's role names the file that answers it."""
+    q = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lit(None).cast("array<string>").alias("expected_concepts"), F.array(F.concat(F.lit("docs/user-guide_"), F.lower("role"), F.lit("_v2.md"))).alias("files_needed"))
+    return ev.ground_truth(q).select("conv_id", "turn", F.array_join(F.sort_array("expected"), ",").alias("expected"))
 
 
 @family.query()

@@ -214,7 +214,7 @@ def section_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn")).alias("previous"))
 
 
-@family.query()
+@family.query("SELECT conv_id || '_' || turn AS source, role AS concept, text AS intention FROM conversations")
 def distill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn of every conversation, with its whole text, as a language model's reply."""
     text = F.to_json(F.struct(F.array(F.struct(F.col("role").alias("concept"), F.col("text").alias("intention"))).alias("units")))
