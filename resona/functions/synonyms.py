@@ -6,23 +6,63 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A small set of groups; pass others to ``table`` for another domain.
+#: Groups of a software project's vocabulary; ``read`` takes others from a file.
 GROUPS: tuple[tuple[str, ...], ...] = (
-    ("auth", "authentication", "login", "signin"),
-    ("db", "database", "storage", "table"),
+    ("auth", "authentication", "login", "signin", "credentials"),
+    ("permission", "authorization", "access", "role"),
+    ("db", "database", "storage", "persistence", "repository"),
     ("api", "endpoint", "route", "handler"),
-    ("error", "exception", "failure", "fault"),
-    ("config", "configuration", "settings", "options"),
-    ("test", "spec", "check", "verify"),
+    ("error", "exception", "failure", "fault", "crash"),
+    ("config", "configuration", "settings", "options", "preferences"),
+    ("test", "spec", "check", "verify", "assertion"),
     ("cache", "buffer", "memo"),
-    ("deploy", "release", "ship"),
-    ("user", "account", "member", "customer"),
-    ("delete", "remove", "drop"),
-    ("get", "fetch", "load", "query"),
+    ("deploy", "release", "ship", "rollout"),
+    ("user", "account", "member", "customer", "client"),
+    ("delete", "remove", "drop", "erase"),
+    ("get", "fetch", "load", "retrieve"),
     ("insert", "create", "add", "new"),
+    ("update", "modify", "change", "edit"),
+    ("search", "find", "lookup", "query"),
+    ("send", "publish", "emit", "dispatch"),
+    ("message", "event", "notification", "signal"),
+    ("queue", "broker", "topic", "backlog"),
+    ("job", "task", "worker", "process"),
+    ("schedule", "cron", "timer", "interval"),
+    ("start", "begin", "launch", "init"),
+    ("stop", "end", "halt", "shutdown"),
+    ("log", "trace", "audit", "journal"),
+    ("metric", "measure", "statistic", "telemetry"),
+    ("price", "cost", "fee", "charge"),
+    ("pay", "payment", "billing", "invoice"),
+    ("order", "purchase", "checkout", "basket"),
+    ("product", "item", "article", "goods"),
+    ("stock", "inventory", "warehouse"),
+    ("model", "schema", "entity"),
+    ("train", "fit", "learn"),
+    ("predict", "infer", "estimate", "forecast"),
+    ("feature", "attribute", "column", "field"),
+    ("dataset", "corpus", "sample"),
+    ("transform", "convert", "map", "translate"),
+    ("parse", "decode", "read"),
+    ("render", "display", "show", "draw"),
+    ("component", "widget", "element"),
+    ("page", "view", "screen"),
+    ("state", "status", "condition"),
+    ("file", "document", "record"),
+    ("folder", "directory", "path"),
+    ("function", "method", "procedure"),
+    ("class", "type", "kind"),
+    ("import", "require", "include", "dependency"),
+    ("security", "encryption", "protection"),
 )
 
 
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """word and its group, of a text file with a group a line, its words parted by commas; a word of several lines belongs to the last."""
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), F.filter(F.transform(F.split("value", ","), lambda w: F.lower(F.trim(w))), lambda w: w != "").alias("synonyms"))
+    return lines.select("line", "synonyms", F.explode("synonyms").alias("word")).groupBy("word").agg(F.max_by("synonyms", "line").alias("synonyms"))
+
+
 def table(spark: SparkSession, groups: tuple[tuple[str, ...], ...] = GROUPS) -> DataFrame:
     """word and its group (synonyms, itself included)."""
     last = {w: list(g) for g in groups for w in g}

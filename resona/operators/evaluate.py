@@ -10,6 +10,8 @@ from .resonate import meet_queries
 K1, B = 1.5, 0.75
 #: Ranges of values that percentiles are counted in.
 RANGES = 64
+#: Different words that are looked for in every document at once.
+SENT = 10_000
 
 
 def bm25(docs: DataFrame, queries: DataFrame, terms, k1: float = K1, b: float = B) -> DataFrame:
@@ -116,3 +118,38 @@ def ground_truth(questions: DataFrame) -> DataFrame:
     stem = lambda f: F.regexp_replace(F.regexp_extract(f, "([^/]*?)(\\.[^./]*)?$", 1), "-", "_")
     parts = F.flatten(F.transform("files_needed", lambda f: F.split(F.lower(stem(f)), "_")))
     return questions.withColumn("expected", F.coalesce("expected_concepts", F.array_distinct(F.filter(parts, lambda p: F.length(p) >= 3))))
+
+
+_QUESTION = "struct<id:string,question:string,hops:int,expected_concepts:array<string>,answer:string,files_needed:array<string>,source_files:array<string>>"
+
+
+def read_ground_truth(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """question_id, project, question, hops, expected and answer of JSON files that keep questions under either of two names; questions without an id are numbered."""
+    raw = spark.read.text(paths, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]*$", 1).alias("folder"), F.from_json("value", f"project string, multi_hop_questions array<{_QUESTION}>, questions array<{_QUESTION}>").alias("j"))
+    each = raw.select(F.coalesce("j.project", "folder").alias("project"), F.posexplode(F.coalesce("j.multi_hop_questions", "j.questions")).alias("pos", "q")).select("project", "pos", "q.*")
+    return ground_truth(each).select(F.coalesce("id", (F.col("pos") + 1).cast("string")).alias("question_id"), "project", "question", "hops", F.coalesce("expected", F.array().cast("array<string>")).alias("expected"), "answer")
+
+
+def token_totals(used: Column, full: Column) -> dict[str, Column]:
+    """Of many queries: total, mean, least and most tokens, the compression against the full text, and what is saved in percent."""
+    mean = F.avg(used)
+    return {"total": F.sum(used), "mean": mean, "least": F.min(used), "most": F.max(used), "compression": F.first(full) / mean, "saved_percent": (1 - mean / F.first(full)) * 100}
+
+
+def substring_topk(docs: DataFrame, queries: DataFrame, top_k: int = 10) -> DataFrame:
+    """query_id, doc_id, score and rank of the documents that hold most of a query's lower-cased words, as parts of words too.
+
+    Containment has no key to join on: each document is read once, against the
+    distinct words of all queries, which are counted and sent along; a document
+    meets the queries of the words it holds.
+    """
+    q = queries.select("query_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("query"), "\\s+"), lambda w: w != ""))).alias("word"))
+    words = q.select("word").distinct()
+    if words.limit(SENT + 1).count() > SENT:
+        raise ValueError(f"more than {SENT} different words; ask in parts")
+    listed = words.agg(F.collect_set("word").alias("_words"))  # SENT words at most
+    # the lower-cased text is bound to a variable, so that it is not made again for each word
+    found = F.flatten(F.transform(F.array(F.lower("text")), lambda low: F.filter("_words", lambda w: F.contains(low, w))))
+    held = docs.crossJoin(F.broadcast(listed)).select("doc_id", F.explode(found).alias("word"))
+    scores = meet_queries(held, q, "word").groupBy("query_id", "doc_id").agg(F.count("*").alias("score"))
+    return ranked(scores, top_k=top_k)

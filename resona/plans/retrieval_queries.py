@@ -215,3 +215,19 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), F.lit(1.0).alias("magnitude"), F.col("vec_id").alias("seq"), "label")
     found = rs.resonate(e, vx.superpose(e, ["label"], "vector").withColumnRenamed("label", "query_id"), 5, threshold=-2.0)
     return found.select(F.col("query_id").cast("long").alias("query_id"), F.col("rank").cast("long").alias("rank"), F.col("seq").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
+@family.query("WITH q AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> ''))) AS w FROM benchmark), s AS (SELECT query_id, doc_id, count(*) AS score FROM q JOIN documents ON contains(lower(text), w) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT * FROM r WHERE rank <= 10")
+def fts_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each item the documents that hold most of its words."""
+    return ev.substring_topk(_docs(spark, sf_dir), _queries(spark, sf_dir)).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@family.query(f"WITH {_OVERLAP}, c AS (SELECT query_id, sum(least(length(text), 120) // 4) AS used FROM r JOIN documents USING (doc_id) WHERE rank <= 10 GROUP BY query_id), f AS (SELECT sum(length(text) // 4) AS whole FROM documents) SELECT sum(used)::BIGINT AS total, round(avg(used), 6) AS mean, min(used)::BIGINT AS least, max(used)::BIGINT AS most, round(max(whole) / avg(used), 6) AS compression, round((1 - avg(used) / max(whole)) * 100, 6) AS saved_percent FROM c, f")
+def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ten results take of a context, against all documents."""
+    used = _top(spark, sf_dir).join(_docs(spark, sf_dir), "doc_id").groupBy("query_id").agg(F.sum(tx.estimated_tokens(F.substring("text", 1, 120))).alias("used"))
+    whole = _docs(spark, sf_dir).agg(F.sum(tx.estimated_tokens(F.col("text"))).alias("whole"))
+    t = ev.token_totals(F.col("used"), F.col("whole"))
+    rounded = lambda k: F.round(t[k], 6).alias(k)
+    return used.crossJoin(F.broadcast(whole)).agg(t["total"].alias("total"), rounded("mean"), t["least"].alias("least"), t["most"].alias("most"), rounded("compression"), rounded("saved_percent"))

@@ -209,3 +209,25 @@ def test_watch_stream(spark, tmp_path):
     q = watch.learn_stream(watch.watch(spark, str(root)), lambda rows: seen.extend(r.path for r in rows.collect()), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert seen == ["a.py"]
+
+
+def test_ground_truth_files_of_three_shapes(spark, tmp_path):
+    from resona.operators import evaluate as ev
+
+    for name, text in (
+        ("shop", '{"description": "d", "multi_hop_questions": [{"id": "q7", "question": "a?", "hops": 2, "expected_concepts": ["cart"], "answer": "x", "source_files": ["a.py"]}]}'),
+        ("ml", '{"multi_hop_questions": [{"question": "b?", "expected_concepts": ["loss", "loss"], "answer": "y"}]}'),
+        ("web", '{"project": "Web", "questions": [{"id": 3, "question": "c?", "answer": "z", "hops": 1, "files_needed": ["src/user-card_v2.tsx", "a/user.ts"]}]}'),
+    ):
+        os.makedirs(tmp_path / name)
+        (tmp_path / name / "knowledge.json").write_text(text)
+    got = {r.project: r for r in ev.read_ground_truth(spark, [f"{tmp_path}/{n}/knowledge.json" for n in ("shop", "ml", "web")]).collect()}
+    assert got["shop"][0] == "q7" and got["shop"].expected == ["cart"] and got["ml"].question_id == "1" and got["Web"].question_id == "3"
+    assert sorted(got["Web"].expected) == ["card", "user"] and got["ml"].hops is None
+
+
+def test_synonyms_from_a_file(spark, tmp_path):
+    from resona.functions import synonyms
+
+    (tmp_path / "s.txt").write_text("ship, Boat\n\nship,send\n")
+    assert {r.word: r.synonyms for r in synonyms.read(spark, f"{tmp_path}/s.txt").collect()} == {"ship": ["ship", "send"], "boat": ["ship", "boat"], "send": ["ship", "send"]}
