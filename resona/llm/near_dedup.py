@@ -219,8 +219,11 @@ def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
     found = written(_prefixes(members, sets, percent), "prefixes")
     counts = found.groupBy("token", "component").agg(F.count("*").alias("size"))
     largest = counts.groupBy("token").agg(F.max(F.struct("size", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("token", F.col("m.component").alias("largest"))
+    # as with buckets, what joins by token is broadcast while small
+    largest = broadcast_if_small(written(largest, "largest"))
     p = found.join(largest, "token").where(F.col("component") != F.col("largest"))
     p = p.select("token", F.col("class").alias("p"), F.col("n").alias("pn"), F.col("component").alias("pc"), F.col("place").alias("pp"))
+    p = broadcast_if_small(written(p, "others"))
     # so many may be common from these places on; similar sets need so many of both
     fits = (F.col("component") != F.col("pc")) & ((100 + percent) * F.least(F.col("n") - F.col("place"), F.col("pn") - F.col("pp")) >= percent * (F.col("n") + F.col("pn")))
     return found.join(p, (found["token"] == p["token"]) & fits).select(F.least("class", "p").alias("a"), F.greatest("class", "p").alias("b")).distinct()
