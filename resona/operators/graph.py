@@ -29,10 +29,24 @@ def disconnect(edges: DataFrame, gone: DataFrame) -> DataFrame:
     return edges.join(gone.select("src", "dst"), ["src", "dst"], "left_anti")
 
 
-def reinforce_edges(edges: DataFrame, used: DataFrame, amount: float = USED) -> DataFrame:
-    """Edges with those in used (src, dst) strengthened, to 1 at most."""
-    u = used.select("src", "dst").distinct().withColumn("_u", F.lit(1))
-    return edges.join(u, ["src", "dst"], "left").withColumn("weight", F.when(F.col("_u").isNull(), F.col("weight")).otherwise(F.least(F.lit(1.0), F.col("weight") + amount))).drop("_u")
+def reinforce_edges(edges: DataFrame, used: DataFrame, amount: float = USED, now: float | None = None) -> DataFrame:
+    """Edges with those in used (src, dst) strengthened, to 1 at most; with a time, they remember it and count the use."""
+    return used_edges(edges, used.select("src", "dst").distinct().select("src", "dst", F.lit(now).cast("double").alias("ts")), amount)
+
+
+def used_edges(edges: DataFrame, log: DataFrame, amount: float = USED) -> DataFrame:
+    """edges after a log of uses (ts, src, dst): each entry strengthens once, to 1 at most, and counts; the last one gives the time.
+
+    Edges that keep no time or count, and entries without a time, change the weight alone.
+    """
+    by_edge = log.groupBy("src", "dst").agg(F.count("*").alias("_n"), F.count("ts").alias("_c"), F.max("ts").alias("_t"))
+    out = edges.join(by_edge, ["src", "dst"], "left")
+    changed = {"weight": F.when(F.col("_n").isNull(), F.col("weight")).otherwise(F.least(F.lit(1.0), F.col("weight") + amount * F.col("_n")))}
+    if "last_activated" in edges.columns:
+        changed["last_activated"] = F.greatest("last_activated", "_t")
+    if "activation_count" in edges.columns:
+        changed["activation_count"] = F.col("activation_count") + F.coalesce("_c", F.lit(0))
+    return out.withColumns(changed).select(edges.columns)
 
 
 def decay_edges(edges: DataFrame, now: float, rate: float = 0.01) -> DataFrame:
@@ -103,16 +117,35 @@ def first_thread(nodes: DataFrame, threads: DataFrame) -> DataFrame:
     return nodes.join(each, "node", "left").withColumn("content", F.coalesce("content", F.lit("")))
 
 
-def matching_nodes(queries: DataFrame, nodes: DataFrame) -> DataFrame:
-    """query_id, node where a query word of three characters holds, or is held by, a part of the node's name.
+#: Characters of a word by whose beginning containment is looked up.
+BEGIN = 8
+
+
+def contained(words: DataFrame, others: DataFrame) -> DataFrame:
+    """word and other of all words (word) and others (other), each once, of which one holds the other.
+
+    What is held begins with a substring of what holds it: each side lists
+    its substrings of up to ``BEGIN`` characters, and the other its beginning of
+    as many, so that the two meet in an equi-join and the rest is compared.
+    """
+    begin = lambda w: F.substring(w, 1, BEGIN)
+    places = lambda w, n: F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1)))
+    of_size = lambda w, n: F.transform(places(w, n), lambda k: F.substring(w, k, n))
+    within = lambda w: F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.least(F.length(w), F.lit(BEGIN))), lambda n: of_size(w, n)))))
+    w, o = words.select("word").distinct(), others.select("other").distinct()
+    up = w.select("word", begin(F.col("word")).alias("_k")).join(o.select("other", within(F.col("other")).alias("_k")), "_k").where(F.contains("other", F.col("word")))
+    down = w.select("word", within(F.col("word")).alias("_k")).join(o.select("other", begin(F.col("other")).alias("_k")), "_k").where(F.contains("word", F.col("other")) & (F.length("word") > F.length("other")))
+    return up.select("word", "other").unionByName(down.select("word", "other"))
+
 
-    Containment has no key to join on, so both sides shrink to distinct words
-    first; the result is joined back by word.
+def named_nodes(queries: DataFrame, nodes: DataFrame, parting: str = "[ _-]") -> DataFrame:
+    """query_id, node and seq of nodes (id, seq) where a query word of three characters holds, or is held by, a part of the node's name.
+
+    Query words are parted as the pattern says, names by underscores.
     """
-    q = queries.select("query_id", F.explode(F.split(F.lower("query"), "[^a-z0-9]+")).alias("qw")).where(F.length("qw") >= 3)
-    n = nodes.select("node", F.explode(F.split(F.lower("node"), "_")).alias("nw"))
-    words = q.select("qw").distinct().join(n.select("nw").distinct(), F.contains("nw", F.col("qw")) | F.contains("qw", F.col("nw")))
-    return q.join(words, "qw").join(n, "nw").select("query_id", "node").distinct()
+    q = queries.select("query_id", F.explode(F.split(F.lower("query"), parting)).alias("word")).where(F.length("word") >= 3).distinct()
+    n = nodes.select(F.col("id").alias("node"), "seq", F.explode(F.array_distinct(F.split("id", "_"))).alias("other"))
+    return q.join(contained(q, n), "word").join(n, "other").select("query_id", "node", "seq").distinct()
 
 
 def add_nodes(nodes: DataFrame, ids: DataFrame, now: float) -> DataFrame:
@@ -128,26 +161,14 @@ def activate(nodes: DataFrame, log: DataFrame) -> DataFrame:
     return out.withColumn("activation_count", F.col("activation_count") + F.coalesce("_n", F.lit(0))).withColumn("last_activated", F.coalesce(F.greatest("last_activated", "_t"), F.col("last_activated"))).select(nodes.columns)
 
 
-def named_nodes(queries: DataFrame, nodes: DataFrame) -> DataFrame:
-    """query_id, node and seq where a query word of three characters holds, or is held by, a part of the node's name.
-
-    Query words are parted by spaces, hyphens and underscores. Containment has
-    no key to join on: distinct words of both sides meet, then join back.
-    """
-    parted = F.split(F.regexp_replace(F.lower("query"), "[ -]", "_"), "_")
-    q = queries.select("query_id", F.explode(parted).alias("qw")).where(F.length("qw") >= 3)
-    n = nodes.select(F.col("id").alias("node"), "seq", F.explode(F.split("id", "_")).alias("nw"))
-    words = q.select("qw").distinct().join(n.select("nw").distinct(), F.contains("nw", F.col("qw")) | F.contains("qw", F.col("nw")))
-    return q.join(words, "qw").join(n, "nw").select("query_id", "node", "seq").distinct()
-
-
-def query(queries: DataFrame, nodes: DataFrame, edges: DataFrame, threads: DataFrame, top_k: int = 10, most: int = STIMULI) -> tuple[DataFrame, DataFrame]:
-    """(query_id, rank, node, activation, content of queries (query_id, query), edges that were used).
+def query(queries: DataFrame, nodes: DataFrame, edges: DataFrame, threads: DataFrame, top_k: int = 10, most: int = STIMULI) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(query_id, rank, node, activation, content of queries (query_id, query), edges that each query used, its stimuli (query_id, node, seq)).
 
     The first nodes that a query names are its stimuli; what their energy
     reaches is ranked, and each node is told by the first thread that mentions it.
     """
     order = Window.partitionBy("query_id").orderBy("seq", "node")
     stimuli = named_nodes(queries, nodes).withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).select("query_id", "node", "seq")
-    energy, used = spread(edges, cut(stimuli))
-    return first_thread(activated(energy, top_k), threads).select("query_id", "rank", "node", "activation", "content"), used
+    stimuli = cut(stimuli)
+    energy, used = spread(edges, stimuli)
+    return first_thread(activated(energy, top_k), threads).select("query_id", "rank", "node", "activation", "content"), used, stimuli

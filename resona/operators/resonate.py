@@ -186,7 +186,10 @@ def with_fallback(results: DataFrame, glyphs: DataFrame, queries: DataFrame, top
     """results (query_id, id, score, seq) filled up with the best glyphs by word overlap that they lack."""
     glyphs = glyphs if include_dormant else glyphs.where("magnitude > 0")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "seq")
-    lacking = word_overlap(glyphs, queries).join(results.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    # results can only push out as many as they are, so each task keeps top_k and those, before anything is shuffled by query
+    known = results.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
+    best = word_overlap(glyphs, queries).withColumn("r", F.row_number().over(w)).where(F.col("r") <= top_k + known)
+    lacking = best.join(results.select("query_id", "id"), ["query_id", "id"], "left_anti")
     lacking = lacking.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top_k)
     first = results.select("query_id", "id", "score", F.lit(0).alias("late"), F.col("rank").cast("long").alias("seq")) if "rank" in results.columns else results.select("query_id", "id", "score", F.lit(0).alias("late"), "seq")
     both = first.unionByName(lacking.select("query_id", "id", "score", F.lit(1).alias("late"), F.col("r").cast("long").alias("seq")))

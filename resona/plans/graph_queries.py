@@ -104,8 +104,9 @@ def first_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
 @family.query("WITH q AS (SELECT item_id AS query_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS qw FROM benchmark), n AS (SELECT p_type AS node, unnest(string_split(lower(replace(p_type, ' ', '_')), '_')) AS nw FROM (SELECT DISTINCT p_type FROM part)) SELECT DISTINCT query_id, node FROM q JOIN n ON length(qw) >= 3 AND (contains(nw, qw) OR contains(qw, nw))")
 def stimulus_theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    nodes = table(spark, sf_dir, "part").select("p_type", F.replace("p_type", F.lit(" "), F.lit("_")).alias("node")).distinct()
-    return gr.matching_nodes(q, nodes).join(F.broadcast(nodes), "node").select("query_id", F.col("p_type").alias("node"))
+    nodes = table(spark, sf_dir, "part").select("p_type", F.lower(F.replace("p_type", F.lit(" "), F.lit("_"))).alias("id")).distinct()
+    named = gr.named_nodes(q, nodes.select("id", F.lit(0).alias("seq")), "[^a-z0-9]+")
+    return named.join(nodes, F.col("node") == F.col("id")).select("query_id", F.col("p_type").alias("node"))
 
 
 @family.query("SELECT id, max_by(text, seq) AS content, array_to_string(list_distinct(list(role)).list_sort(), ',') AS refs FROM (SELECT conv_id AS id, text, role, turn AS seq FROM conversations) GROUP BY id")

@@ -75,12 +75,31 @@ def _fact(id_: Column, content: Column | None = None, other: Column | None = Non
     return F.struct(id_.alias("id"), (none if content is None else content).alias("content"), (none if other is None else other).alias("other"), F.lit(weight).cast("double").alias("weight"))
 
 
+#: Characters before a definition in which its comment is looked for.
+ABOVE = 500
+
+
 def _before(text: Column, pattern: str) -> Column:
-    """For each match of the pattern the 500 characters before it, without white space at the end."""
-    flagged = F.lit("(?Umd)" + pattern)
-    between, found = F.split(text, "(?Umd)" + pattern, -1), F.regexp_extract_all(text, flagged, F.lit(0))
-    upto = lambda j: F.array_join(F.flatten(F.zip_with(F.slice(found, F.lit(1), j), F.slice(between, F.lit(1), j), lambda m, b: F.array(b, m))), "")
-    return F.transform(found, lambda m, j: F.right(F.regexp_replace(F.concat(upto(j), F.get(between, j)), "\\s+$", ""), F.lit(500)))
+    """For each match of the pattern the characters before it, ``ABOVE`` at most, without white space at the end.
+
+    The text is walked once, match by match: what goes along is the end of the
+    text so far and the white space after it.
+    """
+    flagged = "(?Umd)" + pattern
+    found, between = F.regexp_extract_all(text, F.lit(flagged), F.lit(0)), F.split(text, flagged, -1)
+
+    def on(s: Column, piece: Column, out: Column) -> Column:
+        every = F.concat(s["end"], s["blank"], piece)
+        bare = F.rtrim(every, F.lit(" \t\n\x0b\f\r"))
+        return F.struct(F.right(bare, F.lit(ABOVE)).alias("end"), F.substring(every, F.length(bare) + 1, F.length(every)).alias("blank"), out.alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        reached = on(s, x["b"], s["out"])
+        return F.element_at(F.transform(F.array(reached), lambda r: on(r, x["m"], F.array_append(r["out"], r["end"]))), 1)  # bound, so that it is not made for each use
+
+    begin = F.struct(F.lit("").alias("end"), F.lit("").alias("blank"), F.array().cast("array<string>").alias("out"))
+    pairs = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, b: F.struct(b.alias("b"), m.alias("m")))
+    return F.aggregate(pairs, begin, step, lambda s: s["out"])
 
 
 def comment_above(before: Column, style: str) -> Column:
