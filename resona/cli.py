@@ -34,8 +34,7 @@ def main(argv: list[str] | None = None) -> None:
         print(memory.sync(a.root, time.time()))
     elif a.command == "watch":
         print(memory.sync(a.root, time.time()))
-        learned = lambda rows: [memory.learn_file(a.root, r.path, time.time()) for r in rows.select("path").toLocalIterator()]
-        watch.learn_stream(watch.watch(spark, a.root), learned, f"{a.folder}/watch", endless=True).awaitTermination()
+        watch.learn_stream(watch.watch(spark, a.root), lambda rows: memory.learn_files(rows, time.time()), f"{a.folder}/watch", endless=True).awaitTermination()
     elif a.command == "changes":
         memory.changes(a.root).show(20, False)
     elif a.command == "learn":

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
+from collections.abc import Callable, Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from resona.functions import text as tx
 
@@ -88,22 +92,47 @@ def listed(spark: SparkSession, root: str) -> DataFrame:
     return not_ignored(own.where(known_suffix(F.col("path")) & ~pruned(F.col("path"))), ignore_patterns(spark, root))
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
-    """path (relative), content and hash of the files under root that are worth reading and can be read.
+def _opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path as Spark's readers give it, and the path there; a store that pyarrow doesn't know is an error."""
+    scheme, authority, path = re.match("^([A-Za-z][A-Za-z0-9+.-]*):(?://([^/]*))?(/.*)$", uri).groups()
+    if scheme == "file":
+        return fs.LocalFileSystem(), path
+    store, base = fs.FileSystem.from_uri(f"{scheme}://{authority or ''}/")
+    return store, base.rstrip("/") + path
 
-    Paths are listed and filtered first, and content is read of those only.
-    Their names pass through the driver, as in any listing by Spark.
-    """
-    uris = [_plain(r.uri) for r in listed(spark, root).select("uri").toLocalIterator()]
-    if not uris:
-        return spark.createDataFrame([], "path string, content binary, hash string")
-    found = spark.read.format("binaryFile").option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).load(uris)
-    return found.select(relative(F.col("path"), root).alias("path"), "content", F.md5("content").alias("hash"))
+
+def _read(files: DataFrame, schema: str, take: Callable[[bytes | None], list]) -> DataFrame:
+    """path, uri and what take makes of each file's bytes (None where it can't be read); tasks read, one file after the other."""
+    out = to_arrow_schema(T.StructType.fromDDL(f"path string, uri string, {schema}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, uri in zip(*(c.to_pylist() for c in batch.columns)):
+                try:
+                    store, at = _opened(uri)
+                    with store.open_input_stream(at) as f:
+                        body = f.read()
+                except OSError:
+                    body = None
+                yield pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip((path, uri, *take(body)), out)], schema=out)
+
+    return files.select("path", "uri").mapInArrow(run, f"path string, uri string, {schema}")
 
 
-def unread(spark: SparkSession, root: str, found: DataFrame) -> DataFrame:
-    """path of the files that are listed but could not be read."""
-    return listed(spark, root).select("path").join(found.select("path"), "path", "left_anti")
+def hashed(files: DataFrame) -> DataFrame:
+    """path, uri and hash of listed files, null where a file can't be read; contents stay in the tasks."""
+    return _read(files, "hash string", lambda body: [None if body is None else hashlib.md5(body).hexdigest()])
+
+
+def contents(files: DataFrame) -> DataFrame:
+    """path, content and hash of listed files that can be read."""
+    found = _read(files, "content binary", lambda body: [body]).where("content is not null")
+    return found.select("path", "content", F.md5("content").alias("hash"))
+
+
+def scan(spark: SparkSession, root: str) -> DataFrame:
+    """path (relative), content and hash of the files under root that are worth reading and can be read."""
+    return contents(listed(spark, root))
 
 
 def single(spark: SparkSession, root: str, path: str) -> DataFrame:

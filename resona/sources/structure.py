@@ -257,7 +257,7 @@ def facts(files: DataFrame) -> DataFrame:
     return every.select(F.col("path").alias("source"), F.posexplode("facts").alias("pos", "f")).select("source", "pos", "f.*")
 
 
-def threads(found: DataFrame, now: float) -> DataFrame:
+def threads(found: DataFrame, now: float | Column) -> DataFrame:
     """One row per thread that facts (with seq) make: id, content, source, created_at, updated_at, node_refs, seq."""
     said = found.where("content is not null")
     return said.select("id", "content", "source", F.lit(now).alias("created_at"), F.lit(now).alias("updated_at"), F.array("id").alias("node_refs"), "seq")

@@ -3,10 +3,12 @@
 import datetime as dt
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from resona.engine import MemoryEngine
 from resona.sources import extract, files
+from resona.sources.snapshots import Conflict, Store
 from resona.streaming import watch
 
 PY = '''"""Billing rules."""
@@ -119,27 +121,36 @@ def test_scan_paths_and_ignored_files(spark, tmp_path):
     (root / ".gitignore").write_text("skipped\n# a.py\n")
     found = files.scan(spark, str(root))
     assert sorted(r.path for r in found.collect()) == ["%20.txt", "a.py", "src/b c.md"]
-    assert files.unread(spark, str(root), found.where("path <> 'a.py'")).first().path == "a.py"
+    listed = files.listed(spark, str(root))
+    assert {r.path: r.hash for r in files.hashed(listed).collect()} == {r.path: r.hash for r in found.collect()}
+    gone = listed.withColumn("uri", F.concat("uri", F.lit("x")))
+    assert files.contents(gone).count() == 0 and files.hashed(gone).where("hash is null").count() == 3
 
 
-def test_two_writers_never_share_a_version(spark, tmp_path):
-    import pytest
-
-    from resona.sources.snapshots import Conflict, Store
-
+def test_of_two_writers_one_is_told(spark, tmp_path):
     rows = lambda k: spark.createDataFrame([(k,)], "k int")
     a, b = Store(spark, f"file://{tmp_path}"), Store(spark, f"file://{tmp_path}")
-    a.save("t", rows(1))
+    assert a.commit(-1, {"t": rows(1)}) == 0
     assert b.read("t", "k int").first().k == 1
-    b.version = lambda table: 0  # has not seen what a commits next
-    a.save("t", rows(2))
-    try:
-        Store.save(b, "t", rows(3))
-        stands = 3
-    except Conflict:
-        stands = 2
-    assert b.read("t", "k int").first().k in (2, 3)
-    assert Store(spark, f"file://{tmp_path}").version("t") == (1 if stands else 0)
+    for _ in range(4):  # whichever folder sorts first
+        base = a.version()
+        assert a.commit(base, {"t": rows(2)}) == base + 1
+        with pytest.raises(Conflict):
+            b.commit(base, {"t": rows(3)})
+    assert [r.k for r in Store(spark, f"file://{tmp_path}").read("t", "k int").orderBy("k").collect()] == [1, 2, 2, 2, 2]
+
+
+def test_commits_of_several_tables_and_values(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(Store, "WHOLE", 3)
+    rows = lambda *k: spark.createDataFrame([(x,) for x in k], "k int")
+    told = lambda s, t, after=-1: sorted(r.k for r in s.read(t, "k int", after).collect())
+    s = Store(spark, str(tmp_path))
+    assert s.version() == -1 and told(s, "log") == [] and s.value("n") is None
+    for n in range(8):
+        s.commit(n - 1, {"log": rows(n)}, {"last": rows(n)}, {"n": n} if n % 2 else None)
+        for reader in (s, Store(spark, str(tmp_path))):
+            assert reader.version() == n and told(reader, "log") == list(range(n + 1)) and told(reader, "last") == [n]
+            assert told(reader, "log", 2) == list(range(3, n + 1)) and reader.value("n") == (n if n % 2 else n - 1 if n else None)
 
 
 def test_sql_functions(spark):
