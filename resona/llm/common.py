@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows and bytes in one Arrow batch, so that a batch of long texts stays small.
-BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 512, 1 << 20
 #: Bytes of one cache of a Python worker, as estimated, and those of an entry beside its key and value.
 CACHE_BYTES, ENTRY_BYTES = 48 << 20, 200
 #: The most rows of a thin table that is broadcast; larger ones are shuffled.

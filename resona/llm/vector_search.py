@@ -13,11 +13,15 @@ success reaches ``share``. The expected distance and the share are fitted
 against brute force on at most ``SAMPLE`` rows and ``SAMPLE_QUERIES`` of their
 queries; every row is indexed, whatever the sample.
 
-Buckets are split into blocks of about ``BLOCK`` points, and the queries that
-visit one into groups of about as many, so that no bucket is one task. Each block
-meets each group, by numpy products of ``GROUP`` queries, and each query keeps
-its k best of a block. Queries that find fewer than k so, though there are more,
-are then compared with all points, in the same blocks and groups. Scores are recomputed on the original vectors in double precision.
+Every point is stored once, in a block of about ``BLOCK`` points of neighbouring
+buckets of the first table, and knows its bucket in each table. A query goes to
+the blocks that hold any bucket that it visits, in groups of about as many, so that no
+bucket is one task and a vector travels once a block, not once a bucket. In
+a block it is compared with the points of visited buckets only, each once in
+whatever tables it is found: by numpy products over buckets of the first table, and point
+by point for what only later tables find. Each query keeps its k best of a block.
+Queries that find fewer than k so, though there are more, are then compared with
+all points, in the same blocks and groups. Scores are recomputed on the original vectors in double precision.
 Equal vectors are one point with its k + 1 smallest ids, which loses no
 result: no more of them can be among a query's k nearest.
 
@@ -48,6 +52,8 @@ BLOCK, GROUP = 4096, 1024
 #: Queries whose probes one task makes.
 QUERIES_PER_TASK = 256
 SEED = 20_240
+#: Perturbations of a bucket's hash values.
+MOVES = np.stack(np.meshgrid(*[np.arange(-REACH, REACH + 1)] * HASHES, indexing="ij"), axis=-1).reshape(-1, HASHES)
 
 
 @dataclass
@@ -68,25 +74,45 @@ class Index:
         """(points, tables, hashes), in units of WIDTH."""
         return (np.einsum("nd,thd->nth", points, self.a) + self.b) / WIDTH
 
+    def slots(self, x: np.ndarray) -> np.ndarray:
+        """(points, tables, hashes) of points."""
+        return np.floor(self.positions(self.lift(x))).astype(np.int64)
+
     def buckets(self, x: np.ndarray) -> np.ndarray:
-        return pack(np.floor(self.positions(self.lift(x))).astype(np.int64))
+        return pack(self.slots(x))
+
+    def own(self, q: np.ndarray) -> np.ndarray:
+        """(queries, tables, hashes) of queries."""
+        unit = q / np.linalg.norm(q, axis=1, keepdims=True)
+        return np.floor(self.positions(np.concatenate([unit, np.zeros((len(q), 1))], axis=1))).astype(np.int64)
+
+    def visits(self, q: np.ndarray) -> np.ndarray:
+        """(queries, tables, perturbations), in the order of ``MOVES``: whether a perturbation is visited."""
+        success, order = self.successes(q)
+        upto = np.cumsum(np.take_along_axis(success, order, -1), axis=-1)
+        go = np.concatenate([np.ones((*upto.shape[:2], 1), bool), upto[:, :, :-1] < self.share], axis=2)
+        out = np.zeros(go.shape, bool)
+        np.put_along_axis(out, order, go, -1)
+        return out
 
     def probes(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(queries, tables, perturbations): bucket keys in order of estimated success, and the success up to and with each."""
+        success, order = self.successes(q)
+        keys = pack(self.own(q)[:, :, None, :] + MOVES)
+        return np.take_along_axis(keys, order, -1), np.cumsum(np.take_along_axis(success, order, -1), axis=-1)
+
+    def successes(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(queries, tables, perturbations): each one's estimated success, and their order by it."""
         unit = q / np.linalg.norm(q, axis=1, keepdims=True)
         at = self.positions(np.concatenate([unit, np.zeros((len(q), 1))], axis=1))
         own = np.floor(at)
-        steps = np.arange(-REACH, REACH + 1)
         edge = (own - at)[..., None] + np.arange(-REACH, REACH + 2)  # slot borders, as seen from the query
         scale = WIDTH / (self.distance * math.sqrt(2))
         chance = np.diff(_erf(edge * scale), axis=-1) / 2  # (queries, tables, hashes, steps)
-        moves = np.stack(np.meshgrid(*[steps] * HASHES, indexing="ij"), axis=-1).reshape(-1, HASHES)
-        success = np.ones((*at.shape[:2], len(moves)))
+        success = np.ones((*at.shape[:2], len(MOVES)))
         for h in range(HASHES):
-            success = success * chance[:, :, h, :][:, :, moves[:, h] + REACH]
-        keys = pack(own.astype(np.int64)[:, :, None, :] + moves)
-        order = np.argsort(-success, axis=-1, kind="stable")
-        return np.take_along_axis(keys, order, -1), np.cumsum(np.take_along_axis(success, order, -1), axis=-1)
+            success = success * chance[:, :, h, :][:, :, MOVES[:, h] + REACH]
+        return success, np.argsort(-success, axis=-1, kind="stable")
 
 
 def pack(h: np.ndarray) -> np.ndarray:
@@ -152,62 +178,69 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            bucket = index.value.buckets(np.stack(f["v"].to_numpy()))
-            for t in range(TABLES):
-                yield pd.DataFrame({"tab": t, "bucket": bucket[:, t], "point": f["point"], "v": f["v"]})
+            slots = index.value.slots(np.stack(f["v"].to_numpy()))
+            yield pd.DataFrame({"point": f["point"], "bucket": pack(slots[:, 0]), "slots": list(slots.reshape(len(f), -1)), "v": f["v"]})
 
-    def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for lo in range(0, len(f), 256):
                 part = f.iloc[lo : lo + 256]
-                keys, success = index.value.probes(np.stack(part["v"].to_numpy()))
-                go = np.concatenate([np.ones((*success.shape[:2], 1), bool), success[:, :, :-1] < index.value.share], axis=2)
-                q, t, m = np.nonzero(go)
-                yield pd.DataFrame({"tab": t, "bucket": keys[q, t, m], "query_id": part["query_id"].to_numpy()[q], "h": part["h"].to_numpy()[q]})
+                q = np.stack(part["v"].to_numpy())
+                bits, own = np.packbits(index.value.visits(q), axis=-1), index.value.own(q).reshape(len(q), -1)
+                yield pd.DataFrame({"query_id": part["query_id"], "h": part["h"], "v": part["v"], "own": list(own), "bits": [b.tobytes() for b in bits]})
 
-    placed = written(points.select("point", "v").mapInPandas(place, "tab int, bucket long, point long, v array<double>"), "placed")
+    def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            own, go = probed(f)
+            q, t, m = np.nonzero(go)
+            yield pd.DataFrame({"tab": t, "bucket": pack(own[q, t] + MOVES[m]), "query_id": f["query_id"].to_numpy()[q], "h": f["h"].to_numpy()[q]})
+
+    hashed = written(points.select("point", "v").mapInPandas(place, "point long, bucket long, slots array<int>, v array<double>"), "hashed")
+    # buckets of unit vectors: their number depends on WIDTH, not on the points
+    sizes = hashed.groupBy("bucket").count().orderBy("bucket").collect()
+    placed = written(hashed.join(F.broadcast(spark.createDataFrame(_blocks([(r["bucket"], r["count"]) for r in sizes]), "bucket long, first int, parts int")), "bucket").select("point", "slots", "v", (F.col("first") + F.pmod(F.xxhash64("point"), F.col("parts")).cast("int")).alias("block")), "placed")
     asked = usable(queries, key, vector).dropDuplicates(["id", "v"]).select(F.col("id").alias("query_id"), F.xxhash64("v").alias("h"), "v")
-    asked = written(asked, "queries")
     # probing is much work for few bytes: dealt by a count of queries, not by the size of their file
     parts = max(1, -(-asked.count() // QUERIES_PER_TASK))
-    visits = written(asked.repartition(parts, "query_id").mapInPandas(visit, "tab int, bucket long, query_id long, h long"), "visits")
+    asked = written(asked.repartition(parts, "query_id").mapInPandas(probe, "query_id long, h long, v array<double>, own array<int>, bits binary"), "queries")
 
     def best(key_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "point": [], "near": []})
-        x, point, out = np.stack(left["v"].to_numpy()), left["point"].to_numpy(), []
+        x, point, slots, out = np.stack(left["v"].to_numpy()), left["point"].to_numpy(), np.stack(left["slots"].to_numpy()).reshape(len(left), TABLES, HASHES), []
         for lo in range(0, len(right), GROUP):
             part = right.iloc[lo : lo + GROUP]
-            s = np.stack(part["v"].to_numpy()) @ x.T
+            s = compared(np.stack(part["v"].to_numpy()), *probed(part), x, slots) if key_[0] == 0 else np.stack(part["v"].to_numpy()) @ x.T
             top = np.argpartition(-s, k, axis=1)[:, : k + 1] if s.shape[1] > k + 1 else np.broadcast_to(np.arange(s.shape[1]), s.shape)
-            out.append(pd.DataFrame({"query_id": np.repeat(part["query_id"].to_numpy(), top.shape[1]), "point": point[top].ravel(), "near": np.take_along_axis(s, top, 1).ravel()}))
+            found = pd.DataFrame({"query_id": np.repeat(part["query_id"].to_numpy(), top.shape[1]), "point": point[top].ravel(), "near": np.take_along_axis(s, top, 1).ravel()})
+            out.append(found[found["near"] > -np.inf])
         return pd.concat(out)
 
-    def meet(placed: DataFrame, visits: DataFrame) -> DataFrame:
-        """query_id and point of the best of what the queries visit."""
-        sizes = placed.groupBy("tab", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        groups = visits.groupBy("tab", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("groups"))
-        split = broadcast_if_small(written(sizes.join(groups, ["tab", "bucket"]), "sizes"))
-        part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        blocks = placed.join(split, ["tab", "bucket"]).select("tab", "bucket", part("point", "blocks").alias("block"), every("groups").alias("group"), "point", "v")
-        probes = visits.join(split, ["tab", "bucket"]).select("tab", "bucket", every("blocks").alias("block"), part("query_id", "groups").alias("group"), "query_id", "h")
-        by = ("tab", "bucket", "block", "group")
-        probes = probes.join(asked, ["query_id", "h"]).select(*by, "query_id", "v")
-        found = blocks.groupBy(*by).cogroup(probes.groupBy(*by)).applyInPandas(best, "query_id long, point long, near double")
-        # a point is found in several tables; rounding may differ by block, so ties are cut only on exact scores
+    def meet(visits: DataFrame) -> DataFrame:
+        """query_id and point of the best of the blocks (kind, block, query_id, h) that the queries go to."""
+        groups = visits.groupBy("kind", "block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("groups"))
+        groups = broadcast_if_small(written(groups, "groups"))
+        blocks = placed.join(groups, "block").select("kind", "block", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), "point", "slots", "v")
+        goes = visits.join(groups, ["kind", "block"]).select("kind", "block", F.pmod(F.xxhash64("query_id"), F.col("groups")).cast("int").alias("group"), "query_id", "h")
+        goes = goes.join(asked, ["query_id", "h"]).select("kind", "block", "group", "query_id", "v", "own", "bits")
+        by = ("kind", "block", "group")
+        found = blocks.groupBy(*by).cogroup(goes.groupBy(*by)).applyInPandas(best, "query_id long, point long, near double")
+        # rounding may differ by block, so ties are cut only on exact scores; different vectors of one id may find a point twice
         each = found.groupBy("query_id", "point").agg(F.max("near").alias("near"))
         by_near = Window.partitionBy("query_id").orderBy(F.desc("near"), "point")
         return written(each.withColumn("r", F.row_number().over(by_near)).where(F.col("r") <= 2 * k + 2).select("query_id", "point"), "found")
 
-    few = meet(placed, visits)
+    held_by = placed.select("block", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TABLES - 1)), lambda t: _packed(F.slice("slots", t * HASHES + 1, F.lit(HASHES))))).alias("tab", "bucket")).distinct()
+    visits = asked.select("query_id", "h", "own", "bits").mapInPandas(visit, "tab int, bucket long, query_id long, h long")
+    goes = visits.join(held_by, ["tab", "bucket"]).select(F.lit(0).alias("kind"), "block", "query_id", "h").distinct()
+    few = meet(written(goes, "visits"))
     # a query's own id is at most one of a point's
     others = F.size("ids") - F.array_contains("ids", F.col("query_id")).cast("int")
     enough = few.join(points.select("point", "ids"), "point").groupBy("query_id").agg(F.sum(others).alias("n")).where(F.col("n") >= min(k, bounds.n - 1))
-    short = written(asked.join(enough, "query_id", "left_anti").select(F.lit(0).alias("tab"), F.lit(0).cast("long").alias("bucket"), "query_id", "h"), "short")
+    short = written(asked.join(enough, "query_id", "left_anti").select("query_id", "h"), "short")
     if not short.isEmpty():
-        whole = points.select(F.lit(0).alias("tab"), F.lit(0).cast("long").alias("bucket"), "point", "v")
-        few = few.join(short, "query_id", "left_anti").union(meet(whole, short))
+        every = placed.select(F.lit(1).alias("kind"), "block").distinct()
+        few = few.join(short, "query_id", "left_anti").union(meet(written(short.crossJoin(every).select("kind", "block", "query_id", "h"), "visits")))  # numbers of blocks
     scored = few.join(points.withColumnRenamed("v", "pv"), "point").join(asked.select("query_id", "v"), "query_id")
     product = F.aggregate(F.zip_with("v", "pv", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     rows_out = scored.select("query_id", product.alias("score"), F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
@@ -215,6 +248,58 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_
     return rows_out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _blocks(sizes: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(bucket, first block, parts) of buckets in order: small ones share a block, large ones have several."""
+    out, block, filled = [], -1, BLOCK
+    for bucket, n in sizes:
+        if n > BLOCK or filled + n > BLOCK:
+            block, filled = block + 1, 0
+        parts = -(-n // BLOCK)
+        out.append((bucket, block, parts))
+        block, filled = block + parts - 1, filled + n if parts == 1 else BLOCK
+    return out
+
+
+def _packed(slots):
+    """``pack`` as a column of an array of slots."""
+    return F.aggregate(slots, F.lit(0).cast("long"), lambda s, x: s * 4096 + x + 2048)
+
+
+def probed(f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(own slots, visited perturbations) of queries."""
+    bits = np.frombuffer(b"".join(f["bits"]), np.uint8).reshape(len(f), TABLES, -1)
+    return np.stack(f["own"].to_numpy()).astype(np.int64).reshape(len(f), TABLES, HASHES), np.unpackbits(bits, axis=-1, count=len(MOVES)).astype(bool)
+
+
+def visited(own: np.ndarray, go: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """(queries, buckets) of one table: whether a query visits a bucket, of the given slots."""
+    apart = slots[None] - own[:, None]
+    near = (np.abs(apart) <= REACH).all(axis=2)
+    at = np.zeros(near.shape, np.int64)
+    for h in range(slots.shape[1]):
+        at = at * (2 * REACH + 1) + np.clip(apart[:, :, h], -REACH, REACH) + REACH
+    return near & np.take_along_axis(go, at, 1)
+
+
+def compared(q: np.ndarray, own: np.ndarray, go: np.ndarray, x: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """(queries, points): the inner products with points of visited buckets, each made once; all others -inf."""
+    out = np.full((len(q), len(x)), -np.inf)
+    _, first, which = np.unique(pack(slots[:, 0]), return_index=True, return_inverse=True)
+    direct = visited(own[:, 0], go[:, 0], slots[first, 0])
+    later = np.zeros((len(q), len(x)), bool)
+    for t in range(1, TABLES):
+        _, one, other = np.unique(pack(slots[:, t]), return_index=True, return_inverse=True)
+        later |= visited(own[:, t], go[:, t], slots[one, t])[:, other]
+    for b in range(len(first)):
+        rows, columns = np.flatnonzero(direct[:, b]), np.flatnonzero(which == b)
+        out[np.ix_(rows, columns)] = q[rows] @ x[columns].T
+    i, j = np.nonzero(later & ~direct[:, which])
+    for lo in range(0, len(i), 1 << 15):
+        at, to = i[lo : lo + (1 << 15)], j[lo : lo + (1 << 15)]
+        out[at, to] = np.einsum("nd,nd->n", q[at], x[to])
+    return out
+
+
 def _points(rows: DataFrame, k: int) -> DataFrame:
     """Distinct vectors with their k + 1 smallest ids (ids), under the smallest (point)."""
     distinct = rows.select("id", "v").distinct().withColumn("h", F.xxhash64("v"))
