@@ -79,7 +79,7 @@ FAMILIES: tuple[tuple[str, str, str, str], ...] = (
         for v in ("2 0", "3 0", "4 0")
         for k, name in (("by", "attribution"), ("by sa", "attribution share ?alike"), ("by nd", "attribution no ?deriv(?:ative)?s"), ("by nc", "attribution non ?commercial"), ("by nc sa", "attribution non ?commercial share ?alike"), ("by nc nd", "attribution non ?commercial no ?deriv(?:ative)?s"))
     ),
-    ("cc", "commons", "creative commons(?: (?:attribution|licen[sc]e))*", "cc"),
+    ("cc", "commons", "creative commons(?: (?:attribution|licen[sc]e)){0,2}", "cc"),
 )
 #: (priority, confidence, regex with {name} or {identifier}); the better, the smaller. A form is one of words around the name.
 FORMS: tuple[tuple[int, float, str], ...] = (
@@ -225,6 +225,136 @@ SIGNATURES: tuple[tuple[str, int, float, str], ...] = (
     ("epl-2.0", 2, 0.85, "epl 2 0 or gpl 2 0 with classpath exception"),
     ("bsd gpl", 3, 0.75, "(?:dual )?bsd (?:or|and) gpl"),
     ("gpl mit", 3, 0.75, "(?:dual )?mit (?:or|and) gpl"),
+    # sentences of other licences, one each
+    ("php-3.01", 2, 0.9, "redistribution and use in source and binary forms with or without modification is permitted provided that the following conditions are met"),
+    ("php-3.01", 3, 0.85, "php licen[sc]e(?: version)? 3 01?"),
+    ("ruby", 3, 0.85, "ruby licen[sc]e"),
+    ("ruby", 3, 0.8, "you can redistribute it and or modify it under either the terms of the (?:gpl|gplv2)"),
+    ("ruby", 4, 0.7, "same licen[sc]e as ruby"),
+    ("w3c", 3, 0.85, "w3c software (?:notice and|and document notice and) licen[sc]e"),
+    ("w3c", 2, 0.85, "permission to copy modify and distribute this (?:software|work) (?:and its documentation )?with or without modification for any purpose and without fee or royalty is hereby granted"),
+    ("json", 2, 0.9, "json licen[sc]e"),
+    ("vim", 3, 0.85, "vim licen[sc]e"),
+    ("vim", 3, 0.8, "there are no restrictions on distributing unmodified copies of vim except that they must include this licen[sc]e text"),
+    ("artistic-1.0", 2, 0.9, "the artistic licen[sc]e preamble the intent of this document is to state the conditions under which a package may be copied"),
+    ("artistic-2.0", 2, 0.9, "this licen[sc]e establishes the terms under which a given free software package may be copied modified distributed and or redistributed"),
+    ("artistic-2.0", 3, 0.8, "artistic licen[sc]e 2 0"),
+    ("openssl", 2, 0.9, "redistributions of any form whatsoever must retain the following acknowledge?ment this product includes software developed by the openssl project"),
+    ("ssleay", 2, 0.9, "the licen[sc]e and distribution terms for any publically available version or derivative of this code cannot be changed"),
+    ("python-2.0", 2, 0.9, "psf hereby grants licensee a nonexclusive royalty free world wide licen[sc]e to reproduce analyze test perform and or display publicly"),
+    ("python-2.0", 3, 0.85, "this licen[sc]e agreement is between the python software foundation psf and the individual or organization licensee"),
+    ("ms-pl", 2, 0.9, "this licen[sc]e governs use of the accompanying software if you use the software you accept this licen[sc]e"),
+    ("ms-rl", 3, 0.85, "microsoft reciprocal licen[sc]e"),
+    ("eupl-1.2", 2, 0.9, "this european union public licen[sc]e the eupl applies to the work"),
+    ("cecill", 2, 0.85, "this software is governed by the cecill licen[sc]e under french law and abiding by the rules of distribution of free software"),
+    ("cecill-b", 2, 0.87, "this software is governed by the cecill b licen[sc]e under french law"),
+    ("cecill-c", 2, 0.87, "this software is governed by the cecill c licen[sc]e under french law"),
+    ("afl-3.0", 2, 0.9, "licensed under the academic free licen[sc]e version 3 0"),
+    ("osl-3.0", 2, 0.9, "licensed under the open software licen[sc]e version 3 0"),
+    ("lppl-1.3c", 2, 0.9, "this work may be distributed and or modified under the conditions of the latex project public licen[sc]e"),
+    ("lppl-1.3c", 3, 0.85, "latex project public licen[sc]e(?: version)?(?: 1 3c?)?"),
+    ("zpl-2.1", 3, 0.85, "zope public licen[sc]e(?: zpl)?(?: version)?(?: 2 [01])?"),
+    ("ijg", 2, 0.85, "permission is hereby granted to use copy modify and distribute this software or portions thereof for any purpose without fee subject to these conditions"),
+    ("libpng", 2, 0.85, "permission is hereby granted to use copy modify and distribute this source code or portions hereof for any purpose without fee subject to the following restrictions"),
+    ("libpng", 3, 0.8, "libpng licen[sc]e"),
+    ("freetype", 3, 0.85, "freetype (?:project )?licen[sc]e"),
+    ("freetype", 2, 0.85, "this licen[sc]e applies to all files distributed in the original freetype project"),
+    ("icu", 3, 0.85, "icu licen[sc]e"),
+    ("unicode", 3, 0.85, "unicode (?:inc )?licen[sc]e agreement data files and software"),
+    ("unicode", 2, 0.85, "permission is hereby granted free of charge to any person obtaining a copy of the unicode data files"),
+    ("unicode", 3, 0.87, "unicode licen[sc]e v3"),
+    ("tcl", 2, 0.85, "the authors hereby grant permission to use copy modify distribute and licen[sc]e this software and its documentation for any purpose"),
+    ("sleepycat", 2, 0.85, "redistributions in any form must be accompanied by information on how to obtain complete source code"),
+    ("sleepycat", 3, 0.8, "sleepycat licen[sc]e"),
+    ("info-zip", 3, 0.85, "info zip licen[sc]e"),
+    ("info-zip", 2, 0.85, "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the above disclaimer"),
+    ("bzip2", 3, 0.85, "bzip2 licen[sc]e"),
+    ("upl-1.0", 3, 0.87, "universal permissive licen[sc]e(?: upl)?(?: version| v)?(?: 1 0)?"),
+    ("mulanpsl-2.0", 3, 0.87, "mulan permissive software licen[sc]e(?: version| v)?(?: ?2)?"),
+    ("blueoak-1.0.0", 3, 0.87, "blue oak model licen[sc]e(?: version)?(?: 1 0 0)?"),
+    ("fair", 3, 0.8, "fair licen[sc]e"),
+    ("mit", 2, 0.96, "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
+    ("mit", 3, 0.8, "deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense"),
+    ("mit-cmu", 2, 0.85, "permission to use copy modify and distribute this software and its associated documentation for any purpose and without fee is hereby granted"),
+    ("x11", 2, 0.85, "permission to use copy modify distribute and sell this software and its documentation for any purpose is hereby granted without fee"),
+    ("x11", 3, 0.8, "except as contained in this notice the name of the x consortium shall not be used in advertising"),
+    ("bsd-2-clause-freebsd", 3, 0.85, "freebsd licen[sc]e"),
+    ("bsd-3-clause", 2, 0.88, "neither the name of the university nor the names of its contributors may be used to endorse or promote products"),
+    ("bsd-3-clause", 2, 0.88, "the names? of its contributors may not be used to endorse or promote products"),
+    ("bsd-3-clause-clear", 3, 0.87, "no express or implied licenses to any party s patent rights are granted by this licen[sc]e"),
+    ("bsd-4-clause-uc", 2, 0.92, "all advertising materials mentioning features or use of this software must display the following acknowledge?ment this product includes software developed by the university of california"),
+    ("bsd", 3, 0.8, "this software is provided by the copyright holders and contributors as is"),
+    ("bsd", 4, 0.75, "use of this source code is governed by a bsd style licen[sc]e"),
+    ("bsd-source-code", 3, 0.85, "redistributions of source code must retain the copyright notice in the source code"),
+    ("bsd-protection", 3, 0.85, "bsd protection licen[sc]e"),
+    ("intel", 3, 0.85, "intel open source licen[sc]e"),
+    ("naist-2003", 3, 0.8, "naist licen[sc]e"),
+    ("ncsa", 2, 0.85, "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimers"),
+    ("linux-openib", 3, 0.8, "openib org bsd licen[sc]e"),
+    ("apache-2.0", 3, 0.8, "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright licen[sc]e"),
+    ("apache-2.0", 3, 0.8, "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable patent licen[sc]e"),
+    ("apache-2.0", 3, 0.82, "the asf licenses this file to you under the apache licen[sc]e version 2 0"),
+    ("apache-1.0", 3, 0.85, "redistributions of any form whatsoever must retain the following acknowledge?ment this product includes software developed by the apache group"),
+    ("gpl", 3, 0.8, "the licenses for most software are designed to take away your freedom to share and change it"),
+    ("gpl-3.0", 3, 0.82, "the gnu general public licen[sc]e is a free copyleft licen[sc]e for software and other kinds of works"),
+    ("agpl-3.0", 3, 0.82, "the gnu affero general public licen[sc]e is a free copyleft licen[sc]e for software and other kinds of works specifically designed to ensure cooperation with the community"),
+    ("lgpl-3.0", 3, 0.82, "this version of the gnu lesser general public licen[sc]e incorporates the terms and conditions of version 3 of the gnu general public licen[sc]e"),
+    ("lgpl-2.1", 3, 0.82, "this is the first released version of the lesser gpl it also counts as the successor of the gnu library public licen[sc]e version 2"),
+    ("gpl-2.0", 2, 0.9, "under the terms of version 2 of the gnu general public licen[sc]e as published by the free software foundation"),
+    ("gpl-3.0", 2, 0.9, "under the terms of version 3 of the gnu general public licen[sc]e as published by the free software foundation"),
+    ("lgpl-2.1", 2, 0.9, "under the terms of version 2 1 of the gnu lesser general public licen[sc]e as published by the free software foundation"),
+    ("gpl-autoconf", 3, 0.85, "as a special exception to the gnu general public licen[sc]e if you distribute this file as part of a program that contains a configuration script generated by autoconf"),
+    ("gpl-bison", 3, 0.85, "gpl with bison exception"),
+    ("gpl-gcc", 3, 0.85, "under section 7 of gpl version 3 you are granted additional permissions described in the gcc runtime library exception"),
+    ("gpl-linking", 3, 0.85, "thus the terms and conditions of the gnu general public licen[sc]e cover the whole combination"),
+    ("gpl-syscall", 3, 0.85, "gpl 2 0 with linux syscall note"),
+    ("mpl-2.0", 3, 0.85, "mozilla public licen[sc]e version 2 0 1 definitions"),
+    ("mpl-2.0", 3, 0.8, "this source code form is incompatible with secondary licenses as defined by the mozilla public licen[sc]e"),
+    ("mpl-1.0", 2, 0.9, "the contents of this file are subject to the mozilla public licen[sc]e version 1 0"),
+    ("epl-2.0", 3, 0.85, "the accompanying program is provided under the terms of this eclipse public licen[sc]e agreement"),
+    ("edl-1.0", 3, 0.85, "eclipse distribution licen[sc]e(?: version| v)?(?: 1 0)?"),
+    ("cpl-1.0", 3, 0.85, "the accompanying program is provided under the terms of this common public licen[sc]e agreement"),
+    ("cddl", 3, 0.85, "you can obtain a copy of the licen[sc]e at (?:usr src )?opensolaris licen[sc]e"),
+    ("cddl-1.1", 3, 0.87, "cddl gpl 1 1"),
+    ("apsl-2.0", 3, 0.87, "apple public source licen[sc]e(?: version)?(?: 2 0)?"),
+    ("apsl-2.0", 2, 0.9, "this file contains original code and or modifications of original code as defined in and that are subject to the apple public source licen[sc]e"),
+    ("npl-1.1", 3, 0.87, "netscape public licen[sc]e(?: version)?(?: 1 [01])?"),
+    ("spl-1.0", 3, 0.87, "sun public licen[sc]e(?: version)?(?: 1 0)?"),
+    ("nasa-1.3", 3, 0.87, "nasa open source agreement(?: version)?(?: 1 3)? licen[sc]e"),
+    ("rpl-1.5", 3, 0.87, "reciprocal public licen[sc]e(?: version)?(?: 1 [15])?"),
+    ("cpal-1.0", 3, 0.87, "common public attribution licen[sc]e(?: version)?(?: 1 0)?"),
+    ("parity-7.0", 3, 0.87, "parity public licen[sc]e(?: version)?(?: [67] 0 0)?"),
+    ("polyform-nc", 3, 0.87, "polyform noncommercial licen[sc]e(?: 1 0 0)?"),
+    ("polyform-sb", 3, 0.87, "polyform small business licen[sc]e(?: 1 0 0)?"),
+    ("prosperity-3.0", 3, 0.87, "prosperity public licen[sc]e(?: 3 0 0)?"),
+    ("fsl-1.1", 3, 0.87, "functional source licen[sc]e(?: version)?(?: 1 1)?"),
+    ("busl-1.1", 2, 0.9, "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work"),
+    ("sspl-1.0", 2, 0.9, "server side public licen[sc]e version 1"),
+    ("elastic-2.0", 2, 0.9, "the licensor grants you a non exclusive royalty free worldwide non sublicensable non transferable licen[sc]e"),
+    ("cc0-1.0", 3, 0.85, "the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("cc-by-3.0", 2, 0.9, "this work is licensed under a creative commons attribution 3 0 unported licen[sc]e"),
+    ("cc-by-sa-3.0", 2, 0.9, "this work is licensed under a creative commons attribution share ?alike 3 0 unported licen[sc]e"),
+    ("cc-by-nc-nd-4.0", 2, 0.9, "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international licen[sc]e"),
+    ("cc-by-nc-sa-4.0", 2, 0.9, "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international licen[sc]e"),
+    ("cc-by-nd-4.0", 2, 0.9, "this work is licensed under a creative commons attribution noderivatives 4 0 international licen[sc]e"),
+    ("ofl-1.1", 3, 0.85, "permission is hereby granted free of charge to any person obtaining a copy of the font software"),
+    ("ufl-1.0", 3, 0.87, "ubuntu font licen[sc]e(?: version)?(?: 1 0)?"),
+    ("bitstream-vera", 3, 0.87, "permission is hereby granted free of charge to any person obtaining a copy of the fonts accompanying this licen[sc]e"),
+    ("odc-by-1.0", 2, 0.9, "made available under the open data commons attribution licen[sc]e"),
+    ("openrail", 3, 0.85, "(?:creativeml )?open ?rail(?: [ms])? licen[sc]e"),
+    ("llama", 3, 0.85, "llama (?:2|3|3 1|3 2)? ?community licen[sc]e agreement"),
+    ("gemma", 3, 0.8, "gemma terms of use licen[sc]e"),
+    ("free-art-1.3", 3, 0.85, "free art licen[sc]e(?: 1 3)?"),
+    ("dsl", 3, 0.8, "design science licen[sc]e"),
+    ("opl-1.0", 3, 0.85, "open publication licen[sc]e(?: version| v)?(?: 1 0)?"),
+    ("fdl-wiki", 3, 0.8, "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[sc]e version 1 [123] or any later version"),
+    # short names of versions
+    ("lgpl-2.1", 3, 0.8, "lgplv2 1(?: only)?"),
+    ("lgpl-2.0", 3, 0.8, "lgplv2(?: 0)?(?: only)?"),
+    ("gpl-2.0", 3, 0.8, "gplv2 0"),
+    ("agpl-1.0", 3, 0.8, "agplv1"),
+    ("gpl-1.0", 3, 0.8, "gplv1"),
+    ("apache-2.0", 3, 0.8, "apache v2"),
     # what belongs to all, and what does not
     ("public-domain", 3, 0.9, "(?:released|placed|dedicated|donated) (?:in|into|to) the public domain"),
     ("public-domain", 4, 0.8, "(?:this|the) (?:work|code|file|software) is in the public domain"),
@@ -251,7 +381,7 @@ def rules() -> list[tuple[str, str, int, float, str]]:
 
 
 def _strings(nodes: list) -> Iterator[str]:
-    """What a parsed regex matches; a part that may be repeated without end is repeated twice at most."""
+    """What a parsed regex matches; rules repeat nothing more than twice."""
     if not nodes:
         yield ""
         return
@@ -265,12 +395,11 @@ def _strings(nodes: list) -> Iterator[str]:
     elif op is sre.BRANCH:
         heads = [x for branch in arg[1] for x in _strings(list(branch))]
     elif op is sre.MAX_REPEAT:
+        if arg[0] or arg[1] > 2:
+            raise ValueError("rules repeat a part from no to two times")
         one, heads = list(_strings(list(arg[2]))), [""]
-        if arg[0]:
-            heads = one
-        else:
-            for _ in range(min(arg[1], 2)):
-                heads = list(dict.fromkeys([*heads, *(h + x for h in heads for x in one)]))
+        for _ in range(arg[1]):
+            heads = list(dict.fromkeys([*heads, *(h + x for h in heads for x in one)]))
     else:
         raise ValueError(f"rules do not use {op}")
     for tail in _strings(nodes[1:]):
@@ -407,6 +536,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     found = windows.select(key, "n_words", "base", F.array_distinct(F.flatten(F.transform("windows", _detect))).alias("found"))
     joined = lambda x: F.array_join(F.sort_array(F.array_distinct(x)), ",")
     base_labels = F.col("base.label")
+    labels = F.flatten(F.transform("found.label", lambda x: F.split(x, " ")))  # an expression of several licences has a label for each
     return found.select(
         key,
         "n_words",
@@ -414,6 +544,6 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         F.array_min("base.start").alias("first_word"),
         F.array_max("base.start").alias("last_word"),
         joined(base_labels).alias("base_labels"),
-        joined(F.concat(base_labels, F.col("found.label"))).alias("labels"),
+        joined(F.concat(base_labels, labels)).alias("labels"),
         F.greatest(F.coalesce(F.array_max("found.confidence"), F.lit(0.0)), F.when(F.size("base") > 0, 0.6).otherwise(0.0)).alias("score"),
     )
