@@ -6,7 +6,8 @@ lattice of what each written character may stand for is decoded by Viterbi
 under a character trigram model, whose counts come from every document (a
 table of ``CLASSES`` ** 3 entries, whatever the corpus). Plain words without a
 letter twice in a row have one reading and skip the lattice, and so do pure
-numbers; every other chunk is decoded, whatever its length. A run of one character counts as three of it.
+numbers; every other chunk is decoded, whatever its length. A run of one character counts as three of it. Dropping one of two equal letters costs the more
+the likelier that letter stands twice in the counts; in longer runs it is cheap.
 Only true punctuation is cut off at the ends; other signs there may be skipped
 by the lattice. A decoded chunk is also known by the words that stand in it as
 they are written. Single letters or look-alikes apart by white space are one
@@ -51,6 +52,8 @@ CLASSES = 28
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l"}
 _SEPARATORS = frozenset("-_.*~'`^:/\\,")
 _LOOK, _SKIP, _REPEAT, _KEEP = -1.5, -1.0, -0.7, -6.0
+#: The price of dropping the second of two equal letters: the likelier a letter stands twice in the counts, the higher.
+_TWO, _LIKELY = -5.5, -0.5
 _PLAIN = re.compile(r"[^\W\d_]+\Z")
 _WORDS = re.compile(r"[^\W\d_]+")
 _TWICE = re.compile(r"(.)\1")
@@ -113,6 +116,9 @@ class Restorer:
     def __init__(self, model: np.ndarray):
         self.model = model.tolist()
         self.known = Recent()
+        # whatever stands before it; a run of three or more is nobody's spelling, and cheap
+        twice = np.log(np.exp(model).mean(axis=0).diagonal())
+        self.two = np.minimum(_REPEAT, _TWO + _LIKELY * twice).tolist()
 
     def word(self, chunk: str) -> str:
         """The restored word, in lower case."""
@@ -136,6 +142,7 @@ class Restorer:
         written = _RUN.sub(r"\1\1\1", written)
         best: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
         tail, done = len(written.rstrip(_ENDS)), []
+        runs = [c * 3 in written[max(0, n - 2) : n + 3] for n, c in enumerate(written)]
         for n, c in enumerate(written):
             options = [(c, 0.0)] if c.isalpha() else [(x, _LOOK) for x in LOOKS.get(c, "")] + [(" ", _KEEP)]
             new: dict[tuple[int, int, str], tuple[float, str]] = {}
@@ -144,7 +151,7 @@ class Restorer:
                 if c in _SEPARATORS or c in "$!|+(<" or n >= tail:
                     steps.append(("", cost + _SKIP, (a, b, last)))
                 if any(x == last for x, _ in options if x != " "):
-                    steps.append(("", cost + _REPEAT, (a, b, last)))
+                    steps.append(("", cost + (_REPEAT if runs[n] or c != last else self.two[b]), (a, b, last)))
                 for x, value, state in steps:
                     if state not in new or value > new[state][0]:
                         new[state] = (value, text + x)
