@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
+from collections.abc import Iterator
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
@@ -28,6 +29,45 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, broadcast_if_small, fresh_name, map_columns, shared_dir, written
 
+
+
+class _Span:
+    """What a rule needs of a match."""
+
+    def __init__(self, start: int, end: int):
+        self._at = start, end
+
+    def start(self, group: int = 0) -> int:
+        return self._at[0]
+
+    def end(self, group: int = 0) -> int:
+        return self._at[1]
+
+
+class WebTokens:
+    """Three parts joined by dots, of which the first two begin with ``eyJ``, as a regex would find them.
+
+    Runs of the tokens' characters are cut at their dots once: only the first
+    ``eyJ`` of a part can begin a token, so that no place is tried twice.
+    """
+
+    pattern, flags = r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0
+    _run = re.compile(r"[A-Za-z0-9_.-]+")
+
+    def finditer(self, text: str) -> Iterator[_Span]:
+        for run in self._run.finditer(text):
+            parts, at, k = run[0].split("."), [run.start()], 0
+            for part in parts:
+                at.append(at[-1] + len(part) + 1)
+            while k + 2 < len(parts):
+                first = parts[k].find("eyJ")
+                if first >= 0 and len(parts[k]) - first >= 11 and parts[k + 1].startswith("eyJ") and len(parts[k + 1]) >= 11 and len(parts[k + 2]) >= 8:
+                    yield _Span(at[k] + first, at[k + 3] - 1)
+                    k += 3
+                else:
+                    k += 1
+
+
 #: (kind, pattern, the least length of the group, the group, what a lower-cased text with a match contains).
 RULES = (
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 6, 2, ("password", "passwd", "secret", "token", "apikey", "api_key")),
@@ -36,7 +76,7 @@ RULES = (
     ("private_key", re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"), 1, 0, ("private key-----",)),
     ("forge_token", re.compile(r"gh[opsur]_[A-Za-z0-9]{36,}"), 40, 0, ("gh",)),
     ("chat_token", re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}"), 15, 0, ("xox",)),
-    ("web_token", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), 30, 0, ("eyj",)),
+    ("web_token", WebTokens(), 30, 0, ("eyj",)),
     ("map_key", re.compile(r"AIza[A-Za-z0-9_-]{35}"), 39, 0, ("aiza",)),
     ("live_key", re.compile(r"[rs]k_live_[A-Za-z0-9]{16,}"), 24, 0, ("k_live_",)),
 )
