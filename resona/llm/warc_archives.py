@@ -10,7 +10,9 @@ those of attempts that succeeded are in the manifest.
 Reading: the end record of a ZIP, its ZIP64 form where there is one, and the
 central directory give the stored members; the index gives ranges within
 them, and neighbouring ranges are read together. Records are parsed from those
-bytes; nothing else of the file is read.
+bytes; nothing else of the file is read. An index that names a member that is
+missing or deflated is an error. A response's payload is checked against its own
+digest, and a revisit's length and digest against its response.
 
 A null html is an empty payload. A null page_id is written and read as null
 and is never revisited, nor a revisit. Rows that repeat the smallest page_id of
@@ -42,6 +44,7 @@ ARCHIVE_BYTES = 32 << 20
 #: The most bytes that one read of neighbouring records takes, unless a record is larger.
 READ_BYTES = 4 << 20
 _RECORDS, _INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
+_INDEXES = (".cdxj", ".cdxj.gz", ".cdx", ".cdx.gz")
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
@@ -164,15 +167,16 @@ def _data_at(source: pa.NativeFile, member: Member) -> int:
 
 def records(source: pa.NativeFile, size: int) -> Iterator[dict]:
     """All records of a packaged archive, by range reads of what its indexes list."""
-    members = {m.name: m for m in directory(source, size) if m.stored}
-    for name in sorted(n for n in members if n.startswith("indexes/") and n.endswith(".cdxj")):
-        lines = _range(source, _data_at(source, members[name]), members[name].size).decode().split("\n")
+    members = {m.name: m for m in directory(source, size)}
+    for name in sorted(n for n in members if n.startswith("indexes/") and n.endswith(_INDEXES)):
+        raw = _range(source, _data_at(source, _stored(members, name)), members[name].size)
+        lines = (gzip.decompress(raw) if name.endswith(".gz") else raw).decode().split("\n")
         places: dict[str, list[tuple[int, int]]] = {}
         for line in filter(None, lines):
             x = json.loads(line.split(" ", 2)[2])
             places.setdefault(f"archive/{x['filename']}", []).append((int(x["offset"]), int(x["length"])))
         for file, spans in places.items():
-            base = _data_at(source, members[file])
+            base = _data_at(source, _stored(members, file))
             for group in _together(sorted(spans)):
                 first, last = group[0][0], group[-1][0] + group[-1][1]
                 raw = _range(source, base + first, last - first)
@@ -180,6 +184,15 @@ def records(source: pa.NativeFile, size: int) -> Iterator[dict]:
                     yield parse(gzip.decompress(raw[at - first : at - first + n]))
 
 
+def _stored(members: dict[str, Member], name: str) -> Member:
+    """A member whose bytes stand in the file as they are; ranges of others can't be read."""
+    if name not in members:
+        raise ValueError(f"the archive has no member {name}")
+    if not members[name].stored:
+        raise ValueError(f"{name} is deflated: its records have no ranges")
+    return members[name]
+
+
 def _together(spans: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
     group: list[tuple[int, int]] = []
     for at, n in spans:
@@ -227,6 +240,17 @@ def write(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) ->
     return written(marked.mapInArrow(run, "path string, size long, n_records long"), "manifest")
 
 
+def checked(records_: DataFrame) -> DataFrame:
+    """The same rows, once every revisit's length and digest are those of a response that it refers to; else an error that names one."""
+    found = written(records_, "records")
+    same = ["refers_to", "payload_bytes", "payload_digest"]
+    claims = found.where("record_type = 'revisit'").select(*same).distinct()  # one a payload, however many pages share it
+    there = found.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest").distinct()
+    for bad in claims.join(there, same, "left_anti").limit(1).collect():
+        raise ValueError(f"page {bad.refers_to} is not the response of {bad.payload_bytes} bytes with digest {bad.payload_digest} that is referred to")
+    return found
+
+
 def read(manifest: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to of every record in the manifest's archives."""
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -246,5 +270,5 @@ def read(manifest: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, folder: str) -> DataFrame:
-    """pages written to archives and read back."""
-    return read(write(pages, f"{folder}/archives-{uuid.uuid4().hex}"))
+    """pages written to archives and read back, revisits checked against their responses."""
+    return checked(read(write(pages, f"{folder}/archives-{uuid.uuid4().hex}")))
