@@ -258,8 +258,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     component = classes.select("digest", "class")
     if labels is not None:
         component = component.join(labels, component["class"] == labels["node"], "left").select("digest", F.coalesce("component", "class").alias("class"))
-    return (
-        found.join(component, "digest", "left")
-        .select(F.col("id").alias(key), "n_shingles", F.coalesce("class", "id").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
-    )
+    named = lambda rows: rows.select(F.col("id").alias(key), "n_shingles", F.col("class").alias("component_id"))
+    # what has no set or no id is linked with nothing, and would all meet in one task of a join
+    alone = found.where("digest is null or id is null").select("id", "n_shingles", F.col("id").alias("class"))
+    linked = sets.select("id", "n_shingles", "digest").join(component, "digest").select("id", "n_shingles", F.coalesce("class", "id").alias("class"))
+    return named(linked).unionByName(named(alone)).withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
