@@ -1,10 +1,12 @@
 """Archives, vectors, toxicity and the pipeline."""
 
+import gzip
 import hashlib
 import io
 import math
 import random
 import struct
+import zipfile
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +57,38 @@ def test_zip64_directory():
     assert [(r["page_id"], r["record_type"], r["refers_to"], r["payload"]) for r in got] == [(1, "response", None, b"payload"), (3, "revisit", 1, None)]
 
 
+def _zipped(records, index, deflated=False, name="indexes/index.cdxj"):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr(zipfile.ZipInfo("archive/data.warc.gz"), records, zipfile.ZIP_DEFLATED if deflated else zipfile.ZIP_STORED)
+        z.writestr(zipfile.ZipInfo(name), gzip.compress(index) if name.endswith(".gz") else index, zipfile.ZIP_STORED)
+    return list(warc_archives.records(pa.PythonFile(io.BytesIO(out.getvalue()), "r"), len(out.getvalue())))
+
+
+def test_what_an_index_may_name(monkeypatch):
+    monkeypatch.setattr(warc_archives, "READ_BYTES", 600)  # smaller than the second record
+    a = warc_archives.Archive()
+    payloads = {1: b"payload", 2: RND.randbytes(3000), 3: b"x" * 50}
+    for k, payload in payloads.items():
+        a.add(k, "u", payload, None)
+    body, index = a.data.getvalue(), "\n".join(a.index).encode()
+    for name in ("indexes/index.cdxj", "indexes/more.cdxj.gz", "indexes/index.cdx"):
+        assert {r["page_id"]: r["payload"] for r in _zipped(body, index, name=name)} == payloads
+    with pytest.raises(ValueError, match="data.warc.gz is deflated"):
+        _zipped(body, index, deflated=True)
+    with pytest.raises(ValueError, match="no member archive/other"):
+        _zipped(body, index.replace(b"data.warc.gz", b"other.warc.gz"))
+
+
+def test_revisits_are_those_of_their_response(spark):
+    rows = [(1, 120, "aa", "response", None), (2, 120, "aa", "revisit", 1), (3, 120, "aa", "revisit", 1), (4, 7, "bb", "response", None)]
+    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    assert warc_archives.checked(spark.createDataFrame(rows, schema)).count() == 4
+    for bad in ((5, 120, "ab", "revisit", 1), (5, 121, "aa", "revisit", 1), (5, 120, "aa", "revisit", 9), (5, 120, "aa", "revisit", 2)):
+        with pytest.raises(ValueError, match="is not the response"):
+            warc_archives.checked(spark.createDataFrame([*rows, bad], schema))
+
+
 @pytest.mark.parametrize("scale", [1.0, 25.0])
 def test_vector_search(spark, scale):
     rng = np.random.default_rng(6)
@@ -229,7 +263,8 @@ def _readings(r, written):
         if c in tox._SEPARATORS or c in "$!|+(<" or n >= tail:
             go(n + 1, a, b, last, cost + tox._SKIP, text)
         if any(x == last for x, _ in letters):
-            go(n + 1, a, b, last, cost + tox._REPEAT, text)
+            long = any(written[k : k + 3] == c * 3 for k in range(max(0, n - 2), n + 1))
+            go(n + 1, a, b, last, cost + (tox._REPEAT if long or c != last else r.two[b]), text)
 
     go(0, 0, 0, "", 0.0, "")
     return out
@@ -248,6 +283,17 @@ def test_lattice_equals_all_readings():
         assert r.decode(written) in {" ".join(tox._WORDS.findall(text)) for cost, text in found if cost > best - 1e-9}, written
 
 
+def test_plain_words_keep_their_doubled_letters(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    r = toxicity.Restorer(toxicity.language_model(toxicity.trigram_counts(d)))
+    words = [w.lower().strip(toxicity._EDGE) for row in d.limit(300).collect() for w in (row.text or "").split()]
+    twice = [w for w in words if toxicity._PLAIN.match(w) and toxicity._TWICE.search(w) and not any(c * 3 in w for c in set(w))]
+    assert len(twice) > 1000 and sum(r.word(w) != w for w in twice) < 0.1 * len(twice)
+    once = sorted({w for w in words if toxicity._PLAIN.match(w) and not toxicity._TWICE.search(w) and 4 < len(w) < 10})[:500]
+    assert sum(r.word(w[0] + w[1] * 3 + w[2:]) == w for w in once) > 0.95 * len(once)  # and repeats are undone
+    assert sum(r.word(w[0] + w[1] * 2 + w[2:]) == w for w in once) > 0.7 * len(once)
+
+
 def test_hidden_words_of_any_kind_are_decoded():
     r = _restorer("stone river the idiot silly".split())
     for written, said in (("5t0n3", "stone"), ("$70n3", "stone"), ("7h3", "the"), ("rriivveerr", "river"), ("1d10t", "idiot"), ("s-t-o-n-e", "stone"), ("sssstttooonnneeee", "stone"), ("r" * 60 + "iver", "river")):
