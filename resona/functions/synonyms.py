@@ -6,55 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Groups of a software project's vocabulary; ``read`` takes others from a file.
-GROUPS: tuple[tuple[str, ...], ...] = (
-    ("auth", "authentication", "login", "signin", "credentials"),
-    ("permission", "authorization", "access", "role"),
-    ("db", "database", "storage", "persistence", "repository"),
-    ("api", "endpoint", "route", "handler"),
-    ("error", "exception", "failure", "fault", "crash"),
-    ("config", "configuration", "settings", "options", "preferences"),
-    ("test", "spec", "check", "verify", "assertion"),
-    ("cache", "buffer", "memo"),
-    ("deploy", "release", "ship", "rollout"),
-    ("user", "account", "member", "customer", "client"),
-    ("delete", "remove", "drop", "erase"),
-    ("get", "fetch", "load", "retrieve"),
-    ("insert", "create", "add", "new"),
-    ("update", "modify", "change", "edit"),
-    ("search", "find", "lookup", "query"),
-    ("send", "publish", "emit", "dispatch"),
-    ("message", "event", "notification", "signal"),
-    ("queue", "broker", "topic", "backlog"),
-    ("job", "task", "worker", "process"),
-    ("schedule", "cron", "timer", "interval"),
-    ("start", "begin", "launch", "init"),
-    ("stop", "end", "halt", "shutdown"),
-    ("log", "trace", "audit", "journal"),
-    ("metric", "measure", "statistic", "telemetry"),
-    ("price", "cost", "fee", "charge"),
-    ("pay", "payment", "billing", "invoice"),
-    ("order", "purchase", "checkout", "basket"),
-    ("product", "item", "article", "goods"),
-    ("stock", "inventory", "warehouse"),
-    ("model", "schema", "entity"),
-    ("train", "fit", "learn"),
-    ("predict", "infer", "estimate", "forecast"),
-    ("feature", "attribute", "column", "field"),
-    ("dataset", "corpus", "sample"),
-    ("transform", "convert", "map", "translate"),
-    ("parse", "decode", "read"),
-    ("render", "display", "show", "draw"),
-    ("component", "widget", "element"),
-    ("page", "view", "screen"),
-    ("state", "status", "condition"),
-    ("file", "document", "record"),
-    ("folder", "directory", "path"),
-    ("function", "method", "procedure"),
-    ("class", "type", "kind"),
-    ("import", "require", "include", "dependency"),
-    ("security", "encryption", "protection"),
-)
+#: Short forms in identifiers beside the words that they stand for; ``read`` takes any other vocabulary from a file.
+SHORT = {
+    "acct": "account", "addr": "address", "amt": "amount", "arg": "argument", "avg": "average", "btn": "button", "calc": "calculate", "cfg": "configuration", "cnt": "count", "col": "column", "ctx": "context", "cur": "current",
+    "dept": "department", "desc": "description", "dest": "destination", "dim": "dimension", "dir": "directory", "doc": "document", "elem": "element", "env": "environment", "err": "error", "fmt": "format", "freq": "frequency",
+    "idx": "index", "img": "image", "lang": "language", "len": "length", "lib": "library", "max": "maximum", "mgr": "manager", "min": "minimum", "msg": "message", "num": "number", "obj": "object", "param": "parameter", "pct": "percent",
+    "pkg": "package", "pos": "position", "prev": "previous", "qty": "quantity", "rcv": "receive", "ref": "reference", "req": "request", "res": "resource", "resp": "response", "seq": "sequence", "sig": "signature", "spec": "specification",
+    "src": "source", "str": "string", "sync": "synchronize", "sys": "system", "tmp": "temporary", "tot": "total", "txn": "transaction", "util": "utility", "val": "value", "vec": "vector", "vol": "volume", "win": "window",
+}
+GROUPS: tuple[tuple[str, ...], ...] = tuple(SHORT.items())
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

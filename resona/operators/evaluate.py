@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .resonate import meet_queries
@@ -10,7 +10,7 @@ from .resonate import meet_queries
 K1, B = 1.5, 0.75
 #: Ranges of values that percentiles are counted in.
 RANGES = 64
-#: Different words that are looked for in every document at once.
+#: About how many words one list holds that is looked for in a document.
 SENT = 10_000
 
 
@@ -140,16 +140,23 @@ def substring_topk(docs: DataFrame, queries: DataFrame, top_k: int = 10) -> Data
     """query_id, doc_id, score and rank of the documents that hold most of a query's lower-cased words, as parts of words too.
 
     Containment has no key to join on: each document is read once, against the
-    distinct words of all queries, which are counted and sent along; a document
-    meets the queries of the words it holds.
+    distinct words of all queries; a document meets the queries of the words it
+    holds. Up to ``SENT`` words are sent along as one list; more of them are
+    several lists, which each document meets in a shuffle.
     """
     q = queries.select("query_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("query"), "\\s+"), lambda w: w != ""))).alias("word"))
     words = q.select("word").distinct()
-    if words.limit(SENT + 1).count() > SENT:
-        raise ValueError(f"more than {SENT} different words; ask in parts")
-    listed = words.agg(F.collect_set("word").alias("_words"))  # SENT words at most
+    lists = max(1, -(-words.count() // SENT))
+    listed = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(lists)).cast("int").alias("_list")).agg(F.collect_set("word").alias("_words"))  # about SENT words each
+    if lists == 1:
+        read = docs.join(F.broadcast(listed.select("_words")))  # one row
+    else:  # every document meets every list, dealt by list and by document
+        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("_part"), every(lists).alias("_list"))
+        read = left.join(listed.select("_list", "_words", every(parts).alias("_part")), ["_list", "_part"])
     # the lower-cased text is bound to a variable, so that it is not made again for each word
     found = F.flatten(F.transform(F.array(F.lower("text")), lambda low: F.filter("_words", lambda w: F.contains(low, w))))
-    held = docs.crossJoin(F.broadcast(listed)).select("doc_id", F.explode(found).alias("word"))
+    held = read.select("doc_id", F.explode(found).alias("word"))
     scores = meet_queries(held, q, "word").groupBy("query_id", "doc_id").agg(F.count("*").alias("score"))
     return ranked(scores, top_k=top_k)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from resona.functions import text as tx
+from resona.functions.once import once
 
 # Suffixes, what a file is called, and (what, pattern, skipped names) in order of emission.
 LANGUAGES: tuple[tuple[tuple[str, ...], str, tuple[tuple[str, str, tuple[str, ...]], ...]], ...] = (
@@ -186,19 +187,24 @@ def normal_text(content: Column) -> Column:
     return F.regexp_replace(content.cast("string"), "\r\n?", "\n")
 
 
-def units(files: DataFrame) -> DataFrame:
-    """id, content (200 characters at most), source, encode_input, and pos (the order within the file) of files (path, text)."""
+@once
+def _columns() -> tuple[Column, Column]:
+    """Units of a file (path, text), and of a Python file with what was found in it (found)."""
     path, text, suffix = F.col("path"), F.col("text"), tx.path_suffix(F.col("path"))
     out = generic_units(text, path)
     for suffixes, title, patterns in LANGUAGES:
         out = F.when(suffix.isin(*suffixes), code_units(text, path, title, patterns)).otherwise(out)
     out = F.when(suffix == ".feature", gherkin_units(text, path)).when(suffix.isin(".md", ".txt"), markdown_units(text, path)).otherwise(out)
-    other = files.where(suffix != ".py").select("path", out.alias("units"))
     notes = F.transform(F.slice(tx.comments(text), 1, 10), lambda c, i: _unit(tx.path_stem(path), F.concat(F.lit("note_"), i.cast("string")), c))
-    python = files.where(suffix == ".py").withColumn("found", _python("path", "text"))
-    python = python.select("path", F.when(F.col("found").isNull(), generic_units(text, path)).otherwise(F.concat("found", notes)).alias("units"))
-    each = other.unionByName(python).select("path", F.posexplode("units").alias("pos", "u"))
-    return each.select("u.id", F.substring("u.content", 1, 200).alias("content"), F.col("path").alias("source"), F.concat_ws(" ", F.col("u.name"), F.col("u.content"), tx.path_stem(path)).alias("encode_input"), "pos")
+    return out, F.when(F.col("found").isNull(), generic_units(text, path)).otherwise(F.concat("found", notes))
+
+
+def units(files: DataFrame) -> DataFrame:
+    """id, content (200 characters at most), source, encode_input, and pos (the order within the file) of files (path, text)."""
+    (out, of_python), suffix = _columns(), tx.path_suffix(F.col("path"))
+    python = files.where(suffix == ".py").withColumn("found", _python("path", "text")).select("path", of_python.alias("units"))
+    each = files.where(suffix != ".py").select("path", out.alias("units")).unionByName(python).select("path", F.posexplode("units").alias("pos", "u"))
+    return each.select("u.id", F.substring("u.content", 1, 200).alias("content"), F.col("path").alias("source"), F.concat_ws(" ", F.col("u.name"), F.col("u.content"), tx.path_stem(F.col("path"))).alias("encode_input"), "pos")
 
 
 def relations(files: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from resona.functions import text as tx
+from resona.functions.once import once
 
 from .extract import definitions, matches, trimmed
 
@@ -244,15 +245,21 @@ def _python_structure(found: Column, path: Column) -> Column:
     return F.transform(found, one)
 
 
-def facts(files: DataFrame) -> DataFrame:
-    """source, pos, id, content, other and weight of files (path, text): a content makes a thread, another node an edge."""
+@once
+def _columns() -> tuple[Column, Column]:
+    """Facts of a file (path, text), and of a Python file with what was found in it (found)."""
     path, text, suffix = F.col("path"), F.col("text"), tx.path_suffix(F.col("path"))
     out = F.when(suffix.isin(*CONFIG), _config(path)).otherwise(_whole(text, path))
     for suffixes, title, kinds, uses in LANGUAGES:
         out = F.when(suffix.isin(*suffixes), _code(text, path, title, kinds, uses)).otherwise(out)
     out = F.when(suffix == ".go", _go(text, path)).when(suffix == ".feature", _gherkin(text, path)).when(suffix.isin(".md", ".txt", ".rst"), _markdown(text, path)).otherwise(out)
-    python = files.where(suffix == ".py").select("path", "text", _python("path", "text").alias("found"))
-    python = python.select("path", F.when(F.col("found").isNull(), _whole(text, path)).otherwise(_python_structure(F.col("found"), path)).alias("facts"))
+    return out, F.when(F.col("found").isNull(), _whole(text, path)).otherwise(_python_structure(F.col("found"), path))
+
+
+def facts(files: DataFrame) -> DataFrame:
+    """source, pos, id, content, other and weight of files (path, text): a content makes a thread, another node an edge."""
+    (out, of_python), suffix = _columns(), tx.path_suffix(F.col("path"))
+    python = files.where(suffix == ".py").select("path", "text", _python("path", "text").alias("found")).select("path", of_python.alias("facts"))
     every = files.where(suffix != ".py").select("path", out.alias("facts")).unionByName(python)
     return every.select(F.col("path").alias("source"), F.posexplode("facts").alias("pos", "f")).select("source", "pos", "f.*")
 

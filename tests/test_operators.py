@@ -101,7 +101,7 @@ def test_vectors(spark):
 
 
 def test_encoding_is_the_weighted_sum_of_features(spark):
-    texts = spark.createDataFrame([("x", "Deploy the auth api"), ("y", "???"), ("z", "auth")], "k string, t string")
+    texts = spark.createDataFrame([("x", "Deploy the qty api"), ("y", "???"), ("z", "qty")], "k string, t string")
     got = {r.k: np.array(r.vector) for r in encode.encode_text(texts, "k", "t", 64).collect()}
     assert set(got) == {"x", "y", "z"} and all(abs(np.linalg.norm(v) - 1) < 1e-9 for v in got.values())
     import hashlib
@@ -111,7 +111,7 @@ def test_encoding_is_the_weighted_sum_of_features(spark):
     f = [r for r in encode.features(texts, "k", "t").where("k = 'z'").collect()]
     want = sum(draw(r.feature) * r.weight for r in f)
     assert np.allclose(got["z"], want / np.linalg.norm(want))
-    assert {r.feature: r.weight for r in f}["login"] == 0.5 and {r.feature: r.weight for r in f}["auth"] == 1.0
+    assert {r.feature: r.weight for r in f}["quantity"] == 0.5 and {r.feature: r.weight for r in f}["qty"] == 1.0
     again = {r.k: np.array(r.vector) for r in encode.encode_text(texts.repartition(7), "k", "t", 64).collect()}
     assert all(np.allclose(got[k], again[k]) for k in got)
 
@@ -158,3 +158,61 @@ def test_distill_reads_every_turn_whole(spark):
     rows = spark.read.parquet(f"{sf}/conversations.parquet").collect()
     got = {r.source: r.intention for r in catalogue.QUERIES["distill"](spark, sf).collect()}
     assert len({r.turn for r in rows}) > 1 and got == {f"{r.conv_id}_{r.turn}": r.text for r in rows}
+
+
+def test_words_of_many_queries_are_looked_for_in_several_lists(spark, monkeypatch):
+    rnd = random.Random(4)
+    words = [f"w{k}x" for k in range(60)] + ["x", "w1"]
+    docs = [(k, " ".join(rnd.choice(words).upper() for _ in range(rnd.randrange(30)))) for k in range(40)]
+    queries = [(k, " ".join(rnd.choice(words) for _ in range(rnd.randrange(1, 9)))) for k in range(20)]
+    d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(queries, "query_id long, query string")
+    got = []
+    for sent in (10_000, 7):
+        monkeypatch.setattr(ev, "SENT", sent)
+        got.append({(r.query_id, r.doc_id, r.score) for r in ev.substring_topk(d, q, 100).collect()})
+    want = {(i, k, n) for i, t in queries for k, text in docs if (n := sum(w in text.lower() for w in set(t.split())))}
+    assert got == [want, want]
+
+
+def test_containment_equals_comparing_all(spark):
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("ab") for _ in range(rnd.randrange(14)))
+    left, right = [word() for _ in range(60)], [word() for _ in range(80)]
+    frame = lambda xs, c: spark.createDataFrame([(x,) for x in xs], f"{c} string")
+    found = gr.contained(frame(left, "word"), frame(right, "other"))
+    rows = [tuple(r) for r in found.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == {(a, b) for a in left for b in right if a in b or b in a}
+    queries = spark.createDataFrame([(1, "Pay-the invoice_now"), (2, "xy")], "query_id long, query string")
+    nodes = spark.createDataFrame([("payment_rule", 1), ("_odd", 2), ("voice", 3), ("zz", 4)], "id string, seq long")
+    named = gr.named_nodes(queries, nodes)
+    plan = named._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert {(r.query_id, r.node) for r in named.collect()} == {(1, "payment_rule"), (1, "_odd"), (1, "voice")}
+
+
+def test_the_comment_above_is_found_in_one_pass(spark):
+    import time
+
+    from resona.sources import structure
+
+    texts = ["", "def a", "/** Says it. */\n\n  \nfunction one(a) {}\n// two\nfunction two() {}" + " " * 3000 + "\nfunction far() {}"]
+    texts.append("".join(f"// comment {k}\nfunction f{k}(a, b) {{ return {k} }}\n" for k in range(2000)))
+    pattern = structure.LANGUAGES[0][2][0][1]
+    d = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    began = time.time()
+    got = {r.k: r.b for r in d.select("k", structure._before(F.col("text"), pattern).alias("b")).collect()}
+    assert time.time() - began < 30 and len(got[3]) == 2000
+    import re as regex
+
+    for k, t in enumerate(texts):
+        assert got[k] == [t[: m.start()].rstrip(" \t\n\x0b\f\r")[-500:] for m in regex.finditer(pattern, t)]
+
+
+def test_fallback_keeps_what_results_push_out(spark):
+    g = spark.createDataFrame([(f"g{k}", "alpha beta" if k % 2 else "alpha", 1.0 + k % 3, k) for k in range(30)], "id string, content string, magnitude double, seq long")
+    q = spark.createDataFrame([("q", "alpha beta")], "query_id string, query string")
+    score = lambda k: (2 if k % 2 else 1) / 2 * rs.FALLBACK * (1.0 + k % 3)
+    best = sorted(range(30), key=lambda k: (-score(k), k))
+    own = spark.createDataFrame([("q", f"g{k}", 5.0 - n, k, n + 1) for n, k in enumerate(best[:4])], "query_id string, id string, score double, seq long, rank int")
+    got = [r.id for r in rs.with_fallback(own, g, q, 7).orderBy("rank").collect()]
+    assert got == [f"g{k}" for k in best[:7]]
