@@ -23,6 +23,8 @@ GLYPHS, ROWS = 16_384, 256
 #: Words of queries that are broadcast; more of them are joined by a shuffle.
 WORDS = 1_000_000
 _FOUND = "query_id string, id string, score double, seq long"
+#: Bytes of vectors of best glyphs up to which a hop's next stimuli are made on the driver.
+HELD = 32 << 20
 
 
 def _best(keys: np.ndarray, unit: np.ndarray, ids: pa.Array, x: np.ndarray, magnitude: np.ndarray, seq: np.ndarray, top_k: int, threshold: float) -> Iterator[pa.RecordBatch]:
@@ -46,7 +48,8 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), vx.TINY)
 
 
-def _pass(glyphs: DataFrame, stimuli: list, top_k: int, threshold: float) -> DataFrame:
+def _pass(glyphs: DataFrame, stimuli: list, top_k: int, threshold: float, held: int = 0) -> DataFrame:
+    """Each task's best glyphs for up to BLOCK stimuli; with held, so many of each bring their vectors along."""
     keys = np.array([r[0] for r in stimuli], object)
     shared = glyphs.sparkSession.sparkContext.broadcast((keys, _unit(np.array([r[1] for r in stimuli], float))))  # BLOCK vectors at most
 
@@ -55,9 +58,19 @@ def _pass(glyphs: DataFrame, stimuli: list, top_k: int, threshold: float) -> Dat
         for batch in batches:
             if batch.num_rows:
                 x = np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1)
-                yield from _best(keys, unit, batch.column(0), x, batch.column(2).to_numpy(False), batch.column(3).to_numpy(False), top_k, threshold)
+                found = _best(keys, unit, batch.column(0), x, batch.column(2).to_numpy(False), batch.column(3).to_numpy(False), top_k, threshold)
+                yield from (_with_vectors(f, batch, held) for f in found) if held else found
 
-    return glyphs.mapInArrow(run, _FOUND)
+    return glyphs.mapInArrow(run, f"{_FOUND}, vector array<double>" if held else _FOUND)
+
+
+def _with_vectors(found: pa.RecordBatch, glyphs: pa.RecordBatch, held: int) -> pa.RecordBatch:
+    """found, sorted by stimulus and score, with the vectors of the first so many of each stimulus."""
+    n, keys = found.num_rows, found.column(0).to_pylist()
+    begins = np.maximum.accumulate([k if not k or keys[k] != keys[k - 1] else 0 for k in range(n)]) if n else np.empty(0, int)
+    at = {x: k for k, x in enumerate(glyphs.column(0).to_pylist())}
+    places = [at[x] if k - b < held else None for k, (x, b) in enumerate(zip(found.column(1).to_pylist(), begins))]
+    return pa.RecordBatch.from_arrays([*found.columns, glyphs.column(1).take(pa.array(places, pa.int64()))], names=[*found.schema.names, "vector"])
 
 
 def _meet(glyphs: DataFrame, stimuli: DataFrame, n: int, top_k: int, threshold: float) -> DataFrame:
@@ -80,6 +93,11 @@ def _meet(glyphs: DataFrame, stimuli: DataFrame, n: int, top_k: int, threshold:
     return left.groupBy("gb", "sb").cogroup(right.groupBy("gb", "sb")).applyInArrow(run, _FOUND)
 
 
+def _plain(glyphs: DataFrame) -> DataFrame:
+    """Live glyphs in the types that tasks read."""
+    return glyphs.select(F.col("id").cast("string").alias("id"), F.col("vector").cast("array<double>").alias("vector"), F.col("magnitude").cast("double").alias("magnitude"), F.col("seq").cast("long").alias("seq")).where("magnitude > 0")
+
+
 def resonate(glyphs: DataFrame, stimuli: DataFrame, top_k: int = 10, threshold: float = THRESHOLD) -> DataFrame:
     """query_id, id, score (cosine times magnitude), seq and rank of each stimulus's best glyphs.
 
@@ -88,7 +106,7 @@ def resonate(glyphs: DataFrame, stimuli: DataFrame, top_k: int = 10, threshold:
     more of them meet the glyphs block by block. Each task keeps its best, then
     a window ranks.
     """
-    g = glyphs.select(F.col("id").cast("string").alias("id"), F.col("vector").cast("array<double>").alias("vector"), F.col("magnitude").cast("double").alias("magnitude"), F.col("seq").cast("long").alias("seq")).where("magnitude > 0")
+    g = _plain(glyphs)
     s = stimuli.select(F.col("query_id").cast("string").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"))
     first = s.limit(BLOCK + 1).collect()
     if not first:
@@ -119,16 +137,13 @@ def multihop(glyphs: DataFrame, stimuli: DataFrame, region: DataFrame | None = N
     bound = np.array(held[0], float) if held is not None else None
 
     def following(rows: pd.DataFrame) -> pd.DataFrame:
-        """The next stimulus of a query, and its ghosts, from its best five glyphs."""
-        x = np.stack(rows["vector"].to_numpy()).astype(float)
-        out = [(None, x.sum(axis=0))]
-        if bound is not None:
-            keys = x[rows["rank"].to_numpy() <= 3]
-            turned = np.concatenate([keys[:, :1], keys[:, :0:-1]], axis=1)
-            ghosts = np.fft.irfft(np.fft.rfft(bound) * np.fft.rfft(turned, axis=1), n=x.shape[1], axis=1)
-            out += zip(rows["id"][rows["rank"] <= 3], ghosts)
-        return pd.DataFrame({"q": rows["q"].iloc[0], "g": [g for g, _ in out], "vector": [v / n if (n := np.linalg.norm(v)) >= vx.TINY else v for _, v in out]})
+        rows = rows.sort_values("rank")
+        out = _next(rows["id"].tolist(), np.stack(rows["vector"].to_numpy()).astype(float), bound)
+        return pd.DataFrame({"q": rows["q"].iloc[0], "g": [g for g, _ in out], "vector": [v for _, v in out]})
 
+    first = stimuli.select(F.col("query_id").cast("string"), F.col("vector").cast("array<double>")).limit(BLOCK // 4 + 1).collect()
+    if first and len(first) <= BLOCK // 4 and len(first) * 5 * len(first[0][1]) * 8 <= HELD:
+        return _few(glyphs, first, bound, hops, top_k)
     current = stimuli.select(tagged(F.col("query_id").cast("string"), F.lit(None).cast("string")).alias("query_id"), "vector")
     parts = []
     for hop in range(hops):
@@ -152,6 +167,53 @@ def multihop(glyphs: DataFrame, stimuli: DataFrame, region: DataFrame | None = N
     return total.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k).select(F.col("q").alias("query_id"), "id", "score", "seq", "rank")
 
 
+def _next(ids: list[str], x: np.ndarray, bound: np.ndarray | None) -> list[tuple[str | None, np.ndarray]]:
+    """A query's next stimulus (None), and the ghosts of its best three, from its best five glyphs in order."""
+    out: list[tuple[str | None, np.ndarray]] = [(None, x.sum(axis=0))]
+    if bound is not None:
+        turned = np.concatenate([x[:3, :1], x[:3, :0:-1]], axis=1)
+        out += zip(ids, np.fft.irfft(np.fft.rfft(bound) * np.fft.rfft(turned, axis=1), n=x.shape[1], axis=1))
+    return [(g, v / n if (n := np.linalg.norm(v)) >= vx.TINY else v) for g, v in out]
+
+
+def _few(glyphs: DataFrame, stimuli: list, bound: np.ndarray | None, hops: int, top_k: int) -> DataFrame:
+    """``multihop`` of so few queries that a hop is one pass, whose best glyphs' vectors (``HELD`` bytes at most) come back to the driver."""
+    g, spark = _plain(glyphs), glyphs.sparkSession
+    current = [((r[0], None), np.array(r[1], float)) for r in stimuli]
+    total: dict[str, dict[str, list]] = {}
+
+    def add(q: str, row: tuple, share: float) -> None:
+        had = total.setdefault(q, {}).setdefault(row[1], [0.0, row[3]])
+        had[0] += row[2] * share
+        had[1] = min(had[1], row[3])
+
+    for hop in range(hops):
+        names = {f"{'query' if name[1] is None else 'ghost'}{k}": name for k, (name, _) in enumerate(current)}
+        ranked = _pass(g, list(zip(names, (v for _, v in current))), top_k, THRESHOLD, 5).withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "seq"))).where(F.col("r") <= top_k)
+        needed = F.when((F.col("r") <= 5) & F.startswith("query_id", F.lit("query")) & F.lit(hop < hops - 1), F.col("vector")).alias("vector")
+        found: dict[str, list] = {}
+        for r in ranked.select("query_id", "id", "score", "seq", needed).collect():  # top_k a stimulus
+            found.setdefault(r[0], []).append(r)
+        current = []
+        for k, (q, ghost) in names.items():
+            best = sorted(found.get(k, ()), key=lambda r: (-r[2], r[3]))[:top_k]
+            if ghost is not None:
+                for r in (r for r in best[:5] if r[1] != ghost):
+                    add(q, r, GHOST * HOP_DECAY ** (hop - 1))
+                continue
+            for r in best:
+                add(q, r, HOP_DECAY**hop)
+            if best and hop < hops - 1:
+                current += [((q, g_), v) for g_, v in _next([r[1] for r in best[:5]], np.array([r[4] for r in best[:5]], float), bound)]
+        if not current:
+            break
+    rows = []
+    for q, by_id in total.items():
+        best = sorted(((-score, seq, i) for i, (score, seq) in by_id.items()))[:top_k]
+        rows += [(q, i, -score, seq, rank) for rank, (score, seq, i) in enumerate(best, 1)]
+    return spark.createDataFrame(rows, f"{_FOUND}, rank int")
+
+
 def meet_queries(words: DataFrame, queries: DataFrame, word: str) -> DataFrame:
     """words with the fields of each of queries (word, ...) that has the word.
 

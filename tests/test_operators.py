@@ -54,6 +54,22 @@ def test_multihop_equals_hops_one_by_one(spark):
     assert np.allclose([r.score for r in got], [x for _, x in want])
 
 
+def test_few_and_many_queries_hop_alike(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal((120, 24))
+    glyphs = spark.createDataFrame([(f"g{i}", v[i].tolist(), float(i % 5 > 0), i) for i in range(120)], "id string, vector array<double>, magnitude double, seq long").repartition(3)
+    stimuli = spark.createDataFrame([(f"q{k}", (v[k] + rng.standard_normal(24)).tolist()) for k in range(12)] + [("zero", [0.0] * 24)], "query_id string, vector array<double>")
+    region = spark.createDataFrame([((v.sum(axis=0) + _bind(v[1], v[2])).tolist(),)], "vector array<double>")
+    for bound in (region, None):
+        got = []
+        for held in (1 << 30, 0):
+            monkeypatch.setattr(rs, "HELD", held)
+            got.append({(r.query_id, r["rank"]): (r.id, round(r.score, 9), r.seq) for r in rs.multihop(glyphs, stimuli, bound, 3, 7).collect()})
+        assert got[0] == got[1] and len(got[0]) == 84
+    monkeypatch.setattr(rs, "HELD", 1 << 30)
+    assert rs.multihop(glyphs, stimuli.where("query_id = 'zero'"), region).count() == 0 and rs.multihop(glyphs.limit(0), stimuli, region).count() == 0
+
+
 def _spread(edges, stimuli, energy=1.0, decay=0.6, least=0.1, hops=4):
     out, queue, seen, used, act = {}, deque((s, energy, 0) for s in stimuli), set(), set(), {}
     for a, b, w in edges:
