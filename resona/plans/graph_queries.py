@@ -63,13 +63,27 @@ def spread_activation_dag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.spread(_tree(spark, sf_dir), stimuli)[0].select("query_id", "node", F.round("activation", 6).alias("activation"))
 
 
-@family.query()
+def _arrivals(hops: int) -> str:
+    """Waves of a breadth-first walk over w (src, dst, weight, seq): what arrives (a), and the first arrival at each node that none had reached before (f)."""
+    out = ["a0 AS (SELECT r_regionkey::BIGINT AS query_id, 'r' || r_regionkey AS node, 1.0::DOUBLE AS energy, [r_regionkey::BIGINT] AS queued FROM region)"]
+    for hop in range(hops + 1):
+        reached = " ".join(f"ANTI JOIN f{k} USING (query_id, node)" for k in range(hop))
+        out.append(f"f{hop} AS (SELECT query_id, node, min_by(energy, queued) AS energy, min(queued) AS queued FROM a{hop} {reached} GROUP BY query_id, node)")
+        if hop < hops:
+            out.append(f"a{hop + 1} AS (SELECT query_id, dst AS node, energy * weight * 0.6 AS energy, list_append(queued, seq) AS queued FROM f{hop} JOIN w ON w.src = node WHERE energy * weight * 0.6 >= 0.1)")
+    return ", ".join([*out, "a AS (" + " UNION ALL ".join(f"SELECT query_id, node, energy FROM a{k}" for k in range(hops + 1)) + ")"])
+
+
+_WALKED = f"{_PAIRS.rsplit(', e AS', 1)[0]}, w AS (SELECT src, dst, least(1.0, min_by(w, seq) + 0.1 * (count(*) - 1)) AS weight, min(seq) AS seq FROM b GROUP BY src, dst UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey, 0.9, n_nationkey FROM nation UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, 0.8, s_suppkey FROM supplier)"
+
+
+@family.query(f"WITH {_WALKED}, {_arrivals(4)}, t AS (SELECT query_id, node, sum(energy) AS x FROM a GROUP BY ALL) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY x DESC, node) AS rank, node, round(x, 6) AS activation FROM t QUALIFY rank <= 10")
 def spread_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From every region's name through nations and suppliers to parts and back, with all cycles; the ten strongest."""
     e = gr.connect(_pairs(spark, sf_dir)).unionByName(_tree(spark, sf_dir))
     r = table(spark, sf_dir, "region")
     stimuli = r.select(F.col("r_regionkey").cast("long").alias("query_id"), F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node"), F.col("r_regionkey").cast("long").alias("seq"))
-    return gr.activated(gr.spread(e, stimuli)[0]).select("query_id", "rank", "node", F.round("activation", 6).alias("activation"))
+    return gr.activated(gr.spread(e, stimuli)[0]).select("query_id", F.col("rank").cast("long").alias("rank"), "node", F.round("activation", 6).alias("activation"))
 
 
 _LAST = "x AS (SELECT l_suppkey, l_partkey, avg(l_discount) * 10 AS weight, max(epoch_us(l_shipdate)) / 1e6 AS t FROM lineitem GROUP BY ALL)"

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resona.functions import text as tx
+from resona.functions import text as tx, vectors as vx
 from resona.operators import encode, evaluate as ev, render, resonate as rs
 
 from .registry import Family, table
+from .vector_queries import _MULTIHOP, centroids, glyphs
 
 family = Family()
 QUERIES, SQL = family.queries, family.sql
@@ -61,6 +62,23 @@ def recall_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("query_id").cast("long").alias("query_id"), F.col("id").cast("long").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@family.query(
+    f"WITH {_MULTIHOP}, m AS (SELECT q::BIGINT AS query_id, vec_id, s AS score, row_number() OVER (PARTITION BY q ORDER BY s DESC, vec_id) AS k, 0 AS late FROM (SELECT q, vec_id, sum(s) AS s FROM p GROUP BY q, vec_id) QUALIFY k <= 10), "
+    f"w AS (WITH {_OVERLAP.replace('round(count(*) / n * 0.3, 9)', 'count(*) / n * 0.3::DOUBLE')} SELECT query_id, vec_id, score * g.m AS score FROM o JOIN g ON g.vec_id = o.doc_id WHERE query_id IN (SELECT DISTINCT label FROM g)), "
+    "l AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k, 1 AS late FROM w ANTI JOIN m USING (query_id, vec_id) QUALIFY k <= 20) "
+    "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, late, k) AS rank, vec_id, round(score, 6) AS score FROM (SELECT * FROM m UNION ALL SELECT * FROM l) QUALIFY rank <= 20"
+)
+def recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole recall: vectors are found over three hops and through what is bound, and the words of the item of a label's number find more among the vectors' documents."""
+    g = glyphs(spark, sf_dir)
+    region = vx.superpose(g.withColumn("one", F.lit(1)), ["one"], "vector", F.col("magnitude"))
+    found = rs.multihop(g, centroids(g), region)
+    queries = _queries(spark, sf_dir).join(g.select(F.col("label").cast("long").alias("query_id")).distinct(), "query_id", "left_semi")
+    texts = g.select("id", "magnitude", "seq").join(_docs(spark, sf_dir).select(F.col("doc_id").alias("seq"), F.col("text").alias("content")), "seq")
+    every = rs.with_fallback(found, texts, queries, 20)
+    return every.select(F.col("query_id").cast("long").alias("query_id"), F.col("rank").cast("long").alias("rank"), F.col("id").cast("long").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
 _FTS = ("the", "license", "token", "version", "trash", "und")
 
 
@@ -210,8 +228,6 @@ def encode_text_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @family.query("WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), a AS (SELECT label, pos, avg(x) AS x FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM v) GROUP BY ALL), c AS (SELECT label AS query_id, list(x ORDER BY pos) AS c FROM a GROUP BY label), s AS (SELECT query_id, vec_id, label, round(list_cosine_similarity(v, c), 9) AS score FROM v, c) SELECT query_id::BIGINT AS query_id, rank, vec_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dense baseline: cosine of all vectors with each label's mean."""
-    from resona.functions import vectors as vx
-
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), F.lit(1.0).alias("magnitude"), F.col("vec_id").alias("seq"), "label")
     found = rs.resonate(e, vx.superpose(e, ["label"], "vector").withColumnRenamed("label", "query_id"), 5, threshold=-2.0)
     return found.select(F.col("query_id").cast("long").alias("query_id"), F.col("rank").cast("long").alias("rank"), F.col("seq").alias("vec_id"), F.round("score", 6).alias("score"))
