@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,7 @@ class MemoryEngine:
 
     def __init__(self, spark: SparkSession, path: str, dimension: int = encode.DIMENSION, decay_rate: float = 0.01, groups: DataFrame | None = None, embedder: Callable[[list[str]], list | None] | None = None):
         self.spark, self.store, self.dimension, self.decay_rate, self.groups, self.embedder = spark, Store(spark, path), dimension, decay_rate, groups, embedder
+        self._told: list[DataFrame] = []  # by the embedder, since the last commit
 
     # what is there
 
@@ -91,15 +93,20 @@ class MemoryEngine:
     def _encoded(self, texts: DataFrame, key: str, text: str) -> DataFrame:
         if self.embedder is None:
             return encode.encode_text(texts, key, text, self.dimension, self.groups)
-        return encode.embed(texts, key, text, self.embedder, self.dimension, groups=self.groups)
+        told = self.store.read("embedded", schemas.EMBEDDED)
+        return encode.embed(texts, key, text, self.embedder, self.dimension, groups=self.groups, known=told, keep=self._told.append)
 
     def _commit(self, base: int, added: dict[str, DataFrame], replaced: dict[str, DataFrame] | None = None, values: dict | None = None) -> int:
         """Stamps rows with the commit, and keeps the sum of the ledger when its tail is long."""
         replaced, values = dict(replaced or {}), dict(values or {})
         stamped = {t: rows.withColumn("batch", F.lit(base + 1).cast("long")) for t, rows in added.items()}
+        if self._told:
+            stamped["embedded"] = reduce(DataFrame.unionByName, self._told).dropDuplicates(["hash"])
         if "ledger" in added and len(self.store.folders("ledger", self.store.value("summed", -1))) >= FOLD:
             replaced["sums"], values["summed"] = self.region_vectors(), base
-        return self.store.commit(base, stamped, replaced, values, {"units": "region_id"})
+        number = self.store.commit(base, stamped, replaced, values, {"units": "region_id"})
+        self._told.clear()
+        return number
 
     # learning
 

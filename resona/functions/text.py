@@ -40,6 +40,11 @@ def stem(word: Column) -> Column:
     return F.when(F.length(word) <= 4, word).otherwise(out)
 
 
+def stemmed(word: str) -> str:
+    """``stem`` of one word in plain Python."""
+    return word if len(word) <= 4 else next((word[: -len(s)] for s in SUFFIXES if word.endswith(s) and len(word) - len(s) >= 3), word)
+
+
 def bigrams(words: Column) -> Column:
     """Neighbouring words, joined by an underscore."""
     pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws("_", a, b))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -103,9 +104,10 @@ def encode_text(texts: DataFrame, key: str, text: str, dimension: int = DIMENSIO
     return listed.select(key, projection(dimension)(F.col("f.seed").cast("array<string>"), F.col("f.weight")).alias("vector"))
 
 
-def embed(texts: DataFrame, key: str, text: str, embedder: Callable[[list[str]], list | None], dimension: int = DIMENSION, batch: int = EMBEDDED, groups: DataFrame | None = None) -> DataFrame:
+def embed(texts: DataFrame, key: str, text: str, embedder: Callable[[list[str]], list | None], dimension: int = DIMENSION, batch: int = EMBEDDED, groups: DataFrame | None = None, known: DataFrame | None = None, keep: Callable[[DataFrame], None] | None = None) -> DataFrame:
     """key and vector by an embedder of the caller's, asked for so many texts at once, cut or filled up to the dimension.
 
+    Each text is asked for once, and not at all if known (hash, vector) has it; what it tells is handed to keep.
     Texts for which it fails, or gives None, have the vector that they have without it.
     """
 
@@ -122,12 +124,39 @@ def embed(texts: DataFrame, key: str, text: str, embedder: Callable[[list[str]],
                 out += [None] * len(some) if got is None else [None if v is None else [float(x) for x in v] for v in got]
             yield pd.Series(out, index=part.index, dtype=object)
 
-    asked = cut(texts.select(key, F.col(text).alias("_text"), ask(F.col(text)).alias("vector")))
-    given = asked.where("vector is not null").select(key, vx.resize(F.col("vector"), dimension).alias("vector"))
-    rest = asked.where("vector is null")
+    rows = texts.select(key, F.col(text).alias("_text"), text_hash(F.col(text)).alias("_hash"))
+    have = rows.sparkSession.createDataFrame([], "hash string, vector array<double>") if known is None else known
+    lacking = rows.join(have.select(F.col("hash").alias("_hash")), "_hash", "left_anti").groupBy("_hash").agg(F.first("_text").alias("_text"))  # each text once
+    told = cut(lacking.select(F.col("_hash").alias("hash"), ask("_text").alias("vector"))).where("vector is not null")
+    if keep is not None:
+        keep(told)
+    found = have.select("hash", "vector").unionByName(told).select(F.col("hash").alias("_hash"), F.col("vector").alias("_given"))
+    asked = rows.join(found, "_hash", "left")
+    given = asked.where("_given is not null").select(key, vx.resize(F.col("_given"), dimension).alias("vector"))
+    rest = asked.where("_given is null")
     return given.unionByName(encode_text(rest, key, "_text", dimension, groups))
 
 
+def text_hash(text):
+    """What a text is known by."""
+    return F.md5(F.coalesce(text, F.lit("")))
+
+
+def text_features(text: str, synonyms_of: dict[str, list[str]]) -> dict[str, float]:
+    """``features`` of one text in plain Python, for SQL functions; a text without tokens is its own feature."""
+    words = [w for w in re.split("[^a-z0-9]+", text.lower()) if len(w) >= 2]
+    single: dict[str, float] = {}
+    for w in dict.fromkeys(words):
+        for said in dict.fromkeys([w, *synonyms_of.get(w, ())]):
+            for feature in (said, tx.stemmed(said)):
+                single[feature] = max(single.get(feature, 0.0), 1.0 if said == w else SYNONYM)
+    joined = "".join(words)
+    more = [(f"{a}_{b}", BIGRAM) for a, b in zip(words, words[1:])] + [(f"_tri_{t}", TRIGRAM) for t in re.findall("(?=([a-z]{3}))", joined)]
+    for feature, weight in more:
+        single[feature] = single.get(feature, 0.0) + weight
+    return single or {text: 1.0}
+
+
 def encode_identifier(names: DataFrame, key: str, name: str, context: str | None = None, dimension: int = DIMENSION) -> DataFrame:
     words = tx.identifier_words(F.col(name))
     if context:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -10,7 +12,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from resona.functions import vectors as vx
+from resona.functions import synonyms, vectors as vx
+from resona.operators import encode
 from resona.sources import extract
 
 _VECTOR = T.ArrayType(T.DoubleType())
@@ -40,6 +43,31 @@ def _unbind(c: pd.Series, key: pd.Series) -> pd.Series:
     return pd.Series(list(np.fft.irfft(np.fft.rfft(x, axis=1) * np.fft.rfft(y, axis=1), n=x.shape[1], axis=1)))
 
 
+@F.pandas_udf(_VECTOR)
+def _superpose(v: pd.Series, weight: pd.Series) -> list[float]:
+    """The weighted sum of a group's vectors; of a group too large for a task, sum parts of it first and then their sums."""
+    return (np.stack(v.to_numpy()) * weight.to_numpy(float)[:, None]).sum(axis=0)
+
+
+def _encoder(dimension: int, groups: dict[str, list[str]]):
+    @F.pandas_udf(_VECTOR)
+    def encode_text(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @lru_cache(encode.CACHE)
+        def drawn(feature: str) -> np.ndarray:
+            v = np.random.default_rng(int(hashlib.sha256(feature.encode()).hexdigest()[:16], 16)).standard_normal(dimension)
+            return v / np.linalg.norm(v)
+
+        def one(text: str | None) -> np.ndarray:
+            v = sum(w * drawn(f) for f, w in encode.text_features(text or "", groups).items())
+            n = np.linalg.norm(v)
+            return v / n if n >= vx.TINY else v
+
+        for part in texts:
+            yield part.map(one, na_action=None)
+
+    return encode_text
+
+
 @F.udtf(returnType="id: string, name: string, content: string")
 class PythonUnits:
     """The units of a Python file: SELECT * FROM python_units(path, text)."""
@@ -49,7 +77,8 @@ class PythonUnits:
 
 
 def register(spark: SparkSession, dimension: int = 1024) -> None:
-    """Makes vec_bind, vec_unbind, vec_involution, vec_normalize, vec_cosine, random_vector and python_units known to SQL."""
-    for name, f in (("vec_bind", vx.bind), ("vec_unbind", _unbind), ("vec_involution", _involution), ("vec_normalize", _normalize), ("vec_cosine", _cosine), ("random_vector", vx.random_vectors(dimension))):
+    """Makes vec_bind, vec_unbind, vec_involution, vec_normalize, vec_cosine, random_vector, encode_text, python_units and the aggregate superpose known to SQL."""
+    groups = {w: list(g) for g in synonyms.GROUPS for w in g}
+    for name, f in (("superpose", _superpose), ("encode_text", _encoder(dimension, groups)), ("vec_bind", vx.bind), ("vec_unbind", _unbind), ("vec_involution", _involution), ("vec_normalize", _normalize), ("vec_cosine", _cosine), ("random_vector", vx.random_vectors(dimension))):
         spark.udf.register(name, f)
     spark.udtf.register("python_units", PythonUnits)

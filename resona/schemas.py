@@ -21,4 +21,6 @@ USES = "ts double, id string, other string, batch long"
 NODES = "id string, created_at double, last_activated double, activation_count long, seq long"
 EDGES = "src string, dst string, weight double, created_at double, last_activated double, activation_count long, seq long"
 THREADS = "id string, content string, source string, created_at double, updated_at double, node_refs array<string>, seq long"
+#: What an embedder told, by the hash of the text.
+EMBEDDED = "hash string, vector array<double>"
 SCAN_STATE = "file_path string, file_hash string, last_scanned double"

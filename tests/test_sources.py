@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from resona.engine import MemoryEngine
+from resona.operators import encode
 from resona.sources import extract, files
 from resona.sources.snapshots import Conflict, Store
 from resona.streaming import watch
@@ -160,6 +161,14 @@ def test_sql_functions(spark):
     r = spark.sql("SELECT vec_cosine(array(1D, 0D), array(1D, 1D)) c, vec_normalize(array(3D, 4D)) n, vec_involution(array(1D, 2D, 3D)) i, vec_unbind(vec_bind(array(1D, 0D, 0D), array(0.5D, 1D, 2D)), array(1D, 0D, 0D)) u, random_vector(CAST(7 AS DECIMAL(20,0))) v").first()
     assert abs(r.c - 0.5**0.5) < 1e-9 and r.n == [0.6, 0.8] and r.i == [1, 3, 2] and max(abs(x - y) for x, y in zip(r.u, (0.5, 1, 2))) < 1e-9 and len(r.v) == 8
     assert spark.sql("SELECT * FROM python_units('a/m.py', 'def f(): pass')").count() == 2
+    rows = [(1, "Parse the cfg of authentication"), (2, "???"), (3, ""), (4, "cfg cfg idx1"), (5, "Élan VITAL deployments")]
+    texts = spark.createDataFrame(rows, "k long, t string")
+    texts.createOrReplaceTempView("texts")
+    want = {r.k: r.vector for r in encode.encode_text(texts, "k", "t", 8).collect()}
+    got = {r.k: r.v for r in spark.sql("SELECT k, encode_text(t) v FROM texts").collect()}
+    assert got.keys() == want.keys() and all(max(abs(x - y) for x, y in zip(got[k], want[k])) < 1e-9 for k in want)
+    summed = {r.g: r.v for r in spark.sql("SELECT k % 2 g, superpose(encode_text(t), CAST(k AS DOUBLE)) v FROM texts GROUP BY k % 2").collect()}
+    assert all(max(abs(x - sum(k * want[k][i] for k in want if k % 2 == g)) for i, x in enumerate(v)) < 1e-9 for g, v in summed.items()) and len(summed) == 2
 
 
 def test_embedder_and_what_it_fails_on(spark):
@@ -178,6 +187,21 @@ def test_embedder_and_what_it_fails_on(spark):
     assert got[1].tolist() == [1.0] + [0.0] * 15 and np.allclose(got[2], own[2])
 
 
+def test_an_embedder_is_asked_for_a_text_once(spark, tmp_path):
+    asked = tmp_path / "asked"
+
+    def embedder(texts):
+        with open(asked, "a") as f:
+            f.writelines(f"{t}\n" for t in texts)
+        return [[float(len(t)), 1.0] for t in texts]
+
+    m = MemoryEngine(spark, f"file://{tmp_path}/m", dimension=8, embedder=embedder)
+    for now in (1.0, 2.0):
+        m.learn_offline(["SameName", "OtherName", "SameName"], now)
+    assert sorted(asked.read_text().split("\n")[:-1]) == ["other name", "same name"]
+    assert m.glyphs().where("id = 'SameName'").first().vector[0] > 0.9
+
+
 def test_graph_from_json(spark, tmp_path):
     from resona.sources import structure
 
