@@ -121,6 +121,8 @@ class MemoryEngine:
         stamp = {"at": F.lit(now).cast("double"), "file": F.lit(own)}
         new = numbered.join(self._encoded(numbered, "seq", "encode_input"), "seq").select("id", "vector", F.substring("content", 1, 200).alias("content"), "source", F.col("pos").cast("int").alias("pos"), "seq", F.lit(region).alias("region_id"))
         new = cut(new.withColumns(stamp))
+        if own:
+            sources = cut(sources)
         live = self._live("units", schemas.UNITS).drop("batch")
         files_of = sources.select(F.col("path").alias("source"), F.lit(True).alias("_theirs")) if own else self.spark.createDataFrame([], "source string, _theirs boolean")
         marked = live.join(files_of, "source", "left").withColumn("_goes", F.col("file") & F.col("_theirs").isNotNull()).drop("_theirs")
@@ -243,7 +245,7 @@ class MemoryEngine:
         if gone is not None:
             sources = sources.unionByName(gone.select("path", F.lit(None).cast("string").alias("hash"), F.lit(True).alias("gone")))
         texts = texts.select("path", "text")
-        self._store(extract.units(texts), now, extract.relations(texts), facts=structure.facts(texts), sources=cut(sources))
+        self._store(extract.units(texts), now, extract.relations(texts), facts=structure.facts(texts), sources=sources)
 
     # the graph
 
