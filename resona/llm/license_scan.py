@@ -5,8 +5,8 @@ that is beyond ASCII). Every match of every rule holds one of the anchor words,
 which are derived from the rules, and is no longer than ``span()`` words. Texts
 are read in tiles of ``TILE`` words, with so many more to each side that
 every match that begins in the tile, and all that contain it, are whole; tiles
-in which no match can begin are dropped. A rule is a regex, tried at every word
-of a tile that holds the words the rule needs. A detection is suppressed if
+in which no match can begin are dropped. A rule is a regex, woken by any of its gate
+words in a tile and tried at every word if the tile holds all words that it needs. A detection is suppressed if
 another one contains its interval with a better priority, or with the same
 priority and more words, or, over the same words, an earlier rule. So the
 detections are the same as over the whole text, and linear in it.
@@ -467,6 +467,16 @@ def _rules() -> Column:
     ])
 
 
+@cache
+def gated() -> dict[str, list[int]]:
+    """By gate word the rules that may match where it stands: each rule waits for the words of its smallest group, of which it needs one."""
+    out: dict[str, list[int]] = {}
+    for k, groups in enumerate(planned()[0]):
+        for w in min(groups, key=lambda g: (len(g), -min(map(len, g)))):
+            out.setdefault(w, []).append(k)
+    return dict(sorted(out.items()))
+
+
 def normalised(text: Column) -> Column:
     """The words of a text, each after a single space, or an empty string."""
     upper = "".join(map(chr, range(65, 91)))
@@ -491,7 +501,9 @@ def _detect(tile: Column) -> Column:
         return F.transform(said, one)
 
     fits = lambda r: F.forall(r["needs"], lambda g: F.exists(g, lambda w: F.contains(text, w)))
-    hits = F.flatten(F.transform(F.filter(_rules(), fits), found))
+    gates, waiting = F.array(*map(F.lit, gated())), F.array(*[F.array(*map(F.lit, ks)) for ks in gated().values()])
+    woken = F.flatten(F.transform(F.array_intersect(gates, tile["words"]), lambda w: F.get(waiting, (F.array_position(gates, w) - 1).cast("int"))))
+    hits = F.flatten(F.transform(F.filter(F.transform(F.array_distinct(woken), lambda k: F.get(_rules(), k)), fits), found))
 
     def beats(y: Column, x: Column) -> Column:
         holds = (y["start"] <= x["start"]) & (y["end"] >= x["end"]) & (y["k"] != x["k"])
@@ -530,7 +542,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     def tile(t: Column) -> Column:
         first = F.greatest(t * TILE - most, F.lit(0))
         words = F.slice("words", (first + 1).cast("int"), ((t + 1) * TILE + most - first).cast("int"))
-        return F.struct((t * TILE - first).cast("int").alias("before"), F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")).alias("text"))
+        return F.struct((t * TILE - first).cast("int").alias("before"), words.alias("words"), F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")).alias("text"))
 
     windows = placed.select(key, "n_words", F.filter(F.transform("places", base), lambda b: b.isNotNull()).alias("base"), F.array_distinct(F.transform(tiles, tile)).alias("windows"))
     found = windows.select(key, "n_words", "base", F.array_distinct(F.flatten(F.transform("windows", _detect))).alias("found"))
