@@ -14,9 +14,10 @@ against brute force on at most ``SAMPLE`` rows and ``SAMPLE_QUERIES`` of their
 queries; every row is indexed, whatever the sample.
 
 Every point is stored once, in a block of about ``BLOCK`` points of neighbouring
-buckets of the first table, and knows its bucket in each table. A query goes to
-the blocks that hold any bucket that it visits, in groups of about as many, so that no
-bucket is one task and a vector travels once a block, not once a bucket. In
+buckets of the first table, and knows its bucket in each table. Queries are dealt to
+groups of about ``GROUP`` in the same way, and a group goes to the blocks that hold any
+bucket that one of it visits, so that no bucket is one task and a vector travels once a
+block, not once a bucket. In
 a block it is compared with the points of visited buckets only, each once in
 whatever tables it is found: by numpy products over buckets of the first table, and point
 by point for what only later tables find. Each query keeps its k best of a block.
@@ -187,60 +188,59 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_
                 part = f.iloc[lo : lo + 256]
                 q = np.stack(part["v"].to_numpy())
                 bits, own = np.packbits(index.value.visits(q), axis=-1), index.value.own(q).reshape(len(q), -1)
-                yield pd.DataFrame({"query_id": part["query_id"], "h": part["h"], "v": part["v"], "own": list(own), "bits": [b.tobytes() for b in bits]})
+                yield pd.DataFrame({"query_id": part["query_id"], "v": part["v"], "own": list(own), "bits": [b.tobytes() for b in bits]})
 
     def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             own, go = probed(f)
             q, t, m = np.nonzero(go)
-            yield pd.DataFrame({"tab": t, "bucket": pack(own[q, t] + MOVES[m]), "query_id": f["query_id"].to_numpy()[q], "h": f["h"].to_numpy()[q]})
+            yield pd.DataFrame({"group": f["group"].to_numpy()[q], "tab": t, "bucket": pack(own[q, t] + MOVES[m])}).drop_duplicates()
 
     hashed = written(points.select("point", "v").mapInPandas(place, "point long, bucket long, slots array<int>, v array<double>"), "hashed")
     # buckets of unit vectors: their number depends on WIDTH, not on the points
-    sizes = hashed.groupBy("bucket").count().orderBy("bucket").collect()
-    placed = written(hashed.join(F.broadcast(spark.createDataFrame(_blocks([(r["bucket"], r["count"]) for r in sizes]), "bucket long, first int, parts int")), "bucket").select("point", "slots", "v", (F.col("first") + F.pmod(F.xxhash64("point"), F.col("parts")).cast("int")).alias("block")), "placed")
-    asked = usable(queries, key, vector).dropDuplicates(["id", "v"]).select(F.col("id").alias("query_id"), F.xxhash64("v").alias("h"), "v")
+    placed = _dealt(hashed, "bucket", "point", BLOCK).select(F.col("part").alias("block"), "point", "slots", "v")
+    placed = written(placed, "placed")
+    asked = usable(queries, key, vector).dropDuplicates(["id", "v"]).select(F.col("id").alias("query_id"), "v")
     # probing is much work for few bytes: dealt by a count of queries, not by the size of their file
     parts = max(1, -(-asked.count() // QUERIES_PER_TASK))
-    asked = written(asked.repartition(parts, "query_id").mapInPandas(probe, "query_id long, h long, v array<double>, own array<int>, bits binary"), "queries")
+    asked = asked.repartition(parts, "query_id").mapInPandas(probe, "query_id long, v array<double>, own array<int>, bits binary")
+    asked = written(asked.withColumn("bucket", _packed(F.slice("own", 1, HASHES))), "asked")
+    asked = written(_dealt(asked, "bucket", "query_id", GROUP).select(F.col("part").alias("group"), "query_id", "v", "own", "bits"), "queries")
 
-    def best(key_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def best(whole: bool, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "point": [], "near": []})
         x, point, slots, out = np.stack(left["v"].to_numpy()), left["point"].to_numpy(), np.stack(left["slots"].to_numpy()).reshape(len(left), TABLES, HASHES), []
         for lo in range(0, len(right), GROUP):
             part = right.iloc[lo : lo + GROUP]
-            s = compared(np.stack(part["v"].to_numpy()), *probed(part), x, slots) if key_[0] == 0 else np.stack(part["v"].to_numpy()) @ x.T
+            s = compared(np.stack(part["v"].to_numpy()), *probed(part), x, slots) if not whole else np.stack(part["v"].to_numpy()) @ x.T
             top = np.argpartition(-s, k, axis=1)[:, : k + 1] if s.shape[1] > k + 1 else np.broadcast_to(np.arange(s.shape[1]), s.shape)
             found = pd.DataFrame({"query_id": np.repeat(part["query_id"].to_numpy(), top.shape[1]), "point": point[top].ravel(), "near": np.take_along_axis(s, top, 1).ravel()})
             out.append(found[found["near"] > -np.inf])
         return pd.concat(out)
 
-    def meet(visits: DataFrame) -> DataFrame:
-        """query_id and point of the best of the blocks (kind, block, query_id, h) that the queries go to."""
-        groups = visits.groupBy("kind", "block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("groups"))
-        groups = broadcast_if_small(written(groups, "groups"))
-        blocks = placed.join(groups, "block").select("kind", "block", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), "point", "slots", "v")
-        goes = visits.join(groups, ["kind", "block"]).select("kind", "block", F.pmod(F.xxhash64("query_id"), F.col("groups")).cast("int").alias("group"), "query_id", "h")
-        goes = goes.join(asked, ["query_id", "h"]).select("kind", "block", "group", "query_id", "v", "own", "bits")
-        by = ("kind", "block", "group")
-        found = blocks.groupBy(*by).cogroup(goes.groupBy(*by)).applyInPandas(best, "query_id long, point long, near double")
+    def meet(pairs: DataFrame, some: DataFrame, whole: bool) -> DataFrame:
+        """query_id and point of the best of the blocks that groups of queries go to (group, block)."""
+        pairs = broadcast_if_small(written(pairs, "pairs"))
+        left = placed.join(pairs, "block").select("block", "group", "point", "slots", "v")
+        right = some.join(pairs, "group").select("block", "group", "query_id", "v", "own", "bits")
+        run = lambda left, right: best(whole, left, right)
+        found = left.groupBy("block", "group").cogroup(right.groupBy("block", "group")).applyInPandas(run, "query_id long, point long, near double")
         # rounding may differ by block, so ties are cut only on exact scores; different vectors of one id may find a point twice
         each = found.groupBy("query_id", "point").agg(F.max("near").alias("near"))
         by_near = Window.partitionBy("query_id").orderBy(F.desc("near"), "point")
         return written(each.withColumn("r", F.row_number().over(by_near)).where(F.col("r") <= 2 * k + 2).select("query_id", "point"), "found")
 
     held_by = placed.select("block", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TABLES - 1)), lambda t: _packed(F.slice("slots", t * HASHES + 1, F.lit(HASHES))))).alias("tab", "bucket")).distinct()
-    visits = asked.select("query_id", "h", "own", "bits").mapInPandas(visit, "tab int, bucket long, query_id long, h long")
-    goes = visits.join(held_by, ["tab", "bucket"]).select(F.lit(0).alias("kind"), "block", "query_id", "h").distinct()
-    few = meet(written(goes, "visits"))
+    visits = asked.select("group", "own", "bits").mapInPandas(visit, "group int, tab int, bucket long").distinct()
+    few = meet(visits.join(held_by, ["tab", "bucket"]).select("group", "block").distinct(), asked, False)
     # a query's own id is at most one of a point's
     others = F.size("ids") - F.array_contains("ids", F.col("query_id")).cast("int")
     enough = few.join(points.select("point", "ids"), "point").groupBy("query_id").agg(F.sum(others).alias("n")).where(F.col("n") >= min(k, bounds.n - 1))
-    short = written(asked.join(enough, "query_id", "left_anti").select("query_id", "h"), "short")
+    short = written(asked.join(enough, "query_id", "left_anti"), "short")
     if not short.isEmpty():
-        every = placed.select(F.lit(1).alias("kind"), "block").distinct()
-        few = few.join(short, "query_id", "left_anti").union(meet(written(short.crossJoin(every).select("kind", "block", "query_id", "h"), "visits")))  # numbers of blocks
+        every = short.select("group").distinct().crossJoin(placed.select("block").distinct())  # numbers of groups and blocks
+        few = few.join(short.select("query_id"), "query_id", "left_anti").union(meet(every, short, True))
     scored = few.join(points.withColumnRenamed("v", "pv"), "point").join(asked.select("query_id", "v"), "query_id")
     product = F.aggregate(F.zip_with("v", "pv", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     rows_out = scored.select("query_id", product.alias("score"), F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
@@ -248,18 +248,28 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_
     return rows_out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _blocks(sizes: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """(bucket, first block, parts) of buckets in order: small ones share a block, large ones have several."""
-    out, block, filled = [], -1, BLOCK
+def _blocks(sizes: list[tuple[int, int]], most: int) -> list[tuple[int, int, int]]:
+    """(bucket, first block, parts) of buckets in order: small ones share a block of so many, large ones have several."""
+    out, block, filled = [], -1, most
     for bucket, n in sizes:
-        if n > BLOCK or filled + n > BLOCK:
+        if n > most or filled + n > most:
             block, filled = block + 1, 0
-        parts = -(-n // BLOCK)
+        parts = -(-n // most)
         out.append((bucket, block, parts))
-        block, filled = block + parts - 1, filled + n if parts == 1 else BLOCK
+        block, filled = block + parts - 1, filled + n if parts == 1 else most
     return out
 
 
+def _dealt(rows: DataFrame, bucket: str, key: str, most: int) -> DataFrame:
+    """rows with part: neighbouring buckets share a part of about so many rows, large ones are dealt to several.
+
+    Buckets of unit vectors: their number depends on ``WIDTH``, not on the rows.
+    """
+    sizes = rows.groupBy(bucket).count().orderBy(bucket).collect()
+    places = rows.sparkSession.createDataFrame(_blocks([(r[bucket], r["count"]) for r in sizes], most), f"{bucket} long, first int, parts int")
+    return rows.join(F.broadcast(places), bucket).withColumn("part", F.col("first") + F.pmod(F.xxhash64(key), F.col("parts")).cast("int"))
+
+
 def _packed(slots):
     """``pack`` as a column of an array of slots."""
     return F.aggregate(slots, F.lit(0).cast("long"), lambda s, x: s * 4096 + x + 2048)
