@@ -6,7 +6,7 @@ lattice of what each written character may stand for is decoded by Viterbi
 under a character trigram model, whose counts come from every document (a
 table of ``CLASSES`` ** 3 entries, whatever the corpus). Plain words without a
 letter twice in a row have one reading and skip the lattice, and so do pure
-numbers; every other chunk is decoded, whatever its length. A run of one character counts as three of it. Dropping one of two equal letters costs the more
+numbers; in words of letters alone each doubled letter is a lattice of its own; every other chunk is decoded, whatever its length. A run of one character counts as three of it. Dropping one of two equal letters costs the more
 the likelier that letter stands twice in the counts; in longer runs it is cheap.
 Only true punctuation is cut off at the ends; other signs there may be skipped
 by the lattice. A decoded chunk is also known by the words that stand in it as
@@ -57,6 +57,7 @@ _TWO, _LIKELY = -5.5, -0.5
 _PLAIN = re.compile(r"[^\W\d_]+\Z")
 _WORDS = re.compile(r"[^\W\d_]+")
 _TWICE = re.compile(r"(.)\1")
+_THRICE = re.compile(r"(.)\1\1")
 _RUN = re.compile(r"(.)\1{3,}", re.S)
 _EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "$@!|+(<")
 _ENDS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
@@ -123,22 +124,40 @@ class Restorer:
     def word(self, chunk: str) -> str:
         """The restored word, in lower case."""
         low = chunk.lower()
-        if _PLAIN.match(low) and not _TWICE.search(low):
-            return low
+        if _PLAIN.match(low) and not _THRICE.search(low):
+            return self._letters(low)
         if self.known.missing({low}):
             self.known.add({low: self._restore(low)})
         return self.known.young[low]
 
     def _restore(self, low: str) -> str:
         core = low.strip(_EDGE)
-        if _PLAIN.match(core) and not _TWICE.search(core):
-            return core
         if not core or _NUMBER.match(core):
             return ""
         return self.decode(core)
 
+    def _letters(self, word: str) -> str:
+        """``decode`` of letters of which none stands thrice in a row: whether one of two equal letters
+        goes changes the likelihoods of these two and of the next letter only, so each pair is decided alone.
+        """
+        k = [0, 0, *map(_class_of, word), 0]
+        out, done = [], 0
+        for m in _TWICE.finditer(word):
+            at = m.start() + 2  # of the first of the two in k
+            a, x, after = k[at - 1], k[at], k[at + 2]
+            if self.two[x] + self.model[a][x][after] > self.model[a][x][x] + self.model[x][x][after]:
+                out.append(word[done : m.start() + 1])
+                done = m.end()
+        return "".join([*out, word[done:]])
+
     def decode(self, written: str) -> str:
         """The likeliest reading of what is written."""
+        if _PLAIN.match(written) and not _THRICE.search(written):
+            return self._letters(written)
+        return self.lattice(written)
+
+    def lattice(self, written: str) -> str:
+        """The same by Viterbi, of whatever is written."""
         written = _RUN.sub(r"\1\1\1", written)
         best: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
         tail, done = len(written.rstrip(_ENDS)), []

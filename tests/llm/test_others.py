@@ -134,6 +134,7 @@ def test_no_query_is_left_with_too_few(spark, n):
 
 def test_queries_of_one_bucket_meet_in_groups(spark, monkeypatch):
     monkeypatch.setattr(vector_search, "BLOCK", 16)
+    monkeypatch.setattr(vector_search, "GROUP", 16)
     seen, cogroup = [], GroupedData.cogroup
     monkeypatch.setattr(GroupedData, "cogroup", lambda left, right: seen.extend([left, right]) or cogroup(left, right))
     x = np.random.default_rng(4).normal(1, 0.001, (400, 8))  # all visit the same buckets
@@ -167,9 +168,8 @@ def test_clusters_are_told_apart():
     assert np.mean([len(set(a) & set(b)) / 11 for a, b in zip(top(s), top(whole))]) >= 0.9
 
 
-def test_blocks_of_buckets(monkeypatch):
-    monkeypatch.setattr(vector_search, "BLOCK", 10)
-    assert vector_search._blocks([(1, 4), (2, 6), (3, 1), (4, 25), (5, 2), (6, 9)]) == [(1, 0, 1), (2, 0, 1), (3, 1, 1), (4, 2, 3), (5, 5, 1), (6, 6, 1)]
+def test_blocks_of_buckets():
+    assert vector_search._blocks([(1, 4), (2, 6), (3, 1), (4, 25), (5, 2), (6, 9)], 10) == [(1, 0, 1), (2, 0, 1), (3, 1, 1), (4, 2, 3), (5, 5, 1), (6, 6, 1)]
 
 
 PLAIN = "the quick river walks under a green stone house while seven people read old letters near warm bread".split()
@@ -281,6 +281,12 @@ def test_lattice_equals_all_readings():
         found = _readings(r, written)
         best = max(cost for cost, _ in found)
         assert r.decode(written) in {" ".join(tox._WORDS.findall(text)) for cost, text in found if cost > best - 1e-9}, written
+    for _ in range(500):  # letters alone, as the whole lattice reads them
+        written = "".join(rnd.choice("stoneilyé") * rnd.choice((1, 1, 2)) for _ in range(rnd.randrange(1, 9)))
+        if tox._THRICE.search(written):
+            continue
+        best = max(cost for cost, _ in _readings(r, written))
+        assert r.decode(written) == r.lattice(written) and r.decode(written) in {text for cost, text in _readings(r, written) if cost > best - 1e-9}, written
 
 
 def test_plain_words_keep_their_doubled_letters(spark):
