@@ -27,9 +27,8 @@ def harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates; documents without an id stay."""
-    surplus = near_dedup.near_duplicates(docs, percent=PERCENT).where(~F.col("kept")).select(F.col("doc_id").alias("surplus")).distinct()
-    surplus = broadcast_if_small(written(surplus, "surplus"))
-    return docs.join(surplus, F.col("doc_id") == F.col("surplus"), "left_anti")
+    copies = near_dedup.near_duplicates(docs.select("doc_id", "text"), percent=PERCENT).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(broadcast_if_small(written(copies, "surplus")), "doc_id", "left_anti").select(docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
