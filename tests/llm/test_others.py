@@ -238,6 +238,23 @@ def test_pipeline(spark):
     assert len([k for k in clean if k in {r.doc_id for r in packed}]) >= 0.6 * len(clean)
 
 
+def test_pipeline_stages_take_odd_rows(spark):
+    """Null and repeated ids, null and empty texts, columns of names that stages use inside, and no rows at all."""
+    sf = "/root/testdata/sf0.001"
+    names = ("surplus", "kept", "blob", "spans", "verdict", "toxicity", "class", "key", "component", "token")
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(12).collect()]
+    rows = [(k, t) for k, t in enumerate([*texts, None, ""])] + [(3, texts[3]), (None, texts[4]), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({n: F.lit(n) for n in names})
+    counts = {}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, sf)
+        counts[name] = got.count()
+        assert stage(spark, docs.limit(0), sf).count() == 0
+        if name != "packing":
+            assert got.columns == docs.columns and all(r[n] == n for r in got.collect() for n in names)
+    assert counts["secret scan"] == len(rows) and counts["packing"] >= len(rows) and counts["near-dedup"] >= len(texts)
+
+
 def _restorer(words, times=50):
     from resona.llm import toxicity as tox
 
