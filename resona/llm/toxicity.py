@@ -124,8 +124,11 @@ class Restorer:
     def word(self, chunk: str) -> str:
         """The restored word, in lower case."""
         low = chunk.lower()
-        if _PLAIN.match(low) and not _THRICE.search(low):
-            return self._letters(low)
+        if _PLAIN.match(low):
+            if not _TWICE.search(low):
+                return low
+            if not _THRICE.search(low):
+                return self._letters(low)
         if self.known.missing({low}):
             self.known.add({low: self._restore(low)})
         return self.known.young[low]
