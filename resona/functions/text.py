@@ -63,8 +63,9 @@ def seed(text: Column) -> Column:
 
 def make_id(name: Column, module: Column) -> Column:
     """A node id: lower case, other characters as single underscores, under its module, 60 characters at most."""
-    own = F.trim(F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9_]", "_"), "_+", "_"), F.lit("_"))
-    return F.substring(F.when(F.startswith(own, module), own).otherwise(F.concat_ws("_", module, own)), 1, 60)
+    own = F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "_"), F.lit("_"))
+    # bound, so that it is not made for each use
+    return F.element_at(F.transform(F.array(own), lambda o: F.substring(F.when(F.startswith(o, module), o).otherwise(F.concat_ws("_", module, o)), 1, 60)), 1)
 
 
 def section_id(title: Column) -> Column:

@@ -127,8 +127,7 @@ def _used(name: Column, how: str) -> Column:
     return F.lower(name) if "lower" in how else name
 
 
-def _code(text: Column, path: Column, title: str, kinds: tuple, uses: tuple) -> Column:
-    module = tx.path_stem(path)
+def _code(text: Column, path: Column, module: Column, title: str, kinds: tuple, uses: tuple) -> Column:
     own = F.concat(F.lit("module_"), module)
     out = [F.array(_fact(own, F.concat(F.lit(f"{title} "), path)))]
     for label, pattern, weight, style, skipped, parent in kinds:
@@ -147,8 +146,7 @@ def _code(text: Column, path: Column, title: str, kinds: tuple, uses: tuple) ->
     return F.concat(*out)
 
 
-def _go(text: Column, path: Column) -> Column:
-    module = tx.path_stem(path)
+def _go(text: Column, path: Column, module: Column) -> Column:
     own = F.concat(F.lit("module_"), module)
     package = F.regexp_extract(text, r"package\s+(\w+)", 1)
     said = F.concat(F.lit("Go package '"), F.when(package != "", package).otherwise(module), F.lit("' in "), path)
@@ -168,12 +166,12 @@ def _go(text: Column, path: Column) -> Column:
     return F.concat(*out, F.transform(matches(head, GO_USES, 1), lambda n: _fact(own, None, F.concat(F.lit("module_"), used(n)), USES)))
 
 
-def _document(path: Column) -> Column:
-    return F.replace(F.lower(tx.path_stem(path)), F.lit(" "), F.lit("_"))
+def _document(stem: Column) -> Column:
+    return F.replace(F.lower(stem), F.lit(" "), F.lit("_"))
 
 
-def _gherkin(text: Column, path: Column) -> Column:
-    name = _document(path)
+def _gherkin(text: Column, stem: Column) -> Column:
+    name = _document(stem)
     feature = F.slice(matches(text, FEATURE, 1), 1, 1)
     id_ = tx.make_id(F.lit("feature"), name)
     scenarios = F.transform(matches(text, SCENARIO, 1), lambda s: trimmed(s))
@@ -182,9 +180,9 @@ def _gherkin(text: Column, path: Column) -> Column:
     return F.concat(F.transform(feature, lambda f: _fact(id_, F.concat(F.lit("BDD Feature: "), trimmed(f)))), said)
 
 
-def _markdown(text: Column, path: Column) -> Column:
+def _markdown(text: Column, path: Column, stem: Column) -> Column:
     """The first twenty sections; each but the first is what follows the one before."""
-    name = _document(path)
+    name = _document(stem)
     title = lambda h: F.regexp_extract(h, r"^#{1,3}\s+(.+)$", 1)
     headings = F.slice(matches(text, HEADING, 1), 1, 20)
     ids = F.transform(headings, lambda h: tx.make_id(F.substring(trimmed(title(h)), 1, 40), name))
@@ -200,16 +198,16 @@ def _markdown(text: Column, path: Column) -> Column:
     return F.concat(threads, F.zip_with(F.slice(ids, F.lit(1), n), F.slice(ids, F.lit(2), n), lambda a, b: _fact(a, None, b, FOLLOWS)))
 
 
-def _whole(text: Column, path: Column) -> Column:
+def _whole(text: Column, path: Column, stem: Column) -> Column:
     """A file as one node: its first line of more than ten characters without marks, of the first ten lines."""
-    stem = F.regexp_replace(F.lower(tx.path_stem(path)), "[-.]", "_")
+    stem = F.regexp_replace(F.lower(stem), "[-.]", "_")
     lines = F.transform(F.slice(F.split(text, "\n"), 1, 10), lambda x: trimmed(F.trim(F.trim(F.trim(trimmed(x), F.lit("#")), F.lit("/")), F.lit("*"))))
     first = F.get(F.filter(lines, lambda x: F.length(x) > 10), F.lit(0))
     return F.array(_fact(F.concat(F.lit("file_"), stem), F.coalesce(F.substring(first, 1, 150), F.concat(F.lit("File: "), path))))
 
 
-def _config(path: Column) -> Column:
-    return F.array(_fact(F.concat(F.lit("config_"), F.replace(F.lower(tx.path_stem(path)), F.lit("."), F.lit("_"))), F.concat(F.lit("Configuration: "), path)))
+def _config(path: Column, stem: Column) -> Column:
+    return F.array(_fact(F.concat(F.lit("config_"), F.replace(F.lower(stem), F.lit("."), F.lit("_"))), F.concat(F.lit("Configuration: "), path)))
 
 
 def python_facts(path: str, text: str) -> list[tuple[str, str, str | None, float | None]] | None:
@@ -230,8 +228,7 @@ def _python(path: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([None if f is None else [dict(zip(("kind", "name", "content", "owner"), x)) for x in f] for f in found])
 
 
-def _python_structure(found: Column, path: Column) -> Column:
-    module = tx.path_stem(path)
+def _python_structure(found: Column, module: Column) -> Column:
     own = F.concat(F.lit("module_"), module)
     weight = F.create_map(*[x for k, w in PYTHON_WEIGHTS.items() for x in (F.lit(k), F.lit(w))])
     named = lambda x: tx.make_id(F.when(x["owner"].isNull(), x["name"]).otherwise(F.concat_ws("_", x["owner"], x["name"])), module)
@@ -247,21 +244,25 @@ def _python_structure(found: Column, path: Column) -> Column:
 
 @once
 def _columns() -> tuple[Column, Column]:
-    """Facts of a file (path, text), and of a Python file with what was found in it (found)."""
-    path, text, suffix = F.col("path"), F.col("text"), tx.path_suffix(F.col("path"))
-    out = F.when(suffix.isin(*CONFIG), _config(path)).otherwise(_whole(text, path))
+    """Facts of a file (path, text, and of its path suffix and stem), and of a Python file with what was found in it (found)."""
+    path, text, suffix, stem = map(F.col, ("path", "text", "_suffix", "_stem"))
+    out = F.when(suffix.isin(*CONFIG), _config(path, stem)).otherwise(_whole(text, path, stem))
     for suffixes, title, kinds, uses in LANGUAGES:
-        out = F.when(suffix.isin(*suffixes), _code(text, path, title, kinds, uses)).otherwise(out)
-    out = F.when(suffix == ".go", _go(text, path)).when(suffix == ".feature", _gherkin(text, path)).when(suffix.isin(".md", ".txt", ".rst"), _markdown(text, path)).otherwise(out)
-    return out, F.when(F.col("found").isNull(), _whole(text, path)).otherwise(_python_structure(F.col("found"), path))
+        out = F.when(suffix.isin(*suffixes), _code(text, path, stem, title, kinds, uses)).otherwise(out)
+    out = F.when(suffix == ".go", _go(text, path, stem)).when(suffix == ".feature", _gherkin(text, stem)).when(suffix.isin(".md", ".txt", ".rst"), _markdown(text, path, stem)).otherwise(out)
+    return out, F.when(F.col("found").isNull(), _whole(text, path, stem)).otherwise(_python_structure(F.col("found"), stem))
 
 
 def facts(files: DataFrame) -> DataFrame:
     """source, pos, id, content, other and weight of files (path, text): a content makes a thread, another node an edge."""
     (out, of_python), suffix = _columns(), tx.path_suffix(F.col("path"))
-    python = files.where(suffix == ".py").select("path", "text", _python("path", "text").alias("found")).select("path", of_python.alias("facts"))
-    every = files.where(suffix != ".py").select("path", out.alias("facts")).unionByName(python)
-    return every.select(F.col("path").alias("source"), F.posexplode("facts").alias("pos", "f")).select("source", "pos", "f.*")
+    stem = tx.path_stem(F.col("path")).alias("_stem")
+    # Suffix and stem are columns of their own, which the many expressions on them read. Facts are exploded where they are
+    # made: of a column of them Spark would ask first whether it is empty, and so make them twice and more.
+    each = lambda made: (F.col("path").alias("source"), F.posexplode(made).alias("pos", "f"))
+    python = files.where(suffix == ".py").select("path", "text", stem, _python("path", "text").alias("found")).select(*each(of_python))
+    others = files.where(suffix != ".py").select("path", "text", suffix.alias("_suffix"), stem).select(*each(out))
+    return others.unionByName(python).select("source", "pos", "f.*")
 
 
 def threads(found: DataFrame, now: float | Column) -> DataFrame:
