@@ -9,7 +9,7 @@ from resona.functions import synonyms, text as tx
 from resona.operators import encode
 from resona.sources import extract, files
 
-from .registry import Family, table
+from .registry import Family, dealt, table
 
 family = Family()
 QUERIES, SQL = family.queries, family.sql
@@ -120,7 +120,7 @@ def extract_python_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.concat(
         F.lit('"""'), "p_name", F.lit('"""\nimport os\n\n# a comment that is kept\nclass Part'), key, F.lit(':\n    """'), "p_type", F.lit('"""\n\n    def show(self):\n        return 1\n\n    def _hidden(self):\n        return 2\n'),
     )
-    f = table(spark, sf_dir, "part").select(F.concat(F.lit("parts/p"), key, F.lit(".py")).alias("path"), code.alias("text"))
+    f = dealt(spark, sf_dir, "part", "p_partkey").select(F.concat(F.lit("parts/p"), key, F.lit(".py")).alias("path"), code.alias("text"))
     return extract.units(f).select("id", "content", "source")
 
 
@@ -129,7 +129,7 @@ def extract_go_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part as a small Go file."""
     key = F.col("p_partkey").cast("string")
     code = F.concat(F.lit("package p\n\ntype Part"), key, F.lit(" struct {\n}\n\nfunc (p *Part"), key, F.lit(") Show() {\n}\n\nfunc main() {\n}\n"))
-    f = table(spark, sf_dir, "part").select(F.concat(F.lit("src/p"), key, F.lit(".go")).alias("path"), code.alias("text"))
+    f = dealt(spark, sf_dir, "part", "p_partkey").select(F.concat(F.lit("src/p"), key, F.lit(".go")).alias("path"), code.alias("text"))
     return extract.units(f).select("id", "content", "source")
 
 
@@ -163,7 +163,7 @@ def extract_code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part as a small file in each of the languages that patterns read."""
     key = F.col("p_partkey").cast("string")
     files_ = F.array(*[F.struct(F.concat(F.lit("src/p"), key, F.lit(suffix)).alias("path"), F.concat(F.lit(before), key, F.lit(after)).alias("text")) for suffix, _, before, after, _ in _CODE])
-    return extract.units(table(spark, sf_dir, "part").select(F.explode(files_).alias("f")).select("f.*")).select("id", "content", "source")
+    return extract.units(dealt(spark, sf_dir, "part", "p_partkey").select(F.explode(files_).alias("f")).select("f.*")).select("id", "content", "source")
 
 
 @family.query("""WITH u AS (SELECT 'web/p' || p_partkey || '.ts' AS source, 'p' || p_partkey AS src FROM part) SELECT src, 'date_tools' AS tgt, 'imports' AS rel_type, source FROM u UNION ALL SELECT src, 'fs', 'imports', source FROM u UNION ALL SELECT src, 'json', 'imports', replace(source, '.ts', '.py') FROM u UNION ALL SELECT src, 'os', 'imports', replace(source, '.ts', '.py') FROM u""")
@@ -173,7 +173,7 @@ def import_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     ts = F.lit("import 'lib/date-tools.js'\nconst fs = require('fs')\n")
     py = F.lit("import json\n\ndef f():\n    from os.path import join\n")
     files_ = F.array(*[F.struct(F.concat(F.lit("web/p"), key, F.lit(x)).alias("path"), text.alias("text")) for x, text in ((".ts", ts), (".py", py))])
-    return extract.relations(table(spark, sf_dir, "part").select(F.explode(files_).alias("f")).select("f.*")).select("src", "tgt", "rel_type", "source")
+    return extract.relations(dealt(spark, sf_dir, "part", "p_partkey").select(F.explode(files_).alias("f")).select("f.*")).select("src", "tgt", "rel_type", "source")
 
 
 def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:

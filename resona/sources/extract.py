@@ -65,9 +65,8 @@ def _lines(text: Column) -> Column:
     return F.transform(F.split(text, "\n"), trimmed)
 
 
-def code_units(text: Column, path: Column, title: str, patterns: tuple) -> Column:
+def code_units(text: Column, path: Column, module: Column, title: str, patterns: tuple) -> Column:
     """The units of a file by its language's patterns."""
-    module = tx.path_stem(path)
     out = [F.array(_unit(F.lit("module"), module, F.concat(F.lit(f"{title} "), path)))]
     for what, pattern, skipped in patterns:
         if pattern.count("(") - pattern.count("(?:") - pattern.count(r"\(") == 2:
@@ -80,8 +79,7 @@ def code_units(text: Column, path: Column, title: str, patterns: tuple) -> Colum
     return F.concat(*out)
 
 
-def gherkin_units(text: Column, path: Column) -> Column:
-    stem = tx.path_stem(path)
+def gherkin_units(text: Column, stem: Column) -> Column:
     # the patterns here and of titles are fixed values
     feature = F.transform(F.slice(matches(text, r"Feature:\s*(.+)$", 1), 1, 1), lambda f: _unit(F.lit("feature"), stem, F.concat(F.lit("Feature: "), trimmed(f))))
     scenarios = matches(text, r"Scenario(?:\s+Outline)?:\s*(.+)$", 1)
@@ -100,8 +98,7 @@ def titles(text: Column) -> Column:
     return F.slice(matches(text, r"^#{1,3}\s+(.+)$", 1), 1, 20)
 
 
-def markdown_units(text: Column, path: Column) -> Column:
-    stem = tx.path_stem(path)
+def markdown_units(text: Column, stem: Column) -> Column:
     document = F.array(_unit(F.lit("doc"), stem, F.trim(F.replace(F.substring(text, 1, 500), F.lit("\n"), F.lit(" ")))))
     return F.concat(document, F.transform(titles(text), lambda t: _unit(stem, tx.section_id(t), section_text(text, t))))
 
@@ -113,8 +110,8 @@ def first_informative_line(text: Column) -> Column:
     return F.substring(bare(F.get(found, F.lit(0))), 1, 150)
 
 
-def generic_units(text: Column, path: Column) -> Column:
-    return F.array(_unit(F.lit("file"), tx.path_stem(path), F.coalesce(first_informative_line(text), F.concat(F.lit("File: "), path))))
+def generic_units(text: Column, path: Column, stem: Column) -> Column:
+    return F.array(_unit(F.lit("file"), stem, F.coalesce(first_informative_line(text), F.concat(F.lit("File: "), path))))
 
 
 def _doc(node: ast.AST) -> str:
@@ -189,22 +186,26 @@ def normal_text(content: Column) -> Column:
 
 @once
 def _columns() -> tuple[Column, Column]:
-    """Units of a file (path, text), and of a Python file with what was found in it (found)."""
-    path, text, suffix = F.col("path"), F.col("text"), tx.path_suffix(F.col("path"))
-    out = generic_units(text, path)
+    """Units of a file (path, text, and of its path suffix and stem), and of a Python file with what was found in it (found)."""
+    path, text, suffix, stem = map(F.col, ("path", "text", "_suffix", "_stem"))
+    out = generic_units(text, path, stem)
     for suffixes, title, patterns in LANGUAGES:
-        out = F.when(suffix.isin(*suffixes), code_units(text, path, title, patterns)).otherwise(out)
-    out = F.when(suffix == ".feature", gherkin_units(text, path)).when(suffix.isin(".md", ".txt"), markdown_units(text, path)).otherwise(out)
-    notes = F.transform(F.slice(tx.comments(text), 1, 10), lambda c, i: _unit(tx.path_stem(path), F.concat(F.lit("note_"), i.cast("string")), c))
-    return out, F.when(F.col("found").isNull(), generic_units(text, path)).otherwise(F.concat("found", notes))
+        out = F.when(suffix.isin(*suffixes), code_units(text, path, stem, title, patterns)).otherwise(out)
+    out = F.when(suffix == ".feature", gherkin_units(text, stem)).when(suffix.isin(".md", ".txt"), markdown_units(text, stem)).otherwise(out)
+    notes = F.transform(F.slice(tx.comments(text), 1, 10), lambda c, i: _unit(stem, F.concat(F.lit("note_"), i.cast("string")), c))
+    return out, F.when(F.col("found").isNull(), generic_units(text, path, stem)).otherwise(F.concat("found", notes))
 
 
 def units(files: DataFrame) -> DataFrame:
     """id, content (200 characters at most), source, encode_input, and pos (the order within the file) of files (path, text)."""
     (out, of_python), suffix = _columns(), tx.path_suffix(F.col("path"))
-    python = files.where(suffix == ".py").withColumn("found", _python("path", "text")).select("path", of_python.alias("units"))
-    each = files.where(suffix != ".py").select("path", out.alias("units")).unionByName(python).select("path", F.posexplode("units").alias("pos", "u"))
-    return each.select("u.id", F.substring("u.content", 1, 200).alias("content"), F.col("path").alias("source"), F.concat_ws(" ", F.col("u.name"), F.col("u.content"), tx.path_stem(F.col("path"))).alias("encode_input"), "pos")
+    stem = tx.path_stem(F.col("path")).alias("_stem")
+    # Suffix and stem are columns of their own, which the many expressions on them read. Units are exploded where they are
+    # made: of a column of them Spark would ask first whether it is empty, and so make them twice and more.
+    each = lambda made: ("path", "_stem", F.posexplode(made).alias("pos", "u"))
+    python = files.where(suffix == ".py").select("path", "text", stem, _python("path", "text").alias("found")).select(*each(of_python))
+    others = files.where(suffix != ".py").select("path", "text", suffix.alias("_suffix"), stem).select(*each(out))
+    return others.unionByName(python).select("u.id", F.substring("u.content", 1, 200).alias("content"), F.col("path").alias("source"), F.concat_ws(" ", F.col("u.name"), F.col("u.content"), F.col("_stem")).alias("encode_input"), "pos")
 
 
 def relations(files: DataFrame) -> DataFrame:

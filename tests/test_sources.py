@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from resona.engine import MemoryEngine
 from resona.operators import encode
-from resona.sources import extract, files
+from resona.plans import catalogue
+from resona.sources import extract, files, structure
 from resona.sources.snapshots import Conflict, Store
 from resona.streaming import watch
 
@@ -266,3 +267,15 @@ def test_synonyms_from_a_file(spark, tmp_path):
 
     (tmp_path / "s.txt").write_text("ship, Boat\n\nship,send\n")
     assert {r.word: r.synonyms for r in synonyms.read(spark, f"{tmp_path}/s.txt").collect()} == {"ship": ["ship", "send"], "boat": ["ship", "boat"], "send": ["ship", "send"]}
+
+
+def test_facts_and_units_are_made_once_for_each_file(spark):
+    files = spark.createDataFrame([("src/a.go", "package a\nfunc f() {}\n"), ("b.py", "def f(): pass\n")], "path string, text string")
+    for found in (structure.facts(files), extract.units(files)):
+        assert "Filter (size(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_small_tables_that_become_many_files_are_dealt_to_all_tasks(spark):
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for name in ("code_graph_edges", "code_graph_threads", "extract_code_symbols", "extract_go_symbols", "extract_python_symbols", "import_relations"):
+        assert catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= parts, name
