@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .resonate import meet_queries
 
@@ -12,6 +19,9 @@ K1, B = 1.5, 0.75
 RANGES = 64
 #: About how many words one list holds that is looked for in a document.
 SENT = 10_000
+#: Documents that are scored at once, and the words of documents that a task remembers.
+SCORED, SEEN = 256, 100_000
+_WORD = re.compile("[^ \t\n\x0b\f\r]+")
 
 
 def bm25(docs: DataFrame, queries: DataFrame, terms, k1: float = K1, b: float = B) -> DataFrame:
@@ -136,15 +146,93 @@ def token_totals(used: Column, full: Column) -> dict[str, Column]:
     return {"total": F.sum(used), "mean": mean, "least": F.min(used), "most": F.max(used), "compression": F.first(full) / mean, "saved_percent": (1 - mean / F.first(full)) * 100}
 
 
+class _Held:
+    """Which of the asked words a text's words hold, and how often each query asks for them."""
+
+    def __init__(self, asked: dict[str, list[int]], queries: int):
+        self.at = {w: k for k, w in enumerate(asked)}
+        self.queries_of = [np.array(x) for x in asked.values()]
+        self.sizes, self.queries = sorted({len(w) for w in asked}), queries
+        self.seen: dict[str, tuple[int, ...]] = {}
+
+    def within(self, word: str) -> tuple[int, ...]:
+        got = self.seen.get(word)
+        if got is None:
+            if len(self.seen) >= SEEN:
+                self.seen.clear()
+            parts = (word[i : i + n] for n in self.sizes if n <= len(word) for i in range(len(word) - n + 1))
+            got = self.seen[word] = tuple({self.at[p] for p in parts if p in self.at})
+        return got
+
+    def counts(self, text: str) -> np.ndarray:
+        found = set().union(*map(self.within, set(_WORD.findall(text))))
+        if not found:
+            return np.zeros(self.queries, int)
+        return np.bincount(np.concatenate([self.queries_of[k] for k in found]), minlength=self.queries)
+
+
+def _few_substrings(docs: DataFrame, pairs: list, types: T.StructType, top_k: int) -> DataFrame:
+    """query_id, doc_id and score of the best documents of each task, for so few (query_id, word) that every task holds them.
+
+    What is asked for has no white space, so it lies within a word of the text.
+    Documents come sorted by doc_id: rows of one are added up, and of equal
+    scores the first ones stay.
+    """
+    ids = list(dict.fromkeys(r[0] for r in pairs))
+    number, asked = {x: k for k, x in enumerate(ids)}, {}
+    for query, word in pairs:
+        asked.setdefault(word, []).append(number[query])
+    out = to_arrow_schema(types)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held(asked, len(ids))
+        best, names = np.zeros((0, len(ids)), int), np.zeros((0, len(ids)), object)
+        waiting: list[list] = []  # doc_id and counts
+
+        def settled(rows: list[list]) -> None:
+            nonlocal best, names
+            some = np.empty((len(rows), 1), object)
+            some[:, 0] = [x for x, _ in rows]
+            every, named = np.concatenate([best, [c for _, c in rows]]), np.concatenate([names, np.broadcast_to(some, (len(rows), len(ids)))])
+            order = np.argsort(-every, axis=0, kind="stable")[:top_k]
+            best, names = np.take_along_axis(every, order, 0), np.take_along_axis(named, order, 0)
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SCORED):
+                part = batch.slice(lo, SCORED)
+                for x, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    if waiting and waiting[-1][0] == x:
+                        waiting[-1][1] = waiting[-1][1] + held.counts(text)
+                    else:
+                        waiting.append([x, held.counts(text)])
+                if len(waiting) > 1:  # the last one may go on
+                    settled(waiting[:-1])
+                    del waiting[:-1]
+        if waiting:
+            settled(waiting)
+        rank, query = np.nonzero(best)
+        columns = ([ids[k] for k in query], names[rank, query].tolist(), best[rank, query])
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
+
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, since a document becomes much work
+    low = docs.where("text is not null").select("doc_id", F.lower("text").alias("low"))
+    return low.repartition(parts, "doc_id").sortWithinPartitions("doc_id").mapInArrow(run, types)
+
+
 def substring_topk(docs: DataFrame, queries: DataFrame, top_k: int = 10) -> DataFrame:
     """query_id, doc_id, score and rank of the documents that hold most of a query's lower-cased words, as parts of words too.
 
     Containment has no key to join on: each document is read once, against the
-    distinct words of all queries; a document meets the queries of the words it
-    holds. Up to ``SENT`` words are sent along as one list; more of them are
-    several lists, which each document meets in a shuffle.
+    distinct words of all queries. Up to ``SENT`` words of queries are held by
+    every task, which looks up parts of the documents' words and keeps its best
+    of each query. More of them are lists, which each document meets in a
+    shuffle; a document meets the queries of the words it holds.
     """
     q = queries.select("query_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("query"), "\\s+"), lambda w: w != ""))).alias("word"))
+    pairs = q.limit(SENT + 1).collect()
+    if len(pairs) <= SENT:
+        types = T.StructType([T.StructField("query_id", q.schema["query_id"].dataType), T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("score", T.LongType())])
+        return ranked(_few_substrings(docs, pairs, types, top_k), top_k=top_k)
     words = q.select("word").distinct()
     lists = max(1, -(-words.count() // SENT))
     listed = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(lists)).cast("int").alias("_list")).agg(F.collect_set("word").alias("_words"))  # about SENT words each

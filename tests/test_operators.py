@@ -232,3 +232,17 @@ def test_fallback_keeps_what_results_push_out(spark):
     own = spark.createDataFrame([("q", f"g{k}", 5.0 - n, k, n + 1) for n, k in enumerate(best[:4])], "query_id string, id string, score double, seq long, rank int")
     got = [r.id for r in rs.with_fallback(own, g, q, 7).orderBy("rank").collect()]
     assert got == [f"g{k}" for k in best[:7]]
+
+
+def test_words_within_words_are_looked_up_once_for_repeated_and_odd_rows(spark, monkeypatch):
+    docs = [(1, "Alpha beta"), (1, "alphabet x"), (2, None), (None, "beta"), (None, "BETA alp"), (3, ""), (4, "x\tbeta\nalp"), (5, "beta alp")]
+    queries = [(7, "alp beta beta"), (7, "alp"), (8, "t x ALPHA"), (9, None), (10, "zzz")]
+    d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(queries, "query_id long, query string")
+    monkeypatch.setattr(ev, "SCORED", 1)
+    few = ev.substring_topk(d, q, 3)
+    assert "contains(" not in few._jdf.queryExecution().optimizedPlan().toString().lower()  # no list of all words goes with each document
+    found = {(r.query_id, r.doc_id, r.score, r["rank"]) for r in few.collect()}
+    monkeypatch.setattr(ev, "SENT", 2)
+    assert found == {(r.query_id, r.doc_id, r.score, r["rank"]) for r in ev.substring_topk(d, q, 3).collect()}
+    assert found == {(7, 1, 5, 1), (7, None, 4, 2), (7, 4, 3, 3), (8, 1, 3, 1)}
+    assert ev.substring_topk(d, q.limit(0)).count() == 0
