@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from resona.functions import synonyms, text as tx, vectors as vx
 
@@ -22,34 +26,91 @@ EMBEDDED = 20
 CACHE = 8192
 #: Features and texts of one product of matrices.
 SEEDS, ROWS = 1024, 512
+#: Words whose derived features a worker keeps, and texts whose features leave it at once.
+KNOWN, LISTED = 50_000, 128
+
+
+class _Counted:
+    """The features of texts; what a word gives is kept from text to text."""
+
+    def __init__(self, groups: dict[str, list[str]]):
+        self.groups, self.known = groups, {}
+
+    def single(self, word: str) -> dict[str, float]:
+        got = self.known.get(word)
+        if got is None:
+            if len(self.known) >= KNOWN:
+                self.known.clear()
+            got = self.known[word] = {}
+            for said in (word, *self.groups.get(word, ())):
+                for feature in (said, tx.stemmed(said)):
+                    got[feature] = max(got.get(feature, 0.0), 1.0 if said == word else SYNONYM)
+        return got
+
+    def of(self, texts: Iterable[tuple[str, str]], whole: bool) -> dict[str, float]:
+        """feature to weight of all texts (lower-cased, as they are) of a key."""
+        single: dict[str, float] = {}
+        more: Counter[str] = Counter()
+        for low, text in texts:
+            words = [w for w in re.split("[^a-z0-9]+", low) if len(w) >= 2]
+            for w in dict.fromkeys(words):
+                for feature, weight in self.single(w).items():
+                    if single.get(feature, 0.0) < weight:
+                        single[feature] = weight
+            for feature, n in Counter(map("_".join, zip(words, words[1:]))).items():
+                more[feature] += BIGRAM * n
+            letters: Counter[str] = Counter()
+            for run in re.findall("[a-z]{3,}", "".join(words)):
+                letters.update(map("".join, zip(run, run[1:], run[2:])))
+            for feature, n in letters.items():
+                more[f"_tri_{feature}"] += TRIGRAM * n
+            if whole and not words:
+                more[text] += 1.0
+        for feature, weight in more.items():
+            single[feature] = single.get(feature, 0.0) + weight
+        return single
 
 
 def _features(texts: DataFrame, key: str, text: str, groups: DataFrame | None, whole: bool) -> DataFrame:
-    """key, feature and weight; with whole, a text without tokens is its own feature.
+    """key and its features (f: feature and weight); with whole, a text without tokens is its own feature.
 
-    The texts are dealt by key once; all that follows groups by key and more,
-    so that no occurrence of a feature is ever shuffled.
+    The texts are dealt by key once and sorted by it, so that a key's texts
+    stand together and are counted where they are.
     """
     groups = synonyms.table(texts.sparkSession) if groups is None else groups
+    known: dict[str, list[str]] = {}
+    for r in groups.select("word", "synonyms").collect():  # a vocabulary, which every task holds
+        known.setdefault(r[0], []).extend(r[1] or ())
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, since small texts become much work
-    words = texts.select(key, F.col(text).alias("_text")).repartition(parts, key).select(key, "_text", tx.tokens(F.col("_text")).alias("_tokens"))
-    item = lambda word, feature, weight: F.struct(word.alias("word"), feature.alias("feature"), F.lit(weight).alias("weight"))
-    none = F.lit(None).cast("string")
-    kinds = [
-        F.transform(F.array_distinct("_tokens"), lambda t: item(t, none, 1.0)),
-        F.transform(tx.bigrams(F.col("_tokens")), lambda t: item(none, t, BIGRAM)),
-        F.transform(tx.trigrams(F.col("_tokens")), lambda t: item(none, F.concat(F.lit("_tri_"), t), TRIGRAM)),
-    ]
-    if whole:
-        kinds.append(F.when(F.size("_tokens") == 0, F.array(item(none, F.col("_text"), 1.0))).otherwise(F.array().cast("array<struct<word:string,feature:string,weight:double>>")))
-    each = words.select(key, F.explode(F.concat(*kinds)).alias("i")).select(key, "i.*")
-    found = each.join(F.broadcast(groups.withColumnsRenamed({"word": "_word", "synonyms": "_synonyms"})), F.lower("word") == F.col("_word"), "left")  # a vocabulary
-    said = F.array_union(F.array("word"), F.coalesce("_synonyms", F.array().cast("array<string>")))
-    derived = F.flatten(F.transform(said, lambda w: F.array(*[F.struct(x.alias("feature"), F.when(w == F.col("word"), 1.0).otherwise(SYNONYM).alias("weight")) for x in (w, tx.stem(w))])))
-    listed = F.when(F.col("word").isNull(), F.array(F.struct("feature", "weight"))).otherwise(derived)
-    flat = found.select(key, F.col("word").isNotNull().alias("single"), F.explode(listed).alias("f")).select(key, "single", "f.feature", "f.weight")
-    of = lambda how, single: F.coalesce(how(F.when(F.col("single") == single, F.col("weight"))), F.lit(0.0))
-    return flat.groupBy(key, "feature").agg((of(F.max, True) + of(F.sum, False)).alias("weight"))
+    types = T.StructType([texts.schema[key], T.StructField("f", T.ArrayType(T.StructType([T.StructField("feature", T.StringType()), T.StructField("weight", T.DoubleType())])))])
+    out = to_arrow_schema(types)
+
+    def listed(rows: list[tuple]) -> pa.RecordBatch:
+        ends = np.cumsum([0] + [len(f) for _, f in rows])
+        flat = [pa.array([x for _, f in rows for x in f], pa.string()), pa.array([w for _, f in rows for w in f.values()], pa.float64())]
+        of = pa.StructArray.from_arrays(flat, fields=list(out.field(1).type.value_type))
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], out.field(0).type), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), of, type=out.field(1).type)], schema=out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted, done, now, said = _Counted(known), [], None, []
+        for batch in batches:
+            for lo in range(0, batch.num_rows, LISTED):
+                part = batch.slice(lo, LISTED)
+                for k, *pair in zip(*(c.to_pylist() for c in part.columns)):
+                    if said and k != now:
+                        done.append((now, counted.of(said, whole)))
+                        said = []
+                    now = k
+                    said.append(pair)
+                if len(done) >= LISTED:
+                    yield listed(done)
+                    done = []
+        if said:
+            done.append((now, counted.of(said, whole)))
+        yield listed(done)
+
+    rows = texts.where(F.col(text).isNotNull()).select(F.col(key), F.lower(F.col(text)).alias("_low"), F.col(text).alias("_text") if whole else F.lit(None).cast("string").alias("_text"))
+    return rows.repartition(parts, key).sortWithinPartitions(key).mapInArrow(run, types)
 
 
 def features(texts: DataFrame, key: str, text: str, groups: DataFrame | None = None) -> DataFrame:
@@ -58,7 +119,7 @@ def features(texts: DataFrame, key: str, text: str, groups: DataFrame | None = N
     Words, their synonyms and all their stems count once with the largest
     weight of what derives them; bigrams and letter trigrams count each time.
     """
-    return _features(texts, key, text, groups, False)
+    return _features(texts, key, text, groups, False).select(key, F.explode("f").alias("f")).select(key, "f.*")
 
 
 def projection(dimension: int):
@@ -99,8 +160,8 @@ def projection(dimension: int):
 
 def encode_text(texts: DataFrame, key: str, text: str, dimension: int = DIMENSION, groups: DataFrame | None = None) -> DataFrame:
     """key and vector; a text without tokens is the random vector of itself."""
-    found = _features(texts, key, text, groups, True).select(key, tx.seed(F.col("feature")).alias("seed"), "weight")
-    listed = found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("seed", "weight"))).alias("f"))
+    seeded = F.transform("f", lambda x: F.struct(tx.seed(x["feature"]).alias("seed"), x["weight"].alias("weight")))
+    listed = _features(texts, key, text, groups, True).select(key, F.sort_array(seeded).alias("f"))
     return listed.select(key, projection(dimension)(F.col("f.seed").cast("array<string>"), F.col("f.weight")).alias("vector"))
 
 

@@ -246,3 +246,18 @@ def test_words_within_words_are_looked_up_once_for_repeated_and_odd_rows(spark,
     assert found == {(r.query_id, r.doc_id, r.score, r["rank"]) for r in ev.substring_topk(d, q, 3).collect()}
     assert found == {(7, 1, 5, 1), (7, None, 4, 2), (7, 4, 3, 3), (8, 1, 3, 1)}
     assert ev.substring_topk(d, q.limit(0)).count() == 0
+
+
+def test_features_of_a_key_are_counted_where_its_texts_are(spark):
+    rows = [("a", "The ctx CTX ctxs running"), ("a", "ctx of ctx"), ("b", None), (None, "Zürich x9 x9"), ("c", "?!"), ("d", "")]
+    texts = spark.createDataFrame(rows, "k string, t string")
+    found = encode.features(texts, "k", "t")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan  # no row for each occurrence
+    got = {(r.k, r.feature): round(r.weight, 6) for r in found.collect()}
+    groups = {"ctx": ["context"]}
+    one, two = (encode.text_features(t, groups) for _, t in rows[:2])
+    single = ("the", "ctx", "ctxs", "running", "runn", "context", "of")
+    want = {("a", f): round(max(one.get(f, 0), two.get(f, 0)) if f in single else one.get(f, 0) + two.get(f, 0), 6) for f in {*one, *two}}
+    assert got == want | {(None, f): round(w, 6) for f, w in encode.text_features(rows[3][1], groups).items()}
+    assert {r.k for r in encode.encode_text(texts, "k", "t", 16).collect()} == {"a", None, "c", "d"}
