@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from resona.functions import text as tx, vectors as vx
 from resona.operators import encode, plasticity as pl, resonate as rs
 
-from .registry import Family, table
+from .registry import Family, dealt, table
 
 family = Family()
 QUERIES, SQL = family.queries, family.sql
@@ -163,7 +163,7 @@ def co_activate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def random_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part's name gives one random direction, always the same, and no other name's."""
     draw = vx.random_vectors(64)
-    v = table(spark, sf_dir, "part").select("p_partkey", draw(tx.seed(F.col("p_name"))).alias("v"), draw(tx.seed(F.col("p_name"))).alias("w"), draw(tx.seed(F.concat("p_name", F.lit("x")))).alias("u"))
+    v = dealt(spark, sf_dir, "part", "p_partkey").select("p_partkey", draw(tx.seed(F.col("p_name"))).alias("v"), draw(tx.seed(F.col("p_name"))).alias("w"), draw(tx.seed(F.concat("p_name", F.lit("x")))).alias("u"))
     return v.select("p_partkey", F.size("v").alias("size"), F.round(vx.norm(F.col("v")), 6).alias("norm"), (F.round(vx.cosine(F.col("v"), F.col("w")), 6) == 1).alias("again"), (vx.cosine(F.col("v"), F.col("u")) > 0.9).alias("other"))
 
 
