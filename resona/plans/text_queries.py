@@ -48,7 +48,9 @@ def synonym_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @family.query(f"WITH {_T}, p AS (SELECT unnest(list_zip(w[:-2], w[2:])) AS p FROM t) SELECT p[1] || '_' || p[2] AS bigram, count(*) AS n FROM p GROUP BY ALL")
 def bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tokens(spark, sf_dir).select(F.explode(tx.bigrams(F.col("w"))).alias("bigram")).groupBy("bigram").agg(F.count("*").alias("n"))
+    """Documents are dealt to all tasks, so that what one task counts is bounded by their number, not by a split's bytes."""
+    w = dealt(spark, sf_dir, "documents", "doc_id").select(tx.tokens(F.col("text")).alias("w"))
+    return w.select(F.explode(tx.bigrams(F.col("w"))).alias("bigram")).groupBy("bigram").agg(F.count("*").alias("n"))
 
 
 @family.query(f"WITH {_T}, j AS (SELECT array_to_string(w, '') AS s FROM t), i AS (SELECT s, unnest(range(1, length(s) - 1)) AS k FROM j) SELECT substr(s, k, 3) AS trigram, count(*) AS n FROM i WHERE regexp_full_match(substr(s, k, 3), '[a-z]{{3}}') GROUP BY ALL")

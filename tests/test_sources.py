@@ -277,5 +277,10 @@ def test_facts_and_units_are_made_once_for_each_file(spark):
 
 def test_small_tables_that_become_many_files_are_dealt_to_all_tasks(spark):
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    for name in ("code_graph_edges", "code_graph_threads", "extract_code_symbols", "extract_go_symbols", "extract_python_symbols", "import_relations"):
+    for name in ("code_graph_edges", "code_graph_threads", "extract_code_symbols", "extract_go_symbols", "extract_python_symbols", "import_relations", "random_vectors"):
         assert catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= parts, name
+
+
+def test_bigrams_are_counted_where_documents_are_dealt_to(spark):
+    plan = catalogue.QUERIES["bigrams"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [doc_id" in plan  # else a task counts a split, of so many bytes whatever the tasks are
