@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Below this length a vector counts as zero.
 TINY = 1e-10
+#: Rows that are bound at once, so that a batch's transforms stay small.
+BOUND = 512
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -50,15 +53,23 @@ def superpose(df: DataFrame, by: list[str], vector: str, weight: Column | None =
     return sums.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_s"))), lambda p: p["_s"]).alias(name))
 
 
-def _rows(s: pd.Series) -> np.ndarray:
-    return np.stack(s.to_numpy()).astype(float)
+def _rows(a: pa.Array) -> np.ndarray:
+    """A batch's vectors as one matrix, without an object for each."""
+    sizes = np.unique(a.value_lengths().to_numpy(False))
+    if len(a) and (len(sizes) != 1 or a.null_count):
+        raise ValueError("vectors of one batch must have one length")
+    return a.flatten().to_numpy(False).reshape(len(a), -1 if len(a) else 0).astype(float)
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def bind(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Circular convolution, by the Fourier transform of whole batches."""
-    x, y = _rows(a), _rows(b)
-    return pd.Series(list(np.fft.irfft(np.fft.rfft(x, axis=1) * np.fft.rfft(y, axis=1), n=x.shape[1], axis=1)))
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def bind(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Circular convolution, by the Fourier transform of many rows."""
+    out = []
+    for lo in range(0, len(a), BOUND):
+        x, y = _rows(a.slice(lo, BOUND)), _rows(b.slice(lo, BOUND))
+        out.append(np.fft.irfft(np.fft.rfft(x, axis=1) * np.fft.rfft(y, axis=1), n=x.shape[1], axis=1))
+    whole = np.concatenate(out) if out else np.zeros((0, 0))
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(whole) + 1) * whole.shape[1], pa.int32()), pa.array(whole.ravel()))
 
 
 def unbind(c: Column, key: Column) -> Column:

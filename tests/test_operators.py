@@ -261,3 +261,12 @@ def test_features_of_a_key_are_counted_where_its_texts_are(spark):
     want = {("a", f): round(max(one.get(f, 0), two.get(f, 0)) if f in single else one.get(f, 0) + two.get(f, 0), 6) for f in {*one, *two}}
     assert got == want | {(None, f): round(w, 6) for f, w in encode.text_features(rows[3][1], groups).items()}
     assert {r.k for r in encode.encode_text(texts, "k", "t", 16).collect()} == {"a", None, "c", "d"}
+
+
+def test_binding_makes_no_object_for_each_vector(spark):
+    rows = [([float(k), 1.0, -2.0, 0.5], [0.25, float(-k), 3.0, 1.0]) for k in range(1300)]
+    df = spark.createDataFrame(rows, "a array<double>, b array<double>").repartition(1)
+    for r in df.select("a", "b", vx.bind(F.col("a"), F.col("b")).alias("ab")).collect():
+        assert np.allclose(r.ab, [sum(r.a[j] * r.b[(i - j) % 4] for j in range(4)) for i in range(4)])
+    assert "ArrowEvalPython" in df.select(vx.bind(F.col("a"), F.col("b")))._jdf.queryExecution().executedPlan().toString()
+    assert df.limit(0).select(vx.bind(F.col("a"), F.col("b"))).count() == 0
