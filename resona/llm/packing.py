@@ -19,12 +19,13 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import chain, islice
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Recent, held, map_columns, written
+from .common import CACHE_BYTES, ENTRY_BYTES, held, map_columns, written
 from .token_counts import added_of, new_library
 
 CONTEXT = 2048
@@ -33,34 +34,72 @@ END = 0
 SALTS = 256
 #: Beyond these characters, lower case and composition are left to the library.
 _UNUSUAL = re.compile(r"[^\t-\r\x20-\x7e\xa0-įı-ſ‐-‧]")
-#: In such texts a chunk between white space is matches of these.
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿĀ-ſ]+|[0-9²³¹¼-¾]|[^a-zªµºß-öø-ÿĀ-ſ0-9²³¹¼-¾]+")
+#: In such texts these are what the library encodes one by one.
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿĀ-ſ]+|[0-9²³¹¼-¾]|[^\sa-zªµºß-öø-ÿĀ-ſ0-9²³¹¼-¾]+")
+#: What the library's last token of a word ends with.
+_LAST = "</w>"
+
+
+class _Numbers(dict):
+    """Words to numbers, in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
 
 
 class WordIds:
-    """Texts to the library's ids, with bounded caches by word and by chunk between white space."""
+    """Texts to the library's ids, with a bounded table of words and their ids.
+
+    The library gets a batch's new words as one text and without what finds
+    words in it, since a call for each word takes longer than its merges.
+    """
 
     def __init__(self, path: str):
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
+
         self.library = new_library(path)  # goes when this goes
         self.added = added_of(self.library)
-        self.words, self.known = Recent(), Recent()
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, new: set[str]) -> None:
-        parts = {c: _PARTS.findall(c) for c in new}
-        missing = list(self.words.missing({w for x in parts.values() for w in x}))
-        self.words.add(dict(zip(missing, self._library(missing))))
-        words = self.words.young
-        self.known.add({c: b"".join([words[w] for w in x]) for c, x in parts.items()})
+        self.plain = new_library(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.plain.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[k for token, k in vocabulary.items() if token.endswith(_LAST)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words, self.ids, self.ends, self.chars = _Numbers(), np.empty(0, "<u4"), np.zeros(1, np.int64), 0
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        ids = np.array(self.plain.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(new):  # each word has one last token
+            each = self._library(new)
+            ids, ends = np.concatenate(each), np.cumsum(list(map(len, each)))
+        self.chars += sum(map(len, new))
+        self.ends = np.concatenate([self.ends, len(self.ids) + ends])
+        self.ids = np.concatenate([self.ids, ids])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         found = self.added
-        split = [None if _UNUSUAL.search(t) or found and found.search(t) else t.lower().split() for t in texts]
-        self._learn(self.known.missing({c for some in split if some for c in some}))
-        known = self.known.young
-        return [self._library([t])[0] if some is None else b"".join(map(known.__getitem__, some)) for t, some in zip(texts, split)]
+        split = [None if _UNUSUAL.search(t) or found and found.search(t) else _PARTS.findall(t.lower()) for t in texts]
+        usual = [some for some in split if some is not None]
+        if len(self.words) * ENTRY_BYTES + 4 * len(self.ids) + self.chars > CACHE_BYTES:
+            self._forget()
+        known = len(self.words)
+        words = np.fromiter(map(self.words.__getitem__, chain.from_iterable(usual)), np.int64)
+        if len(self.words) > known:
+            self._learn(list(islice(self.words, known, None)))
+        size = np.diff(self.ends)[words]
+        ends = np.cumsum(np.concatenate([[0], size]))
+        ids = self.ids[np.repeat(self.ends[words] - ends[:-1], size) + np.arange(ends[-1])]
+        bounds = ends[np.cumsum([0, *map(len, usual)])]
+        each = iter([ids[a:b] for a, b in zip(bounds, bounds[1:])])
+        return [(self._library([t])[0] if some is None else next(each)).tobytes() for t, some in zip(texts, split)]
 
 
 def word_ids(path: str) -> WordIds:

@@ -103,6 +103,36 @@ def test_packing(docs, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+class _Watched:
+    """A tokenizer that counts the texts it encodes."""
+
+    def __init__(self, own, seen):
+        self.__dict__.update(own=own, seen=seen)
+
+    def __getattr__(self, name):
+        return getattr(self.own, name)
+
+    def __setattr__(self, name, value):
+        setattr(self.own, name, value)
+
+    def encode_batch_fast(self, texts, **how):
+        self.seen.append(len(texts))
+        return self.own.encode_batch_fast(texts, **how)
+
+
+def test_packing_gives_new_words_to_the_library_at_once(monkeypatch):
+    path, seen, make = P.path("word_bpe_49k.json"), [], packing.new_library
+    tok = make(path)
+    monkeypatch.setattr(packing, "new_library", lambda p: _Watched(make(p), seen))
+    texts = [" ".join(f"{RND.choice('ABcdé')}{''.join(RND.choices('aeioußſtrn', k=7))}{RND.choice(['', RND.choice(['.', ' 7', '</w>', chr(39) + 's', chr(39) * 2 + 've'])])}" for _ in range(40)) for _ in range(50)]
+    words = packing.WordIds(path)
+    for bound in (packing.CACHE_BYTES, 1000):  # all words stay known; all are forgotten after each batch
+        monkeypatch.setattr(packing, "CACHE_BYTES", bound)
+        for some in (texts, ["", *texts[:5]], texts[25:]):
+            assert words.encode(some) == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in some]
+    assert sum(seen) <= 6
+
+
 def test_plan_is_best_fit():
     for _ in range(20):
         counts = {RND.randrange(1, 101): RND.randrange(1, 9) for _ in range(12)}
