@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
@@ -24,8 +25,8 @@ SYNONYM, BIGRAM, TRIGRAM = 0.5, 0.5, 0.08
 EMBEDDED = 20
 #: Feature vectors that a worker keeps.
 CACHE = 8192
-#: Features and texts of one product of matrices.
-SEEDS, ROWS = 1024, 512
+#: Features and texts of one product of matrices, texts whose features are told apart together, and how rare a meeting of the two is multiplied by itself.
+SEEDS, ROWS, PART, SPARSE = 1024, 512, 2048, 64
 #: Words whose derived features a worker keeps, and texts whose features leave it at once.
 KNOWN, LISTED = 50_000, 128
 
@@ -34,7 +35,7 @@ class _Counted:
     """The features of texts; what a word gives is kept from text to text."""
 
     def __init__(self, groups: dict[str, list[str]]):
-        self.groups, self.known = groups, {}
+        self.groups, self.known, self.seeds = groups, {}, {}
 
     def single(self, word: str) -> dict[str, float]:
         got = self.known.get(word)
@@ -47,6 +48,15 @@ class _Counted:
                     got[feature] = max(got.get(feature, 0.0), 1.0 if said == word else SYNONYM)
         return got
 
+    def seed(self, feature: str) -> int:
+        """``tx.seed`` as a long of the same bits."""
+        got = self.seeds.get(feature)
+        if got is None:
+            if len(self.seeds) >= KNOWN:
+                self.seeds.clear()
+            got = self.seeds[feature] = int.from_bytes(hashlib.sha256(feature.encode()).digest()[:8], "big", signed=True)
+        return got
+
     def of(self, texts: Iterable[tuple[str, str]], whole: bool) -> dict[str, float]:
         """feature to weight of all texts (lower-cased, as they are) of a key."""
         single: dict[str, float] = {}
@@ -72,7 +82,7 @@ class _Counted:
 
 
 def _features(texts: DataFrame, key: str, text: str, groups: DataFrame | None, whole: bool) -> DataFrame:
-    """key and its features (f: feature and weight); with whole, a text without tokens is its own feature.
+    """key and its features (f: feature and weight); with whole, a text without tokens is its own feature, and features are given as their seeds.
 
     The texts are dealt by key once and sorted by it, so that a key's texts
     stand together and are counted where they are.
@@ -82,12 +92,13 @@ def _features(texts: DataFrame, key: str, text: str, groups: DataFrame | None, w
     for r in groups.select("word", "synonyms").collect():  # a vocabulary, which every task holds
         known.setdefault(r[0], []).extend(r[1] or ())
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, since small texts become much work
-    types = T.StructType([texts.schema[key], T.StructField("f", T.ArrayType(T.StructType([T.StructField("feature", T.StringType()), T.StructField("weight", T.DoubleType())])))])
+    types = T.StructType([texts.schema[key], T.StructField("f", T.ArrayType(T.StructType([T.StructField("feature", T.LongType() if whole else T.StringType()), T.StructField("weight", T.DoubleType())])))])
     out = to_arrow_schema(types)
 
-    def listed(rows: list[tuple]) -> pa.RecordBatch:
+    def listed(rows: list[tuple], counted: _Counted) -> pa.RecordBatch:
         ends = np.cumsum([0] + [len(f) for _, f in rows])
-        flat = [pa.array([x for _, f in rows for x in f], pa.string()), pa.array([w for _, f in rows for w in f.values()], pa.float64())]
+        named = pa.array([counted.seed(x) for _, f in rows for x in f], pa.int64()) if whole else pa.array([x for _, f in rows for x in f], pa.string())
+        flat = [named, pa.array([w for _, f in rows for w in f.values()], pa.float64())]
         of = pa.StructArray.from_arrays(flat, fields=list(out.field(1).type.value_type))
         return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], out.field(0).type), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), of, type=out.field(1).type)], schema=out)
 
@@ -103,11 +114,11 @@ def _features(texts: DataFrame, key: str, text: str, groups: DataFrame | None, w
                     now = k
                     said.append(pair)
                 if len(done) >= LISTED:
-                    yield listed(done)
+                    yield listed(done, counted)
                     done = []
         if said:
             done.append((now, counted.of(said, whole)))
-        yield listed(done)
+        yield listed(done, counted)
 
     rows = texts.where(F.col(text).isNotNull()).select(F.col(key), F.lower(F.col(text)).alias("_low"), F.col(text).alias("_text") if whole else F.lit(None).cast("string").alias("_text"))
     return rows.repartition(parts, key).sortWithinPartitions(key).mapInArrow(run, types)
@@ -123,46 +134,73 @@ def features(texts: DataFrame, key: str, text: str, groups: DataFrame | None = N
 
 
 def projection(dimension: int):
-    """A column function from (seeds, weights) to the unit vector of their weighted sum."""
-    known: dict[int, np.ndarray] = {}
+    """A column function from (seeds as longs, weights) to the unit vector of their weighted sum.
 
-    def of(seed: int) -> np.ndarray:
-        got = known.get(seed)
-        if got is None:
-            if len(known) >= CACHE:
-                known.clear()
-            v = np.random.default_rng(seed).standard_normal(dimension)
-            got = known[seed] = v / np.linalg.norm(v)
-        return got
-
-    @F.pandas_udf("array<double>")
-    def project(seeds: pd.Series, weights: pd.Series) -> pd.Series:
+    Vectors of seeds that stand in one row only are drawn and forgotten. The
+    seeds of the most rows come first, as products of matrices; where few of a
+    product's rows and seeds meet, only these are multiplied.
+    """
+    at_row: dict[int, int] = {}
+    kept = np.empty((0, dimension))
+
+    def drawn(seeds: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        nonlocal kept
+        out = np.empty((len(seeds), dimension))
+        place = np.array([at_row.get(s, -1) for s in seeds.tolist()], int)
+        new = np.flatnonzero(place < 0)
+        out[place >= 0] = kept[place[place >= 0]]
+        out[new] = vx.unit_vectors(seeds[new].view(np.uint64), dimension)
+        again = new[rows[new] > 1]
+        if len(again):
+            if not len(kept):
+                kept = np.empty((CACHE, dimension))
+            if len(at_row) + len(again) > CACHE:
+                at_row.clear()
+            n = len(at_row)
+            kept[n : n + len(again)] = out[again]
+            at_row.update(zip(seeds[again].tolist(), range(n, n + len(again))))
+        return out
+
+    def summed(seeds: pa.Array, weights: pa.Array) -> np.ndarray:
         out = np.zeros((len(seeds), dimension))
-        row = np.repeat(np.arange(len(seeds)), seeds.str.len().to_numpy(int))
+        row = np.repeat(np.arange(len(seeds)), seeds.value_lengths().to_numpy(False))
         if len(row):
-            distinct, at = np.unique(np.concatenate(seeds.to_numpy()), return_inverse=True)
-            weight = np.concatenate(weights.to_numpy())
-            order = np.argsort(at, kind="stable")
-            at, row, weight = at[order], row[order], weight[order]
-            for lo in range(0, len(distinct), SEEDS):
-                own = slice(*np.searchsorted(at, (lo, lo + SEEDS)))
-                drawn = np.stack([of(int(s)) for s in distinct[lo : lo + SEEDS]])
-                for first in range(0, len(seeds), ROWS):
-                    some = np.flatnonzero((row[own] >= first) & (row[own] < first + ROWS))
-                    share = np.zeros((min(ROWS, len(seeds) - first), len(drawn)))
-                    np.add.at(share, (row[own][some] - first, at[own][some] - lo), weight[own][some])
-                    out[first : first + ROWS] += share @ drawn
+            distinct, at, count = np.unique(seeds.flatten().to_numpy(False), return_inverse=True, return_counts=True)
+            frequent = np.argsort(-count, kind="stable")
+            distinct, count, at = distinct[frequent], count[frequent], np.argsort(frequent)[at]
+            order = np.lexsort((at, row, at // SEEDS))
+            at, row, weight = at[order], row[order], weights.flatten().to_numpy(False)[order]
+            ends = np.searchsorted(at // SEEDS, np.arange(-(-len(distinct) // SEEDS) + 1))
+            for lo, begin, end in zip(range(0, len(distinct), SEEDS), ends, ends[1:]):
+                vectors = drawn(distinct[lo : lo + SEEDS], count[lo : lo + SEEDS])
+                bounds = begin + np.searchsorted(row[begin:end], np.arange(0, len(seeds) + ROWS, ROWS))
+                for first, i, j in zip(range(0, len(seeds), ROWS), bounds, bounds[1:]):
+                    n = min(ROWS, len(seeds) - first)
+                    if i == j:
+                        continue
+                    if (j - i) * SPARSE < n * len(vectors):
+                        some = np.flatnonzero(np.diff(row[i:j], prepend=-1))
+                        out[row[i:j][some]] += np.add.reduceat(vectors[at[i:j] - lo] * weight[i:j, None], some)
+                    else:
+                        share = np.zeros((n, len(vectors)))
+                        np.add.at(share, (row[i:j] - first, at[i:j] - lo), weight[i:j])
+                        out[first : first + n] += share @ vectors
         n = np.linalg.norm(out, axis=1, keepdims=True)
-        return pd.Series(list(out / np.where(n >= vx.TINY, n, 1.0)))
+        return out / np.where(n >= vx.TINY, n, 1.0)
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def project(seeds: pa.Array, weights: pa.Array) -> pa.Array:
+        parts = [summed(seeds.slice(lo, PART), weights.slice(lo, PART)) for lo in range(0, len(seeds), PART)]
+        whole = np.concatenate(parts) if parts else np.zeros((0, dimension))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(whole) + 1) * dimension, pa.int32()), pa.array(whole.ravel()))
 
     return project
 
 
 def encode_text(texts: DataFrame, key: str, text: str, dimension: int = DIMENSION, groups: DataFrame | None = None) -> DataFrame:
     """key and vector; a text without tokens is the random vector of itself."""
-    seeded = F.transform("f", lambda x: F.struct(tx.seed(x["feature"]).alias("seed"), x["weight"].alias("weight")))
-    listed = _features(texts, key, text, groups, True).select(key, F.sort_array(seeded).alias("f"))
-    return listed.select(key, projection(dimension)(F.col("f.seed").cast("array<string>"), F.col("f.weight")).alias("vector"))
+    listed = _features(texts, key, text, groups, True)
+    return listed.select(key, projection(dimension)(F.col("f.feature"), F.col("f.weight")).alias("vector"))
 
 
 def embed(texts: DataFrame, key: str, text: str, embedder: Callable[[list[str]], list | None], dimension: int = DIMENSION, batch: int = EMBEDDED, groups: DataFrame | None = None, known: DataFrame | None = None, keep: Callable[[DataFrame], None] | None = None) -> DataFrame:

@@ -132,6 +132,28 @@ def test_encoding_is_the_weighted_sum_of_features(spark):
     assert all(np.allclose(got[k], again[k]) for k in got)
 
 
+def test_unit_vectors_are_numpys_without_a_generator_for_each(monkeypatch):
+    seeds = [0, 1, 2**32 - 1, 2**32, 2**63, 2**64 - 1, *map(random.Random(3).getrandbits, [64] * 300)]
+    want = [(lambda v: v / np.linalg.norm(v))(np.random.default_rng(s).standard_normal(33)) for s in seeds]
+    monkeypatch.setattr(np.random, "default_rng", None)
+    assert np.array_equal(vx.unit_vectors(np.array(seeds, np.uint64), 33), want)
+    assert vx.unit_vectors(np.empty(0, np.uint64), 33).shape == (0, 33)
+
+
+def test_projection_of_frequent_and_rare_features(monkeypatch):
+    import pyarrow as pa
+
+    for name, n in (("SEEDS", 8), ("ROWS", 16), ("PART", 50), ("SPARSE", 4), ("CACHE", 16)):
+        monkeypatch.setattr(encode, name, n)
+    rnd = random.Random(4)
+    rows = [[rnd.randrange(6) if rnd.random() < 0.7 else rnd.randrange(-(2**63), 2**63) for _ in range(rnd.randrange(9))] for _ in range(130)]
+    weights = [[rnd.choice([0.08, 0.5, 1.0]) for _ in r] for r in rows]
+    got = encode.projection(24).func(pa.array(rows, pa.list_(pa.int64())), pa.array(weights, pa.list_(pa.float64())))
+    for v, r, w in zip(np.array(got.to_pylist()), rows, weights):
+        want = sum((x * vx.unit_vectors(np.array([s % 2**64], np.uint64), 24)[0] for s, x in zip(r, w)), np.zeros(24))
+        assert np.allclose(v, want / (np.linalg.norm(want) or 1.0))
+
+
 def test_text_functions(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
     assert one(tx.identifier_words(F.lit("parseHTTPRequest_fast-path"))) == ["parse", "request", "fast", "path"]
