@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .lineage import cut, kept
 from .plasticity import forgetting
 
 REVERSE, AGAIN, USED = 0.8, 0.1, 0.02
@@ -18,11 +18,18 @@ def connect(pairs: DataFrame) -> DataFrame:
 
     The first of equal edges fixes the weight; each later one strengthens it, to 1 at most.
     """
-    both = pairs.select((F.col("seq") * 2).alias("seq"), F.col("a").alias("src"), F.col("b").alias("dst"), "weight").unionByName(
-        pairs.select((F.col("seq") * 2 + 1).alias("seq"), F.col("b").alias("src"), F.col("a").alias("dst"), (F.col("weight") * REVERSE).alias("weight"))
-    )
-    first = both.groupBy("src", "dst").agg(F.min_by("weight", "seq").alias("weight"), F.count("*").alias("n"), F.min("seq").alias("seq"))
-    return first.select("src", "dst", F.least(F.lit(1.0), F.col("weight") + AGAIN * (F.col("n") - 1)).alias("weight"), "seq")
+    # the two ways of a pair of nodes are one group, so that a pair is shuffled once
+    a, b = F.col("a"), F.col("b")
+    up = F.coalesce(a.isNull() | (a <= b), F.lit(False))
+    there, back = (F.col("seq") * 2, F.col("weight").cast("double")), (F.col("seq") * 2 + 1, F.col("weight") * REVERSE)
+    way = lambda k, one, two: F.when(F.col("up"), one[k]).otherwise(two[k])
+    both = pairs.select("seq", "weight", F.when(up, a).otherwise(b).alias("lo"), F.when(up, b).otherwise(a).alias("hi"), up.alias("up"))
+    both = both.select("lo", "hi", way(0, there, back).alias("s"), way(1, there, back).alias("w"), way(0, back, there).alias("s2"), way(1, back, there).alias("w2"))
+    both = both.groupBy("lo", "hi").agg(F.min_by("w", "s").alias("w"), F.min("s").alias("s"), F.min_by("w2", "s2").alias("w2"), F.min("s2").alias("s2"), F.count("*").alias("n"))
+    loop = F.col("lo").eqNullSafe(F.col("hi"))
+    edge = lambda src, dst, w, s, n: F.struct(F.col(src).alias("src"), F.col(dst).alias("dst"), F.least(F.lit(1.0), F.col(w) + AGAIN * (n - 1)).alias("weight"), F.col(s).alias("seq"))
+    one, two = edge("lo", "hi", "w", "s", F.when(loop, F.col("n") * 2).otherwise(F.col("n"))), edge("hi", "lo", "w2", "s2", F.col("n"))
+    return both.select(F.explode(F.when(loop, F.array(one)).otherwise(F.array(one, two))).alias("e")).select("e.*")
 
 
 def disconnect(edges: DataFrame, gone: DataFrame) -> DataFrame:
@@ -59,14 +66,18 @@ def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.crossJoin(e).withColumn("avg_edges", F.col("edges") / F.greatest("nodes", F.lit(1)))  # two single rows
 
 
-def spread(edges: DataFrame, stimuli: DataFrame, energy: float = 1.0, decay: float = 0.6, least: float = 0.1, hops: int = 4, query: str = "query_id") -> tuple[DataFrame, DataFrame]:
+def spread(edges: DataFrame, stimuli: DataFrame, energy: float = 1.0, decay: float = 0.6, least: float = 0.1, hops: int = 4, query: str = "query_id", most: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(activation of each query's nodes, edges that were used).
 
     edges: src, dst, weight, seq. stimuli: query_id, node, seq. The queue of a
     breadth-first walk is replayed level by level: an arrival carries the order
     in which it was queued, a node passes energy on at its first arrival only,
-    and all arrivals add up.
+    and all arrivals add up. If no weight is larger than most, edges that no
+    energy can pass are left out before the walk, and the others are kept for
+    all its hops.
     """
+    if most is not None and most * decay <= 1:  # energy never grows then
+        edges = kept(edges.select("src", "dst", "weight", "seq").where(F.col("weight") * (energy * decay * (1 + 1e-9)) >= least))
     arrivals = stimuli.select(query, "node", F.lit(energy).alias("energy"), F.array("seq").alias("order"))
     total, used, done = arrivals.select(query, "node", "energy").limit(0), None, None
     for hop in range(hops + 1):

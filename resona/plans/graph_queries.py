@@ -83,7 +83,7 @@ def spread_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = gr.connect(_pairs(spark, sf_dir)).unionByName(_tree(spark, sf_dir))
     r = table(spark, sf_dir, "region")
     stimuli = r.select(F.col("r_regionkey").cast("long").alias("query_id"), F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node"), F.col("r_regionkey").cast("long").alias("seq"))
-    return gr.activated(gr.spread(e, stimuli)[0]).select("query_id", F.col("rank").cast("long").alias("rank"), "node", F.round("activation", 6).alias("activation"))
+    return gr.activated(gr.spread(e, stimuli, most=1.0)[0]).select("query_id", F.col("rank").cast("long").alias("rank"), "node", F.round("activation", 6).alias("activation"))
 
 
 _LAST = "x AS (SELECT l_suppkey, l_partkey, avg(l_discount) * 10 AS weight, max(epoch_us(l_shipdate)) / 1e6 AS t FROM lineitem GROUP BY ALL)"

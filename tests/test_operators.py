@@ -154,6 +154,40 @@ def test_projection_of_frequent_and_rare_features(monkeypatch):
         assert np.allclose(v, want / (np.linalg.norm(want) or 1.0))
 
 
+def test_connecting_shuffles_a_pair_once(spark):
+    rnd = random.Random(8)
+    name = lambda: rnd.choice(["a", "b", "B", "é", "", None])
+    rows = [(k, name(), name(), rnd.choice([0.05, 0.3, 0.9, None])) for k in rnd.sample(range(1000), 150)]
+    pairs = spark.createDataFrame(rows, "seq long, a string, b string, weight double")
+    found: dict = {}
+    for k, a, b, w in sorted(rows, key=lambda r: r[0]):
+        for s, edge, x in ((2 * k, (a, b), w), (2 * k + 1, (b, a), None if w is None else w * 0.8)):
+            found.setdefault(edge, []).append((s, x))
+    want = {e: (1.0 if x[0][1] is None else min(1.0, x[0][1] + 0.1 * (len(x) - 1)), x[0][0]) for e, x in found.items()}
+    got = gr.connect(pairs)
+    assert {(r.src, r.dst): (r.weight, r.seq) for r in got.collect()} == want and got.count() == len(want)
+    assert "Union" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_spreading_makes_its_edges_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def weight(w):
+        made.add(1)
+        return w
+
+    pairs = [("a", "b", 1.0, 0), ("b", "c", 0.9, 1), ("c", "a", 0.8, 2), ("a", "d", 0.166, 3), ("a", "e", 0.1 / 0.6, 4), ("c", "d", 0.5, 5)]
+    edges = spark.createDataFrame(pairs, "src string, dst string, weight double, seq long")
+    stimuli = spark.createDataFrame([(1, "a", 0)], "query_id long, node string, seq long")
+    want = {(r.node, r.activation) for r in gr.spread(edges, stimuli)[0].collect()}
+    got = gr.spread(edges.repartition(2).withColumn("weight", weight.asNondeterministic()("weight")), stimuli, most=1.0)[0]
+    assert {(r.node, r.activation) for r in got.collect()} == want and made.value == len(pairs)
+    # weights by which energy grows: nothing is left out
+    loud = edges.unionByName(spark.createDataFrame([("a", "x", 20.0, 6), ("x", "y", 0.05, 7)], edges.schema))
+    assert {r.node for r in gr.spread(loud, stimuli, most=20.0)[0].collect()} >= {"x", "y"}
+
+
 def test_text_functions(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
     assert one(tx.identifier_words(F.lit("parseHTTPRequest_fast-path"))) == ["parse", "request", "fast", "path"]
