@@ -124,11 +124,12 @@ class Restorer:
     def word(self, chunk: str) -> str:
         """The restored word, in lower case."""
         low = chunk.lower()
-        if _PLAIN.match(low):
-            if not _TWICE.search(low):
-                return low
-            if not _THRICE.search(low):
-                return self._letters(low)
+        core = low.strip(_EDGE)
+        if _PLAIN.match(core):  # quicker than to look it up
+            if not _TWICE.search(core):
+                return core
+            if not _THRICE.search(core):
+                return self._letters(core)
         if self.known.missing({low}):
             self.known.add({low: self._restore(low)})
         return self.known.young[low]
@@ -143,11 +144,10 @@ class Restorer:
         """``decode`` of letters of which none stands thrice in a row: whether one of two equal letters
         goes changes the likelihoods of these two and of the next letter only, so each pair is decided alone.
         """
-        k = [0, 0, *map(_class_of, word), 0]
-        out, done = [], 0
+        out, done, last = [], 0, len(word)
         for m in _TWICE.finditer(word):
-            at = m.start() + 2  # of the first of the two in k
-            a, x, after = k[at - 1], k[at], k[at + 2]
+            at, end = m.span()
+            a, x, after = _class_of(word[at - 1]) if at else 0, _class_of(word[at]), _class_of(word[end]) if end < last else 0
             if self.two[x] + self.model[a][x][after] > self.model[a][x][x] + self.model[x][x][after]:
                 out.append(word[done : m.start() + 1])
                 done = m.end()
@@ -187,8 +187,11 @@ class Restorer:
 
     def readings(self, chunk: str) -> str:
         """The restored word, and the words that a chunk other than a plain word holds as it is written."""
+        low = chunk.lower()
+        if _PLAIN.match(low) and not _TWICE.search(low):
+            return low
         word = self.word(chunk)
-        written = _WORDS.findall(chunk.lower())
+        written = _WORDS.findall(low)
         return word if " ".join(written) == word else " ".join([word, *written])
 
     def likelihood(self, text: str) -> float:

@@ -205,6 +205,21 @@ def test_toxicity(spark):
     assert toxicity.train(d, lab.where("toxic = 0"))[1] == {}
 
 
+def test_plain_words_between_signs_are_not_looked_up():
+    rng = np.random.default_rng(9)
+    r = toxicity.Restorer(toxicity.language_model(rng.integers(0, 50, toxicity.CLASSES**3)))
+    words = ["people", "aa", "aabb", "letter", "ball", "fußball", "été", "ab"]
+    for w in words:
+        for written in (w, f"{w},", f'"{w.upper()}."'):
+            low = written.lower()
+            assert r.word(written) == r._restore(low) == r.lattice(low.strip(toxicity._EDGE)), written
+    assert not r.known.young
+    for written in ("1d10t", "ab1,", "aaab", "...", "7"):  # these still are
+        assert r.word(written) == r._restore(written)
+    assert len(r.known.young) == 5
+    assert r.readings("People") == "people" and r.readings("a-b").split(" ")[-2:] == ["a", "b"]
+
+
 def test_heavily_hidden_words_are_restored(spark):
     text = " ".join(f"an idiot and a dumbass met the asshole near a {w} idiot" for w in PLAIN)
     d = spark.createDataFrame([(text,)] * 5, "text string")
