@@ -81,8 +81,8 @@ class _Counted:
         return single
 
 
-def _features(texts: DataFrame, key: str, text: str, groups: DataFrame | None, whole: bool) -> DataFrame:
-    """key and its features (f: feature and weight); with whole, a text without tokens is its own feature, and features are given as their seeds.
+def _features(texts: DataFrame, key: str, columns: list[str], groups: DataFrame | None, whole: bool) -> DataFrame:
+    """key and the features of each column of texts (f0, f1, ...: feature and weight), null where a key has none there; with whole, a text without tokens is its own feature, and features are given as their seeds.
 
     The texts are dealt by key once and sorted by it, so that a key's texts
     stand together and are counted where they are.
@@ -92,35 +92,42 @@ def _features(texts: DataFrame, key: str, text: str, groups: DataFrame | None, w
     for r in groups.select("word", "synonyms").collect():  # a vocabulary, which every task holds
         known.setdefault(r[0], []).extend(r[1] or ())
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, since small texts become much work
-    types = T.StructType([texts.schema[key], T.StructField("f", T.ArrayType(T.StructType([T.StructField("feature", T.LongType() if whole else T.StringType()), T.StructField("weight", T.DoubleType())])))])
+    weighed = T.ArrayType(T.StructType([T.StructField("feature", T.LongType() if whole else T.StringType()), T.StructField("weight", T.DoubleType())]))
+    types = T.StructType([texts.schema[key], *(T.StructField(f"f{i}", weighed) for i in range(len(columns)))])
     out = to_arrow_schema(types)
 
+    def column(found: list[dict[str, float] | None], counted: _Counted, kind: pa.ListType) -> pa.ListArray:
+        ends, none = np.cumsum([0] + [len(f or ()) for f in found]), np.array([f is None for f in found], bool)
+        named = pa.array([counted.seed(x) for f in found for x in f or ()], pa.int64()) if whole else pa.array([x for f in found for x in f or ()], pa.string())
+        flat = [named, pa.array([w for f in found if f for w in f.values()], pa.float64())]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(flat, fields=list(kind.value_type)), type=kind, mask=pa.array(none))
+
     def listed(rows: list[tuple], counted: _Counted) -> pa.RecordBatch:
-        ends = np.cumsum([0] + [len(f) for _, f in rows])
-        named = pa.array([counted.seed(x) for _, f in rows for x in f], pa.int64()) if whole else pa.array([x for _, f in rows for x in f], pa.string())
-        flat = [named, pa.array([w for _, f in rows for w in f.values()], pa.float64())]
-        of = pa.StructArray.from_arrays(flat, fields=list(out.field(1).type.value_type))
-        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], out.field(0).type), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), of, type=out.field(1).type)], schema=out)
+        found = [column([r[1][i] for r in rows], counted, out.field(i + 1).type) for i in range(len(columns))]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], out.field(0).type), *found], schema=out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted, done, now, said = _Counted(known), [], None, []
         for batch in batches:
             for lo in range(0, batch.num_rows, LISTED):
                 part = batch.slice(lo, LISTED)
-                for k, *pair in zip(*(c.to_pylist() for c in part.columns)):
+                for k, *row in zip(*(c.to_pylist() for c in part.columns)):
                     if said and k != now:
-                        done.append((now, counted.of(said, whole)))
+                        done.append((now, [counted.of(own, whole) if own else None for own in said]))
                         said = []
-                    now = k
-                    said.append(pair)
+                    now, said = k, said or [[] for _ in columns]
+                    for own, *pair in zip(said, row[::2], row[1::2]):
+                        if pair[0] is not None:
+                            own.append(pair)
                 if len(done) >= LISTED:
                     yield listed(done, counted)
                     done = []
         if said:
-            done.append((now, counted.of(said, whole)))
+            done.append((now, [counted.of(own, whole) if own else None for own in said]))
         yield listed(done, counted)
 
-    rows = texts.where(F.col(text).isNotNull()).select(F.col(key), F.lower(F.col(text)).alias("_low"), F.col(text).alias("_text") if whole else F.lit(None).cast("string").alias("_text"))
+    pairs = [x for i, c in enumerate(columns) for x in (F.lower(F.col(c)).alias(f"_low{i}"), (F.col(c) if whole else F.lit(None).cast("string")).alias(f"_text{i}"))]
+    rows = texts.where(F.coalesce(*columns).isNotNull()).select(F.col(key), *pairs)
     return rows.repartition(parts, key).sortWithinPartitions(key).mapInArrow(run, types)
 
 
@@ -130,11 +137,11 @@ def features(texts: DataFrame, key: str, text: str, groups: DataFrame | None = N
     Words, their synonyms and all their stems count once with the largest
     weight of what derives them; bigrams and letter trigrams count each time.
     """
-    return _features(texts, key, text, groups, False).select(key, F.explode("f").alias("f")).select(key, "f.*")
+    return _features(texts, key, [text], groups, False).select(key, F.explode("f0").alias("f")).select(key, "f.*")
 
 
 def projection(dimension: int):
-    """A column function from (seeds as longs, weights) to the unit vector of their weighted sum.
+    """A column function from (seeds as longs, weights) to the unit vector of their weighted sum; null where they are.
 
     Vectors of seeds that stand in one row only are drawn and forgotten. The
     seeds of the most rows come first, as products of matrices; where few of a
@@ -163,7 +170,7 @@ def projection(dimension: int):
 
     def summed(seeds: pa.Array, weights: pa.Array) -> np.ndarray:
         out = np.zeros((len(seeds), dimension))
-        row = np.repeat(np.arange(len(seeds)), seeds.value_lengths().to_numpy(False))
+        row = np.repeat(np.arange(len(seeds)), seeds.value_lengths().fill_null(0).to_numpy(False))
         if len(row):
             distinct, at, count = np.unique(seeds.flatten().to_numpy(False), return_inverse=True, return_counts=True)
             frequent = np.argsort(-count, kind="stable")
@@ -192,15 +199,20 @@ def projection(dimension: int):
     def project(seeds: pa.Array, weights: pa.Array) -> pa.Array:
         parts = [summed(seeds.slice(lo, PART), weights.slice(lo, PART)) for lo in range(0, len(seeds), PART)]
         whole = np.concatenate(parts) if parts else np.zeros((0, dimension))
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(whole) + 1) * dimension, pa.int32()), pa.array(whole.ravel()))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(whole) + 1) * dimension, pa.int32()), pa.array(whole.ravel()), mask=seeds.is_null())
 
     return project
 
 
-def encode_text(texts: DataFrame, key: str, text: str, dimension: int = DIMENSION, groups: DataFrame | None = None) -> DataFrame:
-    """key and vector; a text without tokens is the random vector of itself."""
-    listed = _features(texts, key, text, groups, True)
-    return listed.select(key, projection(dimension)(F.col("f.feature"), F.col("f.weight")).alias("vector"))
+def encode_text(texts: DataFrame, key: str, text: str, dimension: int = DIMENSION, groups: DataFrame | None = None, beside: dict[str, str] | None = None) -> DataFrame:
+    """key and vector; a text without tokens is the random vector of itself.
+
+    beside: further vectors by name, each of another column of texts, null where a key has none there. They are made where
+    the first is: Spark takes vectors for small, and a join of two tables of them may send one of them whole to the driver.
+    """
+    named = {"vector": text} | (beside or {})
+    listed, project = _features(texts, key, list(named.values()), groups, True), projection(dimension)
+    return listed.select(key, *(project(F.col(f"f{i}.feature"), F.col(f"f{i}.weight")).alias(as_) for i, as_ in enumerate(named)))
 
 
 def embed(texts: DataFrame, key: str, text: str, embedder: Callable[[list[str]], list | None], dimension: int = DIMENSION, batch: int = EMBEDDED, groups: DataFrame | None = None, known: DataFrame | None = None, keep: Callable[[DataFrame], None] | None = None) -> DataFrame:
@@ -256,11 +268,13 @@ def text_features(text: str, synonyms_of: dict[str, list[str]]) -> dict[str, flo
     return single or {text: 1.0}
 
 
-def encode_identifier(names: DataFrame, key: str, name: str, context: str | None = None, dimension: int = DIMENSION) -> DataFrame:
+def encode_identifier(names: DataFrame, key: str, name: str, context: str | None = None, dimension: int = DIMENSION, beside: dict[str, str] | None = None) -> DataFrame:
+    """key and vector; beside as in ``encode_text``."""
     words = tx.identifier_words(F.col(name))
     if context:
         words = F.concat(tx.identifier_words(F.col(context)), words)
-    return encode_text(names.select(key, F.array_join(words, " ").alias("text")), key, "text", dimension)
+    more = {as_: f"_beside{i}" for i, as_ in enumerate(beside or {})}
+    return encode_text(names.select(key, F.array_join(words, " ").alias("text"), *(F.col(beside[as_]).alias(c) for as_, c in more.items())), key, "text", dimension, beside=more)
 
 
 def encode_relationship(relations: DataFrame, dimension: int = DIMENSION) -> DataFrame:

@@ -170,10 +170,9 @@ def random_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @family.query("SELECT p_partkey, 1.0::DOUBLE AS cosine FROM part")
 def encode_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An identifier in a context is encoded as the text of its words: their cosine."""
-    n = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("part-"), F.replace("p_name", F.lit(" "), F.lit("_"))).alias("name"), F.concat(F.lit("part "), "p_name").alias("words"), F.lit("shop_stock").alias("context"))
-    one = encode.encode_identifier(n, "p_partkey", "name", "context", 64)
-    two = encode.encode_text(n.select("p_partkey", F.concat(F.lit("shop stock "), "words").alias("text")), "p_partkey", "text", 64).withColumnRenamed("vector", "w")
-    return one.join(two, "p_partkey").select("p_partkey", F.round(vx.cosine(F.col("vector"), F.col("w")), 6).alias("cosine"))
+    n = dealt(spark, sf_dir, "part", "p_partkey").select("p_partkey", F.concat(F.lit("part-"), F.replace("p_name", F.lit(" "), F.lit("_"))).alias("name"), F.concat(F.lit("shop stock part "), "p_name").alias("text"), F.lit("shop_stock").alias("context"))
+    both = encode.encode_identifier(n, "p_partkey", "name", "context", 64, {"w": "text"})
+    return both.select("p_partkey", F.round(vx.cosine(F.col("vector"), F.col("w")), 6).alias("cosine"))
 
 
 @family.query("SELECT n_nationkey, true AS recovered FROM nation")

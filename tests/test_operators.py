@@ -326,3 +326,27 @@ def test_binding_makes_no_object_for_each_vector(spark):
         assert np.allclose(r.ab, [sum(r.a[j] * r.b[(i - j) % 4] for j in range(4)) for i in range(4)])
     assert "ArrowEvalPython" in df.select(vx.bind(F.col("a"), F.col("b")))._jdf.queryExecution().executedPlan().toString()
     assert df.limit(0).select(vx.bind(F.col("a"), F.col("b"))).count() == 0
+
+
+def test_texts_of_a_key_are_encoded_beside_each_other(spark):
+    rows = [("a", "Deploy ctx", "deployUnit"), ("b", None, "qty"), ("a", None, "x9"), (None, "???", None), ("c", None, None), ("d", "", "api_key"), ("a", "ctx again", None)]
+    texts = spark.createDataFrame(rows, "k string, t string, n string").repartition(3)
+    both = encode.encode_text(texts, "k", "t", 32, beside={"w": "n"})
+    got = {r.k: (r.vector, r.w) for r in both.collect()}
+    assert both.columns == ["k", "vector", "w"] and set(got) == {"a", "b", None, "d"}
+    for at, column in enumerate(("t", "n")):
+        want = {r.k: r.vector for r in encode.encode_text(texts, "k", column, 32).collect()}
+        assert {k for k, v in got.items() if v[at] is not None} == set(want)
+        assert all(np.allclose(got[k][at], v) for k, v in want.items())
+    named = {r.k: r for r in encode.encode_identifier(texts, "k", "n", None, 32, {"text": "t", "as_it_is": "n"}).collect()}
+    assert np.allclose(named["a"].text, got["a"][0]) and np.allclose(named["d"].vector, [r.vector for r in encode.encode_text(spark.createDataFrame([("d", "api key")], "k string, t string"), "k", "t", 32).collect()])
+    assert np.allclose(named["b"].as_it_is, got["b"][1]) and named["b"].text is None and texts.limit(0).count() == encode.encode_text(texts.limit(0), "k", "t", 8, beside={"w": "n"}).count()
+
+
+def test_identifiers_are_encoded_without_a_join_of_vectors(spark):
+    from resona.plans import vector_queries as vq
+
+    found = vq.encode_identifiers(spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1  # texts are dealt once, vectors stay where they are made
+    assert {r.cosine for r in found.collect()} == {1.0} and found.count() == spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
